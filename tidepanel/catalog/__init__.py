@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalar", "windows")
+MODULES = ("scalar", "windows", "pointintime")
 
 
 
