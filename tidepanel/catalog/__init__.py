@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalar", "windows", "pointintime", "panelbuild")
+MODULES = ("scalar", "windows", "pointintime", "panelbuild", "evaluation")
 
 
 

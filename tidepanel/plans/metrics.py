@@ -15,3 +15,154 @@ def benchmark_returns(prices: DataFrame, cal: DataFrame) -> DataFrame:
     d = cal.join(F.broadcast(prices), "date", "left")
     d = d.select("date", F.last("px", True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("px"))
     return d.select("date", (div("px", F.lag("px").over(w)) - 1).alias("bret"))
+
+
+MIN_NAMES = 20
+
+
+def rank_ic(long: DataFrame, value: str, target: str, by=("factor", "date"), keys=("code",), min_names: int = MIN_NAMES,
+            valid=None, write: bool = True) -> DataFrame:
+    """Spearman correlation per group over rows where both sides are present.
+
+    Missing when there are too few names or a side does not vary.
+    """
+    from tidepanel.operators.ordering import with_ranks
+
+    ok = F.col(value).isNotNull() & F.col(target).isNotNull()
+    if valid is not None:
+        ok = ok & valid
+    d = with_ranks(long.where(ok), list(by), {"_ra": value, "_rb": target}, pct=False, keys=keys, write=write)
+    varies = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
+    return d.groupBy(*by).agg(F.when((F.count("*") >= min_names) & varies, F.corr("_ra", "_rb")).alias("ic"), F.count("*").alias("names"))
+
+
+def summarize_ic(ic: DataFrame, by=("factor",)) -> DataFrame:
+    """Mean, std, ratio, positive share, days and bias-corrected shape of a daily series."""
+    x = F.col("ic")
+    d = ic.where(x.isNotNull()).groupBy(*by).agg(
+        F.avg(x).alias("ic_mean"), F.stddev_samp(x).alias("ic_std"), F.avg((x > 0).cast("double")).alias("positive"),
+        F.count("*").alias("days"), F.skewness(x).alias("_g1"), F.kurtosis(x).alias("_g2"))
+    n, g1, g2 = F.col("days"), F.col("_g1"), F.col("_g2")
+    return d.select(
+        *by, "ic_mean", "ic_std", F.when(F.col("ic_std") > 0, F.col("ic_mean") / F.nullif("ic_std", F.lit(0.0))).alias("icir"), "positive", "days",
+        F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0))).otherwise(0.0).alias("skew"),
+        F.when(n > 3, ((n + 1) * g2 + 6) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0)) + 3).otherwise(3.0).alias("kurtosis"))
+
+
+def coverage(long: DataFrame, by=("factor",)) -> DataFrame:
+    """Mean over dates of the share of universe names with a value."""
+    u = F.col("in_universe")
+    d = long.groupBy(*by, "date").agg(F.count(F.when(u, 1)).alias("n"), F.count(F.when(u, F.col("value"))).alias("c"))
+    return d.where("n > 0").groupBy(*by).agg(F.avg(F.col("c") / F.nullif("n", F.lit(0))).alias("coverage"))
+
+
+def quantile_returns(long: DataFrame, target: str, q: int = 5, by=("factor",), keys=("code",), write=True) -> DataFrame:
+    """Mean over dates of the mean target per value bucket, and top minus bottom."""
+    from tidepanel.operators.ordering import with_rank
+
+    d = long.where(F.col("value").isNotNull() & F.col(target).isNotNull() & F.col("in_universe"))
+    d = with_rank(d, [*by, "date"], "value", "_p", keys=keys, write=write)
+    b = F.least(F.greatest(F.ceil(F.col("_p") * q), F.lit(1)), F.lit(q))
+    d = d.groupBy(*by, "date", b.alias("bucket")).agg(F.avg(target).alias("m"))
+    d = d.groupBy(*by).pivot("bucket", list(range(1, q + 1))).agg(F.avg("m"))
+    d = d.select(*by, *[F.col(str(i)).alias(f"q{i}") for i in range(1, q + 1)])
+    return d.withColumn("long_short", F.col(f"q{q}") - F.col("q1"))
+
+
+def subwindow_means(ic: DataFrame, n: int, by=("factor",)) -> DataFrame:
+    """Means over n equal chunks of the dates (first chunks one longer)."""
+    d = ic.where(F.col("ic").isNotNull()).withColumn("chunk", F.ntile(n).over(W.partitionBy(*by).orderBy("date")))
+    return d.groupBy(*by, "chunk").agg(F.avg("ic").alias("ic"))
+
+
+def pair_correlations(wide: DataFrame, left: list[str], right: list[str], valid, min_names: int = MIN_NAMES) -> DataFrame:
+    """Mean daily rank correlation of each left factor with each other right factor on pair-complete names."""
+    pairs = [(a, b) for a in left for b in right if a != b and not (a in right and b in left and a > b)]
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("xa"), F.col(b).alias("xb")) for a, b in pairs]))
+    long = wide.where(valid).select("date", "code", rows.alias("_p")).select("date", "code", "_p.*")
+    ic = rank_ic(long, "xa", "xb", ("a", "b", "date"), min_names=min_names)
+    return ic.groupBy("a", "b").agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("corr"))
+
+
+def top_fraction(df: DataFrame, value: str, every: int, fraction: float, cost: float) -> DataFrame:
+    """Equal-weight best names each ``every`` days, next open to next open, against all buyable names.
+
+    ``df`` is a dense grid with open, buyable, in_universe.  One row per rebalance.
+    """
+    from tidepanel.operators import rolling as R
+    from tidepanel.operators.cross import with_stats
+    from tidepanel.operators.ordering import position
+
+    last = df.agg(F.max("pos").alias("_last"))
+    d = df.withColumns({"_in": R.ts_lead("open", 1), "_out": R.ts_lead("open", 1 + every), "_buy": F.coalesce(R.ts_lead("buyable", 1), F.lit(False))})
+    d = d.join(F.broadcast(last)).where((F.col("pos") % every == 0) & (F.col("pos") + every + 1 <= F.col("_last")))
+    scored = F.col("in_universe") & F.col(value).isNotNull()
+    d = d.select("date", "pos", "code", value, F.coalesce(div("_out", "_in") - 1, F.lit(0.0)).alias("_r"), scored.alias("_s"),
+                 (scored & F.col("_buy")).alias("_e"), (F.col("in_universe") & F.col("_buy")).alias("_b"))
+    d = position(d, ["pos"], [F.when(F.col("_e"), -F.col(value)), "code"], "_place")
+    d = with_stats(d, "pos", {"_n": F.greatest(F.floor(F.count(F.when(F.col("_s"), 1)) * fraction), F.lit(1))})
+    d = d.withColumn("_w", F.when(F.col("_place") <= F.col("_n"), 1.0).otherwise(0.0))
+    d = with_stats(d, "pos", {"_k": F.sum("_w")}).withColumn("_w", F.coalesce(div("_w", "_k"), F.lit(0.0)))
+    d = d.withColumn("_pw", F.coalesce(F.lag("_w").over(R.by_code()), F.lit(0.0)))
+    g = d.groupBy("date", "pos").agg(F.sum(F.col("_w") * F.col("_r")).alias("port"), F.coalesce(F.avg(F.when(F.col("_b"), F.col("_r"))), F.lit(0.0)).alias("bench"),
+                                     F.sum(F.abs(F.col("_w") - F.col("_pw"))).alias("turnover"))
+    g = g.withColumn("excess", F.col("port") - F.col("bench"))
+    return g.withColumn("excess_net", F.col("excess") - F.col("turnover") * cost)
+
+
+def drawdown(df: DataFrame, ret: str, by: list[str], out="drawdown") -> DataFrame:
+    """Cumulative curve and its fall from the running peak; series are calendar sized."""
+    w = W.partitionBy(*by) if by else W.partitionBy()
+    w = w.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    d = df.withColumn("curve", F.exp(F.sum(F.log1p(ret)).over(w)))
+    return d.withColumn(out, F.col("curve") / F.max("curve").over(w) - 1)
+
+
+def performance(daily: DataFrame, ann: int, by: list[str] | None = None) -> DataFrame:
+    """Return, benchmark, excess, tracking error, ratio, worst fall and cost of a daily table (date, ret, bench, cost)."""
+    by = by or []
+    d = daily.withColumn("excess", F.col("ret") - F.col("bench"))
+    d = drawdown(d, "excess", by)
+    a = lambda c: F.exp(F.sum(F.log1p(c)) * ann / F.count("*")) - 1
+    te = F.stddev_samp("excess") * F.sqrt(F.lit(float(ann)))
+    g = d.groupBy(*by).agg(
+        F.count("*").alias("days"), a("ret").alias("annual_return"), a("bench").alias("annual_benchmark"), (F.avg("excess") * ann).alias("annual_excess"),
+        te.alias("tracking_error"), F.min("drawdown").alias("max_drawdown"), (F.sum("cost") * ann / F.count("*")).alias("annual_cost"))
+    return g.withColumn("information_ratio", F.when(F.col("tracking_error") > 0, F.col("annual_excess") / F.nullif("tracking_error", F.lit(0.0))))
+
+
+def return_stats(daily: DataFrame, ann: int, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    d = drawdown(daily, "ret", by)
+    vol = F.stddev_samp("ret") * F.sqrt(F.lit(float(ann)))
+    g = d.groupBy(*by).agg(F.count("*").alias("days"), F.min("date").alias("first"), F.max("date").alias("last"),
+                           (F.exp(F.sum(F.log1p("ret")) * ann / F.count("*")) - 1).alias("annual_return"), vol.alias("annual_vol"),
+                           F.min("drawdown").alias("max_drawdown"), F.avg("ret").alias("_m"))
+    return g.withColumn("sharpe", F.when(F.col("annual_vol") > 0, F.col("_m") * ann / F.nullif("annual_vol", F.lit(0.0)))).drop("_m")
+
+
+def decile(place, n, bins: int = 10):
+    """0-based bin of a 1-based first-order place, as equal-frequency cut edges assign it."""
+    return F.greatest(F.ceil((place - 1) * bins / F.nullif(n - 1, F.lit(0))), F.lit(1)) - 1
+
+
+def gate_first(m: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """First gate: coverage, days, mean, ratio, and library correlation unless clearly better than the match."""
+    c = F.col
+    better = (c("matched_icir").isNotNull()) & (c("icir") >= limits["replacement"] * F.abs("matched_icir"))
+    checks = {"coverage": c("coverage") >= limits["coverage"], "valid_dates": c("days") >= limits["days"], "ic_mean": c("ic_mean") >= limits["ic_mean"],
+              "icir": c("icir") >= limits["icir"], "library_corr": (c("max_abs_corr") <= limits["corr"]) | better}
+    arr = F.array(*[F.struct(F.lit(k).alias("name"), F.coalesce(v, F.lit(False)).alias("passed")) for k, v in checks.items()])
+    d = m.withColumn("checks", arr)
+    return d.withColumns({"passed": F.forall("checks", lambda x: x["passed"]),
+                          "replacement": F.coalesce((c("max_abs_corr") > limits["corr"]) & better, F.lit(False))})
+
+
+def gate_second(m: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Second gate: sub-window signs, neutral share, net excess (informational) and marginal gain."""
+    c = F.col
+    checks = {"same_sign": (c("same_sign") >= limits["same_sign"], False), "neutral_ratio": (div("neutral_ic", "ic_mean") >= limits["neutral"], False),
+              "net_excess": (c("net_excess") > limits["net_excess"], True), "marginal": (c("marginal_ic") > limits["marginal"], False)}
+    arr = F.array(*[F.struct(F.lit(k).alias("name"), F.coalesce(v, F.lit(False)).alias("passed"), F.lit(i).alias("informational")) for k, (v, i) in checks.items()])
+    return m.withColumn("checks", arr).withColumn("passed", F.forall("checks", lambda x: x["passed"] | x["informational"]))
