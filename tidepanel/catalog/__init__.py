@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalar", "windows", "pointintime", "panelbuild", "evaluation", "inference", "modelling")
+MODULES = ("scalar", "windows", "pointintime", "panelbuild", "evaluation", "inference", "modelling", "risk")
 
 
 

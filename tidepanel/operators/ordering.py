@@ -129,22 +129,31 @@ def with_rank(df, by, value, out: str, pct: bool = True, keys=("code",), sample_
 
 
 def quantiles(df, by, values: dict[str, tuple[str, float]], keys=("code",), sample_every=None, write=True) -> DataFrame:
-    """Exact linear-interpolated quantiles: one row per group, one column per name of ``values`` = (column, p)."""
+    """Exact linear-interpolated quantiles: one row per group, one column per name of ``values`` = (column, p).
+
+    Several columns are ranked in one pass as (column name, value) rows.
+    """
+    by, keys = list(by), list(keys)
     cols = list(dict.fromkeys(c for c, _ in values.values()))
-    s = order_stats(df.select(*by, *keys, *[c for c in cols if c not in by and c not in keys]), by,
-                    {f"_{c}_": c for c in cols}, keys, sample_every, write)
-    aggs = [F.max(f"_{c}_n").alias(f"_n_{c}") for c in cols]
+    probs = list(dict.fromkeys(float(p) for _, p in values.values()))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).alias("_x")) for c in cols])) if len(cols) > 1 else (
+        F.struct(F.lit(cols[0]).alias("_name"), F.col(cols[0]).alias("_x")))
+    long = df.select(*by, *[k for k in keys if k not in by], cells.alias("_e")).where("_e._x is not null")
+    long = long.select(*by, *[k for k in keys if k not in by], "_e._name", "_e._x")
+    s = order_stats(long, [*by, "_name"], {"_o_": "_x"}, keys, sample_every, write)
+    less, aggs = F.col("_o_less"), [F.max("_o_n").alias("_n")]
+    for i, p in enumerate(probs):
+        h = F.lit(p) * (F.col("_o_n") - 1)
+        aggs += [F.max(F.when(less <= F.floor(h), F.col("_x"))).alias(f"_lo{i}"),
+                 F.max(F.when(less <= F.ceil(h), F.col("_x"))).alias(f"_hi{i}")]
+    g = s.groupBy(*by, "_name").agg(*aggs)
     outs = []
-    for i, (name, (c, p)) in enumerate(values.items()):
-        less, h = F.col(f"_{c}_less"), F.lit(float(p)) * (F.col(f"_{c}_n") - 1)
-        aggs += [
-            F.max(F.when(less <= F.floor(h), F.col(c))).alias(f"_lo{i}"),
-            F.max(F.when(less <= F.ceil(h), F.col(c))).alias(f"_hi{i}"),
-        ]
-        g = F.lit(float(p)) * (F.col(f"_n_{c}") - 1)
+    for name, (c, p) in values.items():
+        i = probs.index(float(p))
+        h = F.lit(float(p)) * (F.col("_n") - 1)
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        outs.append((lo + (hi - lo) * (g - F.floor(g))).alias(name))
-    return s.groupBy(*by).agg(*aggs).select(*by, *outs)
+        outs.append(F.max(F.when(F.col("_name") == c, lo + (hi - lo) * (h - F.floor(h)))).alias(name))
+    return g.groupBy(*by).agg(*outs)
 
 
 def order_key(order: Sequence[Column | str]) -> Column:
