@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ("scalar", "windows", "pointintime", "panelbuild", "evaluation", "inference", "modelling", "risk")
+MODULES = ("scalar", "windows", "pointintime", "panelbuild", "evaluation", "inference", "modelling", "risk",
+           "portfolio")
 
 
 
