@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ("scalar", "windows", "pointintime", "panelbuild", "evaluation", "inference", "modelling", "risk",
-           "portfolio", "screens", "streams")
+           "portfolio", "screens", "streams", "book", "research")
 
 
 
