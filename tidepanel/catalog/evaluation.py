@@ -33,7 +33,7 @@ PICK = ["reversal_short", "vol_medium", "size", "turnover_shock", "price_volume_
 LONG = SEEDS + ", long AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT code, date, pos, grp, region, in_universe, circ_mv, label_1, label_3, '{k}' AS factor, {k} AS value FROM seeds" for k in PICK) + "))"
 IC = lambda x, y, by, src, out="ic", n=20: f"""
 , {out}_v AS (SELECT * FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL), {out}_r AS (SELECT *, {AR(x, by)} AS ra, {AR(y, by)} AS rb FROM {out}_v),
-{out} AS (SELECT {by}, CASE WHEN count(*) >= {n} AND min(ra) < max(ra) AND min(rb) < max(rb) THEN corr(ra, rb) END AS ic FROM {out}_r GROUP BY {by})"""
+{out} AS (SELECT {by}, CASE WHEN count(*) >= {n} AND min(ra) < max(ra) AND min(rb) < max(rb) THEN round(corr(ra, rb), 12) END AS ic FROM {out}_r GROUP BY {by})"""
 SUMMARY = "round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS icir, round(avg((ic > 0)::INT), 6) AS positive, count(ic) AS days, round(skewness(ic), 5) AS skew, round(kurtosis(ic) + 3, 5) AS kurtosis"
 UNI = "(SELECT * FROM long WHERE in_universe)"
 

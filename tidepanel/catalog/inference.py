@@ -162,3 +162,13 @@ def _(s):
 @query("trials_by_day", "A27 T4", """SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, count(*) AS trials FROM orders GROUP BY ALL ORDER BY trials DESC, date LIMIT 25""")
 def _(s):
     return s.table("orders").groupBy(day("o_orderdate").alias("date")).agg(F.count("*").alias("trials")).orderBy(F.desc("trials"), "date").limit(25)
+
+
+@query("elite_half", "T5", f"WITH {TRIALS}, k AS (SELECT campaign, trial, row_number() OVER (PARTITION BY campaign ORDER BY icir DESC, trial) AS place, count(*) OVER (PARTITION BY campaign) AS n FROM trials WHERE icir IS NOT NULL) SELECT campaign, trial, place FROM k WHERE place <= greatest(n // 2, 1)")
+def _(s):
+    """Best half of the scored candidates of each campaign."""
+    from tidepanel.operators.ordering import position
+
+    d = trials(s).where("icir is not null").select("campaign", "trial", "icir")
+    d = position(d, ["campaign"], [-F.col("icir"), "trial"], "place", "_n", keys=("trial",))
+    return d.where(F.col("place") <= F.greatest(F.floor(F.col("_n") / 2), F.lit(1))).select("campaign", "trial", "place")

@@ -24,7 +24,8 @@ def rank_ic(long: DataFrame, value: str, target: str, by=("factor", "date"), key
             valid=None, write: bool = True) -> DataFrame:
     """Spearman correlation per group over rows where both sides are present.
 
-    Missing when there are too few names or a side does not vary.
+    Missing when there are too few names or a side does not vary.  Rounding at 1e-12 keeps
+    an exact zero from turning into a signed speck of float noise.
     """
     from tidepanel.operators.ordering import with_ranks
 
@@ -33,7 +34,7 @@ def rank_ic(long: DataFrame, value: str, target: str, by=("factor", "date"), key
         ok = ok & valid
     d = with_ranks(long.where(ok), list(by), {"_ra": value, "_rb": target}, pct=False, keys=keys, write=write)
     varies = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
-    return d.groupBy(*by).agg(F.when((F.count("*") >= min_names) & varies, F.corr("_ra", "_rb")).alias("ic"), F.count("*").alias("names"))
+    return d.groupBy(*by).agg(F.when((F.count("*") >= min_names) & varies, F.round(F.corr("_ra", "_rb"), 12)).alias("ic"), F.count("*").alias("names"))
 
 
 def summarize_ic(ic: DataFrame, by=("factor",)) -> DataFrame:
