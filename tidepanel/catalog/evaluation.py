@@ -39,13 +39,13 @@ UNI = "(SELECT * FROM long WHERE in_universe)"
 
 
 def seed_frame(s):
-    d = FA.derived_terminals(s.labelled, 6)
+    d = FA.derived_terminals(s.stored, 6)
     return FA.evaluate(d, FA.seed_factors(3, 6, 12, 24))
 
 
 def picked(s):
     fs = [f for f in FA.seed_factors(3, 6, 12, 24) if f.name in PICK]
-    d = FA.evaluate(FA.derived_terminals(s.labelled, 6), fs)
+    d = FA.evaluate(FA.derived_terminals(s.stored, 6), fs)
     return FA.to_long(d, fs, ["date", "code", "pos", "grp", "region", "in_universe", "circ_mv", "label_1", "label_3"])
 
 
@@ -66,7 +66,7 @@ def _(s):
 @query("derived_terminals", "N-F1", labelled(DERIVED + """
 SELECT code, strftime(date, '%Y-%m-%d') AS date, """ + ", ".join(f"round({c}, 6) AS {c}" for c in ("excess_ret_1d", "amihud", "vwap_dev", "overnight_ret", "intraday_ret")) + " FROM terminals"))
 def _(s):
-    d = FA.derived_terminals(s.labelled, 6)
+    d = FA.derived_terminals(s.stored, 6)
     return d.select("code", day("date").alias("date"), *[r(c).alias(c) for c in ("excess_ret_1d", "amihud", "vwap_dev", "overnight_ret", "intraday_ret")])
 
 
@@ -117,7 +117,7 @@ PAIRS = SEEDS + ", pairs AS (" + " UNION ALL ".join(f"SELECT date, code, '{a}' A
 SELECT factor, round(max(abs(corr)), 6) AS max_abs_corr, arg_max(other, abs(corr)) AS max_with FROM u GROUP BY factor"""))
 def _(s):
     fs = [f for f in FA.seed_factors(3, 6, 12, 24) if f.name in PICK]
-    d = FA.evaluate(FA.derived_terminals(s.labelled, 6), fs)
+    d = FA.evaluate(FA.derived_terminals(s.stored, 6), fs)
     c = M.pair_correlations(d, PICK, PICK, F.col("in_universe"), 8)
     u = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
     return u.groupBy(F.col("a").alias("factor")).agg(r(F.max(F.abs("corr"))).alias("max_abs_corr"), F.max_by("b", F.abs("corr")).alias("max_with"))
@@ -153,7 +153,7 @@ g AS (SELECT date, pos, sum(wt * r) AS port, coalesce(avg(r) FILTER (WHERE in_un
 @query("top_fraction_return", "A12 T1 T2", labelled(SEEDS + TOP + " SELECT strftime(date, '%Y-%m-%d') AS date, round(port, 6) AS port, round(bench, 6) AS bench, round(turnover, 6) AS turnover, round(port - bench - turnover * 0.0015::DOUBLE, 6) AS excess_net FROM g"))
 def _(s):
     fs = [f for f in FA.seed_factors(3, 6, 12, 24) if f.name == "reversal_short"]
-    d = FA.evaluate(s.labelled, fs)
+    d = FA.evaluate(s.stored, fs)
     g = M.top_fraction(d, "reversal_short", 3, 0.2, 0.0015)
     return g.select(day("date").alias("date"), *[r(c).alias(c) for c in ("port", "bench", "turnover", "excess_net")])
 

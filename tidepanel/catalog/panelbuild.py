@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.catalog import ctes as T
 from tidepanel.catalog.registry import dense, labelled, lines, query
-from tidepanel.functions.columns import day, flag, r
+from tidepanel.functions.columns import corr, day, flag, r
 from tidepanel.operators import joins as J
 from tidepanel.operators import ordering as O
 from tidepanel.operators import rolling as R
@@ -250,14 +250,14 @@ def _(s):
     proxy = P.cap_weighted(s.dense, F.col("in_universe"))
     b = s.bars.join(s.cal, "date").where("code % 2 = 0 and pos % 10 <> 3").groupBy("date").agg(F.avg("close").alias("px"))
     j = proxy.join(benchmark_returns(b, s.cal), "date").where("proxy is not null and bret is not null").withColumn("gap", F.col("proxy") - F.col("bret"))
-    return j.agg(F.count("*").alias("days"), r(F.stddev_pop("gap") * F.sqrt(F.lit(12.0))).alias("tracking_error"), r(F.avg("gap") * 12).alias("annual_gap"), r(F.corr("proxy", "bret")).alias("correlation"))
+    return j.agg(F.count("*").alias("days"), r(F.stddev_pop("gap") * F.sqrt(F.lit(12.0))).alias("tracking_error"), r(F.avg("gap") * 12).alias("annual_gap"), r(corr("proxy", "bret")).alias("correlation"))
 
 
 @query("quality_report", "P28", labelled("""
 , d AS (SELECT count(*) FILTER (WHERE in_universe) AS n FROM labelled GROUP BY date), a AS (SELECT count(*) FILTER (WHERE in_universe) AS n, count(close) FILTER (WHERE in_universe) AS c, count(label_1) FILTER (WHERE in_universe) AS l, count(*) FILTER (WHERE in_universe AND abs(ret_1d) > 0.5) AS w FROM labelled)
 SELECT 'min_universe' AS check, min(n)::DOUBLE AS value, (min(n) >= 10)::INT AS passed FROM d UNION ALL SELECT 'close_coverage', round(c / n, 6), (c / n >= 0.95)::INT FROM a UNION ALL SELECT 'label_coverage', round(l / n, 6), (l / n >= 0.5)::INT FROM a UNION ALL SELECT 'anomaly_rate', round(w / n, 6), (w / n <= 0.01)::INT FROM a"""))
 def _(s):
-    return P.quality_report(s.labelled, 10, "label_1").withColumn("value", F.round("value", 6))
+    return P.quality_report(s.stored, 10, "label_1").withColumn("value", F.round("value", 6))
 
 
 @query("field_describe", "P29", lines("""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidepanel.catalog.evaluation import AR, DAILY, daily
 from tidepanel.catalog.registry import dense, labelled, query
 from tidepanel.catalog.panelbuild import PROXY
-from tidepanel.functions.columns import day, r
+from tidepanel.functions.columns import corr, day, r
 from tidepanel.operators import cross as X, rolling as R
 from tidepanel.operators.staging import materialize
 from tidepanel.plans import metrics as M, panel as PN, portfolio as P
@@ -40,7 +40,7 @@ HIST = """, wt AS (SELECT code, date, pos, region, in_universe, CASE WHEN in_uni
 g AS (SELECT date, count(*) FILTER (WHERE weight > 0) AS names, max(weight) AS mx, max(abs(weight - bench)) AS act, 0.5 * sum(mv) AS turn, sum((weight - bench) * z) AS asz, sum(weight * beta) AS beta FROM z GROUP BY date), i AS (SELECT max(v) AS v FROM (SELECT abs(sum(weight) - sum(bench)) AS v FROM z GROUP BY date, region))
 SELECT count(*) AS rebalances, round(avg(names), 6) AS names_held_mean, round(max(mx), 6) AS max_name_weight, round(max(act), 6) AS max_active_name_weight, round(avg(turn), 6) AS one_way_turnover_mean, round(max(turn), 6) AS one_way_turnover_max, round(avg(asz), 6) AS active_size_mean, round(max(abs(asz)), 6) AS active_size_max_abs, round(avg((turn > 0.3::DOUBLE + 1e-6)::INT), 6) AS over_cap_share, round(avg(beta), 6) AS beta_mean, (SELECT round(v, 6) FROM i) AS max_industry_deviation FROM g"""))
 def _(s):
-    d = s.dense.where("pos % 3 = 0")
+    d = s.stored.where("pos % 3 = 0")
     d = X.with_stats(d, "date", {"_n": F.sum(F.when(F.col("in_universe"), F.col("n_lines"))), "_c": F.sum(F.when(F.col("in_universe"), F.col("circ_mv")))})
     d = d.select("code", "date", "pos", "region", "in_universe", (F.when(F.col("in_universe"), F.col("n_lines")).otherwise(0) / F.nullif("_n", F.lit(0))).alias("weight"),
                  (F.when(F.col("in_universe"), F.col("circ_mv")).otherwise(0.0) / F.nullif("_c", F.lit(0.0))).alias("bench"), F.ln("circ_mv").alias("size"), (1 + (F.col("code") % 5 - 2) / 10.0).alias("beta"))
@@ -52,7 +52,7 @@ EXPO = HIST + """, ex AS (SELECT 't' || (code % 2) AS trial, date, region, sum(w
 
 
 def expo(s):
-    d = s.dense.where("pos % 3 = 0")
+    d = s.stored.where("pos % 3 = 0")
     d = X.with_stats(d, "date", {"_n": F.sum(F.when(F.col("in_universe"), F.col("n_lines"))), "_c": F.sum(F.when(F.col("in_universe"), F.col("circ_mv")))})
     w = F.when(F.col("in_universe"), F.col("n_lines")).otherwise(0) / F.nullif("_n", F.lit(0)) - F.when(F.col("in_universe"), F.col("circ_mv")).otherwise(0.0) / F.nullif("_c", F.lit(0.0))
     return d.groupBy(F.concat(F.lit("t"), (F.col("code") % 2).cast("string")).alias("trial"), "date", "region").agg(F.sum(w).alias("active"))
@@ -153,7 +153,7 @@ def _(s):
     a, b = mapped(s)
     j = a.select("date", "fund", F.col("mom_20").alias("a")).join(b.select("date", "fund", F.col("mom_20").alias("b")), ["date", "fund"]).where("a is not null and b is not null")
     z = P.rank_z_rows(j, {"za": "a", "zb": "b"}, keys=("fund",))
-    c = z.groupBy("date").agg(F.when(F.count("za") >= 5, F.corr("za", "zb")).alias("c"), F.sum(F.abs(F.col("za") - F.col("zb"))).alias("g"), F.count(F.col("za")).alias("n"))
+    c = z.groupBy("date").agg(F.when(F.count("za") >= 5, corr("za", "zb")).alias("c"), F.sum(F.abs(F.col("za") - F.col("zb"))).alias("g"), F.count(F.col("za")).alias("n"))
     return c.agg(r(F.avg("c"), 5).alias("rank_corr_mean"), r(F.sum("g") / F.sum("n"), 5).alias("abs_gap"))
 
 

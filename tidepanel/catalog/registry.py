@@ -36,12 +36,12 @@ def run(name: str, spark: SparkSession, path: str) -> DataFrame:
 
 
 LINES = """lines AS (SELECT l_suppkey AS code, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
-  CAST(l_extendedprice / l_quantity AS DECIMAL(24,8)) AS px, day(l_shipdate) AS dom, l_quantity AS q,
-  CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(24,4)) AS amt FROM lineitem),
-bars AS (SELECT code, date, CAST(sum(px) FILTER (WHERE dom <= 15) AS DOUBLE) / nullif(count(px) FILTER (WHERE dom <= 15), 0) * 0.13876543219::DOUBLE AS open,
-  CAST(max(px) AS DOUBLE) * 0.13876543219::DOUBLE AS high, CAST(min(px) AS DOUBLE) * 0.13876543219::DOUBLE AS low,
-  CAST(sum(px) AS DOUBLE) / count(px) * 0.13876543219::DOUBLE AS close, CAST(sum(amt) AS DOUBLE) / sum(q) * 0.13876543219::DOUBLE AS vwap,
-  sum(q) AS volume, CAST(sum(amt) AS DOUBLE) * 0.13876543219::DOUBLE AS amount, count(px) AS n_lines
+  CAST(floor(l_extendedprice / l_quantity * 10000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS px, day(l_shipdate) AS dom, l_quantity AS q,
+  CAST(floor(l_extendedprice * (1 - l_discount) * 10000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS amt FROM lineitem),
+bars AS (SELECT code, date, CAST(sum(px) FILTER (WHERE dom <= 15) AS DOUBLE) / 10000.0::DOUBLE / nullif(count(px) FILTER (WHERE dom <= 15), 0) * 0.13876543219::DOUBLE AS open,
+  CAST(max(px) AS DOUBLE) / 10000.0::DOUBLE * 0.13876543219::DOUBLE AS high, CAST(min(px) AS DOUBLE) / 10000.0::DOUBLE * 0.13876543219::DOUBLE AS low,
+  CAST(sum(px) AS DOUBLE) / 10000.0::DOUBLE / count(px) * 0.13876543219::DOUBLE AS close, CAST(sum(amt) AS DOUBLE) / 10000.0::DOUBLE / sum(q) * 0.13876543219::DOUBLE AS vwap,
+  sum(q) AS volume, CAST(sum(amt) AS DOUBLE) / 10000.0::DOUBLE * 0.13876543219::DOUBLE AS amount, count(px) AS n_lines
   FROM lines GROUP BY code, date),
 cal AS (SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS pos FROM (SELECT DISTINCT date FROM lines)),
 suppliers AS (SELECT s_suppkey AS code, s_nationkey AS grp, n_regionkey AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey),

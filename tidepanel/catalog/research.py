@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.catalog.evaluation import AR
 from tidepanel.catalog.registry import dense, query
-from tidepanel.functions.columns import day, div, r
+from tidepanel.functions.columns import corr, day, div, r
 from tidepanel.operators import rolling as R
 from tidepanel.operators.cross import with_stats
 from tidepanel.operators.grid import next_trading_day
@@ -75,7 +75,7 @@ def _(s):
 
     u = cycle(s).where("bp_pct is not null and ep_pct is not null and excess is not null")
     u = with_ranks(u, ["region"], {"a": "bp_pct", "b": "ep_pct", "e": "excess"}, pct=False, keys=("date",))
-    return u.groupBy("region").agg(F.count("*").alias("months"), r(F.corr("a", "e")).alias("corr_bp"), r(F.corr("b", "e")).alias("corr_ep"))
+    return u.groupBy("region").agg(F.count("*").alias("months"), r(corr("a", "e")).alias("corr_bp"), r(corr("b", "e")).alias("corr_ep"))
 
 
 @query("announcement_car", "A32 J15", dense("""
@@ -86,7 +86,7 @@ def _(s):
     n = s.table("supplier").agg(F.count("*").alias("_n"))
     ev = s.table("orders").join(F.broadcast(n)).select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("kind"), (F.col("o_custkey") % F.col("_n")).alias("code"), F.col("o_orderdate").cast("date").alias("d"))
     ev = next_trading_day(ev, s.cal, "d", "_e", "pos").select("event_id", "kind", "code", "pos")
-    d = B.clustered_t(Q.announcement_car(ev, s.dense, 5), "car", "month", ["kind"], 30, 6)
+    d = B.clustered_t(Q.announcement_car(ev, s.stored, 5), "car", "month", ["kind"], 30, 6)
     return d.select("kind", "n", r("mean").alias("mean"), r("t", 5).alias("t"))
 
 
@@ -114,7 +114,7 @@ SELECT code, strftime(date, '%Y-%m-%d') AS date, round(close / lag(close, 12) OV
 FROM c WINDOW w AS (PARTITION BY code ORDER BY pos), w6 AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), w12 AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), w24 AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"""))
 def _(s):
     want = ["mom_quarter", "mom_year_skip", "dist_high", "ret_skew", "downside_vol", "turnover_cv", "log_price", "idio_vol"]
-    d = with_stats(s.dense, "date", {"mkt": F.avg("ret_1d")})
+    d = with_stats(s.stored, "date", {"mkt": F.avg("ret_1d")})
     d = FA.evaluate(d, [f for f in FA.candidate_factors(6, 12, 24) if f.name in want])
     return d.select("code", day("date").alias("date"), *[r(c, 5 if c == "ret_skew" else 6).alias(c) for c in want])
 

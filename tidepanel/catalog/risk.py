@@ -26,7 +26,7 @@ def _(s):
 
 
 def styled(s):
-    d = K.style_windows(s.dense).withColumn("ret_next", R.ts_lead("ret_1d", 1))
+    d = K.style_windows(s.stored).withColumn("ret_next", R.ts_lead("ret_1d", 1))
     keep = ["code", "date", "pos", "region", "in_universe", "circ_mv", "ret_1d", "ret_next", *K.STYLES]
     return materialize(K.style_exposures(d.select(*keep), min_names=8, min_cover=0.5))
 
@@ -62,12 +62,12 @@ cv AS (SELECT pos, i, j, days, (sab / s - sa / s * (sb / s)) / (1 - s2 / (s * s)
 
 
 def simple_returns(s):
-    d = s.dense.where("ret_1d is not null")
+    d = s.stored.where("ret_1d is not null")
     return d.groupBy("pos", F.concat(F.lit("r"), F.col("region").cast("string")).alias("factor")).agg(F.avg("ret_1d").alias("value"))
 
 
 def simple_residuals(s):
-    return X.cs_demean(s.dense, {"residual": "ret_1d"}, ("pos", "region")).select("code", "pos", "region", "in_universe", "residual", "date", "circ_mv", "n_lines")
+    return X.cs_demean(s.stored, {"residual": "ret_1d"}, ("pos", "region")).select("code", "pos", "region", "in_universe", "residual", "date", "circ_mv", "n_lines")
 
 
 @query("ew_covariance", "W36 M10", dense(COV + " SELECT pos, i, j, days, round(cov, 9) AS cov FROM cv"))
@@ -96,7 +96,7 @@ WEIGHTS = """, wb AS (SELECT code, date, pos, region, n_lines * 1.0::DOUBLE / su
 
 
 def weights(s):
-    d = s.dense.where("in_universe")
+    d = s.stored.where("in_universe")
     d = X.with_stats(d, "date", {"_n": F.sum("n_lines"), "_c": F.sum("circ_mv")})
     return d.select("code", "date", "pos", "region", (F.col("n_lines") / F.nullif("_n", F.lit(0))).alias("w"), (F.col("circ_mv") / F.nullif("_c", F.lit(0.0))).alias("b"))
 

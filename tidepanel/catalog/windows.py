@@ -67,7 +67,7 @@ SELECT {KEY}, round(CASE WHEN count(a) OVER w8 = 8 THEN (CASE WHEN isnan(corr(a,
 FROM d {W(8, 12, 24)}""".replace("lag(CASE WHEN count(amount) OVER w12 >= 5 THEN avg(amount) OVER w12 END) OVER w", "adv").replace(
     "FROM d WINDOW", "FROM (SELECT *, lag(adv0) OVER (PARTITION BY code ORDER BY pos) AS adv FROM (SELECT *, CASE WHEN count(amount) OVER v >= 5 THEN avg(amount) OVER v END AS adv0 FROM d WINDOW v AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))) WINDOW")))
 def _(s):
-    d = X.with_stats(s.dense, "date", {"mkt": F.avg("ret_1d")})
+    d = X.with_stats(s.stored, "date", {"mkt": F.avg("ret_1d")})
     d = d.withColumns({"corr_8": R.ts_corr("close", "volume", 8), "cov_8": R.ts_cov("close", "volume", 8),
                        "beta_24": R.ts_beta("ret_1d", "mkt", 24, 12), "vol_12": R.ts_std("ret_1d", 12, 6), "adv0": R.ts_mean("amount", 12, 5)})
     d = d.withColumn("adv_prev", R.ts_delay("adv0", 1))
@@ -121,7 +121,7 @@ n AS (SELECT *, CASE WHEN count(xt) OVER d >= {need} THEN xt - coalesce(sum(xt *
 SELECT {KEY}, round(resid, 4) AS resid FROM n"""))
 def _(s):
     d = s.dense.withColumn("lmv", F.when(F.col("circ_mv") > 0, F.ln("circ_mv")))
-    return report(X.cs_neutralize(d, {"resid": "close"}, "lmv", "region"), ["resid"], 4)
+    return report(X.cs_neutralize(materialize(d), {"resid": "close"}, "lmv", "region"), ["resid"], 4)
 
 
 @query("group_rank", "W18 W19", dense(f"""
@@ -154,7 +154,7 @@ def _(s):
     from tidepanel.plans.models import residualize
 
     d = s.dense.withColumns({"s1": F.when(F.col("circ_mv") > 0, F.ln("circ_mv")), "s2": F.col("n_lines").cast("double")})
-    return report(residualize(d, "close", ["s1", "s2"], "resid", "region", F.col("in_universe"), 20), ["resid"], 4)
+    return report(residualize(materialize(d), "close", ["s1", "s2"], "resid", "region", F.col("in_universe"), 20), ["resid"], 4)
 
 
 @query("fill_and_forward", "W28 W42", dense(f"""

@@ -136,6 +136,25 @@ def half_life_decay(age, half_life: float) -> Column:
     return F.exp(-F.ln(F.lit(2.0)) * col(age) / F.lit(float(half_life)))
 
 
+def _pair(x, y) -> tuple[Column, Column]:
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    return F.when(both, x), F.when(both, y)
+
+
+def corr(x, y, over=None) -> Column:
+    """Pearson correlation of the complete pairs; missing where a side does not vary."""
+    a, b = _pair(x, y)
+    at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    return finite(at(F.covar_pop(a, b)) / F.nullif(F.sqrt(at(F.var_pop(a)) * at(F.var_pop(b))), F.lit(0.0)))
+
+
+def slope(y, x) -> Column:
+    """Least-squares slope of y on x over the complete pairs."""
+    a, b = _pair(y, x)
+    return div(F.covar_pop(a, b), F.var_pop(b))
+
+
 def r(x, digits: int = 6) -> Column:
     """Report rounding."""
     return F.round(col(x).cast("double"), digits)

@@ -14,7 +14,8 @@ its own:
 
 The input is read three times (cuts, bucket counts, sort), so it is written to a
 table first; ``write=False`` skips that where the input is a plain scan.  Several
-values of one group key share the passes.
+values of one group key share the passes.  An input whose counted size is at most
+``SAMPLE_EVERY`` rows cannot hold a larger group and takes one plain window instead.
 
 One row in ``SAMPLE_EVERY`` becomes a cut, so the cut and bucket tables hold at
 most ``2 * rows / SAMPLE_EVERY`` entries: 1e13 rows give some 1e7 values, about
@@ -64,6 +65,18 @@ def _buckets(df: DataFrame, by: list[str], values: list[str], keys: Sequence[str
     return out.drop("_skip", "_le", *[f"_cuts{i}" for i in range(len(values))], *[f"_coarse{i}" for i in range(len(values))])
 
 
+def _plain_stats(df: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
+    """Order statistics of a counted, small input."""
+    for p, v in values.items():
+        present = F.col(v).isNotNull()
+        df = df.withColumns({
+            f"{p}less": F.when(present, F.rank().over(W.partitionBy(*by).orderBy(F.col(v).asc_nulls_last())) - 1),
+            f"{p}ties": F.when(present, F.count("*").over(W.partitionBy(*by, v))),
+            f"{p}n": F.when(present, F.count(v).over(W.partitionBy(*by))),
+        })
+    return df
+
+
 def order_stats(
     df: DataFrame,
     by: Sequence[str],
@@ -83,7 +96,10 @@ def order_stats(
     df = df.withColumns({n: v if isinstance(v, Column) else F.col(v) for n, v in zip(names, values.values(), strict=True)})
     if write:
         df = materialize(df)
-    b = _buckets(df, by, names, keys, sample_every or SAMPLE_EVERY)
+    every = sample_every or SAMPLE_EVERY
+    if df.count() <= every:
+        return _plain_stats(df, by, dict(zip(values, names, strict=True))).drop(*names)
+    b = _buckets(df, by, names, keys, every)
     which = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_bucket{i}").alias("b")) for i in range(len(names))]))
     totals = b.select(*by, which.alias("_w")).where("_w.b >= 0").groupBy(*by, "_w").agg(F.count("*").alias("_c"))
     wb = W.partitionBy(*by, "_i")
@@ -188,7 +204,11 @@ def running(df, by, order, outs: dict[str, tuple[str, str]], keys=("code",), sam
     df = df.withColumn("_v0", order_key(order))
     if write:
         df = materialize(df)
-    b = _buckets(df, by, ["_v0"], keys, sample_every or SAMPLE_EVERY).withColumnRenamed("_bucket0", "_bucket")
+    every = sample_every or SAMPLE_EVERY
+    if df.count() <= every:
+        w = W.partitionBy(*by).orderBy("_v0").rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({o: _FN[fn](c).over(w) for o, (fn, c) in outs.items()}).drop("_v0")
+    b = _buckets(df, by, ["_v0"], keys, every).withColumnRenamed("_bucket0", "_bucket")
     aggs = [_FN[fn](c).alias(f"_t_{o}") for o, (fn, c) in outs.items()]
     upto = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = b.groupBy(*by, "_bucket").agg(*aggs)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import col, div, finite
+from tidepanel.functions.columns import _pair, col, corr, div, finite
 
 def by_code():
     return W.partitionBy("code").orderBy("pos")
@@ -93,15 +93,9 @@ def ts_decay_linear(x, n) -> Column:
     return _need(x, n, total / F.lit(n * (n + 1) / 2.0))
 
 
-def _pair(x, y):
-    x, y = col(x), col(y)
-    both = x.isNotNull() & y.isNotNull()
-    return F.when(both, x), F.when(both, y)
-
-
 def ts_corr(x, y, n, least=None) -> Column:
     a, b = _pair(x, y)
-    return _need(a, n, finite(F.corr(a, b).over(trailing(n))), least)
+    return _need(a, n, corr(a, b, trailing(n)), least)
 
 
 def ts_cov(x, y, n, least=None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import div
+from tidepanel.functions.columns import corr, div
 from tidepanel.operators.cross import with_stats
 from tidepanel.operators.joins import asof_join, keep_one
 from tidepanel.operators.ordering import running
@@ -252,7 +252,7 @@ def pair_correlation(members: DataFrame, returns: DataFrame, least: int) -> Data
     ra = returns.select(F.col("code").alias("a"), "pos", F.col("ret").alias("x"))
     rb = returns.select(F.col("code").alias("b"), "pos", F.col("ret").alias("y"))
     j = need.join(ra, "a").join(rb, ["b", "pos"]).where("x is not null and y is not null")
-    c = j.groupBy("a", "b").agg(F.when((F.count("*") >= least) & (F.stddev_samp("x") > 0) & (F.stddev_samp("y") > 0), F.corr("x", "y")).alias("corr"))
+    c = j.groupBy("a", "b").agg(F.when((F.count("*") >= least) & (F.stddev_samp("x") > 0) & (F.stddev_samp("y") > 0), corr("x", "y")).alias("corr"))
     return pairs.join(c, ["a", "b"]).groupBy("account").agg(F.avg("corr").alias("mean_corr"), F.max("corr").alias("max_corr"), F.count("corr").alias("pairs"))
 
 

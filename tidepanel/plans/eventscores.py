@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import div, half_life_decay
+from tidepanel.functions.columns import corr, div, half_life_decay
 from tidepanel.operators.cross import with_stats
 from tidepanel.operators.joins import asof_join, keep_one
 from tidepanel.operators.ordering import order_stats, position, quantiles, running, with_ranks
@@ -87,6 +87,6 @@ def decile_report(events: DataFrame, score: str, car: str, block: str, key: str)
     spread = pick(top, "mean_car") - pick(low, "mean_car")
     se = F.sqrt(pick(top, "_v") / pick(top, "n") + pick(low, "_v") / pick(low, "n"))
     ranked = order_stats(g.withColumn("_one", F.lit(1)), ["_one"], {"_o_": "mean_car"}, keys=("decile",))
-    mono = ranked.select(F.corr(F.col("_o_less") + (F.col("_o_ties") + 1) / 2.0, "decile").alias("monotonicity"))
+    mono = ranked.select(corr(F.col("_o_less") + (F.col("_o_ties") + 1) / 2.0, "decile").alias("monotonicity"))
     s = g.agg(F.sum("n").alias("events"), spread.alias("top_minus_bottom"), div(spread, se).alias("t_stat"))
     return g.drop("_v"), s.join(F.broadcast(mono))

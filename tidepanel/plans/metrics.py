@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import div
+from tidepanel.functions.columns import corr, div
 
 
 def benchmark_returns(prices: DataFrame, cal: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def rank_ic(long: DataFrame, value: str, target: str, by=("factor", "date"), key
         ok = ok & valid
     d = with_ranks(long.where(ok), list(by), {"_ra": value, "_rb": target}, pct=False, keys=keys, write=write)
     varies = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
-    return d.groupBy(*by).agg(F.when((F.count("*") >= min_names) & varies, F.round(F.corr("_ra", "_rb"), 12)).alias("ic"), F.count("*").alias("names"))
+    return d.groupBy(*by).agg(F.when((F.count("*") >= min_names) & varies, F.round(corr("_ra", "_rb"), 12)).alias("ic"), F.count("*").alias("names"))
 
 
 def summarize_ic(ic: DataFrame, by=("factor",)) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import col, div
+from tidepanel.functions.columns import col, div, slope
 from tidepanel.operators.cross import with_stats
 
 
@@ -258,7 +258,7 @@ def alpha_scale(df: DataFrame, z: str, y: str, min_names: int, window: int, leas
     The slope table has one row per date, so its window is calendar sized.
     """
     ok = df.where(F.col(z).isNotNull() & F.col(y).isNotNull())
-    s = ok.groupBy("pos").agg(F.when(F.count("*") >= min_names, F.regr_slope(y, z)).alias("slope"))
+    s = ok.groupBy("pos").agg(F.when(F.count("*") >= min_names, slope(y, z)).alias("slope"))
     w = W.orderBy("pos").rowsBetween(-(window - 1), 0)
     d = cal.join(F.broadcast(s), "pos", "left")
     d = d.withColumns({"valid_days": F.count("slope").over(w), "_m": F.avg("slope").over(w)})

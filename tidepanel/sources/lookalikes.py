@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.sources.adapters import Stage
+from tidepanel.sources.adapters import UNIT, Stage, fixed
 
 
 def _dec(c) -> F.Column:
-    return F.sum(c.cast("decimal(24,4)")).cast("double")
+    return F.sum(fixed(c)) / UNIT
 
 
 def _ship():
