@@ -92,13 +92,13 @@ def _(s):
     return spec(s).select("code", "pos", r("d", 8).alias("d"), "is_prior")
 
 
-WEIGHTS = """, wb AS (SELECT code, date, pos, region, n_lines * 1.0::DOUBLE / sum(n_lines) OVER (PARTITION BY date) AS w, circ_mv / sum(circ_mv) OVER (PARTITION BY date) AS b FROM dense WHERE in_universe)"""
+WEIGHTS = """, wb AS (SELECT code, date, pos, region, close / sum(close) OVER (PARTITION BY date) AS w, circ_mv / sum(circ_mv) OVER (PARTITION BY date) AS b FROM dense WHERE in_universe)"""
 
 
 def weights(s):
     d = s.stored.where("in_universe")
-    d = X.with_stats(d, "date", {"_n": F.sum("n_lines"), "_c": F.sum("circ_mv")})
-    return d.select("code", "date", "pos", "region", (F.col("n_lines") / F.nullif("_n", F.lit(0))).alias("w"), (F.col("circ_mv") / F.nullif("_c", F.lit(0.0))).alias("b"))
+    d = X.with_stats(d, "date", {"_n": F.sum("close"), "_c": F.sum("circ_mv")})
+    return d.select("code", "date", "pos", "region", (F.col("close") / F.nullif("_n", F.lit(0.0))).alias("w"), (F.col("circ_mv") / F.nullif("_c", F.lit(0.0))).alias("b"))
 
 
 TE = COV + SPEC + WEIGHTS + """, ac AS (SELECT pos, code, region, w - b AS a FROM wb WHERE pos % 12 = 0 AND pos >= 36), xf AS (SELECT pos, 'r' || region AS factor, sum(a) AS x FROM ac GROUP BY ALL),

@@ -146,7 +146,9 @@ def nav_history(snaps: DataFrame, cash: DataFrame, prices: DataFrame, flows: Dat
     ``prices``: code, pos, px (carried); ``flows``: account, pos, amount on valuation days.
     """
     first = cash.groupBy("account").agg(F.min("as_of_pos").alias("_first"))
-    days = first.join(F.broadcast(cal.select("pos", "date")), F.col("pos") >= F.col("_first")).select("account", "pos", "date")
+    last = cal.agg(F.max("pos").alias("_last"))
+    days = first.join(F.broadcast(last)).select("account", F.explode(F.sequence("_first", "_last")).alias("pos"))
+    days = days.join(F.broadcast(cal.select("pos", "date")), "pos").select("account", "pos", "date")
     days = asof_join(days, cash.withColumn("snap", F.col("as_of_pos")), on="pos", by=["account"], fields=["snap", "cash"], right_on="as_of_pos")
     days = days.join(flows, ["account", "pos"], "left").withColumn("amount", F.coalesce("amount", F.lit(0.0)))
     after = F.when(F.col("pos") > F.col("snap"), F.col("amount")).otherwise(0.0)
@@ -184,8 +186,9 @@ def sector_returns(weights: DataFrame, start: DataFrame, end: DataFrame, group:
 
 def allocation_selection(port: DataFrame, bench: DataFrame, group: str) -> DataFrame:
     """Allocation and selection per group; benchmark-only groups stay.  ``port``: account, group, wp, contribution."""
-    accounts = port.select("account").distinct()
-    b = bench.withColumn("_k", F.lit(1)).join(accounts.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # The sector table has one row per sector; it reaches every account as one packed row.
+    packed = bench.agg(F.collect_list(F.struct(group, "wb", "rb")).alias("_b"))
+    b = port.select("account").distinct().join(F.broadcast(packed)).select("account", F.inline("_b"))
     j = port.join(b, ["account", group], "full")
     wp, wb = F.coalesce("wp", F.lit(0.0)), F.coalesce("wb", F.lit(0.0))
     rp = F.when(wp != 0, F.col("contribution") / F.nullif(wp, F.lit(0.0)))
