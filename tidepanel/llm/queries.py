@@ -29,3 +29,22 @@ def op2_quality_rules(spark, sf_dir):
     from tidepanel.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents"))
+
+
+@query("op3_substring_dedup", """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, p, list_slice(ws, p, p + 12) AS g FROM w, unnest(range(1, len(ws) - 11)) AS u(p)),
+f AS (SELECT g, min(doc_id) AS low FROM s GROUP BY g),
+c AS (SELECT DISTINCT doc_id, p + k AS pos FROM s JOIN f USING (g), unnest(range(0, 13)) AS o(k) WHERE low < doc_id),
+t AS (SELECT w.doc_id, len(ws) AS n, u.pos, ws[u.pos] AS word, c.pos IS NOT NULL AS gone FROM w, unnest(range(1, len(ws) + 1)) AS u(pos)
+  LEFT JOIN c ON c.doc_id = w.doc_id AND c.pos = u.pos)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM w LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM t GROUP BY doc_id) r USING (doc_id)
+""")
+def op3_substring_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tidepanel.llm.substring import substring_dedup
+
+    got = substring_dedup(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
