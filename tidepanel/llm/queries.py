@@ -63,3 +63,25 @@ def op5_ngram_jaccard(spark, sf_dir):
     from tidepanel.llm.ngram_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def vocabulary() -> tuple[dict[bytes, int], str]:
+    import public_tokenizers
+
+    from tidepanel.llm.bpe import read_ranks
+
+    return read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+@query("op8_byte_bpe")
+def op8_byte_bpe(spark, sf_dir):
+    from tidepanel.llm.bpe import digests, encode
+
+    return digests(encode(table(spark, sf_dir, "documents"), *vocabulary()))
+
+
+@query("op9_packed_ids")
+def op9_packed_ids(spark, sf_dir):
+    from tidepanel.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), *vocabulary())
