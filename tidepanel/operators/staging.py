@@ -13,12 +13,17 @@ SETTING = "spark.checkpoint.dir"
 
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def folder(spark) -> str:
-    """Shared folder named by the session; a session without the setting (a test) gets one of its own."""
-    return spark.conf.get(SETTING, None) or _own_folder()
+    """Shared folder named by the session.  Without the setting a single-machine session gets a folder of its own; a cluster must name one."""
+    named = spark.conf.get(SETTING, None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"set {SETTING} to a folder that all executors share")
+    return _own_folder()
 
 
 def materialize(df: DataFrame) -> DataFrame:
