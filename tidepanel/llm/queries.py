@@ -85,3 +85,17 @@ def op9_packed_ids(spark, sf_dir):
     from tidepanel.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+@query("op4_mix_sources")
+def op4_mix_sources(spark, sf_dir):
+    from tidepanel.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op7_shards")
+def op7_shards(spark, sf_dir):
+    from tidepanel.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
