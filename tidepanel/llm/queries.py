@@ -99,3 +99,24 @@ def op7_shards(spark, sf_dir):
     from tidepanel.llm.sharding import shard
 
     return shard(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    from tidepanel.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op1_near_vectors", """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND list_count(v) = len(v) AND len(list_filter(v, lambda x: isnan(x) OR isinf(x))) = 0 AND list_dot_product(v, v) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
+""")
+def op1_near_vectors(spark, sf_dir):
+    from tidepanel.llm.near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
