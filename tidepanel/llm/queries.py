@@ -120,3 +120,16 @@ def op1_near_vectors(spark, sf_dir):
     from tidepanel.llm.near_vectors import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _licence_sql() -> str:
+    from tidepanel.llm.licences import licence_sql
+
+    return licence_sql()
+
+
+@query("op10_licence_scan", _licence_sql())
+def op10_licence_scan(spark, sf_dir):
+    from tidepanel.llm.licences import licence_scan
+
+    return licence_scan(table(spark, sf_dir, "documents"))
