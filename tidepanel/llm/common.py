@@ -38,8 +38,8 @@ def unpack(body) -> pa.RecordBatch:
 def chunked(df: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows of ``df`` packed into compressed chunks of some ``chunk_bytes`` of text: (chunk long, body binary).
 
-    A chunk is a run of rows of one input split, so it is the same whenever that split is
-    read again; one exchange by chunk serves all the passes over the texts.
+    A chunk is a run of rows of one input split.  Use it in a single plan, where one exchange by
+    chunk serves all the passes over the texts.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,6 +59,25 @@ def chunked(df: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFra
     return df.mapInArrow(pack, "chunk long, body binary").repartition("chunk")
 
 
+def chunked_by_id(df: DataFrame, doc_id: str, chunks: int) -> DataFrame:
+    """Rows of ``df`` packed by ``chunk_of`` their id, several bodies for each chunk: the same in any plan, whatever the order of rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chunk = b.column(0).to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            present, starts = np.unique(chunk[order], return_index=True)
+            rest = b.select(b.schema.names[1:])
+            bodies = [_pack(rest.take(pa.array(at))) for at in np.split(order, starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(present, pa.int64()), pa.array(bodies, pa.binary())], ["chunk", "body"])
+
+    return df.select(chunk_of(doc_id, chunks).alias("_chunk"), *df.columns).mapInArrow(pack, "chunk long, body binary")
+
+
+def chunk_of(doc_id: str, chunks: int):
+    return F.pmod(F.xxhash64(doc_id), F.lit(chunks))
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)

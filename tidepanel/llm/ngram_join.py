@@ -37,10 +37,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import binary, connected_components, grams, hash_words, mix
+from tidepanel.llm.common import binary, by_bucket, chunk_of, chunked_by_id, connected_components, flat, grams, hash_words, lists, mix, partitions, unpack
 from tidepanel.operators.staging import materialize
 
 
@@ -112,7 +113,7 @@ def _profiles(docs: DataFrame, setting: Setting) -> DataFrame:
 
     def sketch(counts: np.ndarray) -> pa.RecordBatch:
         step = slots // _SLOTS
-        parts = [counts[i * step : (i + 1) * step].astype(np.uint16).tobytes() for i in range(_SLOTS)]
+        parts = [np.minimum(counts[i * step : (i + 1) * step], 255).astype(np.uint8).tobytes() for i in range(_SLOTS)]
         none = pa.nulls(_SLOTS, pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([1] * _SLOTS, pa.int32()), pa.array(range(_SLOTS), pa.int64()), *[none] * (3 + BITMAP), pa.array(parts, pa.binary())], names)
 
@@ -128,11 +129,11 @@ def _profiles(docs: DataFrame, setting: Setting) -> DataFrame:
                 tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 counts += np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
                 held += part.num_rows
-                if held > 60_000:  # a slot counts a document once for each of its tokens there, far from 16 bits
-                    yield sketch(np.minimum(counts, 65_535))
+                if held > 50_000:  # a full byte is then 0.5 % of the documents, above the share that makes a token frequent
+                    yield sketch(counts)
                     counts[:], held = 0, 0
         if held:
-            yield sketch(np.minimum(counts, 65_535))
+            yield sketch(counts)
 
     ddl = "kind int, doc long, n long, s1 long, s2 long, " + ", ".join(f"b{i} long" for i in range(BITMAP)) + ", counts binary"
     return docs.mapInArrow(scan, ddl)
@@ -144,7 +145,7 @@ def _frequent(profiles: DataFrame, documents: int, setting: Setting) -> np.ndarr
     least = max(setting.frequent_least, setting.frequent_share * documents) + tokens / (1 << setting.sketch_bits)
 
     def total(t: pa.Table) -> pa.Table:
-        s = sum(np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in t.column("counts"))
+        s = sum(np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64) for x in t.column("counts"))
         return pa.table({"slot": t.column("doc").slice(0, 1), "bits": pa.array([np.packbits(s >= least, bitorder="little").tobytes()], pa.binary())})
 
     got = profiles.where("kind = 1").select("doc", "counts").groupBy("doc").applyInArrow(total, "slot long, bits binary").collect()
@@ -155,27 +156,69 @@ def _frequent(profiles: DataFrame, documents: int, setting: Setting) -> np.ndarr
     return out
 
 
-def _postings(docs: DataFrame, frequent: np.ndarray, setting: Setting) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+_STARS = "bucket long, key array<long>, doc array<long>, up array<long>"
+
+
+def _stars(docs: DataFrame, frequent: np.ndarray, setting: Setting) -> DataFrame:
+    """Rows (key, doc, up) that join the documents of each key into a tree: a document to the smallest of its batch, and
+    those of the batches to the smallest of all.  A key reaches its bucket once for each batch, however many hold it."""
+    spark = docs.sparkSession
+    sent, buckets = spark.sparkContext.broadcast(frequent), 4 * partitions(spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for b in batches:
+            keys, times = [], []
             for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                sets = token_sets(binary(part.column(1)).to_pylist(), setting.width)
-                keys = [keys_of(s, bits, setting) for s in sets]
-                times = [len(k) for k in keys]
-                at = np.repeat(np.arange(len(sets)), times)
-                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64)), part.column(0).take(pa.array(at)), pa.array(np.array([len(s) for s in sets], np.int64)[at])], ["key", "doc", "n"])
-
-    return docs.mapInArrow(scan, "key long, doc long, n long")
+                found = [keys_of(s, bits, setting) for s in token_sets(binary(b.column(1).slice(lo, 1000)).to_pylist(), setting.width)]
+                keys += found
+                times += [len(k) for k in found]
+            if not sum(times):
+                continue
+            key, doc = np.concatenate(keys), np.repeat(b.column(0).to_numpy(), times)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            low = np.repeat(doc[first], np.diff(np.append(first, len(key))))
+            more = np.flatnonzero(doc > low)
+            order, present, starts = by_bucket(mix(key[first]), buckets)
+            lead = first[order]
+            signed = key.view(np.int64)
+            ends, places = np.append(starts, starts[-1] + len(more)), np.append(lead, more)
+            ups = np.append(np.zeros(len(starts), np.int64), len(more))
+            cols = [pa.array(np.append(present, -1)), lists(signed[places], ends, pa.int64()), lists(doc[places], ends, pa.int64()), lists(low[more], ups, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "key", "doc", "up"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        key, doc = flat(t.column("key")), flat(t.column("doc"))
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        low = np.repeat(doc[first], np.diff(np.append(first, len(key))))
+        more = doc > low
+        return pa.table({"key": key[more], "doc": doc[more], "up": low[more]})
+
+    sent_rows = materialize(docs.mapInArrow(scan, _STARS))
+    inside = sent_rows.where("bucket < 0").select(F.explode(F.arrays_zip("key", "doc", "up")).alias("r")).select("r.key", "r.doc", "r.up")
+    across = sent_rows.where("bucket >= 0").select("bucket", "key", "doc").groupBy("bucket").applyInArrow(meet, "key long, doc long, up long")
+    return inside.unionByName(across)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, setting: Setting) -> DataFrame:
-    """The pairs (a, b) that link, by their texts."""
-    need = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b"))).distinct()
-    texts = materialize(docs.join(need, "doc", "left_semi").select("doc", "text"))
+    """The pairs (a, b) that link, by their texts, which are picked from packed chunks."""
+    chunks = 4 * partitions(docs.sparkSession)
+    base = chunked_by_id(docs.where("doc is not null"), "doc", chunks)
+    need = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b"))).distinct().withColumn("chunk", chunk_of("doc", chunks))
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, wanted = [], right.column("doc")
+        for body in left.column("body") if right.num_rows else ():
+            batch = unpack(body.as_buffer())
+            out.append(batch.filter(pc.is_in(batch.column(0), value_set=wanted)))
+        schema = pa.schema([("doc", pa.int64()), ("text", pa.string())])
+        return pa.Table.from_batches(out).cast(schema) if out else schema.empty_table()
+
+    texts = materialize(base.groupBy("chunk").cogroup(need.groupBy("chunk")).applyInArrow(pick, "doc long, text string"))
     both = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -192,10 +235,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, setting: Setting) -> DataFrame:
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def _alike(percent: int, left: str, right: str):
-    """Sizes and bitmaps allow a link."""
+def _alike(percent: int, left: str, right: str, words: int = BITMAP):
+    """Sizes and the first words of the bitmaps allow a link."""
     n, m = F.col(f"{left}n"), F.col(f"{right}n")
-    far = sum((F.bit_count(F.col(f"{left}b{i}").bitwiseXOR(F.col(f"{right}b{i}"))) for i in range(1, BITMAP)), F.bit_count(F.col(f"{left}b0").bitwiseXOR(F.col(f"{right}b0"))))
+    far = sum((F.bit_count(F.col(f"{left}b{i}").bitwiseXOR(F.col(f"{right}b{i}"))) for i in range(1, words)), F.bit_count(F.col(f"{left}b0").bitwiseXOR(F.col(f"{right}b0"))))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * far <= (100 - percent) * (n + m))
 
 
@@ -208,31 +251,35 @@ def jaccard_components(docs: DataFrame, setting: Setting = Setting(), doc_id: st
     alike = sets.where("n > 0 and doc is not null").groupBy("n", "s1", "s2").agg(F.min("doc").alias("cls"))
     bits = [f"b{i}" for i in range(BITMAP)]
     member = materialize(sets.join(alike, ["n", "s1", "s2"], "left").select("doc", "n", F.coalesce("cls", "doc").alias("cls"), *bits))
-
-    postings = materialize(_postings(docs.where("doc is not null"), _frequent(profiles, documents, setting), setting))
-    groups = postings.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").drop("last")
-    shared = materialize(postings.join(groups, "key"))
-
-    own = member.where("doc = cls").distinct()
-    named = member.select("doc", "cls").distinct()
-    pairs = shared.where("doc > pivot").select("pivot", "doc").distinct()
-    pairs = pairs.join(named.select(F.col("doc"), F.col("cls").alias("y")), "doc").join(named.select(F.col("doc").alias("pivot"), F.col("cls").alias("x")), "pivot")
-    pairs = pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    prefixed = lambda p, k: own.select(F.col("doc").alias(k), F.col("n").alias(f"{p}n"), *[F.col(b).alias(f"{p}{b}") for b in bits])
-    pairs = materialize(pairs.join(prefixed("x_", "a"), "a").join(prefixed("y_", "b"), "b").where(_alike(setting.percent, "x_", "y_")).select("a", "b"))
-    links = materialize(_verified(pairs, docs, setting))
-    found = materialize(connected_components(links))
-
-    place = materialize(member.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")).where("doc is not null").distinct())
-    at_pivot = place.select(F.col("doc").alias("pivot"), F.col("component").alias("pivot_component"), F.col("cls").alias("pivot_cls"))
-    rows = shared.select("key", "doc", "pivot").join(place, "doc").join(at_pivot, "pivot")
-    rows = materialize(rows.select("key", "cls", "component", "pivot_component", "pivot_cls", "n", *bits).distinct())
-    left = rows.where("component != pivot_component").select("key", F.col("cls").alias("x"), F.col("component").alias("x_component"), "pivot_cls", "pivot_component", F.col("n").alias("x_n"), *[F.col(b).alias(f"x_{b}") for b in bits])
-    right = rows.select("key", F.col("cls").alias("y"), F.col("component").alias("y_component"), F.col("n").alias("y_n"), *[F.col(b).alias(f"y_{b}") for b in bits])
-    rest = left.join(right, "key").where((F.col("x_component") != F.col("y_component")) & (F.col("y") != F.col("pivot_cls")) & ((F.col("x") < F.col("y")) | (F.col("y_component") == F.col("pivot_component"))) & _alike(setting.percent, "x_", "y_"))
-    rest = materialize(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    own = member.where("doc = cls").dropDuplicates(["doc"])
+    named = member.where("doc is not null").select("doc", "cls").distinct()
+    of = lambda p, k, cols: own.select(F.col("doc").alias(k), F.col("n").alias(f"{p}n"), *[F.col(b).alias(f"{p}{b}") for b in cols])
+
+    stars = materialize(_stars(docs.where("doc is not null"), _frequent(profiles, documents, setting), setting))
+    edges = stars.select("doc", "up").distinct().join(named.withColumnRenamed("cls", "x"), "doc")
+    edges = materialize(edges.join(named.select(F.col("doc").alias("up"), F.col("cls").alias("y")), "up").where("x != y"))
+    pairs = edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    tried = materialize(pairs.join(of("x_", "a", bits), "a").join(of("y_", "b", bits), "b").where(_alike(setting.percent, "x_", "y_")).select("a", "b"))
+    links = materialize(_verified(tried, docs, setting))
+    found = connected_components(links)
+
+    # Keys with a document that is not yet joined to the one above it: compare across the components that meet there.
+    whole = materialize(own.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+    at = whole.select("doc", "component")
+    apart = edges.join(at.select(F.col("doc").alias("x"), F.col("component").alias("cx")), "x").join(at.select(F.col("doc").alias("y"), F.col("component").alias("cy")), "y").where("cx != cy").select("doc", "up")
+    keys = stars.join(apart, ["doc", "up"], "left_semi").select("key").distinct()
+    open_ = stars.join(keys, "key", "left_semi")
+    rows = open_.select("key", "doc").union(open_.select("key", "up")).distinct().join(named, "doc").select("key", F.col("cls").alias("doc")).distinct()
+    rows = materialize(rows.join(whole.select("doc", "component", "n", *bits[:4]), "doc"))
+    heads = rows.groupBy("key").agg(F.min(F.struct("doc", "component")).alias("head"))
+    left = rows.join(heads, "key").where("component != head.component").select("key", F.col("doc").alias("x"), F.col("component").alias("x_component"), F.col("head.component").alias("head_component"), F.col("n").alias("x_n"), *[F.col(b).alias(f"x_{b}") for b in bits[:4]])
+    right = rows.select("key", F.col("doc").alias("y"), F.col("component").alias("y_component"), F.col("n").alias("y_n"), *[F.col(b).alias(f"y_{b}") for b in bits[:4]])
+    once = (F.col("x") < F.col("y")) | (F.col("y_component") == F.col("head_component"))
+    rest = left.join(right, "key").where((F.col("x_component") != F.col("y_component")) & once & _alike(setting.percent, "x_", "y_", 4))
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = materialize(rest.join(of("x_", "a", bits), "a").join(of("y_", "b", bits), "b").where(_alike(setting.percent, "x_", "y_")).select("a", "b"))
     if not rest.isEmpty():
-        found = materialize(connected_components(links.union(_verified(rest, docs, setting))))
+        found = connected_components(links.union(_verified(rest, docs, setting)))
     out = member.join(found.withColumnRenamed("node", "cls"), "cls", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("component", "cls").alias("component_id"))
 

@@ -1,7 +1,7 @@
 """Shards by vector bin packing: bytes, tokens and rows are balanced together.
 
 A group is all documents with equal text; it stays in one shard unless it is larger than a shard in
-some dimension, when it is split by the documents' hash into pieces of half a shard at most.  Groups
+some dimension, when it is split by the documents' hash into pieces of an eighth of a shard.  Groups
 with over ``1 / 2^14`` of the bytes, tokens or rows are items of their own, the rest are bundled by
 hash into ``bundles`` items.  So the packing sees a bounded number of items whatever the input:
 3 * 2^14 groups, their pieces and the bundles.  Items, largest first, go to the shard where the dot
@@ -53,7 +53,7 @@ def shard(docs: DataFrame, shards: int = 8, bundles: int = 4096, doc_id: str = "
     light = light.agg(*[F.sum(d).alias(d) for d in DIMENSIONS]).collect()
     items, names = [], []
     for g in heavy:
-        pieces = 1 if g.share * shards <= 1 else int(np.ceil(2 * g.share * shards))
+        pieces = 1 if g.share * shards <= 1 else int(np.ceil(8 * g.share * shards))
         for piece in range(pieces):
             items.append([g[d] / n / pieces for d, n in zip(DIMENSIONS, whole, strict=True)])
             names.append((g.h1, g.h2, pieces, piece, None))

@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.llm.common import binary, by_bucket, chunked, flat, grams, hash_words, lists, mix, partitions, unpack
-from tidepanel.operators.staging import materialize
 
 _LAST = np.iinfo(np.int64).max
 
@@ -222,7 +221,7 @@ def _run(docs: DataFrame, doc_id: str, text: str, length: int, seed: int, local:
         return pa.Table.from_batches(out)
 
     reply = "chunk long, kind long, h array<long>, ctx array<long>, doc array<long>, flag array<tinyint>"
-    first = materialize(base.mapInArrow(seeds, _SENT).groupBy("bucket").applyInArrow(join, reply))
+    first = base.mapInArrow(seeds, _SENT).groupBy("bucket").applyInArrow(join, reply)
     opened = base.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(extend, _SENT)
     second = opened.groupBy("bucket").applyInArrow(meet, reply)
     return base.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(strip, schema)
