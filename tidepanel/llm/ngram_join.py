@@ -20,8 +20,8 @@ and the length of the key list is linear in the set.
 Candidates.  Equal sets are one class.  In each key group every set is compared with the smallest
 document only, and links are joined to components.  A second pass takes the sets that are not in
 the component of their group's smallest document and compares them with every member of another
-component, after a check of sizes and of a 512-bit parity bitmap (its distance never exceeds the
-sets' difference).  So a group of n near copies costs n comparisons, and any pair that is neither
+component, after a check of sizes and of parity bitmaps (their distance never exceeds the sets'
+difference).  So a group of n near copies costs n comparisons, and any pair that is neither
 compared nor in one component would have to share no key.  All comparisons are exact, on the texts.
 
 Cases: null and empty texts have no shingle and link with nothing; with fewer words than ``width``
@@ -55,7 +55,7 @@ class Setting:
     frequent_least: int = 64
 
 
-BITMAP = 8
+BITMAP = 4
 _SLOTS = 64
 
 
@@ -76,16 +76,30 @@ def token_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(two sums over the set, bitmap words) of each set as signed longs."""
-    out = np.zeros((len(sets), 2 + BITMAP), np.uint64)
+def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+    """(two sums over the set, 256-bit parity bitmap) of each set as signed longs, and a parity bitmap of one bit or more for each token."""
+    out, wide = np.zeros((len(sets), 2 + BITMAP), np.uint64), []
     for i, s in enumerate(sets):
-        if len(s):
-            m = mix(s + np.uint64(77))
-            out[i, 0], out[i, 1] = m.sum(dtype=np.uint64), mix(m ^ s).sum(dtype=np.uint64)
-            odd = (np.bincount((m >> np.uint64(55)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)
-            out[i, 2:] = np.packbits(odd).view(np.uint64)
-    return out.view(np.int64)
+        if not len(s):
+            wide.append(b"")
+            continue
+        m = mix(s + np.uint64(77))
+        again = mix(m ^ s)
+        out[i, 0], out[i, 1] = m.sum(dtype=np.uint64), again.sum(dtype=np.uint64)
+        odd = lambda at, n: np.packbits((np.bincount(at.astype(np.int64), minlength=n) & 1).astype(np.uint8))
+        out[i, 2:] = odd(m >> np.uint64(56), 64 * BITMAP).view(np.uint64)
+        size = max(64, 1 << (len(s) - 1).bit_length())
+        wide.append(odd(again & np.uint64(size - 1), size).tobytes())
+    return out.view(np.int64), wide
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of how many tokens differ; the longer bitmap is folded onto the shorter."""
+    u, v = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(v) > len(u):
+        half = len(v) // 2
+        v = v[:half] ^ v[half:]
+    return int(np.bitwise_count(u ^ v).sum())
 
 
 def keys_of(tokens: np.ndarray, frequent: np.ndarray, setting: Setting) -> np.ndarray:
@@ -108,14 +122,14 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, setting: Setting) -> np.nd
 def _profiles(docs: DataFrame, setting: Setting) -> DataFrame:
     """Rows of kind 0: a document's size and signature; of kind 1: a slice of one task's sketch."""
     width, slots = setting.width, 1 << setting.sketch_bits
-    names = ["kind", "doc", "n", "s1", "s2", *[f"b{i}" for i in range(BITMAP)], "counts"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.int64()] * BITMAP, pa.binary()]
+    names = ["kind", "doc", "n", "s1", "s2", *[f"b{i}" for i in range(BITMAP)], "wide", "counts"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.int64()] * BITMAP, pa.binary(), pa.binary()]
 
     def sketch(counts: np.ndarray) -> pa.RecordBatch:
         step = slots // _SLOTS
         parts = [np.minimum(counts[i * step : (i + 1) * step], 255).astype(np.uint8).tobytes() for i in range(_SLOTS)]
         none = pa.nulls(_SLOTS, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([1] * _SLOTS, pa.int32()), pa.array(range(_SLOTS), pa.int64()), *[none] * (3 + BITMAP), pa.array(parts, pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.array([1] * _SLOTS, pa.int32()), pa.array(range(_SLOTS), pa.int64()), *[none] * (3 + BITMAP), pa.nulls(_SLOTS, pa.binary()), pa.array(parts, pa.binary())], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held = np.zeros(slots, np.int64), 0
@@ -123,8 +137,8 @@ def _profiles(docs: DataFrame, setting: Setting) -> DataFrame:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 sets = token_sets(binary(part.column(1)).to_pylist(), width)
-                sig = _signatures(sets)
-                cols = [pa.array(np.zeros(len(sets)), pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(sig[:, i])) for i in range(2 + BITMAP)], pa.nulls(len(sets), pa.binary())]
+                sig, wide = _signatures(sets)
+                cols = [pa.array(np.zeros(len(sets)), pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(sig[:, i])) for i in range(2 + BITMAP)], pa.array(wide, pa.binary()), pa.nulls(len(sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(cols, kinds, strict=True)], names)
                 tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 counts += np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
@@ -135,7 +149,7 @@ def _profiles(docs: DataFrame, setting: Setting) -> DataFrame:
         if held:
             yield sketch(counts)
 
-    ddl = "kind int, doc long, n long, s1 long, s2 long, " + ", ".join(f"b{i} long" for i in range(BITMAP)) + ", counts binary"
+    ddl = "kind int, doc long, n long, s1 long, s2 long, " + ", ".join(f"b{i} long" for i in range(BITMAP)) + ", wide binary, counts binary"
     return docs.mapInArrow(scan, ddl)
 
 
@@ -235,13 +249,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, setting: Setting) -> DataFrame:
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def _alike(percent: int, left: str, right: str, words: int = BITMAP):
-    """Sizes and the first words of the bitmaps allow a link."""
+def _alike(percent: int, left: str, right: str):
+    """Sizes and the short bitmaps allow a link."""
     n, m = F.col(f"{left}n"), F.col(f"{right}n")
-    far = sum((F.bit_count(F.col(f"{left}b{i}").bitwiseXOR(F.col(f"{right}b{i}"))) for i in range(1, words)), F.bit_count(F.col(f"{left}b0").bitwiseXOR(F.col(f"{right}b0"))))
+    far = sum((F.bit_count(F.col(f"{left}b{i}").bitwiseXOR(F.col(f"{right}b{i}"))) for i in range(1, BITMAP)), F.bit_count(F.col(f"{left}b0").bitwiseXOR(F.col(f"{right}b0"))))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * far <= (100 - percent) * (n + m))
 
 
+def _candidates(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and long bitmaps allow a link."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, x, y = b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
+            good = [(100 + percent) * least_difference(p, q) <= (100 - percent) * k for k, p, q in zip(n, x, y, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda k, p: own.select(F.col("doc").alias(k), F.col("n").alias(f"{p}n"), F.col("wide").alias(f"{p}wide"))
+    both = pairs.join(side("a", "x_"), "a").join(side("b", "y_"), "b").where(100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+    return both.select("a", "b", (F.col("x_n") + F.col("y_n")).alias("n"), "x_wide", "y_wide").mapInArrow(sift, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, setting: Setting = Setting(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -250,16 +278,14 @@ def jaccard_components(docs: DataFrame, setting: Setting = Setting(), doc_id: st
     documents = sets.count()
     alike = sets.where("n > 0 and doc is not null").groupBy("n", "s1", "s2").agg(F.min("doc").alias("cls"))
     bits = [f"b{i}" for i in range(BITMAP)]
-    member = materialize(sets.join(alike, ["n", "s1", "s2"], "left").select("doc", "n", F.coalesce("cls", "doc").alias("cls"), *bits))
+    member = materialize(sets.join(alike, ["n", "s1", "s2"], "left").select("doc", "n", F.coalesce("cls", "doc").alias("cls"), *bits, "wide"))
     own = member.where("doc = cls").dropDuplicates(["doc"])
     named = member.where("doc is not null").select("doc", "cls").distinct()
-    of = lambda p, k, cols: own.select(F.col("doc").alias(k), F.col("n").alias(f"{p}n"), *[F.col(b).alias(f"{p}{b}") for b in cols])
-
     stars = materialize(_stars(docs.where("doc is not null"), _frequent(profiles, documents, setting), setting))
     edges = stars.select("doc", "up").distinct().join(named.withColumnRenamed("cls", "x"), "doc")
     edges = materialize(edges.join(named.select(F.col("doc").alias("up"), F.col("cls").alias("y")), "up").where("x != y"))
     pairs = edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = materialize(pairs.join(of("x_", "a", bits), "a").join(of("y_", "b", bits), "b").where(_alike(setting.percent, "x_", "y_")).select("a", "b"))
+    tried = materialize(_candidates(pairs, own, setting.percent))
     links = materialize(_verified(tried, docs, setting))
     found = connected_components(links)
 
@@ -270,14 +296,14 @@ def jaccard_components(docs: DataFrame, setting: Setting = Setting(), doc_id: st
     keys = stars.join(apart, ["doc", "up"], "left_semi").select("key").distinct()
     open_ = stars.join(keys, "key", "left_semi")
     rows = open_.select("key", "doc").union(open_.select("key", "up")).distinct().join(named, "doc").select("key", F.col("cls").alias("doc")).distinct()
-    rows = materialize(rows.join(whole.select("doc", "component", "n", *bits[:4]), "doc"))
+    rows = materialize(rows.join(whole.select("doc", "component", "n", *bits), "doc"))
     heads = rows.groupBy("key").agg(F.min(F.struct("doc", "component")).alias("head"))
-    left = rows.join(heads, "key").where("component != head.component").select("key", F.col("doc").alias("x"), F.col("component").alias("x_component"), F.col("head.component").alias("head_component"), F.col("n").alias("x_n"), *[F.col(b).alias(f"x_{b}") for b in bits[:4]])
-    right = rows.select("key", F.col("doc").alias("y"), F.col("component").alias("y_component"), F.col("n").alias("y_n"), *[F.col(b).alias(f"y_{b}") for b in bits[:4]])
+    left = rows.join(heads, "key").where("component != head.component").select("key", F.col("doc").alias("x"), F.col("component").alias("x_component"), F.col("head.component").alias("head_component"), F.col("n").alias("x_n"), *[F.col(b).alias(f"x_{b}") for b in bits])
+    right = rows.select("key", F.col("doc").alias("y"), F.col("component").alias("y_component"), F.col("n").alias("y_n"), *[F.col(b).alias(f"y_{b}") for b in bits])
     once = (F.col("x") < F.col("y")) | (F.col("y_component") == F.col("head_component"))
-    rest = left.join(right, "key").where((F.col("x_component") != F.col("y_component")) & once & _alike(setting.percent, "x_", "y_", 4))
+    rest = left.join(right, "key").where((F.col("x_component") != F.col("y_component")) & once & _alike(setting.percent, "x_", "y_"))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = materialize(rest.join(of("x_", "a", bits), "a").join(of("y_", "b", bits), "b").where(_alike(setting.percent, "x_", "y_")).select("a", "b"))
+    rest = materialize(_candidates(rest, own, setting.percent))
     if not rest.isEmpty():
         found = connected_components(links.union(_verified(rest, docs, setting)))
     out = member.join(found.withColumnRenamed("node", "cls"), "cls", "left")

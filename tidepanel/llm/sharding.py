@@ -28,9 +28,8 @@ def place_items(items: np.ndarray, shards: int) -> np.ndarray:
     room = np.full((shards, items.shape[1]), 1.0 / shards)
     out = np.zeros(len(items), np.int64)
     for i in np.argsort(-items.max(axis=1), kind="stable"):
-        score = room @ items[i]
-        fits = (room >= items[i]).all(axis=1)
-        out[i] = int(np.argmax(np.where(fits, score, score - 1e6)))
+        left = (room - items[i]).min(axis=1)
+        out[i] = int(np.argmax(np.where(left >= 0, room @ items[i], left - 1e6)))  # where none has room, the least excess
         room[out[i]] -= items[i]
     return out
 
