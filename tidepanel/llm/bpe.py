@@ -78,7 +78,7 @@ def _numbered(texts: list[str], cut) -> tuple[list[str], list[np.ndarray]]:
 
 def _squeeze(*parts: np.ndarray | bytes) -> bytes:
     raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
 
 
 def _loosen(body: bytes, n: int) -> list[bytes]:
@@ -90,6 +90,14 @@ def _loosen(body: bytes, n: int) -> list[bytes]:
     return out
 
 
+def _dealt(distinct: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the words by bucket, the buckets in use and the starts of their words."""
+    bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    present, starts = np.unique(bucket[order], return_index=True)
+    return order, present.astype(np.int64), starts
+
+
 def _cut_bytes(lengths: np.ndarray, body: bytes) -> list[bytes]:
     ends = np.cumsum(lengths).tolist()
     return [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
@@ -100,6 +108,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
     spark = docs.sparkSession
     sent = sent_vocabulary(spark, ranks, pattern)
     buckets = 2 * partitions(spark)
+    kind_of_id = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
     kind = docs.schema[doc_id].dataType.simpleString()
     base = chunked(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", CHUNK_BYTES)
 
@@ -114,39 +123,38 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
                 distinct = [w.encode() for w in _numbered(texts_of(body)[1], cut)[0]]
                 if not distinct:
                     continue
-                bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                present, starts = np.unique(bucket[order], return_index=True)
+                order, present, starts = _dealt(distinct, buckets)
                 bodies = []
                 for at in np.split(order, starts[1:]):
                     own = [distinct[i] for i in at]
-                    bodies.append(_squeeze(at.astype(np.int32), np.fromiter(map(len, own), np.int32, len(own)), b"".join(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int64)), pa.array([chunk] * len(present), pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "chunk", "words"])
+                    bodies.append(_squeeze(np.fromiter(map(len, own), np.int32, len(own)), b"".join(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(present), pa.array([chunk] * len(present), pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "chunk", "words"])
 
     def encode_words(t: pa.Table) -> pa.Table:
-        known, numbers, asked = _Numbers(), [], []
+        known, asked = _Numbers(), []
         for body in t.column("words"):
-            at, lengths, joined = _loosen(body.as_py(), 3)
+            lengths, joined = _loosen(body.as_py(), 2)
             own = _cut_bytes(np.frombuffer(lengths, np.int32), joined)
-            numbers.append(at)
             asked.append(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
         ids = _encoding(sent.value).encode_ordinary_batch([w.decode() for w in known], num_threads=1)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        flat = np.fromiter((i for x in ids for i in x), kind_of_id, int(sizes.sum()))
         ends = np.cumsum(sizes)
-        back = [_squeeze(at, sizes[q].astype(np.int32), flat[_spans(ends[q] - sizes[q], sizes[q])]) for at, q in zip(numbers, asked, strict=True)]
-        return pa.table({"chunk": t.column("chunk"), "ids": pa.array(back, pa.binary())})
+        back = [_squeeze(sizes[q].astype(np.int32), flat[_spans(ends[q] - sizes[q], sizes[q])]) for q in asked]
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "ids": pa.array(back, pa.binary())})
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         cut, table, out = regex.compile(pattern), token_bytes(sent.value), []
         for body in left.column("body"):
             doc, texts = texts_of(body)
             distinct, at = _numbered(texts, cut)
-            parts = [_loosen(x.as_py(), 3) for x in right.column("ids")]
-            number = np.concatenate([np.frombuffer(p[0], np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
-            sizes = np.concatenate([np.frombuffer(p[1], np.int32) for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-            flat = np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts]) if parts else np.zeros(0, np.uint32)
-            if len(number) != len(distinct):
+            order, present, _ = _dealt([w.encode() for w in distinct], buckets)
+            answers = dict(zip(right.column("bucket").to_pylist(), right.column("ids"), strict=True))
+            parts = [_loosen(answers[k].as_py(), 2) for k in present.tolist()]  # in the order of the words asked
+            number = order
+            sizes = np.concatenate([np.frombuffer(p[0], np.int32) for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+            flat = np.concatenate([np.frombuffer(p[1], kind_of_id) for p in parts]) if parts else np.zeros(0, kind_of_id)
+            if len(number) != len(sizes):
                 raise RuntimeError("words of a chunk changed between two passes")
             ends, place = np.cumsum(sizes), np.empty(len(number), np.int64)
             place[number] = np.arange(len(number))
@@ -159,7 +167,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
         return pa.Table.from_batches(out)
 
     asked = base.mapInArrow(words, "bucket long, chunk long, words binary")
-    known = asked.groupBy("bucket").applyInArrow(encode_words, "chunk long, ids binary")
+    known = asked.groupBy("bucket").applyInArrow(encode_words, "chunk long, bucket long, ids binary")
     return base.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(assemble, f"doc_id {kind}, ids binary, decoded binary")
 
 
