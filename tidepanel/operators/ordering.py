@@ -1,25 +1,15 @@
-"""Exact ranks, quantiles and running aggregates of groups too large for one task.
-
-A cross-section (all names of one date) grows with the data, so it is never
-sorted in a single task.  Rows are range-bucketed inside their group by cut
-values taken from a hash sample of the row keys, and each bucket is sorted on
-its own:
-
-* the sample is a function of the keys only, so every branch of a plan and
-  every retry of a task sees the same cuts;
-* a cut value gets a bucket of its own.  A value that holds a large share of a
-  group is in the sample with near certainty, so heavy ties never share a
-  bucket with other values; such a bucket needs no order and is salted;
-* rows before a bucket are counted from a small (group, bucket) table.
-
-The input is read three times (cuts, bucket counts, sort), so it is written to a
-table first; ``write=False`` skips that where the input is a plain scan.  Several
-values of one group key share the passes.  An input whose counted size is at most
-``SAMPLE_EVERY`` rows cannot hold a larger group and takes one plain window instead.
-
-One row in ``SAMPLE_EVERY`` becomes a cut, so the cut and bucket tables hold at
-most ``2 * rows / SAMPLE_EVERY`` entries: 1e13 rows give some 1e7 values, about
-80 MB to broadcast, and buckets of about a million rows.
+"""Exact ranks, quantiles and running aggregates of groups of any size and number.
+
+A cross-section (all names of one date) grows with the data, so it is never sorted in a single
+task.  Rows are dealt by ranges of (group, value): a large group fills many partitions and a
+partition holds many small groups.  The dealt rows are written once, with the number of their
+partition, which fixes the ranges for all later passes.  Inside a (group, partition) cell plain
+windows count smaller and equal rows; one row for each cell then adds what earlier cells of the group
+hold.  A value that fills several cells is counted from the first and last value of each cell, so heavy
+ties spread over partitions by a hash of the row keys.
+
+There is one path for all sizes.  Nothing is collected, no array is built, and the cell table is joined
+by (group, partition), where no key has more rows than a partition.
 """
 
 from __future__ import annotations
@@ -32,96 +22,75 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators.staging import materialize
 
-SAMPLE_EVERY = 1 << 20
-SALTS = 64
-_STEP = 64
-
-
-def _cut_table(df: DataFrame, by: list[str], values: list[str], keys: Sequence[str], sample_every: int) -> DataFrame:
-    picked = F.pmod(F.xxhash64(*by, *keys), F.lit(sample_every)) == 0
-    cuts = df.where(picked).groupBy(*by).agg(*[F.sort_array(F.collect_set(v)).alias(f"_cuts{i}") for i, v in enumerate(values)])
-    for i in range(len(values)):
-        c = f"_cuts{i}"
-        steps = F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1)), F.lit(_STEP))
-        cuts = cuts.withColumn(f"_coarse{i}", F.when(F.size(c) > 0, F.transform(steps, lambda k: F.element_at(c, k))))
-    return cuts
-
-
-def _buckets(df: DataFrame, by: list[str], values: list[str], keys: Sequence[str], sample_every: int) -> DataFrame:
-    """Add ``_bucket{i}`` and ``_salt{i}`` per value: even buckets lie between cuts, odd ones on a cut."""
-    out = df.join(F.broadcast(_cut_table(df, by, values, keys, sample_every)), by, "left")
-    for i, name in enumerate(values):
-        v, cuts, coarse = F.col(name), F.col(f"_cuts{i}"), F.col(f"_coarse{i}")
-        skip = F.greatest(F.size(F.filter(coarse, lambda c: c <= v)) - 1, F.lit(0)) * _STEP
-        out = out.withColumn("_skip", F.when(coarse.isNotNull(), skip).otherwise(0))
-        near = F.size(F.filter(F.slice(cuts, F.col("_skip") + 1, F.lit(_STEP)), lambda c: c <= v))
-        out = out.withColumn("_le", F.when(coarse.isNotNull(), F.col("_skip") + near).otherwise(0))
-        on_cut = F.when(F.col("_le") > 0, F.element_at(cuts, F.greatest(F.col("_le"), F.lit(1))) == v)
-        bucket = 2 * F.col("_le") - F.coalesce(on_cut, F.lit(False)).cast("int")
-        out = out.withColumn(f"_bucket{i}", F.when(v.isNotNull(), bucket).otherwise(-1))
-        loose = (F.col(f"_bucket{i}") < 0) | (F.col(f"_bucket{i}") % 2 == 1)
-        salt = F.when(loose, F.pmod(F.xxhash64(*keys), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-        out = out.withColumn(f"_salt{i}", salt)
-    return out.drop("_skip", "_le", *[f"_cuts{i}" for i in range(len(values))], *[f"_coarse{i}" for i in range(len(values))])
-
-
-def _plain_stats(df: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
-    """Order statistics of a counted, small input."""
-    for p, v in values.items():
-        present = F.col(v).isNotNull()
-        df = df.withColumns({
-            f"{p}less": F.when(present, F.rank().over(W.partitionBy(*by).orderBy(F.col(v).asc_nulls_last())) - 1),
-            f"{p}ties": F.when(present, F.count("*").over(W.partitionBy(*by, v))),
-            f"{p}n": F.when(present, F.count(v).over(W.partitionBy(*by))),
-        })
-    return df
-
-
-def order_stats(
-    df: DataFrame,
-    by: Sequence[str],
-    values: dict[str, str | Column],
-    keys: Sequence[str] = ("code",),
-    sample_every: int | None = None,
-    write: bool = True,
-) -> DataFrame:
+
+def _dealt(df: DataFrame, by: list[str], value: str, keys: Sequence[str]) -> DataFrame:
+    """Rows written by ranges of (group, value), missing values last, with their partition."""
+    ranges = [*[F.col(c) for c in by], F.col(value).asc_nulls_last(), F.xxhash64(*keys)]
+    return materialize(df.repartitionByRange(*ranges).withColumn("_part", F.spark_partition_id()))
+
+
+def _with_before(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Add to the cell table the rows of earlier cells of the group and of the whole group; a group has a cell for each partition at most."""
+    w = W.partitionBy(*by)
+    return cells.withColumns({"_before": F.sum("_c").over(w.orderBy("_part")) - F.col("_c"), "_n": F.sum("_c").over(w)})
+
+
+def _ranked(df: DataFrame, by: list[str], value: str, keys: Sequence[str], unique: bool) -> DataFrame:
+    """Add ``_less``, ``_ties`` and ``_n`` of ``value``; an order key without ties needs no count of them."""
+    cell = [*by, "_part"]
+    d = _dealt(df, by, value, keys)
+    present = F.col(value).isNotNull()
+    d = d.withColumn("_lt", F.rank().over(W.partitionBy(*cell).orderBy(F.col(value).asc_nulls_last())) - 1)
+    if unique:
+        cells = _with_before(d.groupBy(*cell).agg(F.count(value).alias("_c")), by)
+        d = d.join(cells, cell, "left")
+        less, ties = F.col("_before") + F.col("_lt"), F.lit(1).cast("long")
+    else:
+        d = d.withColumn("_eq", F.count("*").over(W.partitionBy(*cell, value)))
+        ends = d.where(present).groupBy(*cell).agg(F.count("*").alias("_c"), F.min(F.struct(value, "_eq")).alias("_a"), F.max(F.struct(value, "_eq")).alias("_z"))
+        ends = _with_before(ends, by).withColumns({"_first": F.col(f"_a.{value}"), "_last": F.col(f"_z.{value}")})
+        one = F.struct(F.col("_first").alias("x"), F.col("_a._eq").alias("m"), F.lit(True).alias("a"), (F.col("_first") == F.col("_last")).alias("z"))
+        two = F.struct(F.col("_last").alias("x"), F.col("_z._eq").alias("m"), F.lit(False).alias("a"), F.lit(True).alias("z"))
+        each = F.explode(F.when(F.col("_first") == F.col("_last"), F.array(one)).otherwise(F.array(one, two)))
+        ends = ends.select(*cell, "_before", "_n", each.alias("_e")).select(*cell, "_before", "_n", "_e.*")
+        w = W.partitionBy(*by, "x")
+        ends = ends.withColumns({"_sooner": F.sum("m").over(w.orderBy("_part")) - F.col("m"), "_all": F.sum("m").over(w)})
+        cells = ends.groupBy(*cell).agg(
+            F.max("_before").alias("_before"), F.max("_n").alias("_n"),
+            *[F.max(F.when(F.col(f), F.col(v))).alias(n) for n, f, v in (("_first", "a", "x"), ("_sooner", "a", "_sooner"), ("_first_all", "a", "_all"), ("_last", "z", "x"), ("_last_all", "z", "_all"))],
+        )
+        d = d.join(cells, cell, "left")
+        at_first, at_last = F.col(value) == F.col("_first"), F.col(value) == F.col("_last")
+        less = F.col("_before") + F.col("_lt") - F.when(at_first, F.col("_sooner")).otherwise(0)
+        ties = F.when(at_first, F.col("_first_all")).when(at_last, F.col("_last_all")).otherwise(F.col("_eq"))
+    d = d.withColumns({"_less": F.when(present, less), "_ties": F.when(present, ties), "_n": F.when(present, F.col("_n"))})
+    return d.drop("_part", "_lt", "_eq", "_before", "_first", "_sooner", "_first_all", "_last", "_last_all", "_c")
+
+
+def order_stats(df: DataFrame, by: Sequence[str], values: dict[str, str | Column], keys: Sequence[str] = ("code",), write: bool = True, unique: bool = False) -> DataFrame:
     """For each prefix p of ``values`` add ``{p}less``, ``{p}ties`` and ``{p}n`` of its value inside the group.
 
-    ``less`` counts smaller values, ``ties`` equal ones (the row included), ``n``
-    all present ones.  Rows with a missing value keep NULLs.  ``keys`` identify a
-    row inside the group.
+    ``less`` counts smaller values, ``ties`` equal ones (the row included), ``n`` all present ones.  Rows
+    with a missing value keep NULLs.  ``keys`` identify a row inside the group.  Several values are ranked
+    as (value number, value) rows in one pass and joined back, for which the input is written first unless
+    it is a plain scan (``write=False``).
     """
     by, keys = list(by), list(keys)
     names = [f"_v{i}" for i in range(len(values))]
     df = df.withColumns({n: v if isinstance(v, Column) else F.col(v) for n, v in zip(names, values.values(), strict=True)})
+    if len(names) == 1:
+        p = next(iter(values))
+        return _ranked(df, by, "_v0", keys, unique).withColumnsRenamed({"_less": f"{p}less", "_ties": f"{p}ties", "_n": f"{p}n"}).drop("_v0")
+    if len({df.schema[n].dataType.simpleString() for n in names}) > 1:
+        df = df.withColumns({n: F.col(n).cast("double") for n in names})
     if write:
         df = materialize(df)
-    every = sample_every or SAMPLE_EVERY
-    if df.count() <= every:
-        return _plain_stats(df, by, dict(zip(values, names, strict=True))).drop(*names)
-    b = _buckets(df, by, names, keys, every)
-    which = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_bucket{i}").alias("b")) for i in range(len(names))]))
-    totals = b.select(*by, which.alias("_w")).where("_w.b >= 0").groupBy(*by, "_w").agg(F.count("*").alias("_c"))
-    wb = W.partitionBy(*by, "_i")
-    totals = totals.select(*by, F.col("_w.i").alias("_i"), F.col("_w.b").alias("_b"), "_c")
-    totals = totals.select(
-        *by, "_i", "_b", "_c",
-        (F.sum("_c").over(wb.orderBy("_b")) - F.col("_c")).alias("_before"),
-        F.sum("_c").over(wb).alias("_n"),
-    )
-    for i, (p, v) in enumerate(zip(values, names, strict=True)):
-        cell = [*by, f"_bucket{i}", f"_salt{i}"]
-        b = b.withColumn("_lt", F.rank().over(W.partitionBy(*cell).orderBy(v)) - 1)
-        b = b.withColumn("_eq", F.count("*").over(W.partitionBy(*cell, v)))
-        t = totals.where(F.col("_i") == i).select(*by, F.col("_b").alias(f"_bucket{i}"), "_c", "_before", "_n")
-        b = b.join(F.broadcast(t), [*by, f"_bucket{i}"], "left")
-        lone, present = F.col(f"_bucket{i}") % 2 == 1, F.col(v).isNotNull()
-        b = b.withColumns({
-            f"{p}less": F.when(present, F.col("_before") + F.when(lone, 0).otherwise(F.col("_lt"))),
-            f"{p}ties": F.when(present, F.when(lone, F.col("_c")).otherwise(F.col("_eq"))),
-            f"{p}n": F.when(present, F.col("_n")),
-        }).drop("_lt", "_eq", "_c", "_before", "_n", f"_bucket{i}", f"_salt{i}")
-    return b.drop(*names)
+    row = list(dict.fromkeys([*by, *keys]))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(n).alias("_x")) for i, n in enumerate(names)]))
+    s = df.select(*row, cells.alias("_e")).where("_e._x is not null").select(*row, "_e._i", "_e._x")
+    s = _ranked(s, [*by, "_i"], "_x", keys, unique)
+    s = s.groupBy(*row).agg(*[F.max(F.when(F.col("_i") == i, F.col(f"_{c}"))).alias(f"{p}{c}") for i, p in enumerate(values) for c in ("less", "ties", "n")])
+    return df.join(s, row, "left").drop(*names)
 
 
 def avg_rank(prefix: str = "") -> Column:
@@ -133,18 +102,18 @@ def pct_rank(prefix: str = "") -> Column:
     return avg_rank(prefix) / F.col(f"{prefix}n")
 
 
-def with_ranks(df, by, outs: dict[str, str | Column], pct: bool = True, keys=("code",), sample_every=None, write=True) -> DataFrame:
+def with_ranks(df, by, outs: dict[str, str | Column], pct: bool = True, keys=("code",), write=True) -> DataFrame:
     """Average-tie ranks (percentiles by default) of several values inside ``by``."""
-    s = order_stats(df, by, {f"_{o}_": v for o, v in outs.items()}, keys, sample_every, write)
+    s = order_stats(df, by, {f"_{o}_": v for o, v in outs.items()}, keys, write)
     s = s.withColumns({o: pct_rank(f"_{o}_") if pct else avg_rank(f"_{o}_") for o in outs})
     return s.drop(*[f"_{o}_{k}" for o in outs for k in ("less", "ties", "n")])
 
 
-def with_rank(df, by, value, out: str, pct: bool = True, keys=("code",), sample_every=None, write=True) -> DataFrame:
-    return with_ranks(df, by, {out: value}, pct, keys, sample_every, write)
+def with_rank(df, by, value, out: str, pct: bool = True, keys=("code",), write=True) -> DataFrame:
+    return with_ranks(df, by, {out: value}, pct, keys, write)
 
 
-def quantiles(df, by, values: dict[str, tuple[str, float]], keys=("code",), sample_every=None, write=True) -> DataFrame:
+def quantiles(df, by, values: dict[str, tuple[str, float]], keys=("code",), write=True) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per group, one column per name of ``values`` = (column, p).
 
     Several columns are ranked in one pass as (column name, value) rows.
@@ -156,7 +125,7 @@ def quantiles(df, by, values: dict[str, tuple[str, float]], keys=("code",), samp
         F.struct(F.lit(cols[0]).alias("_name"), F.col(cols[0]).alias("_x")))
     long = df.select(*by, *[k for k in keys if k not in by], cells.alias("_e")).where("_e._x is not null")
     long = long.select(*by, *[k for k in keys if k not in by], "_e._name", "_e._x")
-    s = order_stats(long, [*by, "_name"], {"_o_": "_x"}, keys, sample_every, write)
+    s = order_stats(long, [*by, "_name"], {"_o_": "_x"}, keys, write)
     less, aggs = F.col("_o_less"), [F.max("_o_n").alias("_n")]
     for i, p in enumerate(probs):
         h = F.lit(p) * (F.col("_o_n") - 1)
@@ -177,15 +146,14 @@ def order_key(order: Sequence[Column | str]) -> Column:
     return F.when(cols[0].isNotNull(), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(cols)]))
 
 
-def position(df, by, order: Sequence[Column | str], out: str = "place", total: str | None = None, keys=("code",),
-             sample_every=None, write=True) -> DataFrame:
+def position(df, by, order: Sequence[Column | str], out: str = "place", total: str | None = None, keys=("code",), write=True) -> DataFrame:
     """1-based place of each row inside ``by`` under a total order.
 
     ``order`` is a list of columns compared left to right; the last ones must make
     the order unique.  Negate a number for a descending order.  A row whose first
     order column is missing gets no place.
     """
-    s = order_stats(df, by, {"_o_": order_key(order)}, keys, sample_every, write).withColumn(out, F.col("_o_less") + 1)
+    s = order_stats(df, by, {"_o_": order_key(order)}, keys, write, unique=True).withColumn(out, F.col("_o_less") + 1)
     if total:
         s = s.withColumn(total, F.col("_o_n"))
     return s.drop("_o_less", "_o_ties", "_o_n")
@@ -194,33 +162,22 @@ def position(df, by, order: Sequence[Column | str], out: str = "place", total: s
 _FN = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def running(df, by, order, outs: dict[str, tuple[str, str]], keys=("code",), sample_every=None, write=True) -> DataFrame:
+def running(df, by, order, outs: dict[str, tuple[str, str]], keys=("code",), write=True) -> DataFrame:
     """Running sum / max / min from the first row of the group to the current one.
 
     ``outs`` maps an output name to (function, column); the order must be unique
     and its first column present.
     """
     by, keys = list(by), list(keys)
-    df = df.withColumn("_v0", order_key(order))
-    if write:
-        df = materialize(df)
-    every = sample_every or SAMPLE_EVERY
-    if df.count() <= every:
-        w = W.partitionBy(*by).orderBy("_v0").rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumns({o: _FN[fn](c).over(w) for o, (fn, c) in outs.items()}).drop("_v0")
-    b = _buckets(df, by, ["_v0"], keys, every).withColumnRenamed("_bucket0", "_bucket")
-    aggs = [_FN[fn](c).alias(f"_t_{o}") for o, (fn, c) in outs.items()]
-    upto = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = b.groupBy(*by, "_bucket").agg(*aggs)
-    totals = totals.select(
-        *by, "_bucket", *[_FN[fn](f"_t_{o}").over(upto).alias(f"_p_{o}") for o, (fn, _) in outs.items()]
-    )
-    inside = W.partitionBy(*by, "_bucket").orderBy("_v0").rowsBetween(W.unboundedPreceding, 0)
-    for o, (fn, c) in outs.items():
-        b = b.withColumn(f"_w_{o}", _FN[fn](c).over(inside))
-    b = b.join(F.broadcast(totals), [*by, "_bucket"], "left")
+    cell = [*by, "_part"]
+    d = _dealt(df.withColumn("_v0", order_key(order)), by, "_v0", keys)
+    upto = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = d.groupBy(*cell).agg(*[_FN[fn](c).alias(f"_t_{o}") for o, (fn, c) in outs.items()])
+    totals = totals.select(*cell, *[_FN[fn](f"_t_{o}").over(upto).alias(f"_p_{o}") for o, (fn, _) in outs.items()])
+    inside = W.partitionBy(*cell).orderBy("_v0").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumns({f"_w_{o}": _FN[fn](c).over(inside) for o, (fn, c) in outs.items()}).join(totals, cell, "left")
     for o, (fn, _) in outs.items():
         w, p = F.col(f"_w_{o}"), F.col(f"_p_{o}")
         both = {"sum": w + p, "max": F.greatest(w, p), "min": F.least(w, p)}[fn]
-        b = b.withColumn(o, F.coalesce(both, w, p))
-    return b.drop("_v0", "_bucket", "_salt0", *[f"_w_{o}" for o in outs], *[f"_p_{o}" for o in outs])
+        d = d.withColumn(o, F.coalesce(both, w, p))
+    return d.drop("_v0", "_part", *[f"_w_{o}" for o in outs], *[f"_p_{o}" for o in outs])
