@@ -13,7 +13,22 @@ from tidepanel.plans import metrics as M, panel as PN, portfolio as P
 PCTU = lambda x, by="date": f"CASE WHEN {x} IS NOT NULL THEN {AR(x, by + ', (' + x + ' IS NULL)')} / count({x}) OVER (PARTITION BY {by}) END"
 
 
-@query("target_weights", "M7 D14")
+TARGET_SQL = f"""
+, v AS (SELECT date, code, region, vwap, circ_mv, {AR('vwap', 'date')} / count(*) OVER (PARTITION BY date) - 0.5::DOUBLE AS t, row_number() OVER (PARTITION BY date, region ORDER BY vwap DESC, code) AS place, count(*) OVER (PARTITION BY date, region) AS size
+  FROM dense WHERE in_universe AND vwap IS NOT NULL AND circ_mv > 0),
+g AS (SELECT date, region, sum(circ_mv) / sum(sum(circ_mv)) OVER (PARTITION BY date) AS b, avg(t) AS tilt FROM v GROUP BY date, region),
+c AS (SELECT *, greatest(b - 0.05::DOUBLE, 0) AS lo, b + 0.05::DOUBLE AS hi, least(greatest(b + 0.05::DOUBLE * least(greatest(2 * tilt, -1), 1), greatest(b - 0.05::DOUBLE, 0)), b + 0.05::DOUBLE) AS x FROM g),
+m AS (SELECT *, 1 - sum(x) OVER d AS gap, CASE WHEN 1 - sum(x) OVER d > 0 THEN hi - x ELSE lo - x END AS room FROM c WINDOW d AS (PARTITION BY date)),
+k AS (SELECT *, x + room * least(coalesce(abs(gap) / nullif(abs(sum(room) OVER (PARTITION BY date)), 0), 0), 1) AS y FROM m),
+n AS (SELECT date, region, y / sum(y) OVER (PARTITION BY date) AS target FROM k),
+h AS (SELECT v.*, target, least(size, greatest(1, ceil(target / 0.08::DOUBLE - 1e-9))) AS held FROM v JOIN n USING (date, region)),
+w AS (SELECT *, CASE WHEN place <= held THEN least(0.08::DOUBLE, target / held) ELSE 0 END AS w FROM h),
+o AS (SELECT *, CASE WHEN w > 0 THEN greatest(0.08::DOUBLE - w, 0) ELSE 0 END AS rm FROM w),
+f AS (SELECT *, w + rm * least(coalesce(greatest(1 - sum(w) OVER (PARTITION BY date), 0) / nullif(sum(rm) OVER (PARTITION BY date), 0), 0), 1) AS z FROM o)
+SELECT code, strftime(date, '%Y-%m-%d') AS date, round(z / sum(z) OVER (PARTITION BY date), 8) AS weight FROM f"""
+
+
+@query("target_weights", "M7 D14", dense(TARGET_SQL))
 def _(s):
     d = P.target_weights(s.dense, "vwap", "region", 0.05, 0.08)
     return d.select("code", day("date").alias("date"), r("weight", 8).alias("weight"))
@@ -23,13 +38,13 @@ ACC = """acc AS (SELECT o_custkey AS account, o_orderkey % 5 AS code, max(o_tota
 iv AS (SELECT account, code, 1 / CASE WHEN vol > 0 THEN vol ELSE coalesce(avg(vol) OVER (PARTITION BY account), 1) END AS raw FROM vol)"""
 
 
-@query("capped_weights", "M15", f"""WITH {ACC}, a AS (SELECT *, raw / sum(raw) OVER p AS w FROM iv WINDOW p AS (PARTITION BY account)), """ + ", ".join(
-    f"b{i} AS (SELECT account, code, raw, w AS w0, {'w > 0.3::DOUBLE + 1e-12' if i == 1 else 'pin OR w > 0.3::DOUBLE + 1e-12'} AS pin FROM {'a' if i == 1 else f'c{i - 1}'}), c{i} AS (SELECT account, code, raw, pin, CASE WHEN pin THEN 0.3::DOUBLE WHEN sum(pin::INT) OVER p > 0 THEN coalesce(raw / nullif(sum(CASE WHEN pin THEN 0 ELSE raw END) OVER p, 0), 0) * (1 - 0.3::DOUBLE * sum(pin::INT) OVER p) ELSE w0 END AS w FROM b{i} WINDOW p AS (PARTITION BY account))" for i in range(1, 6)) + " SELECT account, code, round(w, 8) AS weight FROM c5")
+@query("capped_weights", "M15", f"""WITH {ACC}, a AS (SELECT *, row_number() OVER p - 1 AS j, sum(raw) OVER (PARTITION BY account ORDER BY raw DESC, code ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM iv WINDOW p AS (PARTITION BY account ORDER BY raw DESC, code)),
+p AS (SELECT *, raw * (1 - 0.3::DOUBLE * j) > (0.3::DOUBLE + 1e-12) * rest AS pin FROM a)
+SELECT account, code, round(CASE WHEN pin THEN 0.3::DOUBLE ELSE raw / sum(CASE WHEN NOT pin THEN raw END) OVER (PARTITION BY account) * greatest(1 - 0.3::DOUBLE * count(*) FILTER (WHERE pin) OVER (PARTITION BY account), 0) END, 8) AS weight FROM p""")
 def _(s):
     o = s.table("orders").groupBy(F.col("o_custkey").alias("account"), (F.col("o_orderkey") % 5).alias("code")).agg(F.max("o_totalprice").alias("v"))
     o = o.withColumn("vol", F.when((F.col("account") + F.col("code")) % 7 != 0, 0.1 + F.col("v") / 1000000))
-    d = materialize(P.inverse_vol(o, ["account"], "vol"))
-    return P.capped_weights(d, ["account"], "raw", 0.3, 5).select("account", "code", r("weight", 8).alias("weight"))
+    return P.capped_weights(P.inverse_vol(o, ["account"], "vol"), ["account"], "raw", 0.3).select("account", "code", r("weight", 8).alias("weight"))
 
 
 HIST = """, wt AS (SELECT code, date, pos, region, in_universe, CASE WHEN in_universe THEN n_lines ELSE 0 END * 1.0::DOUBLE / nullif(sum(CASE WHEN in_universe THEN n_lines END) OVER (PARTITION BY date), 0) AS weight, CASE WHEN in_universe THEN circ_mv ELSE 0 END / nullif(sum(CASE WHEN in_universe THEN circ_mv END) OVER (PARTITION BY date), 0) AS bench, ln(circ_mv) AS size, 1 + (code % 5 - 2) / 10.0::DOUBLE AS beta FROM dense WHERE pos % 3 = 0)"""
