@@ -126,3 +126,29 @@ def test_bootstrap_interval_covers_the_mean(spark):
     r = B.bootstrap_mean(d, "k", "x", 400).first()
     half = 1.96 * x.std() / 20
     assert abs(r["lo"] - (x.mean() - half)) < 0.05 and abs(r["hi"] - (x.mean() + half)) < 0.05
+
+
+def test_total_losses_stay_in_the_curve(spark):
+    from tidepanel.plans import metrics as M
+
+    rows = [(k, dt.date(2020, 1, i + 1), x) for k, xs in (("lost", (0.1, -1.0, 0.1)), ("below", (0.1, -1.5, 0.2)), ("fine", (0.1, -0.5, 0.2))) for i, x in enumerate(xs)]
+    got = {r.k: r for r in M.return_stats(spark.createDataFrame(rows, "k string, date date, ret double"), 3, ["k"]).collect()}
+    assert got["lost"].annual_return == -1 and got["lost"].max_drawdown == -1
+    assert got["below"].annual_return is None and abs(got["below"].max_drawdown - (-0.66 / 1.1 - 1)) < 1e-12
+    assert abs(got["fine"].annual_return - (1.1 * 0.5 * 1.2 - 1)) < 1e-12 and abs(got["fine"].max_drawdown + 0.5) < 1e-12
+
+
+def test_average_cost_of_a_long_stretch(spark):
+    from tidepanel.plans import book as B
+
+    rows, held, cost, want = [("a", 1, dt.date(2020, 1, 1), 0, "set", 100.0, 5.0, 0.0, 100.0)], 100.0, 500.0, []
+    for i in range(1200):  # half sales and purchases: the running product falls to 2^-1200
+        held, cost = held / 2, cost / 2
+        rows.append(("a", 1, dt.date(2020, 1, 2), 2 * i + 1, "sell", held, 5.0, 5.0 * held, held))
+        bought = 10.0 + i % 3
+        held, cost = held + bought, cost + bought * (4 + i % 2)
+        rows.append(("a", 1, dt.date(2020, 1, 2), 2 * i + 2, "buy", bought, 4.0 + i % 2, bought * (4 + i % 2), held))
+        want.append(cost / held)
+    d = spark.createDataFrame(rows, "account string, code int, date date, seq int, type string, quantity double, price double, amount double, held double")
+    got = [r.cost for r in B.average_cost(d).where("type = 'buy'").orderBy("seq").collect()]
+    np.testing.assert_allclose(got, want, rtol=1e-9)

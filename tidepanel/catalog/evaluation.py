@@ -167,8 +167,8 @@ def daily(s):
 
 
 PERF = lambda part, grp: f"""
-, c AS (SELECT *, ret - bench AS ex, exp(sum(ln(1 + ret - bench)) OVER ({part} ORDER BY date)) AS curve FROM daily2), m AS (SELECT *, curve / max(curve) OVER ({part} ORDER BY date) - 1 AS dd FROM c)
-SELECT {grp} count(*) AS days, round(exp(sum(ln(1 + ret)) * 12 / count(*)) - 1, 6) AS annual_return, round(exp(sum(ln(1 + bench)) * 12 / count(*)) - 1, 6) AS annual_benchmark, round(avg(ex) * 12, 6) AS annual_excess, round(stddev_samp(ex) * sqrt(12), 6) AS tracking_error,
+, c AS (SELECT *, ret - bench AS ex, product(1 + ret - bench) OVER ({part} ORDER BY date) AS curve FROM daily2), m AS (SELECT *, curve / max(curve) OVER ({part} ORDER BY date) - 1 AS dd FROM c)
+SELECT {grp} count(*) AS days, round(pow(product(1 + ret), 12.0::DOUBLE / count(*)) - 1, 6) AS annual_return, round(pow(product(1 + bench), 12.0::DOUBLE / count(*)) - 1, 6) AS annual_benchmark, round(avg(ex) * 12, 6) AS annual_excess, round(stddev_samp(ex) * sqrt(12), 6) AS tracking_error,
  round(min(dd), 6) AS max_drawdown, round(sum(cost) * 12 / count(*), 6) AS annual_cost, round(avg(ex) * 12 / (stddev_samp(ex) * sqrt(12)), 6) AS information_ratio FROM m"""
 PCOLS = ["annual_return", "annual_benchmark", "annual_excess", "tracking_error", "max_drawdown", "annual_cost", "information_ratio"]
 

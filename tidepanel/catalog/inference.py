@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidepanel.catalog.evaluation import PICK, seed_frame
+from tidepanel.catalog.evaluation import PAIRS, PICK, seed_frame
 from tidepanel.catalog.registry import labelled, query
 from tidepanel.functions.columns import day, r
 from tidepanel.operators.staging import materialize
@@ -150,13 +150,24 @@ def _(s):
     return I.verdict(d).select("trial", "verdict")
 
 
-@query("candidate_screen", "A19")
+CORR_SQL = PAIRS + """, c0 AS (SELECT a, b, coalesce(avg(ic), 0) AS corr FROM ic GROUP BY a, b), c AS (SELECT a, b, corr FROM c0 UNION ALL SELECT b, a, corr FROM c0)"""
+SCREEN = f"""
+, cv AS (SELECT factor, avg(c * 1.0 / n) AS cov FROM (SELECT factor, date, count(*) AS n, count(value) AS c FROM (""" + " UNION ALL ".join(f"SELECT date, '{k}' AS factor, {k} AS value FROM seeds WHERE in_universe" for k in PICK) + f""") GROUP BY ALL) GROUP BY factor),
+o AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, '{k}')" for i, k in enumerate(PICK[1:]))}) t(i, name)),
+rec AS (SELECT 0 AS i, ['{PICK[0]}'] AS kept, NULL::VARCHAR AS factor, NULL::DOUBLE AS cov, NULL::VARCHAR AS max_with, NULL::DOUBLE AS top, NULL::VARCHAR AS decision
+ UNION ALL SELECT i, CASE WHEN cov >= 0.6::DOUBLE AND top <= 0.7::DOUBLE THEN list_append(kept, name) ELSE kept END, name, cov, max_with, top, CASE WHEN cov < 0.6::DOUBLE THEN 'drop_coverage' WHEN top > 0.7::DOUBLE THEN 'drop_correlation' ELSE 'keep' END
+ FROM (SELECT o.i, o.name, r.kept, cv.cov, max(abs(c.corr)) AS top, arg_max(c.b, abs(c.corr)) AS max_with FROM rec r JOIN o ON o.i = r.i + 1 JOIN cv ON cv.factor = o.name JOIN c ON c.a = o.name AND list_contains(r.kept, c.b) GROUP BY ALL))
+SELECT factor, round(cov, 6) AS coverage, max_with, round(top, 6) AS max_abs_corr, decision FROM rec WHERE i > 0"""
+
+
+@query("candidate_screen", "A19", labelled(CORR_SQL + SCREEN).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(s):
     d = materialize(seed_frame(s).where("in_universe"))
     fs = [f for f in FA.seed_factors(3, 6, 12, 24) if f.name in PICK]
     corr = M.pair_correlations(d, PICK, PICK, F.lit(True), 8)
     cov = M.coverage(FA.to_long(d, fs, ["date", "code", "in_universe"]))
-    return I.greedy_keep(corr, cov, PICK[1:], PICK[:1], 0.6, 0.7)
+    d = I.greedy_keep(corr, cov, PICK[1:], PICK[:1], 0.6, 0.7)
+    return d.select("factor", r("coverage").alias("coverage"), "max_with", r("max_abs_corr").alias("max_abs_corr"), "decision")
 
 
 @query("trials_by_day", "A27 T4", """SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, count(*) AS trials FROM orders GROUP BY ALL ORDER BY trials DESC, date LIMIT 25""")

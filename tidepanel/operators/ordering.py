@@ -49,15 +49,15 @@ def _ranked(df: DataFrame, by: list[str], value: str, keys: Sequence[str], uniqu
         d = d.withColumn("_eq", F.count("*").over(W.partitionBy(*cell, value)))
         ends = d.where(present).groupBy(*cell).agg(F.count("*").alias("_c"), F.min(F.struct(value, "_eq")).alias("_a"), F.max(F.struct(value, "_eq")).alias("_z"))
         ends = _with_before(ends, by).withColumns({"_first": F.col(f"_a.{value}"), "_last": F.col(f"_z.{value}")})
-        one = F.struct(F.col("_first").alias("x"), F.col("_a._eq").alias("m"), F.lit(True).alias("a"), (F.col("_first") == F.col("_last")).alias("z"))
-        two = F.struct(F.col("_last").alias("x"), F.col("_z._eq").alias("m"), F.lit(False).alias("a"), F.lit(True).alias("z"))
+        one = F.struct(F.col("_first").alias("_end"), F.col("_a._eq").alias("_m"), F.lit(True).alias("_is_first"), (F.col("_first") == F.col("_last")).alias("_is_last"))
+        two = F.struct(F.col("_last").alias("_end"), F.col("_z._eq").alias("_m"), F.lit(False).alias("_is_first"), F.lit(True).alias("_is_last"))
         each = F.explode(F.when(F.col("_first") == F.col("_last"), F.array(one)).otherwise(F.array(one, two)))
         ends = ends.select(*cell, "_before", "_n", each.alias("_e")).select(*cell, "_before", "_n", "_e.*")
-        w = W.partitionBy(*by, "x")
-        ends = ends.withColumns({"_sooner": F.sum("m").over(w.orderBy("_part")) - F.col("m"), "_all": F.sum("m").over(w)})
+        w = W.partitionBy(*by, "_end")
+        ends = ends.withColumns({"_sooner": F.sum("_m").over(w.orderBy("_part")) - F.col("_m"), "_all": F.sum("_m").over(w)})
         cells = ends.groupBy(*cell).agg(
             F.max("_before").alias("_before"), F.max("_n").alias("_n"),
-            *[F.max(F.when(F.col(f), F.col(v))).alias(n) for n, f, v in (("_first", "a", "x"), ("_sooner", "a", "_sooner"), ("_first_all", "a", "_all"), ("_last", "z", "x"), ("_last_all", "z", "_all"))],
+            *[F.max(F.when(F.col(f), F.col(v))).alias(n) for n, f, v in (("_first", "_is_first", "_end"), ("_sooner", "_is_first", "_sooner"), ("_first_all", "_is_first", "_all"), ("_last", "_is_last", "_end"), ("_last_all", "_is_last", "_all"))],
         )
         d = d.join(cells, cell, "left")
         at_first, at_last = F.col(value) == F.col("_first"), F.col(value) == F.col("_last")

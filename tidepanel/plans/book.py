@@ -10,6 +10,7 @@ from tidepanel.functions.columns import corr, div
 from tidepanel.operators.cross import with_stats
 from tidepanel.operators.joins import asof_join, keep_one
 from tidepanel.operators.ordering import running
+from tidepanel.plans.metrics import compounded
 
 
 def replay(trades: DataFrame) -> DataFrame:
@@ -45,12 +46,17 @@ def anchor_gaps(final: DataFrame, anchor: DataFrame, tol: float = 1e-6) -> DataF
     return j.withColumn("gap", gap).where(F.abs("gap") > tol).select("account", "code", "gap")
 
 
+STRETCH = 300.0  # in logs: products inside a stretch stay far from underflow
+
+
 def average_cost(replayed: DataFrame) -> DataFrame:
     """Average cost after every trade.
 
     Basis B follows B_t = a_t B_(t-1) + b_t (a buy adds its amount, a sale keeps the
     unsold share, a reset or a sell-out starts again), so with P the running product
-    of a inside a stretch, B_t = P_t * sum(b_i / P_i): running sums again.
+    of a, B_t = P_t * sum(b_i / P_i): running sums again.  P falls without end, so it is
+    taken from the start of its stretch of ``STRETCH`` logs; what the stretch before left counts
+    with its factor, and anything older is below double precision.
     """
     before = F.when(F.col("type") == "sell", F.col("held") + F.col("quantity")).when(F.col("type") == "buy", F.col("held") - F.col("quantity")).otherwise(F.col("held"))
     keep = F.when(F.col("type") == "sell", F.when(before > 0, F.col("held") / F.nullif(before, F.lit(0.0))).otherwise(0.0)).when(F.col("type") == "set", 0.0).otherwise(1.0)
@@ -59,9 +65,13 @@ def average_cost(replayed: DataFrame) -> DataFrame:
     d = running(d, ["account", "code"], ["date", "seq"], {"_run": ("sum", "_stop")}, keys=("seq",))
     d = running(d, ["account", "code", "_run"], ["date", "seq"], {"_lp": ("sum", "_log")}, keys=("seq",))
     add = F.when(F.col("type") == "buy", F.col("amount")).when(F.col("type") == "set", F.col("quantity") * F.coalesce("price", F.lit(0.0))).otherwise(0.0)
-    d = d.withColumn("_b", add / F.exp("_lp"))
-    d = running(d, ["account", "code", "_run"], ["date", "seq"], {"_s": ("sum", "_b")}, keys=("seq",))
-    return d.withColumn("cost", div(F.exp("_lp") * F.col("_s"), "held")).drop("_keep", "_stop", "_log", "_run", "_lp", "_b", "_s")
+    d = d.withColumn("_part_no", F.floor(-F.col("_lp") / STRETCH)).withColumn("_rel", F.exp(F.col("_lp") + STRETCH * F.col("_part_no")))
+    cell = ["account", "code", "_run", "_part_no"]
+    d = running(d.withColumn("_b", add / F.col("_rel")), cell, ["date", "seq"], {"_s": ("sum", "_b")}, keys=("seq",))
+    left = d.groupBy(*cell).agg((F.sum("_b") * F.exp(F.lit(-STRETCH))).alias("_left")).withColumn("_part_no", F.col("_part_no") + 1)
+    d = d.join(left, cell, "left")
+    basis = F.col("_rel") * (F.col("_s") + F.coalesce("_left", F.lit(0.0)))
+    return d.withColumn("cost", div(basis, "held")).drop("_keep", "_stop", "_log", "_run", "_lp", "_part_no", "_rel", "_b", "_s", "_left")
 
 
 def disposition(states: DataFrame, sales: DataFrame, prices: DataFrame) -> DataFrame:
@@ -161,7 +171,7 @@ def nav_history(snaps: DataFrame, cash: DataFrame, prices: DataFrame, flows: Dat
     prev = F.lag("nav").over(wa)
     d = d.withColumn("ret", F.when(prev.isNotNull(), (F.col("nav") - F.col("amount")) / F.nullif(prev, F.lit(0.0)) - 1).otherwise(0.0)).withColumn("prev_nav", prev)
     run = wa.rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("unit_nav", F.exp(F.sum(F.log1p("ret")).over(run)))
+    d = d.withColumn("unit_nav", compounded("ret", run))
     d = d.withColumn("drawdown", F.col("unit_nav") / F.greatest(F.max("unit_nav").over(run), F.lit(1.0)) - 1)
     d = d.join(F.broadcast(bench), "pos", "left").withColumn("excess", F.col("ret") - F.col("bret"))
     return d.select("account", "pos", "date", "nav", "prev_nav", "ret", "unit_nav", "drawdown", "excess", F.col("amount").alias("flow")), held

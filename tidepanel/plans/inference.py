@@ -166,19 +166,21 @@ def verdict(df: DataFrame, p_limit=0.05, coverage_min=0.95, floor=-0.08, te=(0.0
 def greedy_keep(corr: DataFrame, coverage: DataFrame, order: list[str], existing: list[str], min_cover: float, max_corr: float) -> DataFrame:
     """Sequential keep rule over the candidate list.
 
-    The pairwise matrix is one row per pair of named factors, computed by Spark; its
-    size is fixed by the registry of definitions and the rule is inherently
-    sequential, so it runs on that matrix alone.
+    The rule looks at the candidates kept so far, so it is a fold over the ordered list; the correlations and
+    coverages it needs are one map each, whose size the registry of definitions fixes.
     """
-    m = {(r["a"], r["b"]): r["corr"] for r in corr.collect()}
-    cov = {r["factor"]: r["coverage"] for r in coverage.collect()}
-    kept, rows = [], []
-    for name in order:
-        peers = {o: m.get((name, o), m.get((o, name), 0.0)) for o in [*existing, *kept]}
-        worst = max(peers, key=lambda o: abs(peers[o])) if peers else None
-        top = abs(peers[worst]) if worst else 0.0
-        decision = "drop_coverage" if cov[name] < min_cover else "drop_correlation" if top > max_corr else "keep"
-        if decision == "keep":
-            kept.append(name)
-        rows.append((name, float(cov[name]), worst, float(top), decision))
-    return corr.sparkSession.createDataFrame(rows, "factor string, coverage double, max_with string, max_abs_corr double, decision string")
+    both = corr.select("a", "b", "corr").union(corr.select("b", "a", "corr"))
+    known = both.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "a", "b"), "corr"))).alias("m"))
+    cov = coverage.agg(F.map_from_entries(F.collect_list(F.struct("factor", "coverage"))).alias("c"))
+    kind = "struct<factor:string,coverage:double,max_with:string,max_abs_corr:double,decision:string>"
+
+    def step(done, name):
+        peers = F.concat(F.array(*[F.lit(x) for x in existing]).cast("array<string>"), F.transform(F.filter(done, lambda x: x["decision"] == "keep"), lambda x: x["factor"]))
+        far = F.transform(peers, lambda p: F.struct(F.coalesce(F.abs(F.element_at("m", F.concat_ws("|", name, p))), F.lit(0.0)).alias("v"), p.alias("p")))
+        worst, share = F.array_max(far), F.coalesce(F.element_at("c", name), F.lit(0.0))
+        top = F.coalesce(worst["v"], F.lit(0.0))
+        decision = F.when(share < min_cover, "drop_coverage").when(top > max_corr, "drop_correlation").otherwise("keep")
+        return F.concat(done, F.array(F.struct(name.alias("factor"), share.alias("coverage"), worst["p"].alias("max_with"), top.alias("max_abs_corr"), decision.alias("decision")).cast(kind)))
+
+    names = F.array(*[F.lit(x) for x in order])
+    return known.crossJoin(F.broadcast(cov)).select(F.inline(F.aggregate(names, F.array().cast(f"array<{kind}>"), step)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -112,12 +112,33 @@ def top_fraction(df: DataFrame, value: str, every: int, fraction: float, cost: f
     return g.withColumn("excess_net", F.col("excess") - F.col("turnover") * cost)
 
 
+def _signed(ret: str, over) -> tuple[Column, Column]:
+    """Sign (0 once everything is lost) and size of the product of 1 + ret."""
+    x = F.col(ret)
+    lost = F.coalesce(over(F.max((x == -1).cast("int"))), F.lit(0))
+    flips = F.coalesce(over(F.sum((x < -1).cast("int"))), F.lit(0))
+    return F.when(lost == 1, 0).otherwise(1 - 2 * (flips % 2)), F.exp(over(F.sum(F.ln(F.when(x != -1, F.abs(1 + x))))))
+
+
+def compounded(ret: str, window) -> Column:
+    """Running product of 1 + ret.  A loss of everything takes it to zero for good."""
+    sign, size = _signed(ret, lambda c: c.over(window))
+    return F.when(sign == 0, 0.0).otherwise(sign * size)
+
+
+def annual_growth(ret: str, ann: int) -> Column:
+    """Annual rate of the compounded returns: -100 % if everything was lost, missing below that."""
+    sign, size = _signed(ret, lambda c: c)
+    rate = F.pow(size, F.lit(float(ann)) / F.nullif(F.count("*"), F.lit(0))) - 1
+    return F.when(sign == 0, -1.0).when(sign > 0, rate)
+
+
 def drawdown(df: DataFrame, ret: str, by: list[str], out="drawdown") -> DataFrame:
     """Cumulative curve and its fall from the running peak; series are calendar sized."""
     w = W.partitionBy(*by) if by else W.partitionBy()
     w = w.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    d = df.withColumn("curve", F.exp(F.sum(F.log1p(ret)).over(w)))
-    return d.withColumn(out, F.col("curve") / F.max("curve").over(w) - 1)
+    d = df.withColumn("curve", compounded(ret, w))
+    return d.withColumn(out, F.coalesce(div("curve", F.max("curve").over(w)) - 1, F.when(F.col("curve") == 0, -1.0)))
 
 
 def performance(daily: DataFrame, ann: int, by: list[str] | None = None) -> DataFrame:
@@ -125,7 +146,7 @@ def performance(daily: DataFrame, ann: int, by: list[str] | None = None) -> Data
     by = by or []
     d = daily.withColumn("excess", F.col("ret") - F.col("bench"))
     d = drawdown(d, "excess", by)
-    a = lambda c: F.exp(F.sum(F.log1p(c)) * ann / F.count("*")) - 1
+    a = lambda c: annual_growth(c, ann)
     te = F.stddev_samp("excess") * F.sqrt(F.lit(float(ann)))
     g = d.groupBy(*by).agg(
         F.count("*").alias("days"), a("ret").alias("annual_return"), a("bench").alias("annual_benchmark"), (F.avg("excess") * ann).alias("annual_excess"),
@@ -138,7 +159,7 @@ def return_stats(daily: DataFrame, ann: int, by: list[str] | None = None) -> Dat
     d = drawdown(daily, "ret", by)
     vol = F.stddev_samp("ret") * F.sqrt(F.lit(float(ann)))
     g = d.groupBy(*by).agg(F.count("*").alias("days"), F.min("date").alias("first"), F.max("date").alias("last"),
-                           (F.exp(F.sum(F.log1p("ret")) * ann / F.count("*")) - 1).alias("annual_return"), vol.alias("annual_vol"),
+                           annual_growth("ret", ann).alias("annual_return"), vol.alias("annual_vol"),
                            F.min("drawdown").alias("max_drawdown"), F.avg("ret").alias("_m"))
     return g.withColumn("sharpe", F.when(F.col("annual_vol") > 0, F.col("_m") * ann / F.nullif("annual_vol", F.lit(0.0)))).drop("_m")
 

@@ -97,13 +97,15 @@ class SealedStore:
             raise q.exception()
 
     def read(self, schema: StructType, asof: str | None = None) -> DataFrame:
-        """Sealed days up to ``asof`` whose rows still match their stored digest."""
+        """Sealed days up to ``asof``; fails if the rows of a day no longer match its stored digest."""
         rows = self._read("rows", schema).drop("batch")
         index = self._read("index", "event_date date, digest string, rows long")
         if asof:
             rows, index = (d.where(F.col("event_date") <= F.lit(asof).cast("date")) for d in (rows, index))
-        good = self.day_digests(rows).join(index.select("event_date", "digest"), ["event_date", "digest"])
-        return rows.join(F.broadcast(good.select("event_date")), "event_date")
+        now = self.day_digests(rows).select("event_date", F.col("digest").alias("_now"))
+        changed = F.raise_error(F.concat(F.lit("sealed day changed: "), F.col("event_date").cast("string")))
+        days = index.join(now, "event_date", "left").withColumn("_same", F.when(F.coalesce(F.col("_now") == F.col("digest"), F.lit(False)), True).otherwise(changed.cast("boolean")))
+        return rows.join(F.broadcast(days.where("_same").select("event_date")), "event_date")
 
     def refused(self) -> DataFrame:
         return self._read("refused", "event_date date, code long, observed_at timestamp, reason string")
@@ -120,18 +122,22 @@ def gap_status(cal: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def insert_alerts(source: DataFrame, out: str, checkpoint: str, ts: str, delay: str) -> None:
-    """Idempotent alert stream: one row per id within the watermark, checked against the stored table per batch."""
+    """Idempotent alert stream: one row per id within the watermark, checked per batch against the stored days it can touch.
+
+    The store is partitioned by batch and day of ``ts``, so a batch reads no day before its own earliest one.
+    """
     spark = source.sparkSession
-    once = source.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["alert_id"])
+    once = source.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["alert_id"]).withColumn("day", F.to_date(ts))
 
     def write(df: DataFrame, batch_id: int) -> None:
+        first = df.agg(F.min("day")).first()[0]
         try:
-            stored = spark.read.parquet(out).where(F.col("batch") != batch_id).select("alert_id")
+            stored = spark.read.parquet(out).where((F.col("batch") != batch_id) & (F.col("day") >= F.lit(first))).select("alert_id")
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             stored = spark.createDataFrame([], "alert_id string")
-        df.join(stored, "alert_id", "left_anti").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        df.join(stored, "alert_id", "left_anti").write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={batch_id}")
 
     q = once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
