@@ -170,9 +170,10 @@ def test_keys_of_linked_sets_meet():
             if len(y) < 3:
                 break
         common = len(np.intersect1d(x, y))
-        bits = np.packbits(rng.random(1 << 10) < rng.choice([0.0, 0.3, 0.9, 1.0]), bitorder="little")
+        levels = rng.integers(0, 10, 1 << 10).astype(np.uint8)
+        frequent = int(rng.choice([0, 1, 7, 10]))
         if 100 * common >= 90 * (len(x) + len(y) - common) and len(x) != common:
-            assert np.intersect1d(ngram_join.keys_of(np.unique(x), bits, setting), ngram_join.keys_of(np.unique(y), bits, setting)).size
+            assert np.intersect1d(ngram_join.keys_of(np.unique(x), levels, frequent, setting), ngram_join.keys_of(np.unique(y), levels, frequent, setting)).size
 
 
 def test_drop_near_copies(wide, corpus, none):

@@ -3,11 +3,12 @@
 Documents are sets of shingles (tokens); two link when their Jaccard similarity reaches the
 threshold, ``100 * intersection >= percent * union``.
 
-Order and classes.  Tokens are ordered by (class, hash).  A token is *frequent* when a counting
-sketch over all documents gives it at least ``frequent_share`` of the documents (never less than
+Order and classes.  Tokens are ordered by (level, hash), the level being the logarithm of their count
+in a counting sketch over all documents, so prefixes hold a set's rarest tokens.  A token is *frequent*
+when the sketch gives it at least ``frequent_share`` of the documents (never less than
 ``frequent_least``), else *rare*.  The sketch has a fixed width, its share of noise is the same at
-every size, and it only ever overrates a token; a class is a function of the token alone, so every
-task sees the same order.  What tasks receive is one bit for each slot.
+every size, and it only ever overrates a token; a level is a function of the token alone, so every
+task sees the same order.  What tasks receive is one byte for each slot.
 
 Keys.  Linked sets differ in at most ``d(x) = |x| * (100 - percent) / percent`` tokens, counted
 from either side.  Rare tokens among the first d + 1 are indexed singly.  If a set has r <= d rare
@@ -38,6 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ class Setting:
     width: int = 3
     percent: int = 90
     k: int = 3
-    sketch_bits: int = 21
+    sketch_bits: int = 22
     frequent_share: float = 1e-3
     frequent_least: int = 64
 
@@ -102,20 +104,20 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(u ^ v).sum())
 
 
-def keys_of(tokens: np.ndarray, frequent: np.ndarray, setting: Setting) -> np.ndarray:
-    """Index keys of one set; ``frequent`` has one bit for each slot of the sketch."""
+def keys_of(tokens: np.ndarray, levels: np.ndarray, frequent: int, setting: Setting) -> np.ndarray:
+    """Index keys of one set; ``levels`` has a byte for each slot of the sketch, from ``frequent`` on a token is frequent."""
     n = len(tokens)
     d = n * (100 - setting.percent) // setting.percent
     if not d:
         return np.zeros(0, np.uint64)  # only an equal set can link
-    slot = (tokens & np.uint64((1 << setting.sketch_bits) - 1)).astype(np.int64)
-    often = (frequent[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-    order = mix(tokens)
-    rare, common = np.sort(order[~often]), np.sort(order[often])
-    single = rare[: d + 1]
-    if len(rare) > d:
+    level = levels[(tokens & np.uint64((1 << setting.sketch_bits) - 1)).astype(np.int64)]
+    key = mix(tokens)
+    order = np.lexsort((key, level))
+    key, rare = key[order], int((level < frequent).sum())
+    single = key[: min(rare, d + 1)]
+    if rare > d:
         return single
-    head = common[: (d - len(rare) + 1) * setting.k]
+    head = key[rare : rare + (d - rare + 1) * setting.k]
     return np.append(single, grams(head, setting.k, 23))
 
 
@@ -127,7 +129,8 @@ def _profiles(docs: DataFrame, setting: Setting) -> DataFrame:
 
     def sketch(counts: np.ndarray) -> pa.RecordBatch:
         step = slots // _SLOTS
-        parts = [np.minimum(counts[i * step : (i + 1) * step], 255).astype(np.uint8).tobytes() for i in range(_SLOTS)]
+        small = zstandard.ZstdCompressor(level=1)
+        parts = [small.compress(np.minimum(counts[i * step : (i + 1) * step], 255).astype(np.uint8).tobytes()) for i in range(_SLOTS)]
         none = pa.nulls(_SLOTS, pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([1] * _SLOTS, pa.int32()), pa.array(range(_SLOTS), pa.int64()), *[none] * (3 + BITMAP), pa.nulls(_SLOTS, pa.binary()), pa.array(parts, pa.binary())], names)
 
@@ -153,38 +156,43 @@ def _profiles(docs: DataFrame, setting: Setting) -> DataFrame:
     return docs.mapInArrow(scan, ddl)
 
 
-def _frequent(profiles: DataFrame, documents: int, setting: Setting) -> np.ndarray:
-    """One bit for each slot of the sketch, from the sum over all documents (2^sketch_bits / 8 bytes)."""
+def _level(count):
+    """Quarter steps of the binary logarithm."""
+    return np.minimum(np.floor(4 * np.log2(1 + count)), 255).astype(np.uint8)
+
+
+def _levels(profiles: DataFrame, documents: int, setting: Setting) -> tuple[np.ndarray, int]:
+    """A level for each slot of the sketch, from the sum over all documents (2^sketch_bits bytes), and the first frequent one."""
     tokens = profiles.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     least = max(setting.frequent_least, setting.frequent_share * documents) + tokens / (1 << setting.sketch_bits)
 
     def total(t: pa.Table) -> pa.Table:
-        s = sum(np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64) for x in t.column("counts"))
-        return pa.table({"slot": t.column("doc").slice(0, 1), "bits": pa.array([np.packbits(s >= least, bitorder="little").tobytes()], pa.binary())})
+        s = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint8).astype(np.int64) for x in t.column("counts"))
+        return pa.table({"slot": t.column("doc").slice(0, 1), "levels": pa.array([_level(s).tobytes()], pa.binary())})
 
-    got = profiles.where("kind = 1").select("doc", "counts").groupBy("doc").applyInArrow(total, "slot long, bits binary").collect()
-    step = (1 << setting.sketch_bits) // _SLOTS // 8
+    got = profiles.where("kind = 1").select("doc", "counts").groupBy("doc").applyInArrow(total, "slot long, levels binary").collect()
+    step = (1 << setting.sketch_bits) // _SLOTS
     out = np.zeros(_SLOTS * step, np.uint8)
     for r in got:
-        out[r.slot * step : (r.slot + 1) * step] = np.frombuffer(r.bits, np.uint8)
-    return out
+        out[r.slot * step : (r.slot + 1) * step] = np.frombuffer(r.levels, np.uint8)
+    return out, int(_level(least))
 
 
 _STARS = "bucket long, key array<long>, doc array<long>, up array<long>"
 
 
-def _stars(docs: DataFrame, frequent: np.ndarray, setting: Setting) -> DataFrame:
+def _stars(docs: DataFrame, levels: tuple[np.ndarray, int], setting: Setting) -> DataFrame:
     """Rows (key, doc, up) that join the documents of each key into a tree: a document to the smallest of its batch, and
     those of the batches to the smallest of all.  A key reaches its bucket once for each batch, however many hold it."""
     spark = docs.sparkSession
-    sent, buckets = spark.sparkContext.broadcast(frequent), 4 * partitions(spark)
+    sent, buckets = spark.sparkContext.broadcast(levels), 4 * partitions(spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        level, frequent = sent.value
         for b in batches:
             keys, times = [], []
             for lo in range(0, b.num_rows, 1000):
-                found = [keys_of(s, bits, setting) for s in token_sets(binary(b.column(1).slice(lo, 1000)).to_pylist(), setting.width)]
+                found = [keys_of(s, level, frequent, setting) for s in token_sets(binary(b.column(1).slice(lo, 1000)).to_pylist(), setting.width)]
                 keys += found
                 times += [len(k) for k in found]
             if not sum(times):
@@ -281,7 +289,7 @@ def jaccard_components(docs: DataFrame, setting: Setting = Setting(), doc_id: st
     member = materialize(sets.join(alike, ["n", "s1", "s2"], "left").select("doc", "n", F.coalesce("cls", "doc").alias("cls"), *bits, "wide"))
     own = member.where("doc = cls").dropDuplicates(["doc"])
     named = member.where("doc is not null").select("doc", "cls").distinct()
-    stars = materialize(_stars(docs.where("doc is not null"), _frequent(profiles, documents, setting), setting))
+    stars = materialize(_stars(docs.where("doc is not null"), _levels(profiles, documents, setting), setting))
     edges = stars.select("doc", "up").distinct().join(named.withColumnRenamed("cls", "x"), "doc")
     edges = materialize(edges.join(named.select(F.col("doc").alias("up"), F.col("cls").alias("y")), "up").where("x != y"))
     pairs = edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
