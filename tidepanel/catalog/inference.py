@@ -1,9 +1,13 @@
 """Trial records, multiple testing and forward verdicts."""
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.evaluation import PAIRS, PICK, seed_frame
 from tidepanel.catalog.registry import labelled, query
+from tidepanel.functions import normal as N
 from tidepanel.functions.columns import day, r
 from tidepanel.operators.staging import materialize
 from tidepanel.plans import factors as FA, inference as I, metrics as M
@@ -18,12 +22,27 @@ def p_values(s):
     return d.select("campaign", "trial", F.when(F.col("trial") % 11 != 0, F.abs("icir") / 2).alias("p"))
 
 
-@query("deflated_ratio", "A20 A25 UD5")
+HURDLE = "CASE WHEN n_trials >= 2 AND variance > 0 THEN sqrt(variance) * ({g1} * z1 + {g} * z2) ELSE 0 END".format(g=I.EULER_GAMMA, g1=1 - I.EULER_GAMMA)
+DISCOUNT = f"""WITH {TRIALS}, sd AS (SELECT campaign, count(*) AS n_trials, coalesce(var_samp(icir), 0) AS variance, avg(icir) AS m, avg(icir * icir) AS m2, avg(icir * icir * icir) AS m3, avg(icir * icir * icir * icir) AS m4 FROM trials WHERE icir IS NOT NULL GROUP BY campaign),
+sq AS (SELECT *, 1 - 1.0::DOUBLE / greatest(n_trials, 2) AS q1, 1 - 1.0::DOUBLE / (greatest(n_trials, 2) * {math.e}::DOUBLE) AS q2, m2 - m * m AS v FROM sd),
+sz AS (SELECT *, {N.sql_ppf('q1')} AS z1, {N.sql_ppf('q2')} AS z2, (m3 - 3 * m * m2 + 2 * m * m * m) / (v * sqrt(v)) AS skew, (m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m * m * m * m) / (v * v) AS kurt FROM sq),
+sh AS (SELECT *, {HURDLE} AS hurdle FROM sz)"""
+
+
+@query("deflated_ratio", "A20 A25 UD5", DISCOUNT + f""", d AS (SELECT trial, n_trials, variance, hurdle, icir, days, 1 - skew * icir + (kurt - 1) / 4 * icir * icir AS den FROM trials JOIN sh USING (campaign) WHERE icir IS NOT NULL),
+z AS (SELECT *, CASE WHEN days > 1 AND den > 0 THEN (icir - hurdle) * sqrt(days - 1) / sqrt(den) END AS z FROM d), p AS (SELECT *, coalesce({N.sql_cdf('z')}, 0) AS dsr FROM z)
+SELECT trial, n_trials, round(variance, 6) AS variance, round(hurdle, 6) AS hurdle, round(dsr, 6) AS dsr, round(1 - dsr, 6) AS p_value FROM p""")
 def _(s):
+    """Shape of the campaign's own ratios; observations are the trial's valid days."""
     t = trials(s).where("icir is not null")
-    d = t.join(F.broadcast(I.search_discount(t, ["campaign"])), "campaign")
-    t_eff = F.col("days") / F.lit(5.0)
-    d = d.withColumn("dsr", I.deflated_probability(F.col("icir"), F.col("hurdle"), t_eff, F.lit(0.0), F.lit(3.0)))
+    x = F.col("icir")
+    m = {f"_m{k}": F.avg(F.pow(x, F.lit(float(k)))) for k in range(1, 5)}
+    shape = t.groupBy("campaign").agg(*[e.alias(k) for k, e in m.items()])
+    a, b, c, e = (F.col(f"_m{k}") for k in range(1, 5))
+    v = F.nullif(b - a * a, F.lit(0.0))
+    shape = shape.select("campaign", ((c - 3 * a * b + 2 * a * a * a) / (v * F.sqrt(v))).alias("skew"), ((e - 4 * a * c + 6 * a * a * b - 3 * a * a * a * a) / (v * v)).alias("kurt"))
+    d = t.join(F.broadcast(I.search_discount(t, ["campaign"]).join(shape, "campaign")), "campaign")
+    d = d.withColumn("dsr", I.deflated_probability(x, F.col("hurdle"), F.col("days"), F.col("skew"), F.col("kurt")))
     return d.select("trial", "n_trials", r("variance").alias("variance"), r("hurdle").alias("hurdle"), r("dsr").alias("dsr"), r(1 - F.col("dsr")).alias("p_value"))
 
 
@@ -47,6 +66,7 @@ def _(s):
     return I.holm(d, ["campaign"], "p", "trial").select("campaign", "trial", r("adjusted", 8).alias("adjusted"))
 
 
+HALF = NormalDist().inv_cdf(0.975)
 HAC = labelled("""
 , sr AS (SELECT grp AS series, pos AS ordinal, avg(ret_1d) AS value FROM labelled WHERE (pos + grp) % 9 <> 4 GROUP BY ALL HAVING avg(ret_1d) IS NOT NULL), b AS (SELECT series, count(*) AS n, avg(value) AS mean, greatest(1, ceil(4 * pow(count(*) / 100.0::DOUBLE, 2.0::DOUBLE / 9)))::INT AS lag FROM sr GROUP BY series),
 e AS (SELECT series, ordinal, value - mean AS e, lag, n FROM sr JOIN b USING (series)), j AS (SELECT a.series, a.ordinal - c.ordinal AS k, a.e * c.e AS ee, a.lag FROM e a JOIN e c ON a.series = c.series AND a.ordinal - c.ordinal BETWEEN 0 AND a.lag),
@@ -64,7 +84,8 @@ def _(s):
     return I.hac_mean(_series(s), ["series"], 2).select("series", "n", "lag", r("mean").alias("mean"), r("se").alias("se"))
 
 
-@query("hac_p_values", "A23 UD5")
+@query("hac_p_values", "A23 UD5", HAC.replace("SELECT series, n, lag, round(mean, 6) AS mean, round(sqrt(greatest(lr / n, 0) / n), 6) AS se FROM b JOIN l USING (series)", f""", x AS (SELECT series, n, mean, sqrt(greatest(lr / n, 0) / n) AS se FROM b JOIN l USING (series)), y AS (SELECT *, -mean / nullif(se, 0) AS z FROM x WHERE n >= 2)
+SELECT series, round(CASE WHEN se = 0 THEN CASE WHEN mean > 0 THEN 0.0 WHEN mean < 0 THEN 1.0 ELSE 0.5 END ELSE {N.sql_cdf('z')} END, 6) AS p_one_sided, round(mean - {HALF}::DOUBLE * se, 6) AS ci_low, round(mean + {HALF}::DOUBLE * se, 6) AS ci_high FROM y"""))
 def _(s):
     return I.hac_mean(_series(s), ["series"], 2).select("series", *[r(c).alias(c) for c in ("p_one_sided", "ci_low", "ci_high")])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -75,7 +76,7 @@ def hac_mean(series: DataFrame, by: list[str], horizon: int = 1) -> DataFrame:
     d = d.withColumn("se", F.when(two, F.sqrt(F.greatest(F.col("_lr") / F.col("n"), F.lit(0.0)) / F.col("n"))))
     z = div("mean", "se")
     flat = F.when(F.col("mean") > 0, 0.0).when(F.col("mean") < 0, 1.0).otherwise(0.5)
-    half = normal._N.inv_cdf(0.975)
+    half = NormalDist().inv_cdf(0.975)
     return d.withColumns({
         "p_one_sided": F.when(two, F.when(F.col("se") == 0, flat).otherwise(normal.sf(z))),
         "ci_low": F.col("mean") - half * F.col("se"), "ci_high": F.col("mean") + half * F.col("se")}).drop("_lr")
