@@ -119,9 +119,9 @@ def _(s):
     return trades(s).groupBy("account").agg(r(F.sum("fee"), 4).alias("fees"), r(F.sum("fee") / F.sum(F.when(F.col("type").isin("buy", "sell"), F.col("amount"))), 8).alias("fee_rate"))
 
 
-NAVS = """, sn AS (SELECT l_partkey % 8 AS account, l_suppkey AS code, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS as_of, sum(l_quantity) AS quantity FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), snp AS (SELECT account, code, pos AS snap, quantity FROM sn JOIN cal ON cal.date = as_of),
+NAVS = """, sn AS (SELECT l_partkey % 8 AS account, l_suppkey AS code, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS as_of, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL), snp AS (SELECT account, code, pos AS snap, quantity FROM sn JOIN cal ON cal.date = as_of),
 ch AS (SELECT DISTINCT account, snap, 10000 + account * 100.0 AS cash FROM snp), px AS (SELECT code, pos, last_value(close IGNORE NULLS) OVER (PARTITION BY code ORDER BY pos) AS px FROM dense),
-fl AS (SELECT account, pos, CAST(sum(amount) AS DOUBLE) AS amount FROM (SELECT o_custkey % 8 AS account, CAST(o_totalprice / 1000 AS DECIMAL(18,6)) AS amount, (SELECT min(pos) FROM cal WHERE cal.date >= o_orderdate) AS pos FROM orders WHERE o_orderpriority = '5-LOW') WHERE pos IS NOT NULL GROUP BY ALL),
+fl AS (SELECT account, pos, CAST(sum(amount) AS DOUBLE) AS amount FROM (SELECT o_custkey % 8 AS account, CAST(o_totalprice / 1000 AS DECIMAL(18,6)) AS amount, (SELECT min(pos) FROM cal WHERE cal.date >= o_orderdate) AS pos FROM orders) WHERE pos IS NOT NULL GROUP BY ALL),
 dy AS (SELECT f.account, cal.pos, cal.date FROM (SELECT account, min(snap) AS f FROM ch GROUP BY account) f JOIN cal ON cal.pos >= f), ds AS (SELECT dy.*, c.snap, c.cash AS c0 FROM dy ASOF JOIN ch c ON dy.account = c.account AND dy.pos >= c.snap),
 dc2 AS (SELECT ds.*, coalesce(amount, 0) AS flow, c0 + sum(CASE WHEN ds.pos > snap THEN coalesce(amount, 0) ELSE 0 END) OVER (PARTITION BY ds.account, snap ORDER BY ds.pos) AS cash FROM ds LEFT JOIN fl ON fl.account = ds.account AND fl.pos = ds.pos),
 hd AS (SELECT d.account, d.pos, s.code, s.quantity, px.px FROM ds d JOIN snp s ON s.account = d.account AND s.snap = d.snap LEFT JOIN px ON px.code = s.code AND px.pos = d.pos), vl AS (SELECT account, pos, sum(quantity * px) AS v, count(*) FILTER (WHERE px IS NULL) AS miss FROM hd GROUP BY ALL),
@@ -130,12 +130,12 @@ nv2 AS (SELECT *, coalesce((nav - flow) / prev_nav - 1, 0) AS ret FROM nv1), nv3
 
 
 def nav(s):
-    sn = s.table("lineitem").where("l_linenumber <= 3").groupBy((F.col("l_partkey") % 8).alias("account"), F.col("l_suppkey").alias("code"), F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("date")).agg(F.sum("l_quantity").alias("quantity"))
+    sn = s.table("lineitem").groupBy((F.col("l_partkey") % 8).alias("account"), F.col("l_suppkey").alias("code"), F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("date")).agg(F.sum("l_quantity").alias("quantity"))
     sn = materialize(with_pos(sn, s.cal).select("account", "code", F.col("pos").alias("as_of_pos"), "quantity"))
     cash = sn.select("account", "as_of_pos").distinct().withColumn("cash", 10000 + F.col("account") * 100.0)
     from tidepanel.operators.grid import next_trading_day
 
-    fl = s.table("orders").where("o_orderpriority = '5-LOW'").select((F.col("o_custkey") % 8).alias("account"), (F.col("o_totalprice") / 1000).cast("decimal(18,6)").alias("amount"), F.col("o_orderdate").cast("date").alias("d"))
+    fl = s.table("orders").select((F.col("o_custkey") % 8).alias("account"), (F.col("o_totalprice") / 1000).cast("decimal(18,6)").alias("amount"), F.col("o_orderdate").cast("date").alias("d"))
     fl = next_trading_day(fl, s.cal, "d", "_e", "pos", inclusive=True).groupBy("account", "pos").agg(F.sum("amount").cast("double").alias("amount"))
     px = materialize(s.dense.select("code", "pos", R.ffill("close").alias("px")))
     bench = M.benchmark_returns(s.bars.groupBy("date").agg(F.avg("close").alias("px")), s.cal).join(F.broadcast(s.cal), "date").select("pos", "bret")
@@ -217,18 +217,18 @@ def _(s):
 
 
 @query("holding_betas", "A46", dense("""
-, m AS (SELECT pos, avg(ret_1d) AS mret FROM dense WHERE pos >= 23 GROUP BY pos) SELECT code, round(CASE WHEN count(*) >= 20 THEN covar_samp(ret_1d, mret) / nullif(var_samp(mret), 0) END, 6) AS beta FROM dense JOIN m USING (pos) WHERE ret_1d IS NOT NULL AND mret IS NOT NULL GROUP BY code"""))
+, m AS (SELECT pos, avg(ret_1d) AS mret FROM dense GROUP BY pos) SELECT code, round(CASE WHEN count(*) >= 20 THEN covar_samp(ret_1d, mret) / nullif(var_samp(mret), 0) END, 6) AS beta FROM dense JOIN m USING (pos) WHERE ret_1d IS NOT NULL AND mret IS NOT NULL GROUP BY code"""))
 def _(s):
-    d = materialize(s.dense.where("pos >= 23").select("code", "pos", F.col("ret_1d").alias("ret")))
+    d = materialize(s.dense.select("code", "pos", F.col("ret_1d").alias("ret")))
     return B.betas(d, d.groupBy("pos").agg(F.avg("ret").alias("mret")), 20).select("code", r("beta").alias("beta"))
 
 
 @query("holding_correlations", "A46", dense("""
-, mb AS (SELECT DISTINCT l_partkey % 400 AS account, l_suppkey AS code FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 400 < 60), pr AS (SELECT a.account, a.code AS a, b.code AS b FROM mb a JOIN mb b ON a.account = b.account AND a.code < b.code),
+, mb AS (SELECT DISTINCT l_orderkey AS account, l_suppkey AS code FROM lineitem), pr AS (SELECT a.account, a.code AS a, b.code AS b FROM mb a JOIN mb b ON a.account = b.account AND a.code < b.code),
 c AS (SELECT a, b, CASE WHEN count(*) >= 20 THEN corr(x.ret_1d, y.ret_1d) END AS c FROM (SELECT DISTINCT a, b FROM pr) JOIN dense x ON x.code = a JOIN dense y ON y.code = b AND y.pos = x.pos WHERE x.ret_1d IS NOT NULL AND y.ret_1d IS NOT NULL GROUP BY a, b)
 SELECT account, round(avg(c), 6) AS mean_corr, round(max(c), 6) AS max_corr, count(c) AS pairs FROM pr JOIN c USING (a, b) GROUP BY account"""))
 def _(s):
-    mb = s.table("lineitem").where("l_quantity >= 49 and l_partkey % 400 < 60").select((F.col("l_partkey") % 400).alias("account"), F.col("l_suppkey").alias("code")).distinct()
+    mb = s.table("lineitem").select(F.col("l_orderkey").alias("account"), F.col("l_suppkey").alias("code")).distinct()
     d = materialize(s.dense.select("code", "pos", F.col("ret_1d").alias("ret")))
     return B.pair_correlation(mb, d, 20).select("account", r("mean_corr").alias("mean_corr"), r("max_corr").alias("max_corr"), "pairs")
 

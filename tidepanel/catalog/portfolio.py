@@ -85,13 +85,13 @@ def _(s):
     return d.select("trial", "region", "exceed_days", r("max_abs").alias("max_abs"), "place")
 
 
-HOLD = """, holdings AS (SELECT l_partkey % 12 AS fund, l_suppkey AS code, CAST(sum(CAST(l_extendedprice AS DECIMAL(24,4))) AS DOUBLE) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL), hw AS (SELECT fund, code, v / sum(v) OVER (PARTITION BY fund) AS weight FROM holdings),
+HOLD = """, holdings AS (SELECT l_partkey % 12 AS fund, l_suppkey AS code, CAST(sum(CAST(l_extendedprice AS DECIMAL(24,4))) AS DOUBLE) AS v FROM lineitem GROUP BY ALL), hw AS (SELECT fund, code, v / sum(v) OVER (PARTITION BY fund) AS weight FROM holdings),
 iw0 AS (SELECT fund, grp, sum(weight) AS w FROM hw JOIN suppliers USING (code) GROUP BY ALL), iw1 AS (SELECT *, sum(w) OVER (PARTITION BY fund ORDER BY w DESC, grp) AS acc, sum(w) OVER (PARTITION BY fund) AS t FROM iw0),
 iw AS (SELECT fund, grp, w / sum(w) OVER (PARTITION BY fund) AS weight FROM iw1 WHERE acc - w < 0.8::DOUBLE * t)"""
 
 
 def holdings(s):
-    h = s.table("lineitem").where("l_linenumber <= 2").groupBy((F.col("l_partkey") % 12).alias("fund"), F.col("l_suppkey").alias("code")).agg(F.sum(F.col("l_extendedprice").cast("decimal(24,4)")).cast("double").alias("v"))
+    h = s.table("lineitem").groupBy((F.col("l_partkey") % 12).alias("fund"), F.col("l_suppkey").alias("code")).agg(F.sum(F.col("l_extendedprice").cast("decimal(24,4)")).cast("double").alias("v"))
     h = X.with_stats(h, "fund", {"_t": F.sum("v")})
     return h.select("fund", "code", (F.col("v") / F.nullif("_t", F.lit(0.0))).alias("weight"))
 

@@ -77,10 +77,10 @@ def _(s):
 
 SPEC = """, sq AS (SELECT *, CASE WHEN residual IS NOT NULL THEN pow(2, pos / 18.0::DOUBLE) END AS q FROM rs),
 sw AS (SELECT code, pos, region, in_universe, sum(q) OVER w AS s, sum(q * q) OVER w AS s2, sum(q * residual) OVER w AS s1, sum(q * residual * residual) OVER w AS sxx, count(residual) OVER w AS k FROM sq WINDOW w AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)),
-sr AS (SELECT code, pos, region, in_universe, CASE WHEN k >= 18 AND 1 - s2 / (s * s) > 0 THEN (sxx / s - (s1 / s) * (s1 / s)) / (1 - s2 / (s * s)) END AS raw FROM sw WHERE pos % 12 = 0 AND pos >= 36),
+sr AS (SELECT code, pos, region, in_universe, CASE WHEN k >= 18 AND 1 - s2 / (s * s) > 0 THEN (sxx / s - (s1 / s) * (s1 / s)) / (1 - s2 / (s * s)) END AS raw FROM sw WHERE pos >= 36),
 po AS (SELECT pos, quantile_cont(raw, 0.5) AS pool FROM sr WHERE in_universe AND raw IS NOT NULL GROUP BY pos), gr AS (SELECT pos, region, quantile_cont(raw, 0.5) AS g, count(*) AS n FROM sr WHERE in_universe AND raw IS NOT NULL GROUP BY ALL),
 spec AS (SELECT sr.code, sr.pos, sr.region, greatest(CASE WHEN raw IS NULL THEN pr ELSE 0.5 * raw + 0.5 * pr END, 1e-8) AS d, (raw IS NULL)::INT AS is_prior FROM (SELECT sr.*, CASE WHEN n >= 5 THEN g ELSE pool END AS pr FROM sr JOIN po USING (pos) LEFT JOIN gr USING (pos, region)) sr)"""
-AT = "pos % 12 = 0 and pos >= 36"
+AT = "pos >= 36"
 
 
 def spec(s):
@@ -101,7 +101,7 @@ def weights(s):
     return d.select("code", "date", "pos", "region", (F.col("close") / F.nullif("_n", F.lit(0.0))).alias("w"), (F.col("circ_mv") / F.nullif("_c", F.lit(0.0))).alias("b"))
 
 
-TE = COV + SPEC + WEIGHTS + """, ac AS (SELECT pos, code, region, w - b AS a FROM wb WHERE pos % 12 = 0 AND pos >= 36), xf AS (SELECT pos, 'r' || region AS factor, sum(a) AS x FROM ac GROUP BY ALL),
+TE = COV + SPEC + WEIGHTS + """, ac AS (SELECT pos, code, region, w - b AS a FROM wb WHERE pos >= 36), xf AS (SELECT pos, 'r' || region AS factor, sum(a) AS x FROM ac GROUP BY ALL),
 c2 AS (SELECT pos, i, j, cov FROM cv UNION ALL SELECT pos, j, i, cov FROM cv WHERE i <> j), fx AS (SELECT c2.pos, c2.i AS factor, sum(cov * x) AS fx FROM c2 JOIN xf ON xf.pos = c2.pos AND xf.factor = c2.j GROUP BY ALL),
 eu AS (SELECT xf.pos, xf.factor, x * fx AS contribution FROM xf JOIN fx USING (pos, factor))"""
 

@@ -51,12 +51,12 @@ def _(s):
     return d.select("report_id", F.col("fiscal_year").cast("long").alias("fiscal_year"), r("eps", 6).alias("eps"))
 
 
-@query("unified_margin_tables", "IO10 IO19", """WITH a AS (SELECT o_orderkey AS k, o_totalprice FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_orderkey AS k, o_totalprice, o_custkey FROM orders WHERE o_orderstatus = 'O')
+@query("unified_margin_tables", "IO10 IO19", """WITH a AS (SELECT o_orderkey AS k, o_totalprice FROM orders WHERE o_orderstatus <> 'O'), b AS (SELECT o_orderkey AS k, o_totalprice, o_custkey FROM orders WHERE o_orderstatus = 'O')
 SELECT 'sz.' || lpad((k % 1000000)::VARCHAR, 6, '0') AS code, o_totalprice AS fin, NULL::DOUBLE AS repaid, 'a' AS exchange FROM a UNION ALL SELECT 'sh.' || lpad((k % 1000000)::VARCHAR, 6, '0'), o_totalprice, o_custkey::DOUBLE, 'b' FROM b""")
 def _(s):
     o = s.table("orders")
     six = F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0")
-    a = o.where("o_orderstatus = 'F'").select(six.alias("c"), F.format_number("o_totalprice", 2).alias("bal"))
+    a = o.where("o_orderstatus <> 'O'").select(six.alias("c"), F.format_number("o_totalprice", 2).alias("bal"))
     b = o.where("o_orderstatus = 'O'").select(six.alias("c"), F.format_number("o_totalprice", 2).alias("rzye"), F.col("o_custkey").cast("string").alias("rzche"))
     d = TB.unify([(a, {"code": F.concat(F.lit("sz."), "c"), "fin": TB.number(F.col("bal")), "exchange": F.lit("a")}),
                   (b, {"code": F.concat(F.lit("sh."), "c"), "fin": TB.number(F.col("rzye")), "repaid": TB.number(F.col("rzche")), "exchange": F.lit("b")})])
@@ -82,11 +82,11 @@ def _(s):
     return TB.name_levels(h, n, "1998-06-01").select("code", "version", "l1_name", "l2_name", "l3_name")
 
 
-@query("unanimous_names", "IO12", "SELECT p_brand, min(p_type) AS name FROM part WHERE p_size > 40 OR p_partkey % 3 = 0 AND p_type = 'SMALL' GROUP BY p_brand HAVING count(DISTINCT p_type) = 1 UNION ALL SELECT 'B' || (c_custkey % 40), min(c_mktsegment) FROM customer WHERE (c_custkey // 40) % 20 = 1 GROUP BY c_custkey % 40 HAVING count(DISTINCT c_mktsegment) = 1")
+@query("unanimous_names", "IO12", """SELECT 'P' || (p_partkey // 2) AS code, min(p_type) AS name FROM part GROUP BY 1 HAVING count(DISTINCT p_type) = 1 UNION ALL SELECT 'B' || (c_custkey // 3), min(c_mktsegment) FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) = 1""")
 def _(s):
-    a = TB.unanimous_names(s.table("part").where("p_size > 40 or p_partkey % 3 = 0 and p_type = 'SMALL'"), "p_brand", "p_type")
-    c = s.table("customer").where((F.floor(F.col("c_custkey") / 40) % 20) == 1).withColumn("p_brand", F.concat(F.lit("B"), (F.col("c_custkey") % 40).cast("string")))
-    return a.unionByName(TB.unanimous_names(c, "p_brand", "c_mktsegment"))
+    pair = lambda sign, key, n: F.concat(F.lit(sign), F.floor(F.col(key) / n).cast("string"))
+    a = TB.unanimous_names(s.table("part").withColumn("code", pair("P", "p_partkey", 2)), "code", "p_type")
+    return a.unionByName(TB.unanimous_names(s.table("customer").withColumn("code", pair("B", "c_custkey", 3)), "code", "c_mktsegment"))
 
 
 @query("incremental_upsert", "IO13 IO14", """WITH a AS (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS date, max(l_quantity) AS v, 1 AS load_time FROM lineitem WHERE l_shipdate < DATE '1998-01-01' AND l_suppkey % 6 <> 0 GROUP BY ALL), b AS (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS date, min(l_quantity) AS v, 2 AS load_time FROM lineitem WHERE l_shipdate >= DATE '1997-10-01' GROUP BY ALL),
