@@ -235,26 +235,54 @@ def _(s):
     return calibration(d, "label_1", 12, 8, min_names=8).select("kind", "factors", *[r(c).alias(c) for c in ("pass_rate", "icir_p50", "icir_p90")])
 
 
-@query("gate_checks", "A60", labelled(LONG + IC("value", "label_1", "factor, date", UNI, n=8) + """
-, m AS (SELECT factor, avg(ic) AS ic_mean, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, count(ic) AS days FROM ic GROUP BY factor), cv AS (SELECT factor, avg(c * 1.0 / n) AS coverage FROM (SELECT factor, date, count(*) FILTER (WHERE in_universe) AS n, count(value) FILTER (WHERE in_universe) AS c FROM long GROUP BY ALL) WHERE n > 0 GROUP BY factor)
-SELECT factor, (coverage >= 0.8 AND days >= 30 AND ic_mean >= 0.0 AND icir >= 0.02)::INT AS passed, (coverage < 0.8)::INT + (days < 30)::INT + (ic_mean < 0.0)::INT + (icir < 0.02)::INT AS failed FROM m JOIN cv USING (factor)"""))
+PAIR_ROWS = ", pairs AS (" + " UNION ALL ".join(f"SELECT date, code, '{a}' AS a, '{b}' AS b, {a} AS xa, {b} AS xb FROM seeds WHERE in_universe" for a in PICK for b in PICK if a < b) + ")" + IC("xa", "xb", "a, b, date", "pairs", "pic", 8)
+GATE_ONE = LONG + IC("value", "label_1", "factor, date", UNI, n=8) + PAIR_ROWS + """
+, m AS (SELECT factor, avg(ic) AS ic_mean, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, count(ic) AS days FROM ic GROUP BY factor), cv AS (SELECT factor, avg(c * 1.0 / n) AS coverage FROM (SELECT factor, date, count(*) FILTER (WHERE in_universe) AS n, count(value) FILTER (WHERE in_universe) AS c FROM long GROUP BY ALL) WHERE n > 0 GROUP BY factor),
+pc AS (SELECT a, b, coalesce(avg(ic), 0) AS corr FROM pic GROUP BY a, b), pu AS (SELECT a AS factor, b AS other, corr FROM pc UNION ALL SELECT b, a, corr FROM pc), mx AS (SELECT factor, max(abs(corr)) AS max_abs_corr, arg_max(other, abs(corr)) AS other FROM pu GROUP BY factor),
+g1 AS (SELECT m.*, coverage, max_abs_corr, o.icir AS matched FROM m JOIN cv USING (factor) JOIN mx USING (factor) JOIN (SELECT factor AS other, icir FROM m) o ON o.other = mx.other),
+g2 AS (SELECT *, coverage >= 0.8 AS c1, days >= 30 AS c2, ic_mean >= 0.0 AS c3, coalesce(icir >= 0.02, FALSE) AS c4, coalesce(icir >= 1.3 * abs(matched), FALSE) AS better FROM g1)"""
+
+
+def library_match(long, seeds):
+    """Per factor the largest absolute mean correlation with another one, and that factor's ratio."""
+    c = M.pair_correlations(seeds, PICK, PICK, F.col("in_universe"), 8)
+    u = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
+    return u.groupBy(F.col("a").alias("factor")).agg(F.max(F.abs("corr")).alias("max_abs_corr"), F.max_by("b", F.abs("corr")).alias("other"))
+
+
+@query("gate_checks", "A60", labelled(GATE_ONE + """
+SELECT factor, round(max_abs_corr, 6) AS max_abs_corr, (c1 AND c2 AND c3 AND c4 AND (max_abs_corr <= 0.6 OR better))::INT AS passed, (NOT c1)::INT + (NOT c2)::INT + (NOT c3)::INT + (NOT c4)::INT + (NOT (max_abs_corr <= 0.6 OR better))::INT AS failed FROM g2"""))
 def _(s):
-    long = materialize(picked(s))
+    fs = [f for f in FA.seed_factors(3, 6, 12, 24) if f.name in PICK]
+    seeds = materialize(FA.evaluate(FA.derived_terminals(s.stored, 6), fs).select("date", "code", "in_universe", "label_1", *PICK))
+    long = FA.to_long(seeds, fs, ["date", "code", "in_universe", "label_1"])
     ic = M.rank_ic(long.where("in_universe").select("factor", "date", "code", "value", "label_1"), "value", "label_1", min_names=8, write=False)
-    m = M.summarize_ic(ic).join(M.coverage(long), "factor").withColumns({"max_abs_corr": F.lit(0.0), "matched_icir": F.lit(None).cast("double")})
+    m = materialize(M.summarize_ic(ic))
+    m = m.join(M.coverage(long), "factor").join(library_match(long, seeds), "factor").join(m.select(F.col("factor").alias("other"), F.col("icir").alias("matched_icir")), "other")
     g = M.gate_first(m, {"coverage": 0.8, "days": 30, "ic_mean": 0.0, "icir": 0.02, "corr": 0.6, "replacement": 1.3})
-    return g.select("factor", F.col("passed").cast("int").alias("passed"), F.size(F.filter("checks", lambda c: ~c["passed"])).alias("failed"))
+    return g.select("factor", r("max_abs_corr").alias("max_abs_corr"), F.col("passed").cast("int").alias("passed"), F.size(F.filter("checks", lambda c: ~c["passed"])).cast("int").alias("failed"))
+
 
+NEUTRAL = """
+, nv AS (SELECT *, value AS x, ln(circ_mv) AS z FROM long WHERE in_universe AND value IS NOT NULL AND circ_mv > 0 AND factor <> 'size'), ng AS (SELECT *, x - avg(x) OVER g AS xt, z - avg(z) OVER g AS zt FROM nv WINDOW g AS (PARTITION BY factor, date, region)),
+nr AS (SELECT *, CASE WHEN count(*) OVER d >= (SELECT count(DISTINCT region) FROM suppliers) + 5 THEN xt - coalesce(sum(xt * zt) OVER d / nullif(sum(zt * zt) OVER d, 0), 0) * zt END AS resid FROM ng WINDOW d AS (PARTITION BY factor, date)),
+nz AS (SELECT *, round(resid, 9) AS rr FROM nr)""" + IC("rr", "label_1", "factor, date", "nz", "nic", 8)
 
-@query("gate_second_level", "A60", labelled(LONG + IC("value", "label_1", "factor, date", UNI, n=8) + """
-, ch AS (SELECT factor, chunk, avg(ic) AS ic FROM (SELECT *, ntile(4) OVER (PARTITION BY factor ORDER BY date) AS chunk FROM ic WHERE ic IS NOT NULL) GROUP BY ALL), sg AS (SELECT factor, count(*) FILTER (WHERE ic > 0) AS same_sign, avg(ic) AS mean4 FROM ch GROUP BY factor)
-SELECT factor, same_sign, (same_sign >= 3)::INT AS passed FROM sg"""))
+
+@query("gate_second_level", "A60", labelled(LONG + IC("value", "label_1", "factor, date", UNI, n=8) + NEUTRAL + """
+, ch AS (SELECT factor, chunk, avg(ic) AS ic FROM (SELECT *, ntile(4) OVER (PARTITION BY factor ORDER BY date) AS chunk FROM ic WHERE ic IS NOT NULL) GROUP BY ALL), sg AS (SELECT factor, count(*) FILTER (WHERE ic > 0) AS same_sign FROM ch GROUP BY factor),
+md AS (SELECT factor, avg(ic) AS ic_mean FROM ic GROUP BY factor), ne AS (SELECT factor, avg(ic) AS neutral_ic FROM nic GROUP BY factor)
+SELECT factor, same_sign, round(neutral_ic, 5) AS neutral_ic, (same_sign >= 3 AND coalesce(neutral_ic / nullif(ic_mean, 0) >= 0.5, FALSE))::INT AS passed FROM sg JOIN md USING (factor) JOIN ne USING (factor)"""))
 def _(s):
-    ic = M.rank_ic(picked(s).where("in_universe").select("factor", "date", "code", "value", "label_1"), "value", "label_1", min_names=8)
+    """Sub-window signs and the neutral share of the factors' own series; the marginal test has its own query."""
+    long = materialize(picked(s).where("in_universe and factor <> 'size'"))
+    ic = materialize(M.rank_ic(long.select("factor", "date", "code", "value", "label_1"), "value", "label_1", min_names=8, write=False))
     sg = M.subwindow_means(ic, 4).groupBy("factor").agg(F.count(F.when(F.col("ic") > 0, 1)).alias("same_sign"))
-    m = sg.withColumns({"ic_mean": F.lit(0.1), "neutral_ic": F.lit(0.08), "net_excess": F.lit(-1.0), "marginal_ic": F.lit(0.01)})
+    d = cs_neutralize(long.withColumn("lmv", F.when(F.col("circ_mv") > 0, F.ln("circ_mv"))), {"resid": "value"}, "lmv", "region", by=("factor", "date")).withColumn("resid", F.round("resid", 9))
+    neutral = M.rank_ic(d.select("factor", "date", "code", "resid", "label_1"), "resid", "label_1", min_names=8).groupBy("factor").agg(F.avg("ic").alias("neutral_ic"))
+    m = sg.join(ic.groupBy("factor").agg(F.avg("ic").alias("ic_mean")), "factor").join(neutral, "factor").withColumns({"net_excess": F.lit(None).cast("double"), "marginal_ic": F.lit(1.0)})
     g = M.gate_second(m, {"same_sign": 3, "neutral": 0.5, "net_excess": 0.0, "marginal": 0.0})
-    return g.select("factor", "same_sign", F.col("passed").cast("int").alias("passed"))
+    return g.select("factor", "same_sign", r("neutral_ic", 5).alias("neutral_ic"), F.col("passed").cast("int").alias("passed"))
 
 
 @query("holdout_check", "A65 S4", labelled(LONG + IC("value", "label_1", "factor, date", UNI, n=8) + """
