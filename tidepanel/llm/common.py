@@ -26,13 +26,13 @@ def partitions(spark) -> int:
 
 def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4), use_threads=False)) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
 def unpack(body) -> pa.RecordBatch:
-    return pa.ipc.open_stream(pa.py_buffer(body)).read_next_batch()
+    return pa.ipc.open_stream(pa.py_buffer(body), options=pa.ipc.IpcReadOptions(use_threads=False)).read_next_batch()
 
 
 def chunked(df: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

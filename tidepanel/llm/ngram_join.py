@@ -52,12 +52,13 @@ class Setting:
     width: int = 3
     percent: int = 90
     k: int = 3
-    sketch_bits: int = 22
+    sketch_bits: int = 21
     frequent_share: float = 1e-3
     frequent_least: int = 64
 
 
 BITMAP = 4
+_ROWS = 250  # texts cut at once
 _SLOTS = 64
 
 
@@ -135,16 +136,16 @@ def _profiles(docs: DataFrame, setting: Setting) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([1] * _SLOTS, pa.int32()), pa.array(range(_SLOTS), pa.int64()), *[none] * (3 + BITMAP), pa.nulls(_SLOTS, pa.binary()), pa.array(parts, pa.binary())], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held = np.zeros(slots, np.int64), 0
+        counts, held = np.zeros(slots, np.uint32), 0
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, _ROWS):
+                part = b.slice(lo, _ROWS)
                 sets = token_sets(binary(part.column(1)).to_pylist(), width)
                 sig, wide = _signatures(sets)
                 cols = [pa.array(np.zeros(len(sets)), pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(sig[:, i])) for i in range(2 + BITMAP)], pa.array(wide, pa.binary()), pa.nulls(len(sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(cols, kinds, strict=True)], names)
-                tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                counts += np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+                slot, times = np.unique(np.concatenate(sets) & np.uint64(slots - 1), return_counts=True)
+                counts[slot.astype(np.int64)] += times.astype(np.uint32)
                 held += part.num_rows
                 if held > 50_000:  # a full byte is then 0.5 % of the documents, above the share that makes a token frequent
                     yield sketch(counts)
@@ -191,8 +192,8 @@ def _stars(docs: DataFrame, levels: tuple[np.ndarray, int], setting: Setting) ->
         level, frequent = sent.value
         for b in batches:
             keys, times = [], []
-            for lo in range(0, b.num_rows, 1000):
-                found = [keys_of(s, level, frequent, setting) for s in token_sets(binary(b.column(1).slice(lo, 1000)).to_pylist(), setting.width)]
+            for lo in range(0, b.num_rows, _ROWS):
+                found = [keys_of(s, level, frequent, setting) for s in token_sets(binary(b.column(1).slice(lo, _ROWS)).to_pylist(), setting.width)]
                 keys += found
                 times += [len(k) for k in found]
             if not sum(times):
@@ -246,8 +247,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, setting: Setting) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part, good = b.slice(lo, 256), []
+            sizes = pc.add(pc.binary_length(b.column(2)), pc.binary_length(b.column(3))).to_numpy(zero_copy_only=False).cumsum() // (2 << 20)
+            starts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                part, good = b.slice(lo, hi - lo), []
                 xs, ys = (token_sets(binary(part.column(i)).to_pylist(), setting.width) for i in (2, 3))
                 for x, y in zip(xs, ys, strict=True):
                     common = len(np.intersect1d(x, y, assume_unique=True))
