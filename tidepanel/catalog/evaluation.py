@@ -1,5 +1,7 @@
 """Factor evaluation."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.registry import labelled, query
@@ -87,6 +89,20 @@ def _(s):
     return summary(M.summarize_ic(ic), "factor")
 
 
+@query("factor_store", "IO17", labelled(LONG + " SELECT factor, strftime(date, '%Y-%m-%d') AS date, code, round(value, 6) AS value FROM long WHERE factor IN ('size', 'vol_medium')"))
+def _(s):
+    """Stored under the panel's signature, one factor stored again, two read back."""
+    from tidepanel.operators.staging import folder
+    from tidepanel.sources import factorstore as ST
+
+    long, root = picked(s), f"{folder(s.spark)}/factors-{uuid.uuid4().hex}"
+    sign = ST.panel_signature(s.stored, ["close", "volume", "in_universe"])
+    ST.store_factors(long.where("factor <> 'size'"), root, sign)
+    ST.store_factors(long.where("factor = 'size'"), root, sign)
+    d = ST.load_factors(s.spark, root, sign, ["size", "vol_medium"])
+    return d.select("factor", day("date").alias("date"), "code", r("value").alias("value"))
+
+
 @query("factor_coverage", "A3", labelled(LONG + """ SELECT factor, round(avg(c * 1.0 / n), 6) AS coverage FROM (SELECT factor, date, count(*) FILTER (WHERE in_universe) AS n, count(value) FILTER (WHERE in_universe) AS c FROM long GROUP BY ALL) WHERE n > 0 GROUP BY factor"""))
 def _(s):
     return M.coverage(picked(s)).select("factor", r("coverage").alias("coverage"))

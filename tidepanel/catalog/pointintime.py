@@ -121,12 +121,12 @@ def _(s):
 
 @query("statement_ratios", "J10 J11 P13 X13 U1", "WITH " + T.STATEMENTS + """
 , m AS (SELECT code, stat_date, i.* EXCLUDE (code, stat_date), b.* EXCLUDE (code, stat_date, q), c.* EXCLUDE (code, stat_date), liab + total_equity AS assets FROM income i FULL JOIN balance b USING (code, stat_date) FULL JOIN cash c USING (code, stat_date)),
-p AS (SELECT code, CAST(stat_date + INTERVAL 12 MONTH AS DATE) AS stat_date, assets AS p_assets, rev AS p_rev, profit AS p_profit FROM m),
-j AS (SELECT m.*, p.p_assets, p.p_rev, p.p_profit, greatest(pub_income, pub_balance, pub_cash) AS pub_date FROM m LEFT JOIN p USING (code, stat_date))
+p AS (SELECT code, CAST(stat_date + INTERVAL 12 MONTH AS DATE) AS stat_date, assets AS p_assets, rev AS p_rev, profit AS p_profit, equity AS p_equity FROM m),
+j AS (SELECT m.*, p.p_assets, p.p_rev, p.p_profit, p.p_equity, greatest(pub_income, pub_balance, pub_cash) AS pub_date FROM m LEFT JOIN p USING (code, stat_date))
 SELECT code, strftime(stat_date, '%Y-%m-%d') AS stat_date, strftime(pub_date, '%Y-%m-%d') AS pub_date, round(CASE WHEN equity > 0 THEN profit / equity END, 6) AS roe, round(CASE WHEN assets > 0 THEN profit / assets END, 6) AS roa,
  round(CASE WHEN rev > 0 THEN gross / rev END, 6) AS gross_margin, round(CASE WHEN assets > 0 THEN ocf / assets END, 6) AS cfoa, round(CASE WHEN assets > 0 THEN (profit - ocf) / assets END, 6) AS accruals,
  round(CASE WHEN assets > 0 THEN liab / assets END, 6) AS debt_to_assets, round(CASE WHEN equity > 0 THEN loan / equity END, 6) AS debt_to_equity, round(CASE WHEN equity > 0 THEN coalesce(goodwill, 0) / equity END, 6) AS goodwill_to_equity,
- round(CASE WHEN assets > 0 THEN cash / assets END, 6) AS cash_to_assets, round(CASE WHEN p_assets > 0 THEN assets / p_assets END - 1, 6) AS asset_growth, round(CASE WHEN p_rev > 0 THEN rev / p_rev END - 1, 6) AS rev_growth,
+ round(CASE WHEN assets > 0 THEN cash / assets END, 6) AS cash_to_assets, round(CASE WHEN p_assets > 0 THEN assets / p_assets END - 1, 6) AS asset_growth, round(CASE WHEN p_rev > 0 THEN rev / p_rev END - 1, 6) AS rev_growth, round(CASE WHEN p_equity > 0 THEN equity / p_equity END - 1, 6) AS equity_growth,
  round((profit - p_profit) / nullif(abs(p_profit), 0), 6) AS profit_growth, round(CASE WHEN assets > 0 THEN (profit - p_profit) / assets END, 6) AS surprise FROM j""")
 def _(s):
     d = pit.statement_ratios(**L.statements(s))

@@ -127,10 +127,10 @@ def _(s):
 
     st = materialize(pit.statement_ratios(**L.statements(s)))
     right = pit.align_statements(st, s.cal).withColumn("eff", F.col("date"))
-    cols = ["roe", "gross_margin", "cash_to_assets", "debt_to_assets", "debt_to_equity", "goodwill_to_equity", "asset_growth", "rev_growth"]
+    cols = ["roe", "gross_margin", "cash_to_assets", "debt_to_assets", "debt_to_equity", "goodwill_to_equity", "equity_growth", "rev_growth"]
     from tidepanel.operators.joins import asof_join
 
-    d = asof_join(s.dense, right, fields=cols)
+    d = asof_join(s.dense, right, fields=cols).withColumnRenamed("equity_growth", "yoy_equity")
     d = d.withColumns({"limit_up": F.col("close") * 1.01, "ps_ttm": F.col("pe_ttm") * 2, "ocf": F.col("amount") * 0.1, "profit": F.col("amount") * 0.08, "op_margin_ttm": F.col("gross_margin") - 0.1,
                        "rd_to_rev": F.col("cash_to_assets") / 2, "main_ratio": F.col("turnover"), "block_ratio": F.col("turnover") / 2})
     want = [f for f in FA.candidate_factors(6, 12, 24) if f.name not in ("idio_vol",)]
@@ -138,6 +138,17 @@ def _(s):
     return d.select("code", day("date").alias("date"), *[r(f.name).alias(f.name) for f in want])
 
 
+PCT = "CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date, ({x} IS NULL) ORDER BY {x}) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY date) END"
+
+
+@query("value_mix", "N-F4", dense(f"""
+, v AS (SELECT code, date, CASE WHEN pe_ttm > 0 THEN 1 / pe_ttm END AS a, CASE WHEN pb_mrq > 0 THEN 1 / pb_mrq END AS b, CASE WHEN volume * (code % 41 - 4) > 0 THEN 1 / (amount / (volume * (code % 41 - 4))) END AS c FROM dense)
+SELECT code, strftime(date, '%Y-%m-%d') AS date, round(({PCT.format(x='a')} + {PCT.format(x='b')} + {PCT.format(x='c')}) / 3, 6) AS value_mix FROM v"""))
+def _(s):
+    d = s.dense.withColumn("ps_ttm", F.col("amount") / F.nullif(F.col("volume") * (F.col("code") % 41 - 4), F.lit(0)))
+    return FA.value_mix(d).select("code", day("date").alias("date"), r("value_mix").alias("value_mix"))
+
+
 @query("fund_factors", "N-F5", dense("""
 SELECT code, strftime(date, '%Y-%m-%d') AS date, round(close / lag(close, 6) OVER w - 1, 6) AS mom_a, round(lag(close, 6) OVER w / lag(close, 24) OVER w - 1, 6) AS mom_skip, round(-(close / lag(close, 5) OVER w - 1), 6) AS rev_5, round(CASE WHEN count(ret_1d) OVER w6 >= 4 THEN stddev_samp(ret_1d) OVER w6 END, 6) AS fvol_a,
  round(close / CASE WHEN count(close) OVER w12 >= 8 THEN max(close) OVER w12 END - 1, 6) AS drawdown, round(close / CASE WHEN count(close) OVER w12 >= 8 THEN avg(close) OVER w12 END - 1, 6) AS ma_gap,

@@ -97,7 +97,7 @@ def candidate_factors(w20=20, w60=60, w250=250) -> list[Factor]:
         "rd_intensity": lambda: f("rd_to_rev"), "goodwill_neg": lambda: -f("goodwill_to_equity"), "debt_neg": lambda: -f("debt_to_equity"),
         "ocf_to_profit": lambda: F.when(f("profit").isNotNull() & f("ocf").isNotNull(), F.greatest(F.lit(-10.0), F.least(F.lit(10.0), div("ocf", F.abs("profit"))))),
         "roe_change": lambda: delta("roe", w250), "margin_change": lambda: delta("gross_margin", w250),
-        "equity_growth": lambda: f("asset_growth"), "rev_accel": lambda: delta("rev_growth", w60),
+        "equity_growth": lambda: f("yoy_equity"), "rev_accel": lambda: delta("rev_growth", w60),
         "main_flow": lambda: R.ts_mean("main_ratio", 5, 3), "block_flow": lambda: R.ts_mean("block_ratio", w20, h(w20)),
     }
     out = [Factor(n, lambda n=n, b=b: [{n: b()}]) for n, b in simple.items()]
@@ -107,6 +107,15 @@ def candidate_factors(w20=20, w60=60, w250=250) -> list[Factor]:
     return out
 
 
+def value_mix(df: DataFrame, by=("date",), keys=("code",)) -> DataFrame:
+    """Adds the mean of the percentile ranks of the three inverse multiples; missing if one is."""
+    from tidepanel.operators.ordering import with_ranks
+
+    inv = lambda x: F.when(F.col(x) > 0, 1 / F.nullif(F.col(x), F.lit(0.0)))
+    d = with_ranks(df, list(by), {"_r_pe": inv("pe_ttm"), "_r_pb": inv("pb_mrq"), "_r_ps": inv("ps_ttm")}, keys=keys)
+    return d.withColumn("value_mix", (F.col("_r_pe") + F.col("_r_pb") + F.col("_r_ps")) / 3).drop("_r_pe", "_r_pb", "_r_ps")
+
+
 def fund_factors(a=20, b=60, c=120, year=250) -> list[Factor]:
     """Price features of funds."""
     part = lambda n, k: max(1, n * k // 100)

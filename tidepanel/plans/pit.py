@@ -89,7 +89,7 @@ def statement_ratios(income: DataFrame, balance: DataFrame, cash: DataFrame) ->
     d = d.withColumn("assets", F.col("liab") + F.col("total_equity"))
     d = d.withColumn("pub_date", F.greatest("pub_income", "pub_balance", "pub_cash"))
     prev = d.select("code", F.add_months("stat_date", 12).alias("stat_date"), F.col("assets").alias("p_assets"),
-                    F.col("rev").alias("p_rev"), F.col("profit").alias("p_profit"))
+                    F.col("rev").alias("p_rev"), F.col("profit").alias("p_profit"), F.col("equity").alias("p_equity"))
     d = d.join(prev, k, "left")
     c = F.col
     return d.select(
@@ -98,7 +98,7 @@ def statement_ratios(income: DataFrame, balance: DataFrame, cash: DataFrame) ->
         ratio_pos(c("profit") - c("ocf"), "assets").alias("accruals"), ratio_pos("liab", "assets").alias("debt_to_assets"),
         ratio_pos("loan", "equity").alias("debt_to_equity"), ratio_pos(F.coalesce("goodwill", F.lit(0.0)), "equity").alias("goodwill_to_equity"),
         ratio_pos("cash", "assets").alias("cash_to_assets"), (ratio_pos("assets", "p_assets") - 1).alias("asset_growth"),
-        (ratio_pos("rev", "p_rev") - 1).alias("rev_growth"), div(c("profit") - c("p_profit"), F.abs("p_profit")).alias("profit_growth"),
+        (ratio_pos("rev", "p_rev") - 1).alias("rev_growth"), (ratio_pos("equity", "p_equity") - 1).alias("equity_growth"), div(c("profit") - c("p_profit"), F.abs("p_profit")).alias("profit_growth"),
         ratio_pos(c("profit") - c("p_profit"), "assets").alias("surprise"))
 
 
