@@ -106,16 +106,21 @@ def _(s):
     return industry_weights(s).select("fund", "grp", r("weight").alias("weight"))
 
 
-FEATS = ["mom_20", "rev_5", "ep", "turnover_rel"]
+FEATS = ["mom_20", "mom_60", "mom_120", "rev_5", "dist_high_250", "flow_5", "flow_20", "surprise_in", "growth_pos", "ep", "bp", "turnover_rel", "limit_up_20"]
 FSQL = f"""
-, ft AS (SELECT *, close / lag(close, 6) OVER w - 1 AS mom_20, -(close / lag(close, 2) OVER w - 1) AS rev_5, CASE WHEN pe_ttm > 0 THEN 1 / pe_ttm END AS ep, CASE WHEN count(turnover) OVER w6 >= 3 THEN avg(turnover) OVER w6 END / CASE WHEN count(turnover) OVER w24 >= 11 THEN avg(turnover) OVER w24 END AS turnover_rel, CASE WHEN in_universe AND circ_mv > 0 THEN circ_mv END AS c FROM dense
- WINDOW w AS (PARTITION BY code ORDER BY pos), w6 AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), w24 AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+, fi AS (SELECT *, close / open - 1 AS flow, vwap / close - 1 AS surprise_in, (ret_1d > 0)::INT::DOUBLE AS growth_pos, (close >= lag(close) OVER (PARTITION BY code ORDER BY pos) * 1.1::DOUBLE * 0.9995::DOUBLE)::INT::DOUBLE AS hit FROM dense),
+ft AS (SELECT *, close / lag(close, 6) OVER w - 1 AS mom_20, close / lag(close, 12) OVER w - 1 AS mom_60, close / lag(close, 24) OVER w - 1 AS mom_120, -(close / lag(close, 2) OVER w - 1) AS rev_5,
+ close / CASE WHEN count(close) OVER w24 >= 11 THEN max(close) OVER w24 END - 1 AS dist_high_250, avg(flow) OVER w2 AS flow_5, CASE WHEN count(flow) OVER w6 >= 3 THEN avg(flow) OVER w6 END AS flow_20,
+ CASE WHEN pe_ttm > 0 THEN 1 / pe_ttm END AS ep, CASE WHEN pb_mrq > 0 THEN 1 / pb_mrq END AS bp, CASE WHEN count(turnover) OVER w6 >= 3 THEN avg(turnover) OVER w6 END / CASE WHEN count(turnover) OVER w24 >= 11 THEN avg(turnover) OVER w24 END AS turnover_rel,
+ CASE WHEN count(hit) OVER w6 >= 3 THEN sum(hit) OVER w6 END AS limit_up_20, CASE WHEN in_universe AND circ_mv > 0 THEN circ_mv END AS c FROM fi
+ WINDOW w AS (PARTITION BY code ORDER BY pos), w2 AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), w6 AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), w24 AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
 fu AS (SELECT code, date, pos, grp, c, """ + ", ".join(f"CASE WHEN in_universe THEN {f} END AS {f}" for f in FEATS) + """ FROM ft), fp AS (SELECT code, date, pos, grp, c, """ + ", ".join(f"{PCTU(f)} AS {f}" for f in FEATS) + """ FROM fu),
-im AS (SELECT date, grp, count(c) AS names, """ + ", ".join(f"CASE WHEN count(c) >= 2 THEN sum({f} * c) / nullif(sum(CASE WHEN {f} IS NOT NULL THEN c END), 0) END AS {f}" for f in FEATS) + " FROM fp GROUP BY ALL)"
+im AS (SELECT date, grp, count(c) AS names, """ + ", ".join(f"CASE WHEN count(c) >= 2 THEN sum({f} * c) / nullif(sum(CASE WHEN {f} IS NOT NULL THEN c END), 0) END AS {f}" for f in FEATS) + ", CASE WHEN count(c) >= 2 THEN stddev_pop(mom_20) FILTER (WHERE c IS NOT NULL) END AS dispersion FROM fp GROUP BY ALL)"
 
 
 def features(s):
-    d = s.dense.withColumns({"flow": F.lit(None).cast("double"), "surprise": F.lit(None).cast("double"), "growth": F.lit(None).cast("double"), "limit_up": F.lit(None).cast("double")})
+    """Flow, surprise, growth and limit stand-ins come from the panel's own prices."""
+    d = s.dense.withColumns({"flow": F.col("close") / F.nullif("open", F.lit(0.0)) - 1, "surprise": F.col("vwap") / F.nullif("close", F.lit(0.0)) - 1, "growth": F.col("ret_1d"), "limit_up": R.ts_delay("close", 1) * 1.1})
     d = P.stock_features(d, 6, 12, 24, 24, 2)
     return d.select("code", "date", "pos", "grp", "in_universe", "circ_mv", *FEATS)
 
@@ -129,11 +134,11 @@ def _(s):
 
 
 @query("industry_features", "N-F7 W35", dense(FSQL + """, hz AS (SELECT i.*, (ep - avg(ep) OVER w) / nullif(stddev_samp(ep) OVER w, 0) AS hz, count(ep) OVER w AS k FROM im i WINDOW w AS (PARTITION BY grp ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW))
-SELECT strftime(date, '%Y-%m-%d') AS date, grp, names, """ + ", ".join(f"round({f}, 6) AS {f}" for f in FEATS) + ", round(CASE WHEN k >= 12 THEN hz END, 5) AS ep_hist_z FROM hz"))
+SELECT strftime(date, '%Y-%m-%d') AS date, grp, names, """ + ", ".join(f"round({f}, 6) AS {f}" for f in FEATS) + ", round(dispersion, 6) AS dispersion, round(CASE WHEN k >= 12 THEN hz END, 5) AS ep_hist_z FROM hz"))
 def _(s):
-    d = P.industry_means(features(s), FEATS, "grp", 2).join(F.broadcast(s.cal), "date").withColumn("code", F.col("grp"))
+    d = P.industry_means(features(s), FEATS, "grp", 2, "mom_20").join(F.broadcast(s.cal), "date").withColumn("code", F.col("grp"))
     d = d.withColumn("z", F.when(F.count("ep").over(R.trailing(36)) >= 12, (F.col("ep") - F.avg("ep").over(R.trailing(36))) / F.nullif(F.stddev_samp("ep").over(R.trailing(36)), F.lit(0.0))))
-    return d.select(day("date").alias("date"), "grp", "names", *[r(f).alias(f) for f in FEATS], r("z", 5).alias("ep_hist_z"))
+    return d.select(day("date").alias("date"), "grp", "names", *[r(f).alias(f) for f in FEATS], r("dispersion").alias("dispersion"), r("z", 5).alias("ep_hist_z"))
 
 
 RZ = lambda f, src, by: f"CASE WHEN {f} IS NOT NULL AND count({f}) OVER (PARTITION BY {by}) >= 3 THEN ({AR(f'round({f}, 10)', by + f', ({f} IS NULL)')} - (count({f}) OVER (PARTITION BY {by}) + 1) / 2.0) / sqrt(greatest(count({f}) OVER (PARTITION BY {by}) * count({f}) OVER (PARTITION BY {by}) - 1, 1) / 12.0::DOUBLE) END"
