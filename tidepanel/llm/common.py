@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +15,6 @@ from tidepanel.operators.staging import materialize
 
 CHUNK_BYTES = 8 << 20
 
-#: ASCII white space, which separates words; anything else belongs to a word.
-BLANK = re.compile(rb"[\x20\x09-\x0D]+")
-
 
 def partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -84,17 +80,9 @@ class _Hashes(dict):
         return h
 
 
-def words_of(body: bytes) -> list[bytes]:
-    """Words between ASCII white space: what ``bytes.split()`` splits on is exactly that set."""
-    return body.split()
-
-
-def hash_words(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word, the same in every task."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    d = _Hashes()
-    return np.fromiter(map(d.__getitem__, words), np.uint64, len(words))
+def hash_words(words: Iterable[bytes], n: int) -> np.ndarray:
+    """A 64-bit hash of each of n words, the same in every task."""
+    return np.fromiter(map(_Hashes().__getitem__, words), np.uint64, n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -33,6 +33,7 @@ are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,7 +66,7 @@ _SLOTS = 64
 def token_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, ascending."""
     words = [t.lower().split() if t else [] for t in texts]
-    h = hash_words([w for ws in words for w in ws])
+    h = hash_words(itertools.chain.from_iterable(words), sum(map(len, words)))
     g, out, at = grams(h, width, 11), [], 0
     for ws in words:
         n = len(ws)

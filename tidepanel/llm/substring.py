@@ -29,6 +29,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,7 @@ from pyspark.sql import types as T
 from tidepanel.llm.common import binary, by_bucket, chunked, flat, grams, hash_words, lists, mix, partitions, unpack
 
 _LAST = np.iinfo(np.int64).max
+CHUNK_BYTES = 3 << 20
 
 
 def _lookup(a: np.ndarray, b: np.ndarray, keys_a: np.ndarray, keys_b: np.ndarray) -> np.ndarray:
@@ -74,7 +76,7 @@ class _Scan:
         self.docs = ids.fill_null(_LAST).to_numpy(zero_copy_only=False)
         self.words = [t.split() if t else [] for t in binary(batch.column(batch.schema.get_field_index(text))).to_pylist()]
         self.ends = np.cumsum([0, *map(len, self.words)])
-        h = hash_words([w for ws in self.words for w in ws])
+        h = hash_words(itertools.chain.from_iterable(self.words), int(self.ends[-1]))
         of = np.repeat(np.arange(len(self.docs)), np.diff(self.ends))
         m = max(0, len(h) - length + 1)
         inside = np.flatnonzero(of[:m] == of[length - 1 :]) if m else np.zeros(0, np.int64)
@@ -153,7 +155,7 @@ def _to_chunks(cols: list[np.ndarray], chunk: np.ndarray) -> pa.Table:
 
 
 def _run(docs: DataFrame, doc_id: str, text: str, length: int, seed: int, local: int, schema: T.StructType | str, emit: Callable) -> DataFrame:
-    base = chunked(docs, text)
+    base = chunked(docs, text, CHUNK_BYTES)
     buckets = 4 * partitions(docs.sparkSession)
     scan = lambda body: _Scan(unpack(body), doc_id, text, length, seed)
 
