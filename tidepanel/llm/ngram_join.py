@@ -26,7 +26,7 @@ difference).  So a group of n near copies costs n comparisons, and any pair that
 compared nor in one component would have to share no key.  All comparisons are exact, on the texts.
 
 Cases: null and empty texts have no shingle and link with nothing; with fewer words than ``width``
-the whole sequence is the one shingle; a row without id is returned with no component; a row
+the whole sequence is the one shingle; a row without id takes the component of an equal set that has one, else none, and joins no others; a row
 repeated as a whole is a document like its copy (ids are taken as unique otherwise); other columns
 are not read; an empty table gives an empty result.
 """
