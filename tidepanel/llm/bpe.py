@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import binary, chunked, partitions, unpack
+from tidepanel.llm.common import binary, chunked, give_back, partitions, unpack
 
 CHUNK_BYTES = 8 << 20
 
@@ -129,6 +129,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
                     own = [distinct[i] for i in at]
                     bodies.append(_squeeze(np.fromiter(map(len, own), np.int32, len(own)), b"".join(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(present), pa.array([chunk] * len(present), pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "chunk", "words"])
+        give_back()
 
     def encode_words(t: pa.Table) -> pa.Table:
         known, asked = _Numbers(), []
@@ -164,6 +165,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
             ids = [flat[_spans(first[w], size[w])].astype("<u4").tobytes() for w in at]
             back = [b"".join(map(decoded.__getitem__, w.tolist())) for w in at]
             out.append(pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"]))
+        del texts, distinct, at, flat, spelled, decoded, ids, back
+        give_back()
         return pa.Table.from_batches(out)
 
     asked = base.mapInArrow(words, "bucket long, chunk long, words binary")

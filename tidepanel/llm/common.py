@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -17,6 +18,15 @@ from tidepanel.operators.staging import materialize
 CHUNK_BYTES = 8 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on between tasks, next to other workers and the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,6 +74,7 @@ def chunked(df: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFra
                 if hi > lo:
                     yield pa.RecordBatch.from_arrays([pa.array([(task << 24) + serial], pa.int64()), pa.array([_pack(b.slice(lo, hi - lo))], pa.binary())], ["chunk", "body"])
                     serial += 1
+        give_back()
 
     return df.mapInArrow(pack, "chunk long, body binary").repartition("chunk")
 
@@ -79,6 +90,7 @@ def chunked_by_id(df: DataFrame, doc_id: str, chunks: int) -> DataFrame:
             rest = b.select(b.schema.names[1:])
             bodies = [_pack(rest.take(pa.array(at))) for at in np.split(order, starts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(present, pa.int64()), pa.array(bodies, pa.binary())], ["chunk", "body"])
+        give_back()
 
     return df.select(chunk_of(doc_id, chunks).alias("_chunk"), *df.columns).mapInArrow(pack, "chunk long, body binary")
 

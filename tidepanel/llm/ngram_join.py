@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import binary, by_bucket, chunk_of, chunked_by_id, connected_components, flat, grams, hash_words, lists, mix, partitions, small_batches, unpack
+from tidepanel.llm.common import binary, by_bucket, chunk_of, chunked_by_id, connected_components, flat, give_back, grams, hash_words, lists, mix, partitions, small_batches, unpack
 from tidepanel.operators.staging import materialize
 
 
@@ -153,6 +153,8 @@ def _profiles(docs: DataFrame, setting: Setting) -> DataFrame:
                     counts[:], held = 0, 0
         if held:
             yield sketch(counts)
+        del counts
+        give_back()
 
     ddl = "kind int, doc long, n long, s1 long, s2 long, " + ", ".join(f"b{i} long" for i in range(BITMAP)) + ", wide binary, counts binary"
     return docs.mapInArrow(scan, ddl)
@@ -212,6 +214,7 @@ def _stars(docs: DataFrame, levels: tuple[np.ndarray, int], setting: Setting) ->
             ups = np.append(np.zeros(len(starts), np.int64), len(more))
             cols = [pa.array(np.append(present, -1)), lists(signed[places], ends, pa.int64()), lists(doc[places], ends, pa.int64()), lists(low[more], ups, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["bucket", "key", "doc", "up"])
+        give_back()
 
     def meet(t: pa.Table) -> pa.Table:
         key, doc = flat(t.column("key")), flat(t.column("doc"))
@@ -257,6 +260,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, setting: Setting) -> DataFrame:
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(100 * common >= setting.percent * (len(x) + len(y) - common))
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
     return both.mapInArrow(check, "a long, b long").distinct()
 

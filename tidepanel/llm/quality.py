@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import binary
+from tidepanel.llm.common import binary, give_back
 from tidepanel.operators.staging import materialize
 
 CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "symbol", "other")
@@ -125,6 +125,7 @@ def references(docs: DataFrame, rules: Rules = Rules(), doc_text: str = "text",
                 yield rows()
         if held:
             yield rows()
+        give_back()
 
     got = docs.select(F.col(lang).cast("string").alias("lang"), F.col(doc_text).alias("text")).mapInArrow(gather, "lang string, word binary, n long")
     counts = materialize(got.groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -221,5 +222,6 @@ def keep(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str
             at, of = b.schema.get_field_index(text), b.schema.get_field_index(lang)
             mask = [one(t, k)[-1] for t, k in zip(binary(b.column(at)).to_pylist(), b.column(of).to_pylist(), strict=True)]
             yield b.filter(pa.array(mask, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(sift, docs.schema)

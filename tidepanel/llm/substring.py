@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.llm.common import binary, by_bucket, chunked, flat, grams, hash_words, lists, mix, partitions, unpack
+from tidepanel.llm.common import binary, by_bucket, chunked, flat, give_back, grams, hash_words, lists, mix, partitions, unpack
 
 _LAST = np.iinfo(np.int64).max
 CHUNK_BYTES = 3 << 20
@@ -165,6 +165,7 @@ def _run(docs: DataFrame, doc_id: str, text: str, length: int, seed: int, local:
                 out = _to_buckets(chunk, list(scan(body.as_buffer()).records(local)), buckets)
                 if out is not None:
                     yield out
+        give_back()
 
     def join(t: pa.Table) -> pa.Table:
         r = _records(t)
@@ -193,6 +194,8 @@ def _run(docs: DataFrame, doc_id: str, text: str, length: int, seed: int, local:
             if len(at):
                 low, high = np.minimum.reduceat(s.window_doc[at], lead), np.maximum.reduceat(s.window_doc[at], lead)
                 out.append(_to_buckets(chunk, [s.k1[at][lead], s.k2[at][lead], low, (high > low).astype(np.int8)], buckets))
+            del s
+        give_back()
         return pa.Table.from_batches(out, schema=_arrow(_SENT))
 
     def meet(t: pa.Table) -> pa.Table:
@@ -220,6 +223,8 @@ def _run(docs: DataFrame, doc_id: str, text: str, length: int, seed: int, local:
             edge[s.start[hit]] += 1
             np.add.at(edge, s.start[hit] + length, -1)
             out.append(emit(batch, s.words, s.ends, np.cumsum(edge)[:-1] > 0))
+        del s, batch
+        give_back()
         return pa.Table.from_batches(out)
 
     reply = "chunk long, kind long, h array<long>, ctx array<long>, doc array<long>, flag array<tinyint>"
