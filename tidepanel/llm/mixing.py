@@ -78,10 +78,19 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, most_b
     return got.select("doc_id", "source", "block", "slot", "phase", "release", "deadline", (F.col("_first") + F.col("_row") % each).alias("position"))
 
 
-def mixed_documents(docs: DataFrame, weights: dict | None = None, power: float = 0.7, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The documents of phase 0 with their columns, in files and rows by position: the longest mixture that has the target
-    weights without repeating a document.  Rows with equal ids stand at the first place of any of them."""
-    found = mix(docs, weights, power, doc_id=doc_id, source=source).where("phase = 0")
+def _in_place(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """The documents of ``found`` with their columns, in files and rows by position; rows with equal ids stand at the first place of any of them."""
     place = found.groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.min("position").alias("_position"))
     got = docs.join(place, docs[doc_id].eqNullSafe(place["_mixed_id"]))
     return got.repartitionByRange("_position").sortWithinPartitions("_position").select(*[docs[c] for c in docs.columns])
+
+
+def mixed_documents(docs: DataFrame, weights: dict | None = None, power: float = 0.7, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """The documents of phase 0 with their columns, in files and rows by position: the longest mixture that has the target
+    weights without repeating a document.  Rows with equal ids stand at the first place of any of them."""
+    return _in_place(docs, mix(docs, weights, power, doc_id=doc_id, source=source).where("phase = 0"), doc_id)
+
+
+def whole_mixture(docs: DataFrame, weights: dict | None = None, power: float = 0.7, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """All scheduled documents, of every phase, with their columns, in files and rows by position."""
+    return _in_place(docs, mix(docs, weights, power, doc_id=doc_id, source=source).where("position is not null"), doc_id)
