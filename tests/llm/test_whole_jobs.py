@@ -1,7 +1,11 @@
-"""Stages return their whole job."""
+"""Stages return their whole job: skewed sources, similarity between 0.8 and 0.9, rare languages."""
+
+import numpy as np
+import pytest
 
 import corpus_pipeline
-from tidepanel.llm import mixing
+from tidepanel.llm import mixing, ngram_join
+from test_text_operators import brute_components
 
 
 def test_mixture_stage_loses_no_document(spark):
@@ -12,3 +16,46 @@ def test_mixture_stage_loses_no_document(spark):
     assert sorted(got) == list(range(1000))
     place = {r.doc_id: r.position for r in mixing.mix(docs).collect()}
     assert [place[d] for d in got] == list(range(1000))
+
+
+def test_near_copies_stage_takes_similarity_of_80_percent(spark):
+    base = [f"w{i}" for i in range(100)]
+    texts = [base, base + [f"x{i}" for i in range(20)], base + [f"y{i}" for i in range(30)], [f"z{i}" for i in range(100)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 2, 3]  # 96/116, 96/126
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 10])
+def test_keys_of_linked_sets_meet_at_80_percent(frequent):
+    """Every number of tokens in x only, y only and both that links, for sizes from the smallest on."""
+    rng, setting = np.random.default_rng(6), ngram_join.Setting(width=5, percent=80, sketch_bits=10)
+    for common in range(3, 41):
+        for only_x in range(11):
+            for only_y in range(1, 11):
+                if 100 * common < 80 * (common + only_x + only_y):
+                    continue
+                for _ in range(6):
+                    u = np.unique(rng.integers(0, 1 << 63, common + only_x + only_y).astype(np.uint64))
+                    rng.shuffle(u)
+                    x, y = np.sort(u[: common + only_x]), np.sort(np.append(u[:common], u[common + only_x :]))
+                    levels = rng.integers(0, 10, 1 << 10).astype(np.uint8)
+                    assert np.intersect1d(ngram_join.keys_of(x, levels, frequent, setting), ngram_join.keys_of(y, levels, frequent, setting)).size
+
+
+def test_short_sets_are_those_of_four_and_five_tokens():
+    assert [n for n in range(60) if ngram_join.too_short(n, corpus_pipeline.NEAR)] == [4, 5]
+    assert not any(ngram_join.too_short(n, ngram_join.Setting()) for n in range(500))  # op5's keys are as before
+
+
+@pytest.mark.parametrize("share,least", [(1e-3, 64), (0.0, 2)])
+def test_jaccard_at_80_percent_matches_brute_force(spark, share, least):
+    """Chains of edits of all lengths, short texts among them; the second setting makes all shared tokens frequent."""
+    rng, rows = np.random.default_rng(4), []
+    for n in (8, 8, 8, 9, 9, 10, 12, 13, 20, 60, 150):
+        words = [f"v{x}" for x in rng.integers(0, 10_000, n)]
+        for _ in range(9):
+            rows.append((len(rows), " ".join(words)))
+            words = [*words, f"v{rng.integers(0, 10_000)}"] if rng.random() < 0.6 else words[1:] if len(words) > 7 else words
+    setting = ngram_join.Setting(width=5, percent=80, frequent_share=share, frequent_least=least, sketch_bits=18)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), setting).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows, 80, 5)

@@ -16,7 +16,9 @@ tokens, its prefix is extended to ``(d - r + 1) * k`` frequent ones and every k
 of it become one key.  In the merged order of two linked sets either one of the first d + 1 tokens
 is rare and common, or all R rare ones differ; then at most d - R of the frequent ones do, so among
 the first d - R + 1 blocks of k one is common to both and stands together in both.  No link is lost,
-and the length of the key list is linear in the set.
+and the length of the key list is linear in the set.  That needs (d - R + 1) * k frequent tokens in the
+merged order; sets so small that it may have fewer (``too_short``) index their first d + 1 tokens singly
+as well, so two of them meet by the common token among these.
 
 Candidates.  Equal sets are one class.  In each key group every set is compared with the smallest
 document only, and links are joined to components.  A second pass takes the sets that are not in
@@ -106,6 +108,12 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(u ^ v).sum())
 
 
+def too_short(n: int, setting: Setting) -> bool:
+    """Whether a link of a set of n tokens may leave fewer than D + 1 blocks of k tokens in the merged order, D being how many tokens differ."""
+    d = n * (100 - setting.percent) // setting.percent
+    return any(max(n, -(-100 * i // (100 - setting.percent))) < setting.k * (i + 1) for i in range(1, d + 1))
+
+
 def keys_of(tokens: np.ndarray, levels: np.ndarray, frequent: int, setting: Setting) -> np.ndarray:
     """Index keys of one set; ``levels`` has a byte for each slot of the sketch, from ``frequent`` on a token is frequent."""
     n = len(tokens)
@@ -116,7 +124,7 @@ def keys_of(tokens: np.ndarray, levels: np.ndarray, frequent: int, setting: Sett
     key = mix(tokens)
     order = np.lexsort((key, level))
     key, rare = key[order], int((level < frequent).sum())
-    single = key[: min(rare, d + 1)]
+    single = key[: d + 1 if too_short(n, setting) else min(rare, d + 1)]
     if rare > d:
         return single
     head = key[rare : rare + (d - rare + 1) * setting.k]
