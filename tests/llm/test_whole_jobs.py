@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidepanel.llm import mixing, ngram_join
+from tidepanel.llm import mixing, ngram_join, quality
 from test_text_operators import brute_components
 
 
@@ -59,3 +59,27 @@ def test_jaccard_at_80_percent_matches_brute_force(spark, share, least):
     setting = ngram_join.Setting(width=5, percent=80, frequent_share=share, frequent_least=least, sketch_bits=18)
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), setting).collect()
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows, 80, 5)
+
+
+def test_quality_keeps_small_languages(spark):
+    """Clean texts of rare or null languages in other scripts or words stay, junk goes; a rare language with enough words is judged by its own."""
+    rng = np.random.default_rng(7)
+
+    def prose(letters, common, n=150):
+        word = lambda: "".join(rng.choice(list(letters), int(rng.integers(3, 8))))
+        return ". ".join(" ".join(str(rng.choice(common)) if rng.random() < 0.4 else word() for _ in range(n // 10)) for _ in range(10)) + "."
+
+    junk = lambda: " ".join("".join(rng.choice(list("#$%&*"), 6)) + str(rng.integers(10**6)) for _ in range(150))
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщыэюя"
+    rows = [(prose(latin, ["the", "of", "and", "to", "in"]), "en", True) for _ in range(1200)]
+    rows += [(prose(cyrillic, ["и", "в", "не", "на"], 2500), "ru", True) for _ in range(5)] + [(junk() * 4, "ru", False)]  # 0.4 % and 12,500 words
+    rows += [(prose(cyrillic, ["да", "се", "на"]), "bg", True), (prose(cyrillic, ["да"]), None, True), (prose(latin, ["ja", "ei", "on"]), "fi", True), (prose(latin, ["ja", "ei"]), None, True)]
+    rows += [(" ".join("".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9000, 50)) for _ in range(14)), lang, True) for lang in ("zh", None)]
+    rows += [(junk(), "bg", False), (junk(), None, False), (junk(), "xx", False)]
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k, _) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert [i for i, (_, _, kept) in enumerate(rows) if got[i].kept != kept] == []
+    assert all((got[i].word_distance is None) == (k not in ("en", "ru")) for i, (_, k, kept) in enumerate(rows) if kept)
+    assert {r.doc_id for r in quality.keep(docs).select("doc_id").collect()} == {i for i, (_, _, kept) in enumerate(rows) if kept}
+    few = quality.references(docs, quality.Rules(most_references=1))
+    assert set(few) == {"en", None}

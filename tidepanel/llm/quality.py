@@ -2,13 +2,19 @@
 
 References are learned from all documents: for each language the histogram of character
 classes and of its common words (those with at least ``common_share`` of the language's words,
-so at most ``1 / common_share`` of them).  A language with less than ``language_share`` of the
-documents, or none, is judged against the reference of all documents together.  A document is
+so at most ``1 / common_share`` of them).  A language has a reference of its own with
+``language_share`` of the documents or with ``reference_words`` words, whatever its share then; of more
+than ``most_references`` such languages the ones with the most words have one.  A document is
 judged by the Jensen-Shannon distance (base 2, so 0 to 1) of its two histograms from the
 reference, each only from a minimum length on: short texts say too little.
 
+A document without such a language says nothing about its script or its common words.  Its words
+are not judged (null), and its characters only by what all scripts have in common: letters and
+blanks are one class, a text with no smaller share of it than the reference has distance 0, and
+the nearest of all references counts, that of all documents together among them.
+
 Cases: a null text has no words and fails the base rules; an empty text likewise; a null lang
-takes the pooled reference; repeated rows are judged alike and each kept or not; other columns,
+has no reference of its own; repeated rows are judged alike and each kept or not; other columns,
 whatever their names, pass through ``keep`` untouched.  An empty table gives an empty result.
 """
 
@@ -36,6 +42,8 @@ class Rules:
     max_repeat_percent: int = 20
     common_share: float = 1 / 400
     language_share: float = 1 / 200
+    reference_words: int = 10_000
+    most_references: int = 1_000
     char_guard: int = 500
     word_guard: int = 100
     max_char_distance: float = 0.24
@@ -98,7 +106,7 @@ _HEAD = "substring(word, 1, 1) = X'23'"
 
 
 def references(docs: DataFrame, rules: Rules = Rules(), doc_text: str = "text", lang: str = "lang") -> dict[str | None, tuple[np.ndarray, dict[bytes, float]]]:
-    """Reference histograms by language; None is the pooled one.  Their size is bounded by the two shares."""
+    """Reference histograms by language; None is the pooled one, of classes only.  Their size is bounded by ``common_share`` and ``most_references``."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -136,9 +144,9 @@ def references(docs: DataFrame, rules: Rules = Rules(), doc_text: str = "text",
 
 
 def _fit(counts, size, n_docs, rules):
-    own = sorted({k for k, w in size if k is not None and size[(k, b"#docs")] >= rules.language_share * n_docs})
+    fit = {k for k, w in size if k is not None and (size[(k, b"#docs")] >= rules.language_share * n_docs or size[(k, b"#words")] >= rules.reference_words)}
+    own = sorted(sorted(fit, key=lambda k: (-size[(k, b"#words")], k))[: rules.most_references])
     out = {}
-    words_all = sum(n for (_, w), n in size.items() if w == b"#words")
     cut = {k: max(1, rules.common_share * size[(k, b"#words")]) for k in own}
     picked = counts.where(~F.expr(_HEAD))
     common: dict = defaultdict(dict)
@@ -146,12 +154,9 @@ def _fit(counts, size, n_docs, rules):
         least = F.create_map(*[F.lit(x) for k in own for x in (k, float(cut[k]))])
         for r in picked.where(F.col("lang").isin(own) & (F.col("n") >= F.element_at(least, F.col("lang")))).collect():
             common[r.lang][bytes(r.word)] = r.n
-    for r in picked.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, rules.common_share * words_all)).collect():
-        common[None][bytes(r.word)] = r.n
     for k in [*own, None]:
-        classes = np.array([sum(n for (q, w), n in size.items() if w == b"#%d" % i and (k is None or q == k)) for i in range(8)], float)
-        total = words_all if k is None else size[(k, b"#words")]
-        words = {w: n / total for w, n in sorted(common[k].items())} if total else {}
+        classes = np.array([size[(k, b"#%d" % i)] if k is not None else sum(n for (_, w), n in size.items() if w == b"#%d" % i) for i in range(8)], float)
+        words = {w: n / size[(k, b"#words")] for w, n in sorted(common[k].items())}
         out[k] = (classes / max(classes.sum(), 1), words)
     return out
 
@@ -164,6 +169,12 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(min(max(d / 2, 0.0), 1.0)))
 
 
+def _any_script(classes: np.ndarray) -> np.ndarray:
+    """The histogram with letters of all scripts and blanks as one class, the first."""
+    text = [CLASSES.index(c) for c in ("lower", "upper", "blank", "other")]
+    return np.append(classes[text].sum(), np.delete(classes, text))
+
+
 class Judge:
     """Counts and verdict of one text against the references."""
 
@@ -173,6 +184,11 @@ class Judge:
         for k, (classes, words) in refs.items():
             shares = np.fromiter(words.values(), float, len(words))
             self.refs[k] = (classes, {w: i for i, w in enumerate(words)}, np.append(shares, max(0.0, 1 - shares.sum())))
+        self.scripts = np.unique([_any_script(classes) for classes, _ in refs.values()], axis=0) if refs else []
+
+    def _from_any(self, classes: np.ndarray) -> float:
+        own = _any_script(classes)
+        return 0.0 if own[0] >= min(r[0] for r in self.scripts) else min(js_distance(own, r) for r in self.scripts)
 
     def __call__(self, text: bytes | None, lang: str | None) -> tuple:
         rules = self.rules
@@ -180,11 +196,12 @@ class Judge:
         failed = len(words) < rules.min_words or 100 * rep > rules.max_repeat_percent * len(words)
         far_chars = far_words = None
         if text and self.refs:
-            classes, at, shares = self.refs.get(lang) or self.refs[None]
+            fits = lang is not None and lang in self.refs
+            classes, at, shares = self.refs[lang if fits else None]
             own = _classes(text)
             if own.sum() >= rules.char_guard:
-                far_chars = js_distance(own / own.sum(), classes)
-            plain = text.translate(_PLAIN).split()
+                far_chars = js_distance(own / own.sum(), classes) if fits else self._from_any(own / own.sum())
+            plain = text.translate(_PLAIN).split() if at else []
             if len(plain) >= rules.word_guard and at:
                 seen = np.bincount(np.fromiter((at.get(w, len(at)) for w in plain), np.int64, len(plain)), minlength=len(at) + 1)
                 far_words = js_distance(seen / len(plain), shares)
@@ -196,7 +213,7 @@ _OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 
 
 def quality(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row for each document: its id, counts, distances (null below the minimum length) and verdict."""
+    """One row for each document: its id, counts, distances (null below the minimum length, that of words also without a reference) and verdict."""
     refs = references(docs, rules, text, lang)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
