@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidepanel.llm import mixing, ngram_join, quality
+from tidepanel.llm import licences, mixing, ngram_join, quality
 from test_text_operators import brute_components
 
 
@@ -83,3 +83,42 @@ def test_quality_keeps_small_languages(spark):
     assert {r.doc_id for r in quality.keep(docs).select("doc_id").collect()} == {i for i, (_, _, kept) in enumerate(rows) if kept}
     few = quality.references(docs, quality.Rules(most_references=1))
     assert set(few) == {"en", None}
+
+
+def test_licence_headers_and_titles(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+   the documentation and/or other materials provided with the distribution.
+3. Neither the name of Example, Inc. nor the names of its contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    terms = "This {} is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation{} either version {} of the License, or\n# (at your option) any later version."
+    texts = {
+        "// SPDX-License-Identifier: MIT\n#include <a.h>": "MIT",
+        "/* SPDX-License-Identifier: Apache-2.0 */ int x;": "Apache-2.0",
+        "# SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0-only",
+        "# Copyright 2020 X\n# SPDX-License-Identifier: GPL-3.0-or-later\nimport os\n": "GPL-3.0-or-later",
+        "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause.": "BSD-2-Clause",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "MIT Apache-2.0",
+        "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note": "GPL-2.0-only", "spdx-license-identifier:LGPL-2.1+": "LGPL-2.1-or-later",
+        "SPDX-License-Identifier: Apache-2.0 (it was MIT once)": "Apache-2.0", "See SPDX-License-Identifier: for the license": "",
+        "SPDX-License-Identifier: MPL-2.0 AND (ISC OR CC0-1.0)": "MPL-2.0 ISC CC0-1.0",
+        terms.format("program", ";", "", ";", "2"): "GPL-2.0-or-later", terms.format("program", ":", "", ",", "3"): "GPL-3.0-or-later",
+        terms.format("library", ";", "Lesser ", ";", "2.1"): "LGPL-2.1-or-later", terms.format("program", ":", "Affero ", ",", "3"): "AGPL-3.0-or-later",
+        terms.format("program", ":", "Lesser ", ",", "3"): "LGPL-3.0-or-later", terms.format("library", ";", "Library ", ";", "2"): "LGPL-2.0-or-later",
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n": "GPL-3.0-only",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n": "GPL-2.0-only", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n": "LGPL-2.1-only",
+        "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n": "AGPL-3.0-only",
+        "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS": "Apache-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/": "EPL-2.0",
+        "To the extent possible under law, Jo Doe has waived all copyright and related or neighboring rights to Words.": "CC0-1.0", "CC0 1.0 Universal": "CC0-1.0",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        bsd: "BSD-3-Clause",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.licence_scan(docs).collect()}
+    assert [(t, got[i], want) for i, (t, want) in enumerate(texts.items()) if got[i] != want] == []
+    ids = set(licences.SENTENCES.values()) | set(licences.MORE_SENTENCES.values())
+    assert all(i in ids for _, _, rule in licences.RULES + licences.MORE_RULES for i in rule)

@@ -1,12 +1,18 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences, at line ends and after ``. ; : ! ?`` before a blank; a second reading joins the
-lines of a paragraph first, for wrapped licence texts, and is taken when it recognises more.  A normalised
+lines of a paragraph first, for wrapped licence texts, and is taken when it recognises more (of equal numbers, more
+besides copyright notices: a wrapped line may begin with that word).  A normalised
 sentence (ASCII lower case, other signs to one blank, licence spelt license, a copyright notice reduced to
 that word) maps to a known identifier.  Rules are ordered lists of identifiers; a rule matches when its
 identifiers occur in that order, others between allowed.  Within a family only the first matching rule
 counts, so a longer licence comes before one that it contains.  Nothing is shuffled.
 
+An SPDX line is taken out before the cut: each identifier of its expression (also after ``OR``, ``AND``) is a
+sentence of its own, exceptions after ``WITH`` are not read.  ``licence_sql`` has the tables ``SENTENCES`` and
+``RULES`` only, cuts SPDX lines after the colon and takes the first reading of equal ones; it says the same for texts
+without SPDX lines, named holders or sentences of ``MORE_SENTENCES``, and where no such tie is decided.
+
 Cases: null and empty texts have no sentence and no licence; a sentence that occurs twice is listed twice, a
 licence once; texts are read whole; null and repeated ids are rows like others; other columns are not read;
 an empty table gives an empty result.
@@ -78,16 +84,131 @@ RULES = (
     ("BSD-2-Clause", "bsd", ("bsd2-line",)),
 )
 
+_SPDX_IDS = {
+    "gpl 2 0": "gpl2-only-line", "gpl 2 0 only": "gpl2-only-line", "gpl 2 0 or later": "gpl2-later-line", "gpl 3 0": "gpl3-line",
+    "lgpl 2 0": "lgpl2-line", "lgpl 2 0 only": "lgpl2-line", "lgpl 2 0 or later": "lgpl2-later-line",
+    "lgpl 2 1": "lgpl21-line", "lgpl 2 1 only": "lgpl21-line", "lgpl 2 1 or later": "lgpl21-later-line",
+    "lgpl 3 0": "lgpl3-line", "lgpl 3 0 only": "lgpl3-line", "lgpl 3 0 or later": "lgpl3-later-line",
+    "agpl 3 0": "agpl3-line", "agpl 3 0 only": "agpl3-line", "agpl 3 0 or later": "agpl3-later-line",
+    "mpl 2 0": "mpl2-line", "isc": "isc-line", "epl 1 0": "epl1-line", "epl 2 0": "epl2-line", "cc0 1 0": "cc0-line", "unlicense": "unlicense-line", "0bsd": "0bsd-line",
+    "cc by 4 0": "cc-by-line", "cc by sa 4 0": "cc-by-sa-line", "cc by nc 4 0": "cc-by-nc-line",
+}
+_TERMS = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation"
+_LATER = "either version {} of the license or at your option any later version"
+_LICENSED = ("licensed under the {}", "this project is licensed under the {}", "this work is licensed under the {}", "released under the {}")
+_TITLES = {
+    "gpl2": ("gnu general public license", "version 2 june 1991"), "gpl3": ("gnu general public license", "version 3 29 june 2007"),
+    "lgpl2": ("gnu library general public license", "version 2 june 1991"), "lgpl21": ("gnu lesser general public license", "version 2 1 february 1999"),
+    "lgpl3": ("gnu lesser general public license", "version 3 29 june 2007"), "agpl3": ("gnu affero general public license", "version 3 19 november 2007"),
+    "apache": ("apache license", "version 2 0 january 2004"),
+}
+_NAMES = {
+    "gpl2-only-line": ("gnu general public license version 2", "gnu gpl version 2", "gnu gpl v2"), "gpl3-line": ("gnu gpl version 3", "gnu gpl v3"),
+    "lgpl21-line": ("gnu lesser general public license version 2 1", "gnu lgpl version 2 1", "gnu lgpl v2 1"), "lgpl3-line": ("gnu lesser general public license version 3", "gnu lgpl version 3", "gnu lgpl v3"),
+    "agpl3-line": ("gnu affero general public license version 3", "gnu agpl version 3", "gnu agpl v3"), "mpl2-line": ("mozilla public license 2 0", "mozilla public license version 2 0"),
+    "isc-line": ("isc license",), "epl2-line": ("eclipse public license 2 0", "eclipse public license version 2 0"), "unlicense-line": ("unlicense",),
+}
+
+#: Sentences and rules that the SQL twin does not have (fixed values).
+MORE_SENTENCES = (
+    {f"spdx license identifier {s}": i for s, i in _SPDX_IDS.items()}
+    | {way.format(s): i for i, names in _NAMES.items() for s in names for way in _LICENSED}
+    | {name: f"{k.rstrip('123')}-name" for k, (name, _) in _TITLES.items() if k != "lgpl2"}
+    | {"gnu library general public license": "library-name"}
+    | {date: date.replace(" ", "-") for _, date in _TITLES.values()}
+    | {f"{name} {date}": f"{k}-title" for k, (name, date) in _TITLES.items()}
+    | {"apache license version 2 0 january 2004 http www apache org licenses": "apache-title", "apache license version 2 0 january 2004 https www apache org licenses": "apache-title"}
+    | {_TERMS.format(f"{k}general public license"): f"{n}-terms" for k, n in (("", "gpl"), ("lesser ", "lgpl"), ("library ", "library"), ("affero ", "agpl"))}
+    | {_LATER.format(v): f"later-{v.replace(' ', '-')}" for v in ("2", "2 1", "3")}
+    | {_TERMS.format(f"{k}general public license") + " " + _LATER.format(v): f"{n}{v.replace(' ', '')}-terms" for k, n in (("lesser ", "lgpl"), ("library ", "library"), ("affero ", "agpl")) for v in ("2", "2 1", "3")}
+    | {f"you can redistribute it and or modify it under the terms of the gnu {k}general public license version {v} as published by the free software foundation": i
+       for k, v, i in (("", "2", "gpl2-only-line"), ("", "3", "gpl3-line"), ("lesser ", "2 1", "lgpl21-line"), ("lesser ", "3", "lgpl3-line"), ("affero ", "3", "agpl3-line"))}
+    | {"this library is free software": "gpl-free"}
+    | {f"if a copy of the mpl was not distributed with this file you can obtain one at {h} mozilla org mpl 2 0": "mpl2-copy" for h in ("http", "https")}
+    | {
+        "mozilla public license version 2 0": "mpl2-title",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+        "eclipse public license v 1 0": "epl1-title",
+        "eclipse public license v 2 0": "epl2-title",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html": "epl1-terms",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-terms",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-terms",
+        "cc0 1 0 universal": "cc0-title",
+        "creative commons legal code cc0 1 0 universal": "cc0-title",
+        "this is free and unencumbered software released into the public domain": "unlicense-grant",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-free",
+    }
+)
+
+MORE_RULES = (
+    ("Apache-2.0", "apache", ("apache-title",)),
+    ("Apache-2.0", "apache", ("apache-name", "version-2-0-january-2004")),
+    ("GPL-3.0-or-later", "gpl", ("gpl-free", "gpl-terms", "later-3")),
+    ("GPL-2.0-or-later", "gpl", ("gpl-free", "gpl-terms", "later-2")),
+    ("GPL-2.0-or-later", "gpl", ("gpl2-later-line",)),
+    ("GPL-2.0-only", "gpl", ("gpl2-only-line",)),
+    ("GPL-3.0-only", "gpl", ("gpl3-title",)),
+    ("GPL-3.0-only", "gpl", ("gpl-name", "version-3-29-june-2007")),
+    ("GPL-2.0-only", "gpl", ("gpl2-title",)),
+    ("GPL-2.0-only", "gpl", ("gpl-name", "version-2-june-1991")),
+    *[(f"LGPL-{v}-or-later", "lgpl", i) for v, t in (("3.0", "3"), ("2.1", "2 1")) for i in ((f"lgpl{t.replace(' ', '')}-terms",), ("lgpl-terms", f"later-{t.replace(' ', '-')}"), (f"lgpl{t.replace(' ', '')}-later-line",))],
+    *[("LGPL-2.0-or-later", "lgpl", i) for i in (("library2-terms",), ("library-terms", "later-2"), ("lgpl2-later-line",))],
+    *[(f"LGPL-{v}-only", "lgpl", i) for v, k, name in (("3.0", "lgpl3", "lgpl-name"), ("2.1", "lgpl21", "lgpl-name"), ("2.0", "lgpl2", "library-name")) for i in ((f"{k}-line",), (f"{k}-title",), (name, _TITLES[k][1].replace(" ", "-")))],
+    *[("AGPL-3.0-or-later", "agpl", i) for i in (("agpl3-terms",), ("agpl-terms", "later-3"), ("agpl3-later-line",))],
+    *[("AGPL-3.0-only", "agpl", i) for i in (("agpl3-line",), ("agpl3-title",), ("agpl-name", "version-3-19-november-2007"))],
+    *[("MPL-2.0", "mpl", (i,)) for i in ("mpl2-copy", "mpl2-line", "mpl2-title")],
+    *[("ISC", "isc", (i,)) for i in ("isc-grant", "isc-line")],
+    *[("0BSD", "0bsd", (i,)) for i in ("0bsd-grant", "0bsd-line")],
+    *[("EPL-2.0", "epl", (i,)) for i in ("epl2-terms", "epl2-line", "epl2-title")],
+    *[("EPL-1.0", "epl", (i,)) for i in ("epl1-terms", "epl1-line", "epl1-title")],
+    *[("CC0-1.0", "cc0", (i,)) for i in ("cc0-waived", "cc0-line", "cc0-title")],
+    *[("Unlicense", "unlicense", (i,)) for i in ("unlicense-grant", "unlicense-free", "unlicense-line")],
+)
+
+#: Sentences that name a holder or a work: the pattern of the whole sentence, a part that it holds, the sentence or identifier it stands for.
+NAMED = (
+    ("^([0-9]+ )?neither the names? of .+ nor the names? of (its|the|any|other) contributors may be used to endorse or promote products derived from this software without specific prior written permission$", "neither the name",
+     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("^the names? of .+ may not be used to endorse or promote products derived from this software without specific prior written permission$", "may not be used to endorse",
+     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("^to the extent possible under law .* ?ha(s|ve) waived all copyright and related or neighboring rights to .+$", "waived all copyright", "cc0 waived copyright"),
+)
+MORE_SENTENCES["cc0 waived copyright"] = "cc0-waived"
+
 #: Each known sentence holds one of these, so a text without any needs no cutting.
-TRIGGERS = ("copyright", "licens", "licenc", "permission", "software", "redistribut")
+TRIGGERS = ("copyright", "licens", "licenc", "permission", "software", "redistribut", "cc0 1.0")
+
+_ID = "[a-z0-9][a-z0-9.+-]*"
+_SPDX = f"spdx-license-identifier:[ \\t]*((?:\\([ \\t]*)*{_ID}(?:[ \\t]*\\))*(?:[ \\t]+(?:or|and|with)[ \\t]+(?:\\([ \\t]*)*{_ID}(?:[ \\t]*\\))*)*)"
+_DOTTED = "(neither\\s+the\\s+names?\\s+of\\s[^;:]{0,200}?)\\.(?=\\s[^;:]{0,200}?nor\\s+the\\s+names?\\s+of\\s)"
+_TAG, _MARK = "spdx-license-identifier:", "\x01"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _marked(low: Column) -> Column:
+    """SPDX expressions stand between marks, which end sentences in both readings; up to three points in a holder's name go."""
+    bare = low
+    for _ in range(3):
+        bare = F.regexp_replace(bare, _DOTTED, "$1")
+    low = F.when(low.rlike(_DOTTED), bare).otherwise(low)
+    return F.when(F.contains(low, F.lit(_TAG)), F.regexp_replace(low, _SPDX, f"{_MARK}{_TAG}$1{_MARK}")).otherwise(low)
+
+
+def _spdx_sentences(s: Column) -> Column:
+    """One sentence for each licence of an expression."""
+    bare = F.regexp_replace(F.substring(s, len(_TAG) + 1, 1 << 30), f"[ \\t]with[ \\t]+{_ID}", "")
+    return F.transform(F.split(bare, "[ \\t()]+(?:(?:or|and)[ \\t()]+)*"), lambda x: F.concat(F.lit(_TAG), F.regexp_replace(x, "\\+$", " or later")))
+
+
 def _identifiers(low: Column, known: Column) -> Column:
-    ended = F.regexp_replace(low, "([.;:!?])[ \\t\\r\\n]+", "$1\n")
-    plain = F.transform(F.split(ended, "\n+"), lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), "licence", "license"))
+    ended = F.translate(F.regexp_replace(low, "([.;:!?])[ \\t\\r\\n]+", "$1\n"), _MARK, "\n")
+    cut = F.flatten(F.transform(F.split(ended, "\n+"), lambda s: F.when(s.startswith(_TAG), _spdx_sentences(s)).otherwise(F.array(s))))
+    plain = F.transform(cut, lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), "licence", "license"))
     plain = F.transform(plain, lambda s: F.when(s.startswith("copyright ") & ~F.contains(s, F.lit(" license")), F.lit("copyright")).otherwise(s))
+    plain = F.transform(plain, lambda s: F.coalesce(*[F.when(F.contains(s, F.lit(part)) & s.rlike(pattern), F.lit(known_as)) for pattern, part, known_as in NAMED], s))
     return F.filter(F.transform(plain, lambda s: F.element_at(known, s)), lambda s: s.isNotNull())
 
 
@@ -95,14 +216,15 @@ def _pattern(ids: tuple[str, ...]) -> str:
     return "\\|" + "\\|(.*\\|)?".join(ids) + "\\|"
 
 
-def licence_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def licence_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES | MORE_SENTENCES, rules=RULES + MORE_RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_sentences recognised, sentence_ids and licences, both in order and joined by a blank."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     low = F.translate(F.col(text), _UPPER, _LOWER)
-    got = docs.select(F.col(doc_id).alias("doc_id"), F.when(F.col(text).rlike("(?i)" + "|".join(TRIGGERS)), low).alias("low"))
+    got = docs.select(F.col(doc_id).alias("doc_id"), F.when(F.col(text).rlike("(?i)" + "|".join(TRIGGERS)), _marked(low)).alias("low"))
     joined = F.regexp_replace(F.regexp_replace(F.col("low"), "\n[ \\t\\r]*\n[ \\t\\r\\n]*", "\r\r"), "\n", " ")
     got = got.select("doc_id", _identifiers(F.col("low"), known).alias("a"), _identifiers(F.regexp_replace(joined, "\r\r", "\n"), known).alias("b"))
-    ids = F.coalesce(F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")), F.array().cast("array<string>"))
+    told = lambda c: F.size(F.filter(c, lambda i: i != "copyright"))
+    ids = F.coalesce(F.when((F.size("b") > F.size("a")) | ((F.size("b") == F.size("a")) & (told("b") > told("a"))), F.col("b")).otherwise(F.col("a")), F.array().cast("array<string>"))
     got = got.select("doc_id", ids.alias("ids")).withColumn("seq", F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|")))
     families = dict.fromkeys(f for _, f, _ in rules)
     found = [F.coalesce(*[F.when(F.col("seq").rlike(_pattern(i)), F.lit(n)) for n, f, i in rules if f == family]) for family in families]
