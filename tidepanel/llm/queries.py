@@ -133,3 +133,33 @@ def op10_licence_scan(spark, sf_dir):
     from tidepanel.llm.licences import licence_scan
 
     return licence_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark, sf_dir):
+    from tidepanel.llm.spelling import spelling_groups
+
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_word_table_bpe")
+def op12_word_table_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from tidepanel.llm.word_bpe import decode, digests, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return digests(decode(encode(table(spark, sf_dir, "documents"), path), path))
+
+
+def _fim_sql() -> str:
+    from tidepanel.llm.fim import FIM_SQL
+
+    return FIM_SQL
+
+
+@query("op13_fill_in_middle", _fim_sql())
+def op13_fill_in_middle(spark, sf_dir):
+    from tidepanel.llm.fim import digests, fill_in_middle
+
+    return digests(fill_in_middle(table(spark, sf_dir, "documents")))
