@@ -2,11 +2,13 @@
 
 import math
 
+import pandas as pd
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if hasattr(v, "item"):
         v = v.item()
