@@ -2,11 +2,13 @@
 
 Words are what the tokenizer's own splitter makes of a text; its special strings are words of their own.  One
 scan cuts the texts: it gathers some ``CHUNK_BYTES`` of text to a chunk, numbers the chunk's distinct words in
-order of appearance and writes, to the shared folder, the numbers of every document by position and the words
-of the chunk dealt by hash into buckets.  Each bucket encodes each of its distinct words once and answers every
-chunk with ids in the order asked.  There the ids are joined to the positions.  Texts are cut once and never
-shuffled: what moves is positions and words.  The number of buckets follows the bytes of the input, so a bucket
-stays bounded; a word common to all chunks costs a bucket some bytes for each chunk.
+order of appearance and sends the numbers of every document by position to the chunk's key and the words of the
+chunk, dealt by hash, to the keys of buckets.  Each bucket encodes each of its distinct words once and answers
+every chunk with ids in the order asked.  There the ids are joined to the positions.  Texts are cut once and
+never shuffled: what moves is positions and words.  The number of buckets follows the bytes of the input, so a
+bucket stays bounded; a word common to all chunks costs a bucket some bytes for each chunk.  A stamp of the
+chunk's words travels with questions and answers: where an input without fixed order gives another chunk to a
+repeated task, the job fails rather than mixing the two.
 
 Decoding joins ids with the table of pieces; that table is as large as the vocabulary, whatever the input, so
 it is sent to the tasks and looked up by id.
@@ -35,11 +37,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidepanel.llm.common import binary, give_back, partitions, small_batches
-from tidepanel.operators.staging import materialize
+from tidepanel.llm.common import binary, give_back, partitions
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20  # of text for each bucket
 
 # Letters, digits and blanks below U+02C2, where all Unicode versions agree.
@@ -124,21 +126,23 @@ def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
 
 
-_CUT = "kind int, chunk long, bucket long, place long, rows binary, body binary"
+_CUT = "key long, chunk long, stamp long, rows binary, body binary"
 
 
 def _cut(docs: DataFrame, path: str, buckets: int) -> DataFrame:
-    """Rows of kind 0: the documents of a chunk and their words by number; of kind 1: the chunk's words in a bucket, with their numbers."""
+    """Rows with key -1 - chunk: the documents of a chunk and their words by number; with key = bucket: the chunk's words in a bucket, with their numbers."""
 
     def write(chunk: int, ids: list[pa.Array], counts: list[int], numbers: list[np.ndarray], known: _Numbers) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
         held = pa.RecordBatch.from_arrays([pa.chunked_array(ids).combine_chunks()], ["doc_id"])
         with pa.ipc.new_stream(sink, held.schema) as w:
             w.write_batch(held)
-        body = _tight(np.array(counts, np.int64), np.concatenate(numbers) if numbers else np.zeros(0, np.uint32))
-        names = ["kind", "chunk", "bucket", "place", "rows", "body"]
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([body], pa.binary())], names)
         words = [w.encode() for w in known]
+        joined = b"".join(words)
+        stamp = xxhash.xxh3_64_intdigest(joined) >> 1
+        body = _tight(np.array(counts, np.int64), np.concatenate(numbers) if numbers else np.zeros(0, np.uint32))
+        names = ["key", "chunk", "stamp", "rows", "body"]
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk]), pa.array([chunk]), pa.array([stamp]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([body], pa.binary())], names)
         if not words:
             return
         bucket = (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)).astype(np.int64)
@@ -149,14 +153,14 @@ def _cut(docs: DataFrame, path: str, buckets: int) -> DataFrame:
             own = [words[i] for i in at.tolist()]
             bodies.append(_tight(at.astype(np.uint32), np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own)))
         n = len(present)
-        yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(present, pa.int64()), pa.array(range(n), pa.int64()), pa.nulls(n, pa.binary()), pa.array(bodies, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(present, pa.int64()), pa.array([chunk] * n, pa.int64()), pa.array([stamp] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(bodies, pa.binary())], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         cutter, chunk = Cutter(path), TaskContext.get().partitionId() << 24
         ids, counts, numbers, known, size = [], [], [], _Numbers(), 0
-        for b in batches:
+        for b in (batch.slice(lo, 200) for batch in batches for lo in range(0, batch.num_rows, 200)):
             start = 0
             for i, t in enumerate(binary(b.column(1)).to_pylist()):
                 words = cutter.words(t.decode("utf-8", "replace")) if t else []
@@ -175,10 +179,15 @@ def _cut(docs: DataFrame, path: str, buckets: int) -> DataFrame:
     return docs.mapInArrow(scan, _CUT)
 
 
-def _answers(asked: DataFrame, path: str) -> DataFrame:
-    """Ids of the words of each (bucket, chunk), every distinct word of a bucket encoded once."""
+_ANSWER = "key long, stamp long, ids binary"
+
+
+def _answers(cut: DataFrame, path: str) -> DataFrame:
+    """Ids of the words of each (bucket, chunk) for the key of the chunk, every distinct word of a bucket encoded once."""
 
     def encode(t: pa.Table) -> pa.Table:
+        if t.column("key")[0].as_py() < 0:  # a chunk, which waits for its answers
+            return pa.table({"key": pa.array([], pa.int64()), "stamp": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
         own, known, questions = tokenizer(path), _Numbers(), []
         for body in t.column("body"):
             at, sizes, joined = _loose(body.as_py(), np.uint32, np.uint32, bytes)
@@ -193,32 +202,33 @@ def _answers(asked: DataFrame, path: str) -> DataFrame:
         size, flat = np.concatenate(sizes), np.concatenate(ids)
         first = np.cumsum(size) - size
         back = [_tight(at, size[q], flat[_places(first[q].astype(np.int64), size[q].astype(np.int64))]) for at, q in questions]
+        del known, words, sizes, ids, questions
         give_back()
-        return pa.table({"chunk": t.column("chunk"), "ids": pa.array(back, pa.binary())})
+        return pa.table({"key": pc.subtract(-1, t.column("chunk")), "stamp": t.column("stamp"), "ids": pa.array(back, pa.binary())})
 
-    return asked.groupBy("bucket").applyInArrow(encode, "chunk long, ids binary")
+    return cut.groupBy("key").applyInArrow(encode, _ANSWER)
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, ids (array of int), by the tokenizer file at ``path``, which every executor can read."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(partitions(spark), size // BUCKET_BYTES)
-    with small_batches(spark, 1000):
-        cut = materialize(_cut(docs, path, buckets))
-    answers = _answers(cut.where("kind = 1").select("bucket", "chunk", "body"), path)
+    parts = max(partitions(docs.sparkSession), size // BUCKET_BYTES)
+    # One exchange holds chunks and questions, so both passes below read it and nothing is cut twice.
+    cut = _cut(docs, path, parts).repartition(parts, "key")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for rows, body in zip(left.column("rows"), left.column("body"), strict=True):
+        for key, stamp, rows, body in zip(*(left.column(c) for c in ("key", "stamp", "rows", "body")), strict=True):
+            if key.as_py() >= 0:
+                continue
             ids = pa.ipc.open_stream(rows.as_py()).read_all().column(0).combine_chunks()
             counts, number = _loose(body.as_py(), np.int64, np.uint32)
             parts = [_loose(x.as_py(), np.uint32, np.uint32, np.uint32) for x in right.column("ids")]
             at = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint32)
-            if len(at) != (int(number.max()) + 1 if len(number) else 0):
-                raise RuntimeError("a chunk did not get the ids of all its words")
+            if len(at) != (int(number.max()) + 1 if len(number) else 0) or any(s != stamp for s in right.column("stamp")):
+                raise RuntimeError("a chunk did not get the ids of its words: the rows of the input changed between two runs of a task")
             size, first = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
             sizes = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else size
             flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint32)
@@ -226,11 +236,12 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             ends = np.append(0, np.append(0, np.cumsum(size[number]))[np.cumsum(counts)])
             values = flat[_places(first[number], size[number])].astype(np.int32)
             out.append(pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))}))
+            del counts, number, parts, at, size, first, sizes, flat, values
         give_back()
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], left.schema.field("chunk").type), "ids": pa.array([], pa.list_(pa.int32()))})
+        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.nulls(0), "ids": pa.array([], pa.list_(pa.int32()))}).cast(result)
 
-    base = cut.where("kind = 0").select("chunk", "rows", "body")
-    return base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, f"doc_id {kind}, ids array<int>")
+    result = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("ids", pa.list_(pa.int32()))])
+    return cut.groupBy("key").cogroup(_answers(cut, path).groupBy("key")).applyInArrow(assemble, f"doc_id {kind}, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
