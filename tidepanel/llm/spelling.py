@@ -6,10 +6,12 @@ in a trie whose levels are the groups, each child one count of the next group.
 depth first with a budget of one surplus and one deficit, and the words of the leaves it reaches are verified
 letter by letter.
 
-The upper levels of the trie are keys of a shuffle.  A word is stored at its own node and sent, as a search, to
-the nodes that its budget reaches: with a letter less than the stored word, which spends a surplus, or with as
-many letters, which spends one of each or none.  So each pair is met once: the shorter word searches, of two
-equally long ones the smaller.  The number of shuffled levels follows the number of words, and a node with too
+A search spends its surplus before its deficit, so each pair is met once: of words of different length the
+shorter one searches, of equally long ones the one with the smaller count at the first level where they differ,
+of words with equal counts the smaller one.
+
+The upper levels of the trie are keys of a shuffle: a word is stored at its own node and sent, as a search, to
+the nodes that its budget reaches.  The number of shuffled levels follows the number of words, and a node with too
 many stored words or searches is dealt by hash into slices of ``slice_rows``, every slice of the ones meeting
 every slice of the others, so a task holds a bounded number of words and nothing is capped.  In a task all the
 searches of a slice go down its trie together, node after node.
@@ -50,7 +52,7 @@ class Setting:
     least_count: int = 2
     ratio: int = 10
     damage: int = 31  # one of so many (document, run) loses a letter
-    slice_rows: int = 20_000
+    slice_rows: int = 100_000
     held_words: int = 200_000  # sums kept in a task before they are passed on
 
 
@@ -110,44 +112,53 @@ def near(a: str, b: str) -> bool:
 
 
 def reached(counts: tuple[int, ...]) -> set[tuple[int, ...]]:
-    """Upper nodes at which a word with these upper counts may have a near word that is longer by one letter or as long."""
+    """Upper nodes that a search reaches: no difference up to here, a surplus, or a surplus and a deficit behind it."""
     out = {counts}
     for i in range(len(counts)):
         more = counts[:i] + (counts[i] + 1,) + counts[i + 1 :]
-        out.add(more)  # a surplus here; the deficit, if any, here or below
-        if counts[i]:
-            out.add(counts[:i] + (counts[i] - 1,) + counts[i + 1 :])
-        out.update(more[:j] + (more[j] - 1,) + more[j + 1 :] for j in range(len(counts)) if j != i and more[j])
+        out.add(more)
+        out.update(more[:j] + (more[j] - 1,) + more[j + 1 :] for j in range(i + 1, len(counts)) if more[j])
     return out
 
 
-def search(stored: list[str], asked: list[str], leaf: int = 24) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (asked, stored) of the pairs whose counts the budget allows, subtree by subtree, depth first."""
+def _odd(counts: np.ndarray) -> np.ndarray:
+    """A bit for each level, set where the count is odd."""
+    return ((counts & 1).astype(np.uint64) << np.arange(LEVELS, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+def search(stored: list[str], asked: list[str], leaf: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (asked, stored) of the pairs whose counts the budget allows and whether the counts are equal, subtree by subtree, depth first."""
     have, want = letter_counts(stored), letter_counts(asked)
     order = np.lexsort(have.T[::-1])
     have = have[order]
-    stack = [(0, 0, len(stored), np.arange(len(asked)), np.ones(len(asked), bool), np.ones(len(asked), bool))]
+    have_odd, want_odd, have_size, want_size = _odd(have), _odd(want), have.sum(1), want.sum(1)
+    # (level, first and last place, searches, whether the surplus and the deficit are spent)
+    stack = [(0, 0, len(stored), np.arange(len(asked)), np.zeros(len(asked), bool), np.zeros(len(asked), bool))]
     while stack:
-        level, lo, hi, who, surplus, deficit = stack.pop()
+        level, lo, hi, who, more, less = stack.pop()
         if level == LEVELS or hi - lo <= leaf:
-            # The paths below are few: go down all of them at once.
+            # The paths below are few: odd and even counts and lengths show which are worth walking.
             step = max(1, 400_000 // max(1, hi - lo))
             for at in range(0, len(who), step):
                 part = who[at : at + step]
-                gap = have[None, lo:hi, level:] - want[part][:, None, level:]
-                good = (np.maximum(gap, 0).sum(2) <= surplus[at : at + step, None]) & (np.maximum(-gap, 0).sum(2) <= deficit[at : at + step, None])
-                q, s = np.nonzero(good)
-                if len(q):
-                    yield part[q], order[lo + s]
+                flips = np.bitwise_count(have_odd[None, lo:hi] ^ want_odd[part, None])
+                longer = have_size[None, lo:hi] - want_size[part, None]
+                q, s = np.nonzero(((longer == 1) & (flips == 1)) | ((longer == 0) & ((flips == 0) | (flips == 2))))
+                q, s = part[q], lo + s
+                gap = have[s] - want[q]
+                size, first = np.abs(gap).sum(1), np.argmax(gap != 0, 1)
+                good = (size <= 2) & ((size == 0) | (gap[np.arange(len(q)), first] > 0))
+                if good.any():
+                    yield q[good], order[s[good]], size[good] == 0
             continue
         column = have[lo:hi, level]
         starts = np.append(0, np.flatnonzero(column[1:] != column[:-1]) + 1)
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), hi - lo], strict=True):
             gap = column[a] - want[who, level]
-            alive = np.flatnonzero((gap == 0) | ((gap == 1) & surplus) | ((gap == -1) & deficit))
+            alive = np.flatnonzero((gap == 0) | ((gap == 1) & ~more) | ((gap == -1) & more & ~less))
             if len(alive):
                 own = gap[alive]
-                stack.append((level + 1, lo + a, lo + b, who[alive], surplus[alive] & (own != 1), deficit[alive] & (own != -1)))
+                stack.append((level + 1, lo + a, lo + b, who[alive], more[alive] | (own == 1), less[alive] | (own == -1)))
 
 
 def near_pairs(words: DataFrame, setting: Setting = Setting()) -> DataFrame:
@@ -182,10 +193,10 @@ def near_pairs(words: DataFrame, setting: Setting = Setting()) -> DataFrame:
         left, right = t.filter(asks), t.filter(pc.invert(asks))
         asked, stored = left.column("word").to_pylist(), right.column("word").to_pylist()
         found_q, found_s = [], []
-        for q, s in search(stored, asked) if asked and stored else ():
-            for x, y in zip(q.tolist(), s.tolist(), strict=True):
+        for q, s, same in search(stored, asked) if asked and stored else ():
+            for x, y, equal in zip(q.tolist(), s.tolist(), same.tolist(), strict=True):
                 a, b = asked[x], stored[y]
-                if (len(a), a) < (len(b), b) and near(a, b):
+                if (not equal or a < b) and near(a, b):
                     found_q.append(x)
                     found_s.append(y)
         left, right = left.select(["word", "n"]).take(pa.array(found_q, pa.int64())), right.select(["word", "n"]).take(pa.array(found_s, pa.int64()))
