@@ -93,6 +93,9 @@ def test_near_and_reached_agree():
         b = rng.choice([a[:k] + a[k + 1 :], a[:k] + c + a[k:], a[:k] + c + a[k + 1 :], a[::-1], a])
         want = a != b and (len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1 or any(a[:i] + a[i + 1 :] == b for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b))))
         assert spelling.near(a, b) == spelling.near(b, a) == want
+        if 0 <= len(b) - len(a) <= 1:
+            (x, _), (y, _) = spelling.spelled([a]), spelling.spelled([b])
+            assert spelling.near_rows(x, y, np.array([len(b) > len(a)]))[0] == want
         if want:
             u, v = spelling.letter_counts([a, b]).tolist()
             ways = [all(tuple(y[:p]) in spelling.reached(tuple(x[:p])) for p in (1, 2, 5, 30)) for x, y in ((u, v), (v, u))]

@@ -111,6 +111,24 @@ def near(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :] if len(a) < len(b) else i < len(a) and a[i + 1 :] == b[i + 1 :]
 
 
+_WIDTH = 40  # letters of the words that are verified as rows of a matrix
+
+
+def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of code points for each word, zero behind its end (longer words are cut), and the lengths."""
+    raw = b"".join(w[:_WIDTH].encode("latin-1").ljust(_WIDTH, b"\0") for w in words)
+    return np.frombuffer(raw, np.uint8).reshape(-1, _WIDTH), np.fromiter(map(len, words), np.int64, len(words))
+
+
+def near_rows(a: np.ndarray, b: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """``near`` of rows of words of one matrix width; where ``longer`` the second word has one letter more, else they are equally long."""
+    differ = a != b
+    first = np.where(differ.any(1), differ.argmax(1), _WIDTH)
+    behind = (a[:, :-1] != b[:, 1:])[:, ::-1]
+    last = np.where(behind.any(1), _WIDTH - 2 - behind.argmax(1), -1)
+    return np.where(longer, last < first, differ.sum(1) == 1)
+
+
 def reached(counts: tuple[int, ...]) -> set[tuple[int, ...]]:
     """Upper nodes that a search reaches: no difference up to here, a surplus, or a surplus and a deficit behind it."""
     out = {counts}
@@ -192,13 +210,20 @@ def near_pairs(words: DataFrame, setting: Setting = Setting()) -> DataFrame:
         asks = t.column("asks").combine_chunks()
         left, right = t.filter(asks), t.filter(pc.invert(asks))
         asked, stored = left.column("word").to_pylist(), right.column("word").to_pylist()
-        found_q, found_s = [], []
-        for q, s, same in search(stored, asked) if asked and stored else ():
-            for x, y, equal in zip(q.tolist(), s.tolist(), same.tolist(), strict=True):
-                a, b = asked[x], stored[y]
-                if (not equal or a < b) and near(a, b):
-                    found_q.append(x)
-                    found_s.append(y)
+        found_q, found_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if asked and stored:
+            (a_rows, a_len), (b_rows, b_len) = spelled(asked), spelled(stored)
+            for qs, ss, equal in search(stored, asked):
+                for lo in range(0, len(qs), 20_000):
+                    q, s, same = qs[lo : lo + 20_000], ss[lo : lo + 20_000], equal[lo : lo + 20_000]
+                    good = near_rows(a_rows[q], b_rows[s], b_len[s] > a_len[q])
+                    for i in np.flatnonzero(b_len[s] > _WIDTH).tolist():
+                        good[i] = near(asked[q[i]], stored[s[i]])
+                    for i in np.flatnonzero(good & same).tolist():
+                        good[i] = asked[q[i]] < stored[s[i]]
+                    found_q.append(q[good])
+                    found_s.append(s[good])
+        found_q, found_s = np.concatenate(found_q), np.concatenate(found_s)
         left, right = left.select(["word", "n"]).take(pa.array(found_q, pa.int64())), right.select(["word", "n"]).take(pa.array(found_s, pa.int64()))
         return pa.table({"a": left.column(0), "a_n": left.column(1), "b": right.column(0), "b_n": right.column(1)})
 
