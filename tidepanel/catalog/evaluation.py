@@ -8,6 +8,7 @@ from tidepanel.catalog.registry import labelled, query
 from tidepanel.functions.columns import day, r
 from tidepanel.operators import rolling as R
 from tidepanel.operators.cross import cs_neutralize, with_stats
+from tidepanel.operators.masked import buckets, masked_ranks, pair_correlations
 from tidepanel.operators.staging import materialize
 from tidepanel.plans import factors as FA, metrics as M
 
@@ -31,7 +32,7 @@ SEED_SQL = {
 }
 SEEDS = DERIVED + ", seeds AS (SELECT code, date, pos, grp, region, in_universe, buyable, open, close, circ_mv, label_1, label_3, " + ", ".join(f"{v} AS {k}" for k, v in SEED_SQL.items()) + f" FROM terminals WINDOW {WIN})"
 # Window name reuse: one-row window used by the correlation guard.
-PICK = ["reversal_short", "vol_medium", "size", "turnover_shock", "price_volume_corr", "range_mean"]
+PICK = list(SEED_SQL)
 LONG = SEEDS + ", long AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT code, date, pos, grp, region, in_universe, circ_mv, label_1, label_3, '{k}' AS factor, {k} AS value FROM seeds" for k in PICK) + "))"
 IC = lambda x, y, by, src, out="ic", n=20: f"""
 , {out}_v AS (SELECT * FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL), {out}_r AS (SELECT *, {AR(x, by)} AS ra, {AR(y, by)} AS rb FROM {out}_v),
@@ -45,10 +46,22 @@ def seed_frame(s):
     return FA.evaluate(d, FA.seed_factors(3, 6, 12, 24))
 
 
-def picked(s):
-    fs = [f for f in FA.seed_factors(3, 6, 12, 24) if f.name in PICK]
-    d = FA.evaluate(FA.derived_terminals(s.stored, 6), fs)
-    return FA.to_long(d, fs, ["date", "code", "pos", "grp", "region", "in_universe", "circ_mv", "label_1", "label_3"])
+def universe(s, *more):
+    """The whole library on the universe's rows, wide."""
+    return seed_frame(s).where("in_universe").select("date", "code", *PICK, *more)
+
+
+def library_ic(d, target="label_1"):
+    """(factor, date, ic) of all factors against one target, from one ranking of the wide rows."""
+    ranks = masked_ranks(d, [*PICK, target])
+    return pair_correlations(ranks, [(f, target) for f in PICK], 8).withColumnRenamed("a", "factor")
+
+
+def library_corr(d):
+    """(a, b, corr) of all pairs of the library: mean daily rank correlation on the names that have both."""
+    ranks = masked_ranks(d, PICK)
+    ic = pair_correlations(ranks, [(a, b) for a in PICK for b in PICK if a < b], 8)
+    return ic.groupBy("a", "b").agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("corr"))
 
 
 def summary(d, *by):
@@ -85,8 +98,7 @@ def _(s):
 
 @query("batch_ic_summary", "A1 A2 A58", labelled(LONG + IC("value", "label_1", "factor, date", UNI, n=8) + f" SELECT factor, {SUMMARY} FROM ic GROUP BY factor"))
 def _(s):
-    ic = M.rank_ic(picked(s).where("in_universe").select("factor", "date", "code", "value", "label_1"), "value", "label_1", min_names=8)
-    return summary(M.summarize_ic(ic), "factor")
+    return summary(M.summarize_ic(library_ic(universe(s, "label_1"))), "factor")
 
 
 @query("factor_store", "IO17", labelled(LONG + " SELECT factor, strftime(date, '%Y-%m-%d') AS date, code, round(value, 6) AS value FROM long WHERE factor IN ('size', 'vol_medium')"))
@@ -95,7 +107,8 @@ def _(s):
     from tidepanel.operators.staging import folder
     from tidepanel.sources import factorstore as ST
 
-    long, root = picked(s), f"{folder(s.spark)}/factors-{uuid.uuid4().hex}"
+    fs = FA.seed_factors(3, 6, 12, 24)
+    long, root = FA.to_long(seed_frame(s), fs, ["date", "code"]), f"{folder(s.spark)}/factors-{uuid.uuid4().hex}"
     sign = ST.panel_signature(s.stored, ["close", "volume", "in_universe"])
     ST.store_factors(long.where("factor <> 'size'"), root, sign)
     ST.store_factors(long.where("factor = 'size'"), root, sign)
@@ -105,7 +118,7 @@ def _(s):
 
 @query("factor_coverage", "A3", labelled(LONG + """ SELECT factor, round(avg(c * 1.0 / n), 6) AS coverage FROM (SELECT factor, date, count(*) FILTER (WHERE in_universe) AS n, count(value) FILTER (WHERE in_universe) AS c FROM long GROUP BY ALL) WHERE n > 0 GROUP BY factor"""))
 def _(s):
-    return M.coverage(picked(s)).select("factor", r("coverage").alias("coverage"))
+    return M.wide_coverage(seed_frame(s), PICK).select("factor", r("coverage").alias("coverage"))
 
 
 @query("quantile_returns", "A4", labelled(LONG + f"""
@@ -113,17 +126,17 @@ def _(s):
 b AS (SELECT factor, date, least(greatest(ceil(pct * 5), 1), 5) AS bucket, avg(label_1) AS m FROM p GROUP BY ALL)
 SELECT factor, """ + ", ".join(f"round(avg(m) FILTER (WHERE bucket = {i}), 6) AS q{i}" for i in range(1, 6)) + ", round(avg(m) FILTER (WHERE bucket = 5) - avg(m) FILTER (WHERE bucket = 1), 6) AS long_short FROM b GROUP BY factor"))
 def _(s):
-    d = M.quantile_returns(picked(s).select("factor", "date", "code", "value", "label_1", "in_universe"), "label_1")
+    ranks = masked_ranks(universe(s, "label_1"), [*PICK, "label_1"], carry=["label_1"])
+    d = M.bucket_returns(buckets(ranks, PICK, "label_1", 5), 5)
     return d.select("factor", *[r(c).alias(c) for c in ("q1", "q2", "q3", "q4", "q5", "long_short")])
 
 
 @query("turnover_proxy", "A5", labelled(LONG + f", lg AS (SELECT *, lag(value) OVER (PARTITION BY factor, code ORDER BY pos) AS prev FROM long), lv AS (SELECT * FROM lg WHERE in_universe)" + IC("value", "prev", "factor, date", "lv", n=8) + " SELECT factor, round(1 - avg(ic), 6) AS turnover FROM ic GROUP BY factor"))
 def _(s):
-    from pyspark.sql import Window
-
-    d = picked(s).withColumn("prev", F.lag("value").over(Window.partitionBy("code", "factor").orderBy("pos"))).where("in_universe")
-    ic = M.rank_ic(d.select("factor", "date", "code", "value", "prev"), "value", "prev", min_names=8)
-    return ic.groupBy("factor").agg(r(1 - F.avg("ic")).alias("turnover"))
+    d = seed_frame(s).withColumns({f"prev_{f}": R.ts_delay(f, 1) for f in PICK}).where("in_universe")
+    ranks = masked_ranks(d, [*PICK, *(f"prev_{f}" for f in PICK)])
+    ic = pair_correlations(ranks, [(f, f"prev_{f}") for f in PICK], 8)
+    return ic.groupBy(F.col("a").alias("factor")).agg(r(1 - F.avg("ic")).alias("turnover"))
 
 
 PAIRS = SEEDS + ", pairs AS (" + " UNION ALL ".join(f"SELECT date, code, '{a}' AS a, '{b}' AS b, {a} AS xa, {b} AS xb FROM seeds WHERE in_universe" for a in PICK for b in PICK if a < b) + ")" + IC("xa", "xb", "a, b, date", "pairs", n=8)
@@ -132,30 +145,33 @@ PAIRS = SEEDS + ", pairs AS (" + " UNION ALL ".join(f"SELECT date, code, '{a}' A
 @query("library_correlations", "A6 A66 J17 A54", labelled(PAIRS + """, c AS (SELECT a, b, coalesce(avg(ic), 0) AS corr FROM ic GROUP BY a, b), u AS (SELECT a AS factor, b AS other, corr FROM c UNION ALL SELECT b, a, corr FROM c)
 SELECT factor, round(max(abs(corr)), 6) AS max_abs_corr, arg_max(other, abs(corr)) AS max_with FROM u GROUP BY factor"""))
 def _(s):
-    fs = [f for f in FA.seed_factors(3, 6, 12, 24) if f.name in PICK]
-    d = FA.evaluate(FA.derived_terminals(s.stored, 6), fs)
-    c = M.pair_correlations(d, PICK, PICK, F.col("in_universe"), 8)
+    c = library_corr(universe(s))
     u = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
     return u.groupBy(F.col("a").alias("factor")).agg(r(F.max(F.abs("corr"))).alias("max_abs_corr"), F.max_by("b", F.abs("corr")).alias("max_with"))
 
 
+def library_neutral_ic(d):
+    """(factor, date, ic) of the residuals on groups and size, all factors in one aggregate for each level."""
+    rest = [f for f in PICK if f != "size"]
+    d = materialize(d.withColumn("lmv", F.when(F.col("circ_mv") > 0, F.ln("circ_mv"))))
+    d = cs_neutralize(d, {f"r_{f}": f for f in rest}, "lmv", "region")
+    # Residuals of exact fits differ by float noise only; ties stay ties.
+    d = d.select("date", "label_1", *[F.round(f"r_{f}", 9).alias(f) for f in rest])
+    return pair_correlations(masked_ranks(d, [*rest, "label_1"]), [(f, "label_1") for f in rest], 8).withColumnRenamed("a", "factor")
+
+
 @query("neutralized_ic", "A7 A9", labelled(LONG + """
 , nv AS (SELECT *, value AS x, ln(circ_mv) AS z FROM long WHERE in_universe AND value IS NOT NULL AND circ_mv > 0), ng AS (SELECT *, x - avg(x) OVER g AS xt, z - avg(z) OVER g AS zt FROM nv WINDOW g AS (PARTITION BY factor, date, region)),
 nr AS (SELECT *, CASE WHEN count(*) OVER d >= (SELECT count(DISTINCT region) FROM suppliers) + 5 THEN xt - coalesce(sum(xt * zt) OVER d / nullif(sum(zt * zt) OVER d, 0), 0) * zt END AS resid FROM ng WINDOW d AS (PARTITION BY factor, date)),
 nz AS (SELECT *, round(resid, 9) AS rr FROM nr WHERE factor <> 'size')""" + IC("rr", "label_1", "factor, date", "nz", n=8) + " SELECT factor, round(avg(ic), 5) AS ic_mean, count(ic) AS days FROM ic GROUP BY factor"))
 def _(s):
-    d = picked(s).where("in_universe").withColumn("lmv", F.when(F.col("circ_mv") > 0, F.ln("circ_mv")))
-    d = cs_neutralize(materialize(d), {"resid": "value"}, "lmv", "region", by=("factor", "date")).where("factor <> 'size'")
-    # Residuals of exact fits differ by float noise only; ties stay ties.
-    d = d.withColumn("resid", F.round("resid", 9))
-    ic = M.rank_ic(d.select("factor", "date", "code", "resid", "label_1"), "resid", "label_1", min_names=8)
+    ic = library_neutral_ic(universe(s, "label_1", "circ_mv", "region"))
     return ic.groupBy("factor").agg(r(F.avg("ic"), 5).alias("ic_mean"), F.count("ic").alias("days"))
 
 
 @query("subwindow_ic", "A8", labelled(LONG + IC("value", "label_1", "factor, date", UNI, n=8) + """ SELECT factor, chunk::INT AS chunk, round(avg(ic), 6) AS ic FROM (SELECT *, ntile(4) OVER (PARTITION BY factor ORDER BY date) AS chunk FROM ic WHERE ic IS NOT NULL) GROUP BY ALL"""))
 def _(s):
-    ic = M.rank_ic(picked(s).where("in_universe").select("factor", "date", "code", "value", "label_1"), "value", "label_1", min_names=8)
-    return M.subwindow_means(ic, 4).select("factor", "chunk", r("ic").alias("ic"))
+    return M.subwindow_means(library_ic(universe(s, "label_1")), 4).select("factor", "chunk", r("ic").alias("ic"))
 
 
 TOP = """
@@ -259,9 +275,9 @@ g1 AS (SELECT m.*, coverage, max_abs_corr, o.icir AS matched FROM m JOIN cv USIN
 g2 AS (SELECT *, coverage >= 0.8 AS c1, days >= 30 AS c2, ic_mean >= 0.0 AS c3, coalesce(icir >= 0.02, FALSE) AS c4, coalesce(icir >= 1.3 * abs(matched), FALSE) AS better FROM g1)"""
 
 
-def library_match(long, seeds):
+def library_match(d):
     """Per factor the largest absolute mean correlation with another one, and that factor's ratio."""
-    c = M.pair_correlations(seeds, PICK, PICK, F.col("in_universe"), 8)
+    c = library_corr(d)
     u = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
     return u.groupBy(F.col("a").alias("factor")).agg(F.max(F.abs("corr")).alias("max_abs_corr"), F.max_by("b", F.abs("corr")).alias("other"))
 
@@ -269,12 +285,10 @@ def library_match(long, seeds):
 @query("gate_checks", "A60", labelled(GATE_ONE + """
 SELECT factor, round(max_abs_corr, 6) AS max_abs_corr, (c1 AND c2 AND c3 AND c4 AND (max_abs_corr <= 0.6 OR better))::INT AS passed, (NOT c1)::INT + (NOT c2)::INT + (NOT c3)::INT + (NOT c4)::INT + (NOT (max_abs_corr <= 0.6 OR better))::INT AS failed FROM g2"""))
 def _(s):
-    fs = [f for f in FA.seed_factors(3, 6, 12, 24) if f.name in PICK]
-    seeds = materialize(FA.evaluate(FA.derived_terminals(s.stored, 6), fs).select("date", "code", "in_universe", "label_1", *PICK))
-    long = FA.to_long(seeds, fs, ["date", "code", "in_universe", "label_1"])
-    ic = M.rank_ic(long.where("in_universe").select("factor", "date", "code", "value", "label_1"), "value", "label_1", min_names=8, write=False)
-    m = materialize(M.summarize_ic(ic))
-    m = m.join(M.coverage(long), "factor").join(library_match(long, seeds), "factor").join(m.select(F.col("factor").alias("other"), F.col("icir").alias("matched_icir")), "other")
+    seeds = materialize(seed_frame(s).select("date", "code", "in_universe", "label_1", *PICK))
+    inside = seeds.where("in_universe")
+    m = materialize(M.summarize_ic(library_ic(inside)))
+    m = m.join(M.wide_coverage(seeds, PICK), "factor").join(library_match(inside), "factor").join(m.select(F.col("factor").alias("other"), F.col("icir").alias("matched_icir")), "other")
     g = M.gate_first(m, {"coverage": 0.8, "days": 30, "ic_mean": 0.0, "icir": 0.02, "corr": 0.6, "replacement": 1.3})
     return g.select("factor", r("max_abs_corr").alias("max_abs_corr"), F.col("passed").cast("int").alias("passed"), F.size(F.filter("checks", lambda c: ~c["passed"])).cast("int").alias("failed"))
 
@@ -291,11 +305,10 @@ md AS (SELECT factor, avg(ic) AS ic_mean FROM ic GROUP BY factor), ne AS (SELECT
 SELECT factor, same_sign, round(neutral_ic, 5) AS neutral_ic, (same_sign >= 3 AND coalesce(neutral_ic / nullif(ic_mean, 0) >= 0.5, FALSE))::INT AS passed FROM sg JOIN md USING (factor) JOIN ne USING (factor)"""))
 def _(s):
     """Sub-window signs and the neutral share of the factors' own series; the marginal test has its own query."""
-    long = materialize(picked(s).where("in_universe and factor <> 'size'"))
-    ic = materialize(M.rank_ic(long.select("factor", "date", "code", "value", "label_1"), "value", "label_1", min_names=8, write=False))
+    d = universe(s, "label_1", "circ_mv", "region")
+    ic = materialize(library_ic(d))
     sg = M.subwindow_means(ic, 4).groupBy("factor").agg(F.count(F.when(F.col("ic") > 0, 1)).alias("same_sign"))
-    d = cs_neutralize(long.withColumn("lmv", F.when(F.col("circ_mv") > 0, F.ln("circ_mv"))), {"resid": "value"}, "lmv", "region", by=("factor", "date")).withColumn("resid", F.round("resid", 9))
-    neutral = M.rank_ic(d.select("factor", "date", "code", "resid", "label_1"), "resid", "label_1", min_names=8).groupBy("factor").agg(F.avg("ic").alias("neutral_ic"))
+    neutral = library_neutral_ic(d).groupBy("factor").agg(F.avg("ic").alias("neutral_ic"))
     m = sg.join(ic.groupBy("factor").agg(F.avg("ic").alias("ic_mean")), "factor").join(neutral, "factor").withColumns({"net_excess": F.lit(None).cast("double"), "marginal_ic": F.lit(1.0)})
     g = M.gate_second(m, {"same_sign": 3, "neutral": 0.5, "net_excess": 0.0, "marginal": 0.0})
     return g.select("factor", "same_sign", r("neutral_ic", 5).alias("neutral_ic"), F.col("passed").cast("int").alias("passed"))
@@ -305,7 +318,7 @@ def _(s):
 , t AS (SELECT factor, date < DATE '1999-01-01' AS dev, avg(ic) AS m, avg(ic) / nullif(stddev_samp(ic), 0) AS ir FROM ic WHERE ic IS NOT NULL GROUP BY ALL)
 SELECT d.factor, round(h.ir / d.ir, 4) AS ratio, (h.m > 0 AND h.ir / d.ir >= 0.5)::INT AS passed, (length(d.factor) % 2)::INT AS contaminated FROM t d JOIN t h ON d.factor = h.factor AND d.dev AND NOT h.dev"""))
 def _(s):
-    ic = materialize(M.rank_ic(picked(s).where("in_universe").select("factor", "date", "code", "value", "label_1"), "value", "label_1", min_names=8))
+    ic = materialize(library_ic(universe(s, "label_1")))
     cut = F.lit("1999-01-01").cast("date")
     dev, hold = M.summarize_ic(ic.where(F.col("date") < cut)), M.summarize_ic(ic.where(F.col("date") >= cut))
     seen = dev.where(F.length("factor") % 2 == 1).select("factor", F.lit(1).alias("contaminated"))

@@ -5,7 +5,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from tidepanel.catalog.evaluation import PAIRS, PICK, seed_frame
+from tidepanel.catalog.evaluation import PAIRS, PICK, library_corr, seed_frame
 from tidepanel.catalog.registry import labelled, query
 from tidepanel.functions import normal as N
 from tidepanel.functions.columns import day, r
@@ -184,9 +184,7 @@ SELECT factor, round(cov, 6) AS coverage, max_with, round(top, 6) AS max_abs_cor
 @query("candidate_screen", "A19", labelled(CORR_SQL + SCREEN).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(s):
     d = materialize(seed_frame(s).where("in_universe"))
-    fs = [f for f in FA.seed_factors(3, 6, 12, 24) if f.name in PICK]
-    corr = M.pair_correlations(d, PICK, PICK, F.lit(True), 8)
-    cov = M.coverage(FA.to_long(d, fs, ["date", "code", "in_universe"]))
+    corr, cov = library_corr(d), M.wide_coverage(d, PICK)
     d = I.greedy_keep(corr, cov, PICK[1:], PICK[:1], 0.6, 0.7)
     return d.select("factor", r("coverage").alias("coverage"), "max_with", r("max_abs_corr").alias("max_abs_corr"), "decision")
 

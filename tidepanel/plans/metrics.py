@@ -57,6 +57,20 @@ def coverage(long: DataFrame, by=("factor",)) -> DataFrame:
     return d.where("n > 0").groupBy(*by).agg(F.avg(F.col("c") / F.nullif("n", F.lit(0))).alias("coverage"))
 
 
+def wide_coverage(d: DataFrame, names: list[str]) -> DataFrame:
+    """``coverage`` of the columns of a wide table, one row for each column."""
+    u = F.col("in_universe")
+    g = d.groupBy("date").agg(F.count(F.when(u, 1)).alias("_n"), *[F.count(F.when(u, F.col(f))).alias(f) for f in names]).where("_n > 0")
+    g = g.agg(*[F.avg(F.col(f) / F.nullif("_n", F.lit(0))).alias(f) for f in names])
+    return g.select(F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("coverage")) for f in names])).alias("_e")).select("_e.*")
+
+
+def bucket_returns(daily: DataFrame, q: int, by=("factor",)) -> DataFrame:
+    """Mean over dates of the bucket means (factor, date, bucket, m), and top minus bottom."""
+    d = daily.groupBy(*by).agg(*[F.avg(F.when(F.col("bucket") == i, F.col("m"))).alias(f"q{i}") for i in range(1, q + 1)])
+    return d.withColumn("long_short", F.col(f"q{q}") - F.col("q1"))
+
+
 def quantile_returns(long: DataFrame, target: str, q: int = 5, by=("factor",), keys=("code",), write=True) -> DataFrame:
     """Mean over dates of the mean target per value bucket, and top minus bottom."""
     from tidepanel.operators.ordering import with_rank
@@ -76,16 +90,6 @@ def subwindow_means(ic: DataFrame, n: int, by=("factor",)) -> DataFrame:
     return d.groupBy(*by, "chunk").agg(F.avg("ic").alias("ic"))
 
 
-def pair_correlations(wide: DataFrame, left: list[str], right: list[str], valid, min_names: int = MIN_NAMES) -> DataFrame:
-    """Mean daily rank correlation of each left factor with each other right factor on pair-complete names."""
-    pairs = [(a, b) for a in left for b in right if a != b and not (a in right and b in left and a > b)]
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("xa"), F.col(b).alias("xb")) for a, b in pairs]))
-    long = wide.where(valid).select("date", "code", rows.alias("_p")).select("date", "code", "_p.*")
-    ic = rank_ic(long, "xa", "xb", ("a", "b", "date"), min_names=min_names)
-    return ic.groupBy("a", "b").agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("corr"))
-
-
 def top_fraction(df: DataFrame, value: str, every: int, fraction: float, cost: float) -> DataFrame:
     """Equal-weight best names each ``every`` days, next open to next open, against all buyable names.
 
