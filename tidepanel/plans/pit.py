@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,36 +135,97 @@ def forecast_rows(fc: DataFrame, positive, negative) -> DataFrame:
         "code", "pub_date", ((F.col("chg_up") + F.col("chg_down")) / 2).alias("fc_mid"), sgn.alias("fc_sign"))
 
 
+STATE = ("coverage_90", "coverage_180", "eps_fy1", "eps_fy2", "rating", "revision_30", "revision_90")
+SWEEP_ROWS = 200_000  # spans swept in one task
+
+
+def broker_spans(reports: DataFrame) -> DataFrame:
+    """(code, broker, field, value, first, last): the days on which a broker's latest report gives a field its value.
+
+    A report counts from the day after its publication for the field's number of days or until the broker's next
+    one for the same field; an estimate counts in its fiscal year (``eps_fy1``) and the year before (``eps_fy2``).
+    """
+    eps, year = F.col("eps"), F.col("fiscal_year")
+    entry = lambda ok, field, value, days, in_year=None: F.when(ok, F.struct(
+        F.lit(STATE.index(field)).alias("field"), value.cast("double").alias("value"), F.lit(days).alias("days"), (F.lit(None) if in_year is None else in_year).cast("int").alias("year")))
+    fields = [
+        entry(F.lit(True), "coverage_90", F.lit(1.0), 90), entry(F.lit(True), "coverage_180", F.lit(1.0), 180),
+        entry(eps.isNotNull() & year.isNotNull(), "eps_fy1", eps, 180, year), entry(eps.isNotNull() & year.isNotNull(), "eps_fy2", eps, 180, year - 1),
+        entry(F.col("score").isNotNull(), "rating", F.col("score"), 180),
+        entry(F.col("revision").isNotNull(), "revision_30", F.col("revision"), 30), entry(F.col("revision").isNotNull(), "revision_90", F.col("revision"), 90),
+    ]
+    r = reports.where(F.col("broker").isNotNull() & F.col("publish_date").isNotNull())
+    r = r.select("code", "broker", "publish_date", F.struct("report_id", F.coalesce("fiscal_year", F.lit(0))).alias("_order"), F.explode(F.array(*fields)).alias("_f")).where("_f is not null")
+    series = ["code", "broker", "_f.field", "_f.year", "_f.days"]
+    r = r.groupBy(*series, "publish_date").agg(F.max_by("_f.value", "_order").alias("value"))
+    following = F.lead("publish_date").over(W.partitionBy("code", "broker", "field", "year").orderBy("publish_date"))
+    first, last = F.date_add("publish_date", 1), F.least(F.expr("date_add(publish_date, days)"), "_next")
+    r = r.withColumn("_next", following).select("code", "broker", "field", "value", first.alias("first"), last.alias("last"), "year")
+    first, last = F.greatest("first", F.make_date("year", F.lit(1), F.lit(1))), F.least("last", F.make_date("year", F.lit(12), F.lit(31)))
+    return r.select("code", "broker", "field", "value", first.alias("first"), last.alias("last")).where("first <= last")
+
+
+def _swept(codes: list, quarters: list, fields: list, values: list, first: list, last: list) -> dict[str, list]:
+    """States of each (code, quarter) on the days on which one changes.  Rows come sorted by (code, quarter)."""
+    out: dict[str, list] = {k: [] for k in ("code", "quarter", "date", *STATE)}
+    lo = 0
+    while lo < len(codes):
+        hi, events = lo, {}
+        while hi < len(codes) and codes[hi] == codes[lo] and quarters[hi] == quarters[lo]:
+            events.setdefault(first[hi], []).append((True, fields[hi], values[hi]))
+            events.setdefault(last[hi] + 1, []).append((False, fields[hi], values[hi]))
+            hi += 1
+        live: list[list[float]] = [[] for _ in STATE]
+        for day in sorted(events):
+            for begins, field, value in events[day]:
+                if begins:
+                    insort(live[field], value)
+                else:
+                    del live[field][bisect_left(live[field], value)]
+            middle = lambda x: (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2 if x else None
+            mean = lambda x: sum(x) / len(x) if x else None
+            row = (codes[lo], quarters[lo], day, len(live[0]), len(live[1]), middle(live[2]), middle(live[3]), mean(live[4]), mean(live[5]), mean(live[6]))
+            for column, v in zip(out.values(), row, strict=True):
+                column.append(v)
+        lo = hi
+    return out
+
+
+def consensus_states(reports: DataFrame) -> DataFrame:
+    """(code, quarter, date, consensus columns): one row for each day on which the consensus of a code changes.
+
+    Spans are cut at quarters, a quarter's first state standing on its first day, so a code with very many reports
+    is dealt over its quarters.  A sweep over the change days of a (code, quarter) adds and removes the
+    values of brokers; rows grow with reports, not with days.
+    """
+    spans = broker_spans(reports)
+    quarter = F.explode(F.sequence(F.trunc("first", "quarter"), F.trunc("last", "quarter"), F.expr("interval 3 month")))
+    s = spans.select("code", "field", "value", "first", "last", quarter.alias("quarter"))
+    first, last = F.greatest("first", "quarter"), F.least("last", F.date_sub(F.add_months("quarter", 3), 1))
+    parts = max(int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions")), reports.count() * 8 // SWEEP_ROWS)
+    s = s.select(F.pmod(F.xxhash64("code", "quarter"), F.lit(parts)).alias("_deal"), "code", "quarter", "field", "value", first.alias("first"), last.alias("last"))
+    kind = reports.schema["code"].dataType.simpleString()
+
+    def sweep(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("code", "ascending"), ("quarter", "ascending")])
+        days = [t.column(c).cast(pa.int32()).to_pylist() for c in ("quarter", "first", "last")]
+        got = _swept(t.column("code").to_pylist(), days[0], t.column("field").to_pylist(), t.column("value").to_pylist(), days[1], days[2])
+        kinds = {"code": t.schema.field("code").type, "quarter": pa.int32(), "date": pa.int32(), "coverage_90": pa.int64(), "coverage_180": pa.int64()}
+        out = {k: pa.array(v, kinds.get(k, pa.float64())) for k, v in got.items()}
+        return pa.table(out | {k: out[k].cast(pa.date32()) for k in ("quarter", "date")})
+
+    schema = f"code {kind}, quarter date, date date, coverage_90 long, coverage_180 long, " + ", ".join(f"{c} double" for c in STATE[2:])
+    return s.groupBy("_deal").applyInArrow(sweep, schema)
+
+
 def consensus(panel: DataFrame, reports: DataFrame) -> DataFrame:
     """Consensus of reports published in the 180 days before each panel day.
 
-    ``reports``: code, report_id, publish_date, broker, fiscal_year, eps, score, revision.
-    Each report reaches the trading days it is live on through an equi join on
-    (code, month) with the four to seven months it spans, then exact day bounds; the
-    latest value per (day, code, broker) is an aggregate with map-side combine.
+    ``reports``: code, report_id, publish_date, broker, fiscal_year, eps, score, revision.  Each panel day takes
+    the state in force, by an as-of join inside its quarter.
     """
-    r = reports.where(F.col("broker").isNotNull())
-    span = F.sequence(F.trunc("publish_date", "month"), F.trunc(F.date_add("publish_date", 180), "month"), F.expr("interval 1 month"))
-    r = r.withColumn("_m", F.explode(span))
-    p = panel.select("code", "date").withColumn("_m", F.trunc("date", "month"))
-    j = p.join(r, ["code", "_m"])
-    j = j.where((F.col("publish_date") < F.col("date")) & (F.col("publish_date") >= F.date_sub("date", 180)))
-    age = F.datediff("date", "publish_date")
-    key = F.struct("publish_date", "report_id", F.coalesce("fiscal_year", F.lit(0)))
-    latest = lambda v, ok: F.max_by(F.when(ok, v), F.when(ok, key))
-    y, eps = F.year("date"), F.col("eps")
-    b = j.groupBy("date", "code", "broker").agg(
-        F.max((age <= 90).cast("int")).alias("in90"),
-        latest(eps, eps.isNotNull() & (F.col("fiscal_year") == y)).alias("fy1"),
-        latest(eps, eps.isNotNull() & (F.col("fiscal_year") == y + 1)).alias("fy2"),
-        latest(F.col("score"), F.col("score").isNotNull()).alias("score"),
-        latest(F.col("revision"), F.col("revision").isNotNull() & (age <= 90)).alias("rev90"),
-        latest(F.col("revision"), F.col("revision").isNotNull() & (age <= 30)).alias("rev30"))
-    d = b.groupBy("date", "code").agg(
-        F.sum("in90").alias("coverage_90"), F.count("*").alias("coverage_180"), F.percentile("fy1", 0.5).alias("eps_fy1"),
-        F.percentile("fy2", 0.5).alias("eps_fy2"), F.avg("score").alias("rating"), F.avg("rev30").alias("revision_30"),
-        F.avg("rev90").alias("revision_90"))
-    d = panel.join(d, ["date", "code"], "left")
+    d = panel.withColumn("quarter", F.trunc("date", "quarter"))
+    d = asof_join(d, consensus_states(reports), by=["code", "quarter"], fields=list(STATE)).drop("quarter")
     d = d.withColumns({"coverage_90": F.coalesce("coverage_90", F.lit(0)), "coverage_180": F.coalesce("coverage_180", F.lit(0))})
     return d.withColumn("eps_growth", change("eps_fy2", "eps_fy1"))
 
