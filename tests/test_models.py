@@ -152,3 +152,42 @@ def test_average_cost_of_a_long_stretch(spark):
     d = spark.createDataFrame(rows, "account string, code int, date date, seq int, type string, quantity double, price double, amount double, held double")
     got = [r.cost for r in B.average_cost(d).where("type = 'buy'").orderBy("seq").collect()]
     np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_disposition_counts_positions_held_before_sale_days(spark):
+    """Random books against a walk over every sale day and name."""
+    rng = np.random.default_rng(4)
+    day = lambda i: dt.date(2021, 1, 20) + dt.timedelta(int(i))
+    states = {(a, c, d): (float(rng.integers(-1, 3)), float(rng.integers(1, 9))) for a in range(3) for c in range(4) for d in rng.choice(120, 6, replace=False)}
+    sales = {(int(rng.integers(0, 4)), int(rng.integers(0, 4)), int(rng.integers(0, 120))): float(rng.integers(1, 9)) + 0.5 for _ in range(60)}
+    prices = {(c, int(d)): float(rng.integers(1, 9)) + 0.25 for c in range(4) for d in rng.choice(120, 30, replace=False)}
+    want = {}
+    for a in range(3):
+        counts = [0, 0, 0, 0]
+        for d in {k[2] for k in sales if k[0] == a}:
+            for c in range(4):
+                before = [k[2] for k in states if k[:2] == (a, c) and k[2] < d]
+                held, cost = states[a, c, max(before)] if before else (0, 0)
+                known = [k[1] for k in prices if k[0] == c and k[1] <= d]
+                sold = sales.get((a, c, d))
+                px = sold if sold is not None else prices[c, max(known)] if known else None
+                if held > 0 and px is not None:
+                    counts[2 * (sold is None) + (px <= cost)] += 1
+        if any(counts):
+            want[a] = tuple(counts)
+    s = spark.createDataFrame([(a, c, day(d), h, p) for (a, c, d), (h, p) in states.items()], "account int, code int, date date, held double, cost double")
+    t = spark.createDataFrame([(a, c, day(d), p) for (a, c, d), p in sales.items()], "account int, code int, date date, px double")
+    x = spark.createDataFrame([(c, day(d), p) for (c, d), p in prices.items()], "code int, date date, px double")
+    got = {r.account: (r.realized_gain, r.realized_loss, r.paper_gain, r.paper_loss) for r in B.disposition(s, t, x).collect()}
+    assert got == want
+
+
+def test_bootstrap_states_add_up(spark):
+    """The interval does not depend on the split of the rows, and rows without a value do not count."""
+    x = np.random.default_rng(1).normal(0, 1, 900)
+    rows = [(i, float(v)) for i, v in enumerate(x)] + [(5000, None), (None, 3.0)]
+    got = [tuple(B.bootstrap_mean(spark.createDataFrame(rows, "k long, x double").repartition(n), "k", "x", 300).first()) for n in (1, 7)]
+    n = B.poisson_counts(np.arange(900), np.arange(300))
+    m = (n * x[:, None]).sum(0) / n.sum(0)
+    assert np.allclose(got, [np.quantile(m, [0.025, 0.975])] * 2)
+    assert abs(n.mean() - 1) < 0.01 and abs(n.var() - 1) < 0.02 and abs(np.corrcoef(n[:, 0], n[:, 1])[0, 1]) < 0.12

@@ -63,7 +63,13 @@ def _(s):
     return d.where("held > 0").select("account", "code", day("date").alias("date"), "type", "held", r(F.col("cost") * 0.987654321987, 4).alias("cost"))
 
 
-@query("disposition_effect", "A38")
+@query("disposition_effect", "A38", COST + """, st AS (SELECT account, code, date, arg_max({'h': held, 'c': basis / nullif(held, 0)}, seq) AS v FROM kb JOIN bs USING (account, code, k) GROUP BY ALL),
+sp AS (SELECT account, code, v.h AS held, v.c AS cost, date, lead(date) OVER (PARTITION BY account, code ORDER BY date) AS nxt FROM st), sd AS (SELECT DISTINCT account, date FROM trades WHERE type = 'sell'),
+sl AS (SELECT account, code, date, max(price) AS sale_px FROM trades WHERE type = 'sell' GROUP BY ALL), px AS (SELECT code, date, avg(price) AS px FROM trades GROUP BY ALL),
+c AS (SELECT sp.account, sp.code, sd.date, cost FROM sp JOIN sd ON sd.account = sp.account AND sd.date > sp.date AND (nxt IS NULL OR sd.date <= nxt) WHERE held > 0 AND cost > 0),
+q AS (SELECT c.*, sale_px IS NOT NULL AS sold, coalesce(sale_px, px) > cost AS gain FROM c ASOF LEFT JOIN px ON px.code = c.code AND c.date >= px.date LEFT JOIN sl ON sl.account = c.account AND sl.code = c.code AND sl.date = c.date WHERE coalesce(sale_px, px) IS NOT NULL),
+g AS (SELECT account, count(*) FILTER (WHERE sold AND gain) AS realized_gain, count(*) FILTER (WHERE sold AND NOT gain) AS realized_loss, count(*) FILTER (WHERE NOT sold AND gain) AS paper_gain, count(*) FILTER (WHERE NOT sold AND NOT gain) AS paper_loss FROM q GROUP BY account)
+SELECT *, round(realized_gain / nullif(realized_gain + paper_gain, 0) - realized_loss / nullif(realized_loss + paper_loss, 0), 6) AS pgr_minus_plr FROM g""")
 def _(s):
     t = materialize(trades(s))
     st = B.average_cost(B.replay(t))
@@ -113,10 +119,16 @@ def _(s):
     return B.switch_values(t, px, 3).select("account", day("date").alias("date"), "sold", r("value").alias("value"))
 
 
-@query("bootstrap_interval", "A37")
+_draw = "(k * 48271 + draw * 69621 + 1) % 2147483647"
+BOOT = f"""WITH o AS (SELECT o_orderkey % 2147483647 AS k, o_totalprice AS x FROM orders), h AS (SELECT draw, x, k, {_draw} AS a FROM o, range(2000) AS r(draw)), i AS (SELECT draw, x, a, (a * a + k) % 2147483647 AS b FROM h),
+j AS (SELECT draw, x, (b * b + a) % 2147483647 AS c FROM i), n AS (SELECT draw, x, """ + " + ".join(f"(c > {t})::INT" for t in B.POISSON) + """ AS n FROM j), m AS (SELECT draw, sum(n * x) / sum(n) AS m FROM n GROUP BY draw)
+SELECT round(quantile_cont(m, 0.025), 2) AS lo, round(quantile_cont(m, 0.975), 2) AS hi FROM m"""
+
+
+@query("bootstrap_interval", "A37", BOOT)
 def _(s):
     o = s.table("orders").select("o_orderkey", "o_totalprice")
-    return B.bootstrap_mean(o, "o_orderkey", "o_totalprice", 200).select(r("lo", 2).alias("lo"), r("hi", 2).alias("hi"))
+    return B.bootstrap_mean(o, "o_orderkey", "o_totalprice", 2000).select(r("lo", 2).alias("lo"), r("hi", 2).alias("hi"))
 
 
 @query("trading_costs", "A39", f"WITH {TR} SELECT account, round(sum(fee), 4) AS fees, round(sum(fee) / sum(CASE WHEN type IN ('buy', 'sell') THEN amount END), 8) AS fee_rate FROM trades GROUP BY account")

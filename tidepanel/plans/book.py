@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,15 +78,27 @@ def average_cost(replayed: DataFrame) -> DataFrame:
     return d.withColumn("cost", div(basis, "held")).drop("_keep", "_stop", "_log", "_run", "_lp", "_part_no", "_rel", "_b", "_s", "_left")
 
 
+def held_spans(states: DataFrame) -> DataFrame:
+    """(account, code, held, cost, first, last): the days before whose trades a state of the end of ``date`` is in force."""
+    following = F.lead("date").over(W.partitionBy("account", "code").orderBy("date"))
+    return states.select("account", "code", "held", "cost", F.date_add("date", 1).alias("first"), F.coalesce(following, F.lit("9999-12-31").cast("date")).alias("last"))
+
+
 def disposition(states: DataFrame, sales: DataFrame, prices: DataFrame) -> DataFrame:
     """Realised and paper gains and losses on sale days, and PGR - PLR, per account.
 
     ``states``: account, code, date, held, cost (end of day); ``sales``: account, code,
-    date, px; ``prices``: code, date, px.
+    date, px; ``prices``: code, date, px.  What was held before a sale day comes from an interval join of held
+    spans with the account's sale days on (account, month): a row for each position held on the day, none
+    for names that are not, and a large account is dealt over its months.
     """
-    days = sales.select("account", "date").distinct()
-    cells = days.join(states.select("account", "code").distinct(), "account")
-    d = asof_join(cells, states, by=["account", "code"], fields=["held", "cost"], allow_equal=False).where("held > 0 and cost > 0")
+    spans = held_spans(states).where("held > 0 and cost > 0")
+    month = F.explode(F.sequence(F.trunc("first", "month"), F.trunc("last", "month"), F.expr("interval 1 month")))
+    days = sales.groupBy("account", "date").agg(F.trunc("date", "month").alias("_m"))
+    last = days.groupBy("account").agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
+    spans = spans.join(last, "account").withColumns({"first": F.greatest("first", "_from"), "last": F.least("last", "_to")}).where("first <= last")
+    d = spans.select("account", "code", "held", "cost", "first", "last", month.alias("_m")).join(days, ["account", "_m"]).where(F.col("date").between(F.col("first"), F.col("last")))
+    d = d.select("account", "code", "date", "held", "cost")
     d = asof_join(d, prices, fields=["px"], unique_left=False)
     s = sales.groupBy("account", "code", "date").agg(F.max("px").alias("sale_px"))
     d = d.join(s, ["account", "code", "date"], "left")
@@ -133,19 +149,40 @@ def switch_values(trades: DataFrame, prices: DataFrame, horizon: int) -> DataFra
     return j.where(n > 0).select("account", "date", "sold", ((F.col("_s") - F.coalesce("_own", F.lit(0.0))) / F.nullif(n, F.lit(0)) - F.col("sold_fwd")).alias("value"))
 
 
+# Cumulative Poisson(1) probabilities in units of 1 / PRIME, a Mersenne prime.
+PRIME = (1 << 31) - 1
+POISSON = (790015083, 1580030167, 1975037709, 2106706890, 2139624185, 2146207644, 2147304887)
+
+
+def poisson_counts(keys: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts of each (key, draw), a function of integers that SQL can repeat."""
+    k = (keys % PRIME)[:, None]
+    a = (k * 48271 + draws * 69621 + 1) % PRIME
+    b = (a * a + k) % PRIME
+    c = (b * b + a) % PRIME
+    return np.searchsorted(np.array(POISSON), c, side="left")
+
+
 def bootstrap_mean(values: DataFrame, key: str, x: str, draws: int) -> DataFrame:
     """Percentile interval of the mean under Poisson resampling.
 
-    Each row joins each draw with a Poisson(1) count that is a function of its key, so
-    a draw is one partial aggregate and no resample is ever gathered.
+    A row counts Poisson(1) times in each draw, by its integer key.  A task keeps one sum and one count for each
+    draw and passes on this state alone; states add up, so no resample and no (row, draw) pair is
+    ever formed.  Rows without a value do not count.
     """
-    d = values.select(key, x, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = F.pmod(F.xxhash64(key, "draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # Cumulative Poisson(1) probabilities.
-    n = F.lit(0)
-    for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676):
-        n = n + (u > p).cast("int")
-    m = d.groupBy("draw").agg(div(F.sum(n * F.col(x)), F.sum(n).cast("double")).alias("m"))
+    def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, total, weight = np.arange(draws, dtype=np.int64), np.zeros(draws), np.zeros(draws, np.int64)
+        for batch in batches:
+            keys, xs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo in range(0, len(keys), 256):
+                n = poisson_counts(keys[lo : lo + 256], every)
+                total += xs[lo : lo + 256] @ n
+                weight += n.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(total), pa.array(weight)], ["draw", "total", "weight"])
+
+    d = values.select(F.col(key).cast("long"), F.col(x).cast("double")).dropna()
+    m = d.mapInArrow(state, "draw long, total double, weight long").groupBy("draw").agg(F.sum("total").alias("t"), F.sum("weight").alias("w"))
+    m = m.select(div("t", F.col("w").cast("double")).alias("m"))
     return m.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 
