@@ -40,3 +40,43 @@ def test_days_are_append_only(spark):
 def test_labels_are_refused(spark):
     with pytest.raises(ValueError):
         SealedStore(spark).append(rows(spark, (1, 1, 9, 1.0)).withColumn("label_1", F.lit(0.0)), 0, cutoff())
+
+
+def test_day_features_leave_at_the_watermark_and_survive_a_restart(spark, tmp_path):
+    """Ticks out of order over several files and two runs; a tick behind the watermark is dropped; open days wait."""
+    import math
+
+    from tidepanel.streaming import dayfeatures as DF
+
+    at = lambda d, h, m=0: dt.datetime(2024, 3, d, h, m)
+    ticks = {  # day: (hour, minute, value) of code 7; a bar has 60 minutes
+        1: [(9, 0, 1.0), (9, 30, 3.0), (10, 5, 7.0), (10, 50, 1.0), (11, 0, 4.0)],
+        2: [(9, 30, 0.0), (12, 0, 2.0)],
+        3: [(9, 0, 5.0), (10, 0, 6.0)],
+    }
+    rows = [(i, at(d, h, m), 7, v) for i, (d, h, m, v) in enumerate((d, *t) for d, day in ticks.items() for t in day)]
+    schema = "event_id long, ts timestamp, user_id long, value double"
+    setting = {"width": "60 minutes", "delay": "3 hours", "per_day": 2, "edge": 1}
+    files = [[rows[1], rows[4]], [rows[0], rows[3], rows[2]], [rows[6]], [rows[5], (90, at(1, 9, 10), 7, 99.0)], rows[7:]]
+
+    def run(new):
+        for part in new:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            DF.run_day_features(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", **setting)
+        return {r.date.day: r for r in spark.read.schema(DF.OUT).parquet(f"{tmp_path}/out").collect()}
+
+    assert run(files[:2]) == {}
+    got = run(files[2:])
+    assert sorted(got) == [1, 2]
+    one = got[1]  # bars (2, 4), (8, 2), (5, 5) of 2, 2 and 1 ticks
+    moves = [4 / 2 - 1, 2 / 4 - 1, 5 / 2 - 1]
+    assert (one.bars, one.tail_share, one.open_ret) == (3, 1 / 5, 4 / 2 - 1)
+    assert math.isclose(one.rv, math.sqrt(sum(m * m for m in moves))) and one.up_share == 3 / 5
+    assert got[2].bars == 2 and math.isclose(got[2].rv, 2.0)  # (1, 1), (3, 3): 0 and 2
+
+
+def test_day_features_of_one_bar():
+    from tidepanel.streaming.dayfeatures import features
+
+    assert features([(2.0, 3.0, 4)], 6) == (0.5, 1.0, 0.5, 1.0)
+    assert features([(0.0, 0.0, 1), (1.0, 2.0, 1)], 1) == (None, 0.5, None, 0.0)

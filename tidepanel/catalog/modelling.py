@@ -46,6 +46,21 @@ def _(s):
     return d.where("in_universe").select("code", day("date").alias("date"), r("score").alias("score"))
 
 
+@query("refit_or_reuse", "S8 M3", labelled(CENTRED + RIDGE + """
+SELECT code, strftime(cr.date, '%Y-%m-%d') AS date, strftime(p2.date, '%Y-%m-%d') AS asof, (cr.pos = wt.start)::INT AS refit, round((x1 * w1 + x2 * w2 + my - m1 * w1 - m2 * w2) * CASE WHEN p2.date <= DATE '1999-08-01' THEN 1 ELSE 2 END, 6) AS score
+FROM cr JOIN wt ON cr.pos >= wt.start AND cr.pos < wt.stop JOIN p2 ON p2.start = wt.start WHERE in_universe"""))
+def _(s):
+    """Two runs on one store, the second after the labels were restated to twice their size: quarters fitted in the first run keep their models, a quarter that was open then included."""
+    from tidepanel.plans import refit as RF
+
+    d, store, setting = materialize(centred(s)), RF.ModelStore(s.spark), RF.Setting(tuple(XS), "quarter", 36, 2, 10.0, 200)
+    days = s.cal.join(F.broadcast(s.cal.agg(F.min("date").alias("_d0")))).where(F.col("date") >= F.add_months("_d0", 24))
+    store.refit_or_reuse(d, s.cal, days.where("date <= date '1999-08-01'"), "y", F.expr(TRAIN), setting)
+    w = store.refit_or_reuse(d.withColumn("y", F.col("y") * 2), s.cal, days, "y", F.expr(TRAIN), setting)
+    out = RF.scores(d.where("in_universe"), w, XS)
+    return out.select("code", day("date").alias("date"), day("asof").alias("asof"), F.col("refit").cast("int").alias("refit"), r("score").alias("score"))
+
+
 @query("ridge_importance", "M1", labelled(CENTRED + RIDGE + ", u AS (SELECT 'x1' AS feature, sum(abs(w1)) AS a FROM wt UNION ALL SELECT 'x2', sum(abs(w2)) FROM wt) SELECT feature, round(a / sum(a) OVER (), 6) AS share FROM u"))
 def _(s):
     _, w = MO.walk_forward_ridge(materialize(centred(s)), s.cal, XS, "y", F.expr(TRAIN), "quarterly", 24, 36, 1, 10.0, 200)

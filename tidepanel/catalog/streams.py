@@ -8,7 +8,7 @@ from tidepanel.catalog.registry import query
 from tidepanel.functions.columns import day, r
 from tidepanel.operators.grid import calendar
 from tidepanel.operators.staging import folder
-from tidepanel.streaming import bars as B, sealed as SE
+from tidepanel.streaming import bars as B, dayfeatures as DF, sealed as SE
 
 SCHEMA = "event_date date, code long, observed_at timestamp, value double"
 STAGED = """st AS (SELECT CAST(ts AS DATE) AS event_date, user_id AS code, ts + to_minutes(CAST(json_extract(props, '$.k') AS INTEGER)) + CASE WHEN event_id % 31 = 0 THEN INTERVAL 3 DAY ELSE INTERVAL 0 DAY END AS observed_at, value, event_id FROM events),
@@ -83,3 +83,22 @@ def _(s):
     src = src.select(F.sha2(F.concat_ws("|", F.lit("spike"), F.col("user_id").cast("string"), day("ts")), 256).alias("alert_id"), "ts")
     SE.insert_alerts(src, f"{root}/out", f"{root}/cp", "ts", "2 days")
     return s.spark.read.parquet(f"{root}/out").select("alert_id")
+
+
+@query("stream_day_features", "S3 P12", """WITH b AS (SELECT user_id AS code, CAST(ts AS DATE) AS date, time_bucket(INTERVAL 30 MINUTE, ts) AS bar, arg_min(value, (ts, event_id)) + 1 AS open, arg_max(value, (ts, event_id)) + 1 AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY ALL),
+c AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY code, date) AS n, lag(close) OVER w AS prev, first(open) OVER w AS o, first(close) OVER w AS fc FROM b WINDOW w AS (PARTITION BY code, date ORDER BY bar)),
+d AS (SELECT *, coalesce(close / nullif(prev, 0) - 1, fc / nullif(o, 0) - 1) AS r FROM c WHERE date + 1 < (SELECT max(ts) - INTERVAL 1 DAY FROM events))
+SELECT code, strftime(date, '%Y-%m-%d') AS date, round(sqrt(sum(r * r)), 6) AS rv, round(sum(CASE WHEN i > n - 2 THEN volume ELSE 0 END) / nullif(sum(volume), 0), 6) AS tail_share,
+ round(max(CASE WHEN i = least(2, n) THEN close END) / max(o) - 1, 6) AS open_ret, round(sum(CASE WHEN r > 0 THEN volume ELSE 0 END) / nullif(sum(volume), 0), 6) AS up_share, count(*) AS bars FROM d GROUP BY code, date HAVING count(*) >= 2""")
+def _(s):
+    """The stream stops in the middle of the events and is started again on its checkpoint."""
+    root = f"{folder(s.spark)}/days-{uuid.uuid4().hex}"
+    ev = s.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    half = ev.agg(F.expr("timestamp_micros(cast(avg(unix_micros(ts)) as bigint))").alias("half"))
+    parts = ev.join(F.broadcast(half)).withColumn("later", F.col("ts") > F.col("half")).drop("half")
+    setting = {"width": "30 minutes", "delay": "1 day", "per_day": 3, "edge": 2}
+    for later in (False, True):
+        parts.where(F.col("later") == later).drop("later").repartitionByRange(3, "ts").write.mode("append").parquet(f"{root}/in")
+        DF.run_day_features(s.spark.readStream.schema(ev.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/cp", **setting)
+    d = s.spark.read.schema(DF.OUT).parquet(f"{root}/out")
+    return d.select("code", day("date").alias("date"), *[r(c).alias(c) for c in ("rv", "tail_share", "open_ret", "up_share")], "bars")
