@@ -60,7 +60,7 @@ class Setting:
     frequent_least: int = 64
 
 
-BITMAP = 8  # longs, in two maps of 256 bits
+BITMAP = 16  # longs, one map of 1,024 bits
 _ROWS = 250  # texts cut at once
 _SLOTS = 64
 
@@ -83,7 +83,7 @@ def token_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
 
 
 def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
-    """(two sums over the set, two 256-bit parity bitmaps) of each set as signed longs, and a parity bitmap of one bit or more for each token."""
+    """(two sums over the set, a parity bitmap of 1,024 bits) of each set as signed longs, and a parity bitmap of one bit or more for each token."""
     out, wide = np.zeros((len(sets), 2 + BITMAP), np.uint64), []
     for i, s in enumerate(sets):
         if not len(s):
@@ -93,7 +93,7 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
         again = mix(m ^ s)
         out[i, 0], out[i, 1] = m.sum(dtype=np.uint64), again.sum(dtype=np.uint64)
         odd = lambda at, n: np.packbits((np.bincount(at.astype(np.int64), minlength=n) & 1).astype(np.uint8))
-        out[i, 2:] = np.append(odd(m >> np.uint64(56), 256), odd(again >> np.uint64(56), 256)).view(np.uint64)
+        out[i, 2:] = odd(m >> np.uint64(54), 64 * BITMAP).view(np.uint64)
         size = max(64, 1 << (len(s) - 1).bit_length())
         wide.append(odd(again & np.uint64(size - 1), size).tobytes())
     return out.view(np.int64), wide
@@ -274,13 +274,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, setting: Setting) -> DataFrame:
 
 
 def _alike(percent: int, left: str, right: str):
-    """Sizes and both short bitmaps allow a link."""
+    """Sizes and the short bitmaps allow a link: of two sets that share a passage only, unless they are very long, the bitmaps do not."""
     n, m = F.col(f"{left}n"), F.col(f"{right}n")
-    good = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    for first in (0, BITMAP // 2):
-        odd = [F.bit_count(F.col(f"{left}b{i}").bitwiseXOR(F.col(f"{right}b{i}"))) for i in range(first, first + BITMAP // 2)]
-        good &= (100 + percent) * (odd[0] + odd[1] + odd[2] + odd[3]) <= (100 - percent) * (n + m)
-    return good
+    odd = [F.bit_count(F.col(f"{left}b{i}").bitwiseXOR(F.col(f"{right}b{i}"))) for i in range(BITMAP)]
+    differ = odd[0]
+    for o in odd[1:]:
+        differ = differ + o
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
 
 def _candidates(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
