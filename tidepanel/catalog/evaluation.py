@@ -101,19 +101,17 @@ def _(s):
     return summary(M.summarize_ic(library_ic(universe(s, "label_1"))), "factor")
 
 
-@query("factor_store", "IO17", labelled(LONG + " SELECT factor, strftime(date, '%Y-%m-%d') AS date, code, round(value, 6) AS value FROM long WHERE factor IN ('size', 'vol_medium')"))
+@query("factor_store", "IO17", labelled(LONG + " SELECT factor, strftime(date, '%Y-%m-%d') AS date, code, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 4) AS value FROM long WHERE value IS NOT NULL"))
 def _(s):
-    """Stored under the panel's signature, one factor stored again, two read back."""
+    """All factors through one store: first with other windows, then as they are, so equal definitions come from the store and changed ones are computed anew."""
     from tidepanel.operators.staging import folder
     from tidepanel.sources import factorstore as ST
 
-    fs = FA.seed_factors(3, 6, 12, 24)
-    long, root = FA.to_long(seed_frame(s), fs, ["date", "code"]), f"{folder(s.spark)}/factors-{uuid.uuid4().hex}"
-    sign = ST.panel_signature(s.stored, ["close", "volume", "in_universe"])
-    ST.store_factors(long.where("factor <> 'size'"), root, sign)
-    ST.store_factors(long.where("factor = 'size'"), root, sign)
-    d = ST.load_factors(s.spark, root, sign, ["size", "vol_medium"])
-    return d.select("factor", day("date").alias("date"), "code", r("value").alias("value"))
+    panel, root = FA.derived_terminals(s.stored, 6), f"{folder(s.spark)}/factors-{uuid.uuid4().hex}"
+    sign = ST.panel_signature(s.stored, ["open", "high", "low", "close", "volume", "amount", "circ_mv", "in_universe"])
+    ST.through_store(panel, FA.seed_factors(2, 6, 12, 24), root, sign)
+    d = ST.through_store(panel, FA.seed_factors(3, 6, 12, 24), root, sign).where("value is not null")
+    return d.select("factor", day("date").alias("date"), "code", r(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query("factor_coverage", "A3", labelled(LONG + """ SELECT factor, round(avg(c * 1.0 / n), 6) AS coverage FROM (SELECT factor, date, count(*) FILTER (WHERE in_universe) AS n, count(value) FILTER (WHERE in_universe) AS c FROM long GROUP BY ALL) WHERE n > 0 GROUP BY factor"""))

@@ -7,6 +7,7 @@ shares the one exchange by code and each inner column is computed once.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from itertools import product
@@ -143,6 +144,11 @@ def evaluate(df: DataFrame, factors: Sequence[Factor]) -> DataFrame:
     return df
 
 
+def definition(factor: Factor) -> str:
+    """Hash of a factor's expressions, layer by layer, its direction and horizon: the same for equal definitions in any session."""
+    return hashlib.sha256(repr((list(factor.layers()), factor.direction, factor.horizon)).encode()).hexdigest()[:32]
+
+
 def to_long(df: DataFrame, factors: Sequence[Factor], keep: Sequence[str], directed: bool = False) -> DataFrame:
     """One row per (date, code, factor) with the kept columns; missing values stay."""
     rows = F.explode(F.array(*[
