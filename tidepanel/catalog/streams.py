@@ -54,6 +54,31 @@ def _(s):
     return _store(s).refused().groupBy("reason").agg(F.count("*").alias("rows"))
 
 
+@query("sealed_deliveries", "S2 U5", f"""WITH {STAGED}, d AS (SELECT DISTINCT event_date, code FROM s2), h AS (SELECT max(event_date) AS last FROM s2)
+SELECT 'stored' AS state, count(*) AS rows, round(sum(value), 4) AS total FROM sealed, h WHERE event_date > last - 20
+UNION ALL SELECT 'changed', count(*), round(sum(CASE WHEN day(event_date) % 3 = 0 THEN value + 1 ELSE value END), 4) FROM s2, h WHERE event_date > last - 10 AND day(event_date) % 3 = 0 AND event_date IN (SELECT event_date FROM sealed)
+UNION ALL SELECT 'older', count(*), round(sum(value), 4) FROM s2, h WHERE event_date <= last - 20""")
+def _(s):
+    """Four deliveries to one store: the last twenty days, the last ten again with every third day restated, the same ten unchanged, then the days before."""
+    d, store = staged(s), SE.SealedStore(s.spark)
+    last = F.broadcast(d.agg(F.max("event_date").alias("_last")))
+    d = d.join(last)
+    part = lambda ok: d.where(ok).drop("_last")
+    recent, ten = F.col("event_date") > F.date_sub("_last", 20), F.col("event_date") > F.date_sub("_last", 10)
+    restated = F.when(F.dayofmonth("event_date") % 3 == 0, F.col("value") + 1).otherwise(F.col("value"))
+    again = part(ten).withColumn("value", restated)
+    deliveries = [part(recent), again, part(ten), part(~recent)]
+    for i, rows in enumerate(deliveries):
+        store.append(rows, i, _cutoff())
+    stored = store.read(SCHEMA).agg(F.lit("stored").alias("state"), F.count("*").alias("rows"), r(F.sum("value"), 4).alias("total"))
+    refused = store.refused().where("reason in ('changed', 'older')").select("event_date", "code", "observed_at", "reason")
+    days = refused.select("event_date", "reason").distinct()
+    sent = again.withColumn("reason", F.lit("changed")).unionByName(deliveries[3].withColumn("reason", F.lit("older")))
+    counted = refused.groupBy("reason").agg(F.count("*").alias("rows"))
+    totals = sent.join(days, ["event_date", "reason"], "left_semi").groupBy("reason").agg(r(F.sum("value"), 4).alias("total"))
+    return stored.unionByName(counted.join(totals, "reason").select(F.col("reason").alias("state"), "rows", "total"))
+
+
 @query("gap_marking", "S6", """WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events), c AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM days), g AS (SELECT date, pos, date IN (SELECT date FROM days WHERE day(date) % 7 <> 3 AND day(date) <> 11) AS has FROM c)
 SELECT strftime(date, '%Y-%m-%d') AS date, CASE WHEN NOT has THEN 'data_gap' WHEN NOT lag(has) OVER (ORDER BY date) AND pos > 0 THEN 'recovery' ELSE 'ok' END AS status FROM g""")
 def _(s):
