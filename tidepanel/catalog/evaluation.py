@@ -312,14 +312,18 @@ def _(s):
     return g.select("factor", "same_sign", r("neutral_ic", 5).alias("neutral_ic"), F.col("passed").cast("int").alias("passed"))
 
 
-@query("holdout_check", "A65 S4", labelled(LONG + IC("value", "label_1", "factor, date", UNI, n=8) + """
+@query("holdout_check", "A65 S4", labelled(LONG + IC("value", "label_1", "factor, date", UNI, n=8) + f"""
+, seen AS (SELECT DISTINCT [{", ".join(f"'{k}'" for k in PICK)}][o_custkey % {len(PICK)} + 1] AS factor FROM orders WHERE (o_orderkey * 7 + o_custkey) % 10 = 9 AND CAST(o_orderdate AS DATE) < DATE '1995-01-15')
 , t AS (SELECT factor, date < DATE '1999-01-01' AS dev, avg(ic) AS m, avg(ic) / nullif(stddev_samp(ic), 0) AS ir FROM ic WHERE ic IS NOT NULL GROUP BY ALL)
-SELECT d.factor, round(h.ir / d.ir, 4) AS ratio, (h.m > 0 AND h.ir / d.ir >= 0.5)::INT AS passed, (length(d.factor) % 2)::INT AS contaminated FROM t d JOIN t h ON d.factor = h.factor AND d.dev AND NOT h.dev"""))
+SELECT d.factor, round(h.ir / d.ir, 4) AS ratio, (h.m > 0 AND h.ir / d.ir >= 0.5)::INT AS passed, (d.factor IN (SELECT factor FROM seen))::INT AS contaminated FROM t d JOIN t h ON d.factor = h.factor AND d.dev AND NOT h.dev"""))
 def _(s):
     ic = materialize(library_ic(universe(s, "label_1")))
     cut = F.lit("1999-01-01").cast("date")
     dev, hold = M.summarize_ic(ic.where(F.col("date") < cut)), M.summarize_ic(ic.where(F.col("date") >= cut))
-    seen = dev.where(F.length("factor") % 2 == 1).select("factor", F.lit(1).alias("contaminated"))
+    # Earlier results of the candidates on the holdout span, from the dated trials of the record that reached the last level.
+    names, o = F.array(*[F.lit(k) for k in PICK]), s.table("orders")
+    early = ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 10 == 9) & (F.col("o_orderdate").cast("date") < F.lit("1995-01-15").cast("date"))
+    seen = o.where(early).select(F.element_at(names, (F.col("o_custkey") % len(PICK) + 1).cast("int")).alias("factor")).distinct().withColumn("contaminated", F.lit(1))
     d = dev.select("factor", F.col("icir").alias("dev_icir")).join(hold, "factor").join(seen, "factor", "left")
     ratio = F.col("icir") / F.nullif("dev_icir", F.lit(0.0))
     return d.select("factor", r(ratio, 4).alias("ratio"), F.coalesce((F.col("ic_mean") > 0) & (ratio >= 0.5), F.lit(False)).cast("int").alias("passed"), F.coalesce("contaminated", F.lit(0)).alias("contaminated"))

@@ -29,11 +29,11 @@ sz AS (SELECT *, {N.sql_ppf('q1')} AS z1, {N.sql_ppf('q2')} AS z2, (m3 - 3 * m *
 sh AS (SELECT *, {HURDLE} AS hurdle FROM sz)"""
 
 
-@query("deflated_ratio", "A20 A25 UD5", DISCOUNT + f""", d AS (SELECT trial, n_trials, variance, hurdle, icir, days, 1 - skew * icir + (kurt - 1) / 4 * icir * icir AS den FROM trials JOIN sh USING (campaign) WHERE icir IS NOT NULL),
+@query("deflated_ratio", "A20 A25 UD5", DISCOUNT + f""", d AS (SELECT trial, n_trials, variance, hurdle, icir, days / greatest(CASE trial % 4 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 20 ELSE 0 END, 1)::DOUBLE AS days, 1 - skew * icir + (kurt - 1) / 4 * icir * icir AS den FROM trials JOIN sh USING (campaign) WHERE icir IS NOT NULL),
 z AS (SELECT *, CASE WHEN days > 1 AND den > 0 THEN (icir - hurdle) * sqrt(days - 1) / sqrt(den) END AS z FROM d), p AS (SELECT *, coalesce({N.sql_cdf('z')}, 0) AS dsr FROM z)
 SELECT trial, n_trials, round(variance, 6) AS variance, round(hurdle, 6) AS hurdle, round(dsr, 6) AS dsr, round(1 - dsr, 6) AS p_value FROM p""")
 def _(s):
-    """Shape of the campaign's own ratios; observations are the trial's valid days."""
+    """Shape of the campaign's own ratios; observations are the trial's valid days over its horizon."""
     t = trials(s).where("icir is not null")
     x = F.col("icir")
     m = {f"_m{k}": F.avg(F.pow(x, F.lit(float(k)))) for k in range(1, 5)}
@@ -42,7 +42,9 @@ def _(s):
     v = F.nullif(b - a * a, F.lit(0.0))
     shape = shape.select("campaign", ((c - 3 * a * b + 2 * a * a * a) / (v * F.sqrt(v))).alias("skew"), ((e - 4 * a * c + 6 * a * a * b - 3 * a * a * a * a) / (v * v)).alias("kurt"))
     d = t.join(F.broadcast(I.search_discount(t, ["campaign"]).join(shape, "campaign")), "campaign")
-    d = d.withColumn("dsr", I.deflated_probability(x, F.col("hurdle"), F.col("days"), F.col("skew"), F.col("kurt")))
+    k = F.col("trial") % 4
+    horizon = F.when(k == 0, 1).when(k == 1, 5).when(k == 2, 20).otherwise(0)
+    d = d.withColumn("dsr", I.deflated_probability(x, F.col("hurdle"), I.effective_observations(F.col("days"), horizon), F.col("skew"), F.col("kurt")))
     return d.select("trial", "n_trials", r("variance").alias("variance"), r("hurdle").alias("hurdle"), r("dsr").alias("dsr"), r(1 - F.col("dsr")).alias("p_value"))
 
 

@@ -32,6 +32,11 @@ def deflated_probability(ratio: Column, hurdle: Column, t_obs: Column, skew: Col
     return F.coalesce(normal.cdf(z), F.lit(0.0))
 
 
+def effective_observations(days: Column, horizon: Column) -> Column:
+    """Labels of neighbouring days overlap over the horizon, so days count divided by it."""
+    return days / F.greatest(horizon, F.lit(1)).cast("double")
+
+
 def search_discount(trials: DataFrame, by: list[str]) -> DataFrame:
     """Trials, variance of their ratios and the null hurdle, per campaign."""
     d = trials.groupBy(*by).agg(F.count("*").alias("n_trials"), F.coalesce(F.var_samp("icir"), F.lit(0.0)).alias("variance"))
