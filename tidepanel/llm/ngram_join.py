@@ -21,11 +21,17 @@ merged order; sets so small that it may have fewer (``too_short``) index their f
 as well, so two of them meet by the common token among these.
 
 Candidates.  Equal sets are one class.  In each key group every set is compared with the smallest
-document only, and links are joined to components.  A second pass takes the sets that are not in
-the component of their group's smallest document and compares them with every member of another
+document only, and links are joined to components.  Keys whose members are not yet one component stay
+open; of open keys with the same members one is kept.  There a few further heads of each group, spread by a hash
+of the document, and one member of each component of several are compared with all members of other components,
+and the links joined again: a group whose smallest document is an outlier then falls together, and a document that
+links with anything in a component mostly joins it by one comparison.  A last pass compares what is still
+apart, every member outside the component of the group's smallest document with every member of another
 component, after a check of sizes and of parity bitmaps (their distance never exceeds the sets'
-difference).  So a group of n near copies costs n comparisons, and any pair that is neither
-compared nor in one component would have to share no key.  All comparisons are exact, on the texts.
+difference).  So a group of n near copies costs some n comparisons, and any pair that is neither
+compared nor in one component would have to share no key.  A pair that meets in many keys is formed at the first of
+them: each member knows the FIRST smallest open keys of its document, and a key forms no pair that has a smaller one in common.
+All comparisons are exact, on the texts.
 
 Cases: null and empty texts have no shingle and link with nothing; with fewer words than ``width``
 the whole sequence is the one shingle; a row without id takes the component of an equal set that has one, else none, and joins no others; a row
@@ -61,6 +67,9 @@ class Setting:
 
 
 BITMAP = 8  # longs, in two maps of 256 bits
+HEADS = 4  # of an open key, besides its smallest document
+FIRST = 16  # open keys of a document that are looked through for an earlier meeting
+WANTED = 1 << 20  # documents whose ids are broadcast to pick texts; more are picked from packed chunks
 _ROWS = 250  # texts cut at once
 _SLOTS = 64
 
@@ -242,8 +251,12 @@ def _stars(docs: DataFrame, levels: tuple[np.ndarray, int], setting: Setting) ->
 def _verified(pairs: DataFrame, docs: DataFrame, setting: Setting) -> DataFrame:
     """The pairs (a, b) that link, by their texts, which are picked from packed chunks."""
     chunks = 4 * partitions(docs.sparkSession)
-    base = chunked_by_id(docs.where("doc is not null"), "doc", chunks)
-    need = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b"))).distinct().withColumn("chunk", chunk_of("doc", chunks))
+    need = materialize(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b"))).distinct())
+    docs = docs.where("doc is not null")
+    if need.count() <= WANTED:
+        docs = docs.join(F.broadcast(need), "doc", "left_semi")
+    base = chunked_by_id(docs, "doc", chunks)
+    need = need.withColumn("chunk", chunk_of("doc", chunks))
 
     def pick(left: pa.Table, right: pa.Table) -> pa.Table:
         out, wanted = [], right.column("doc")
@@ -297,6 +310,45 @@ def _candidates(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (F.col("x_n") + F.col("y_n")).alias("n"), "x_wide", "y_wide").mapInArrow(sift, "a long, b long")
 
 
+def _placed(own: DataFrame, found: DataFrame) -> DataFrame:
+    """Each class with its component so far."""
+    return own.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
+
+def _one_of_equal_keys(rows: DataFrame) -> DataFrame:
+    """Of the keys with the same members the smallest: a passage that some documents share is many keys, all with these members."""
+    sets = rows.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("one"), F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("two"))
+    kept = sets.where("size > 1").groupBy("size", "one", "two").agg(F.min("key").alias("key"))
+    return rows.join(kept.select("key"), "key", "left_semi")
+
+
+def _with_earlier(rows: DataFrame) -> DataFrame:
+    """With the open keys of the document that are smaller than the row's, as far as they are among its FIRST smallest."""
+    first = rows.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST).alias("first"))
+    return rows.join(first, "doc").select("key", "doc", F.filter("first", lambda k: k < F.col("key")).alias("earlier"))
+
+
+def _side(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(prefix + c) for c in rows.columns if c != "key"])
+
+
+def _with_heads(rows: DataFrame) -> DataFrame:
+    """Members of each key with some of those of other components: HEADS of least hash, one for each residue, and the one of least hash of each
+    component of several.  Keys with nearly the same members have nearly the same of these."""
+    order, row = F.xxhash64("doc"), F.struct(*[c for c in rows.columns if c != "key"])
+    least = F.min_by(row, F.struct(order, F.col("doc"))).alias("h")
+    spread = rows.groupBy("key", F.pmod(order, F.lit(HEADS)).alias("part")).agg(least).select("key", "h.*")
+    joined = rows.groupBy("key", "component").agg(least, F.count("*").alias("members")).where("members > 1").select("key", "h.*")
+    return _side(rows, "x_").join(_side(spread.union(joined), "y_"), "key").where("x_component != y_component")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """All members of each key that are in different components."""
+    heads = rows.groupBy("key").agg(F.min_by("component", "doc").alias("head"))
+    left = _side(rows.join(heads, "key").where("component != head"), "x_")
+    return left.join(_side(rows, "y_"), "key").where("x_component != y_component and (x_doc < y_doc or y_component = x_head)")
+
+
 def jaccard_components(docs: DataFrame, setting: Setting = Setting(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
     with small_batches(docs.sparkSession):
@@ -318,22 +370,23 @@ def jaccard_components(docs: DataFrame, setting: Setting = Setting(), doc_id: st
         found = connected_components(links)
 
         # Keys with a document that is not yet joined to the one above it: compare across the components that meet there.
-        whole = materialize(own.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
-        at = whole.select("doc", "component")
+        at = _placed(own, found).select("doc", "component")
         apart = edges.join(at.select(F.col("doc").alias("x"), F.col("component").alias("cx")), "x").join(at.select(F.col("doc").alias("y"), F.col("component").alias("cy")), "y").where("cx != cy").select("doc", "up")
         keys = stars.join(apart, ["doc", "up"], "left_semi").select("key").distinct()
         open_ = stars.join(keys, "key", "left_semi")
         rows = open_.select("key", "doc").union(open_.select("key", "up")).distinct().join(named, "doc").select("key", F.col("cls").alias("doc")).distinct()
-        rows = materialize(rows.join(whole.select("doc", "component", "n", *bits), "doc"))
-        heads = rows.groupBy("key").agg(F.min(F.struct("doc", "component")).alias("head"))
-        left = rows.join(heads, "key").where("component != head.component").select("key", F.col("doc").alias("x"), F.col("component").alias("x_component"), F.col("head.component").alias("head_component"), F.col("n").alias("x_n"), *[F.col(b).alias(f"x_{b}") for b in bits])
-        right = rows.select("key", F.col("doc").alias("y"), F.col("component").alias("y_component"), F.col("n").alias("y_n"), *[F.col(b).alias(f"y_{b}") for b in bits])
-        once = (F.col("x") < F.col("y")) | (F.col("y_component") == F.col("head_component"))
-        rest = left.join(right, "key").where((F.col("x_component") != F.col("y_component")) & once & _alike(setting.percent, "x_", "y_"))
-        rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        rest = materialize(_candidates(rest, own, setting.percent))
-        if not rest.isEmpty():
-            found = connected_components(links.union(_verified(rest, docs, setting)))
+        rows = materialize(_with_earlier(materialize(_one_of_equal_keys(materialize(rows)))))
+        passes = (_with_heads, _across)
+        for pairs_of in passes:
+            members = materialize(rows.join(_placed(own, found).select("doc", "component", "n", *bits), "doc"))
+            rest = pairs_of(members).where(_alike(setting.percent, "x_", "y_"))
+            if pairs_of == passes[-1]:
+                rest = rest.where(~F.arrays_overlap("x_earlier", "y_earlier"))
+            rest = rest.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+            rest = materialize(_candidates(rest, own, setting.percent))
+            if not rest.isEmpty():
+                tried, links = tried.union(rest), links.union(materialize(_verified(rest, docs, setting)))
+                found = connected_components(links)
     out = member.join(found.withColumnRenamed("node", "cls"), "cls", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("component", "cls").alias("component_id"))
 
