@@ -184,10 +184,22 @@ def test_licences(spark, none):
     got = {r.doc_id: (r.licences, r.n_sentences) for r in licences.licence_scan(df).collect()}
     assert got == {d: (want, n) for d, _, want, n in rows}
     assert licences.licence_scan(none).count() == 0
-    assert all(any(t in s for t in licences.TRIGGERS) for s in licences.SENTENCES)
+    assert all(any(t in s for t in licences.TRIGGERS) for s in licences.SENTENCES | licences.MORE_SENTENCES)
+    assert not any(" " in t for t in licences.TRIGGERS)
     assert not any("Python" in x or "Arrow" in x for x in licences.licence_scan(df)._jdf.queryExecution().executedPlan().toString().splitlines())
 
 
+def test_licences_without_common_words_and_of_one_family(spark):
+    rows = [
+        (0, "CC0-1.0 Universal", "CC0-1.0"), (1, "See LICENSE. CC0-1.0 Universal", "CC0-1.0"), (2, "Released under the GNU GPL v3.", "GPL-3.0-only"),
+        (3, "released under the GNU-LGPL v2.1", "LGPL-2.1-only"), (4, "SPDX-License-Identifier: GPL-2.0-only\nSPDX-License-Identifier: GPL-3.0-only", "GPL-3.0-only GPL-2.0-only"),
+        (5, "Licensed under CC BY 4.0.\nLicensed under CC BY-SA 4.0.", "CC-BY-SA-4.0 CC-BY-4.0"), (6, "SPDX-License-Identifier: LGPL-2.1-or-later OR LGPL-3.0-only OR EPL-1.0 OR EPL-2.0", "LGPL-3.0-only LGPL-2.1-or-later EPL-2.0 EPL-1.0"),
+        (7, "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"), (8, "SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"),
+    ]
+    got = {r.doc_id: r.licences for r in licences.licence_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {d: want for d, _, want in rows}
+
+
 def test_pipeline(spark, tmp_path, wide):
     import corpus_pipeline
 

@@ -5,8 +5,9 @@ lines of a paragraph first, for wrapped licence texts, and is taken when it reco
 besides copyright notices: a wrapped line may begin with that word).  A normalised
 sentence (ASCII lower case, other signs to one blank, licence spelt license, a copyright notice reduced to
 that word) maps to a known identifier.  Rules are ordered lists of identifiers; a rule matches when its
-identifiers occur in that order, others between allowed.  Within a family only the first matching rule
-counts, so a longer licence comes before one that it contains.  Nothing is shuffled.
+identifiers occur in that order, others between allowed.  Within a family (one version of a licence, and the BSD
+texts, of which the longer holds the shorter) only the first matching rule counts, so a longer licence comes before one
+that it contains; licences of different families are all named.  Nothing is shuffled.
 
 An SPDX line is taken out before the cut: each identifier of its expression (also after ``OR``, ``AND``) is a
 sentence of its own, exceptions after ``WITH`` are not read.  ``licence_sql`` has the tables ``SENTENCES`` and
@@ -71,13 +72,13 @@ RULES = (
     ("MIT", "mit", ("mit-title", "mit-grant")),
     ("Apache-2.0", "apache", ("apache-header", "apache-compliance")),
     ("Apache-2.0", "apache", ("apache-line",)),
-    ("GPL-3.0-or-later", "gpl", ("gpl-free", "gpl3-terms")),
-    ("GPL-3.0-or-later", "gpl", ("gpl3-later-line",)),
-    ("GPL-3.0-only", "gpl", ("gpl3-line",)),
-    ("GPL-2.0-or-later", "gpl", ("gpl-free", "gpl2-terms")),
-    ("CC-BY-NC-4.0", "cc", ("cc-by-nc-line",)),
-    ("CC-BY-SA-4.0", "cc", ("cc-by-sa-line",)),
-    ("CC-BY-4.0", "cc", ("cc-by-line",)),
+    ("GPL-3.0-or-later", "gpl3", ("gpl-free", "gpl3-terms")),
+    ("GPL-3.0-or-later", "gpl3", ("gpl3-later-line",)),
+    ("GPL-3.0-only", "gpl3", ("gpl3-line",)),
+    ("GPL-2.0-or-later", "gpl2", ("gpl-free", "gpl2-terms")),
+    ("CC-BY-NC-4.0", "cc-by-nc", ("cc-by-nc-line",)),
+    ("CC-BY-SA-4.0", "cc-by-sa", ("cc-by-sa-line",)),
+    ("CC-BY-4.0", "cc-by", ("cc-by-line",)),
     ("BSD-3-Clause", "bsd", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-3-Clause", "bsd", ("bsd3-line",)),
     ("BSD-2-Clause", "bsd", ("bsd-grant", "bsd-source", "bsd-binary")),
@@ -145,24 +146,24 @@ MORE_SENTENCES = (
 MORE_RULES = (
     ("Apache-2.0", "apache", ("apache-title",)),
     ("Apache-2.0", "apache", ("apache-name", "version-2-0-january-2004")),
-    ("GPL-3.0-or-later", "gpl", ("gpl-free", "gpl-terms", "later-3")),
-    ("GPL-2.0-or-later", "gpl", ("gpl-free", "gpl-terms", "later-2")),
-    ("GPL-2.0-or-later", "gpl", ("gpl2-later-line",)),
-    ("GPL-2.0-only", "gpl", ("gpl2-only-line",)),
-    ("GPL-3.0-only", "gpl", ("gpl3-title",)),
-    ("GPL-3.0-only", "gpl", ("gpl-name", "version-3-29-june-2007")),
-    ("GPL-2.0-only", "gpl", ("gpl2-title",)),
-    ("GPL-2.0-only", "gpl", ("gpl-name", "version-2-june-1991")),
-    *[(f"LGPL-{v}-or-later", "lgpl", i) for v, t in (("3.0", "3"), ("2.1", "2 1")) for i in ((f"lgpl{t.replace(' ', '')}-terms",), ("lgpl-terms", f"later-{t.replace(' ', '-')}"), (f"lgpl{t.replace(' ', '')}-later-line",))],
-    *[("LGPL-2.0-or-later", "lgpl", i) for i in (("library2-terms",), ("library-terms", "later-2"), ("lgpl2-later-line",))],
-    *[(f"LGPL-{v}-only", "lgpl", i) for v, k, name in (("3.0", "lgpl3", "lgpl-name"), ("2.1", "lgpl21", "lgpl-name"), ("2.0", "lgpl2", "library-name")) for i in ((f"{k}-line",), (f"{k}-title",), (name, _TITLES[k][1].replace(" ", "-")))],
+    ("GPL-3.0-or-later", "gpl3", ("gpl-free", "gpl-terms", "later-3")),
+    ("GPL-2.0-or-later", "gpl2", ("gpl-free", "gpl-terms", "later-2")),
+    ("GPL-2.0-or-later", "gpl2", ("gpl2-later-line",)),
+    ("GPL-2.0-only", "gpl2", ("gpl2-only-line",)),
+    ("GPL-3.0-only", "gpl3", ("gpl3-title",)),
+    ("GPL-3.0-only", "gpl3", ("gpl-name", "version-3-29-june-2007")),
+    ("GPL-2.0-only", "gpl2", ("gpl2-title",)),
+    ("GPL-2.0-only", "gpl2", ("gpl-name", "version-2-june-1991")),
+    *[(f"LGPL-{v}-or-later", f"lgpl-{v}", i) for v, t in (("3.0", "3"), ("2.1", "2 1")) for i in ((f"lgpl{t.replace(' ', '')}-terms",), ("lgpl-terms", f"later-{t.replace(' ', '-')}"), (f"lgpl{t.replace(' ', '')}-later-line",))],
+    *[("LGPL-2.0-or-later", "lgpl-2.0", i) for i in (("library2-terms",), ("library-terms", "later-2"), ("lgpl2-later-line",))],
+    *[(f"LGPL-{v}-only", f"lgpl-{v}", i) for v, k, name in (("3.0", "lgpl3", "lgpl-name"), ("2.1", "lgpl21", "lgpl-name"), ("2.0", "lgpl2", "library-name")) for i in ((f"{k}-line",), (f"{k}-title",), (name, _TITLES[k][1].replace(" ", "-")))],
     *[("AGPL-3.0-or-later", "agpl", i) for i in (("agpl3-terms",), ("agpl-terms", "later-3"), ("agpl3-later-line",))],
     *[("AGPL-3.0-only", "agpl", i) for i in (("agpl3-line",), ("agpl3-title",), ("agpl-name", "version-3-19-november-2007"))],
     *[("MPL-2.0", "mpl", (i,)) for i in ("mpl2-copy", "mpl2-line", "mpl2-title")],
     *[("ISC", "isc", (i,)) for i in ("isc-grant", "isc-line")],
     *[("0BSD", "0bsd", (i,)) for i in ("0bsd-grant", "0bsd-line")],
-    *[("EPL-2.0", "epl", (i,)) for i in ("epl2-terms", "epl2-line", "epl2-title")],
-    *[("EPL-1.0", "epl", (i,)) for i in ("epl1-terms", "epl1-line", "epl1-title")],
+    *[("EPL-2.0", "epl2", (i,)) for i in ("epl2-terms", "epl2-line", "epl2-title")],
+    *[("EPL-1.0", "epl1", (i,)) for i in ("epl1-terms", "epl1-line", "epl1-title")],
     *[("CC0-1.0", "cc0", (i,)) for i in ("cc0-waived", "cc0-line", "cc0-title")],
     *[("Unlicense", "unlicense", (i,)) for i in ("unlicense-grant", "unlicense-free", "unlicense-line")],
 )
@@ -177,8 +178,8 @@ NAMED = (
 )
 MORE_SENTENCES["cc0 waived copyright"] = "cc0-waived"
 
-#: Each known sentence holds one of these, so a text without any needs no cutting.
-TRIGGERS = ("copyright", "licens", "licenc", "permission", "software", "redistribut", "cc0 1.0")
+#: Each known sentence holds one of these, each a part of one word, so a text without any needs no cutting however its words are separated.
+TRIGGERS = ("copyright", "licens", "licenc", "permission", "software", "redistribut", "gnu", "cc0", "mozilla", "1991", "1999", "2004", "2007")
 
 _ID = "[a-z0-9][a-z0-9.+-]*"
 _SPDX = f"spdx-license-identifier:[ \\t]*((?:\\([ \\t]*)*{_ID}(?:[ \\t]*\\))*(?:[ \\t]+(?:or|and|with)[ \\t]+(?:\\([ \\t]*)*{_ID}(?:[ \\t]*\\))*)*)"
