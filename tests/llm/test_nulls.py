@@ -42,3 +42,10 @@ def test_null_vector_ids(spark):
     rows = [(None, v, 1), (7, v, 1), (None, [9.0, -1.0, 0.0], 1), (8, v, None), (None, None, None)]
     got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == sorted([("None", 1, "7", False), ("7", 1, "7", True), ("None", 0, "None", False), ("8", 0, "8", True), ("None", 0, "None", False)])
+
+
+def test_mixture_with_clashing_names(spark):
+    rows = [(i, f"text {i}", "a" if i % 3 else "b", -i, "x") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _position long, _mixed_id string")
+    got = mixing.whole_mixture(d)
+    assert got.columns == d.columns and sorted(tuple(r) for r in got.collect()) == sorted(rows)

@@ -82,7 +82,7 @@ def _in_place(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
     """The documents of ``found`` with their columns, in files and rows by position; rows with equal ids stand at the first place of any of them."""
     place = found.groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.min("position").alias("_position"))
     got = docs.join(place, docs[doc_id].eqNullSafe(place["_mixed_id"]))
-    return got.repartitionByRange("_position").sortWithinPartitions("_position").select(*[docs[c] for c in docs.columns])
+    return got.repartitionByRange(place["_position"]).sortWithinPartitions(place["_position"]).select(*[docs[c] for c in docs.columns])
 
 
 def mixed_documents(docs: DataFrame, weights: dict | None = None, power: float = 0.7, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
