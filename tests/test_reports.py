@@ -15,6 +15,10 @@ CASES = {
     "分业务预计2010年EPS为1元": None,
     "预计2010-2012年EPS分别为1.10/1.20元": None,
     "预计2010年EPS为900元": None,
+    "预计2023-2025年营收增长，其中2024、2025年提速，EPS分别为1.0/1.1/1.2元": [(2023, 1.0), (2024, 1.1), (2025, 1.2)],
+    "预计2023-2029年增长，2024和2025年EPS分别为1.1/1.2元": [(2024, 1.1), (2025, 1.2)],
+    "预计15年EPS为2016年0.50元": [(2015, 0.5)],
+    "预计EPS分别为0.50元": None,
     "给予买入评级": None,
     "": None,
 }
@@ -31,3 +35,28 @@ def test_codes(spark):
             ("sh600000", "某(600001)", "某(300001)", "x", None), ("sh600000", "点评", None, "某(300001)公司", None), ("sz.000001", "点评", None, "某(000001)公司", "sz.000001"), ("hk00700", "点评", None, "x", None)]
     d = spark.createDataFrame([r[:4] for r in rows], "code string, title string, detail string, body string")
     assert [r.c for r in d.select(RT.report_code(*map(F.col, d.columns)).alias("c")).collect()] == [r[4] for r in rows]
+
+
+RATINGS = {
+    "目标价三十元每股，买入（首次覆盖，下同）的评级。": "买入",
+    "给予公司二零一二年二十五倍市盈率并考虑其行业地位后，推荐": None,
+    "给予公司明年二十五倍市盈率并考虑其行业地位后，推荐": "推荐",
+    "上调至强烈推荐。此前为中性，之后再无别的说法，公司经营正常且没有变化，特此说明": "中性",
+    "维持有": "持有",
+    "买入一词在此只是用语": None,
+    "建议回避\n的评级": "回避",
+    None: None,
+}
+
+
+@pytest.mark.parametrize("text", RATINGS)
+def test_ratings(spark, text):
+    d = spark.createDataFrame([(text,)], "b string")
+    assert d.select(RT.rating_phrase(F.col("b")).alias("w")).first().w == RATINGS[text]
+
+
+def test_stated_rating_and_titles(spark):
+    rows = [("给予买入评级", "卖出", "【甲证券】x", "买入", True), ("无", "卖出", "x", "卖出", True), ("无", "其他", "【某日报】x", None, False), (None, None, None, None, True)]
+    d = spark.createDataFrame([r[:3] for r in rows], "b string, s string, t string")
+    got = d.select(RT.rating(F.col("b"), F.col("s")).alias("w"), RT.accepted_title(F.col("t")).alias("ok")).collect()
+    assert [(g.w, g.ok) for g in got] == [r[3:] for r in rows]

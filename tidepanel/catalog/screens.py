@@ -200,29 +200,31 @@ def _(s):
     return S.keyword_events(s.table("documents").select("doc_id", "text", "source", "lang"), "text", "[0-9]{3}", "th|er", "password|secret", ["source", "lang"], "doc_id").select("source", "lang", "doc_id")
 
 
-@query("report_text_forecasts", "P17 IO9 UD6", """WITH o AS (SELECT o_orderkey AS id, year(o_orderdate) + 5 AS y, o_totalprice, o_orderkey % 8 AS t FROM orders),
-e AS (SELECT id, t, y, round(o_totalprice / 100000 * 0.887654321987::DOUBLE, 2) AS e FROM o), n AS (SELECT *, i FROM e, unnest([0, 1, 2]) AS u(i) WHERE t < 3 OR (t = 3 AND i = 0) OR (t = 4 AND i = 0))
-SELECT id, CASE WHEN t = 4 THEN 'sz.000001' ELSE 'sh.' || (600000 + id % 1000) END AS code, CASE WHEN t < 4 THEN (y + i)::VARCHAR END AS fiscal_year, CASE WHEN t < 4 THEN round(e + i, 4) END AS eps,
- CASE t WHEN 0 THEN 'buy' WHEN 1 THEN 'strong_buy' WHEN 2 THEN 'hold' WHEN 3 THEN 'buy' ELSE 'sell' END AS rating, CASE t WHEN 0 THEN 'maintain' WHEN 1 THEN 'up' WHEN 2 THEN 'down' END AS revision FROM n""")
+@query("report_text_forecasts", "P17 IO9 UD6", """WITH o AS (SELECT o_orderkey AS id, year(o_orderdate) + 5 AS y, o_totalprice, o_orderkey % 12 AS t FROM orders),
+e AS (SELECT id, t, y, round(o_totalprice / 100000 * 0.887654321987::DOUBLE, 2) AS e FROM o), n AS (SELECT *, i FROM e, unnest([0, 1, 2]) AS u(i) WHERE t IN (0, 1, 2, 9) OR (t IN (3, 4, 8, 10, 11) AND i = 0))
+SELECT id, CASE WHEN t = 4 THEN 'sz.000001' ELSE 'sh.' || (600000 + id % 1000) END AS code, CASE WHEN t IN (0, 1, 2, 3, 9, 11) THEN (y + i)::VARCHAR END AS fiscal_year, CASE WHEN t IN (0, 1, 2, 3, 9, 11) THEN round(e + i, 4) END AS eps,
+ CASE t WHEN 1 THEN 'strong_buy' WHEN 2 THEN 'hold' WHEN 4 THEN 'sell' ELSE 'buy' END AS rating, CASE t WHEN 0 THEN 'maintain' WHEN 1 THEN 'up' WHEN 2 THEN 'down' END AS revision FROM n""")
 def _(s):
-    """Five forms of a report: a span, a list, values before the key, a forecast after an actual value, a rating alone; three others are refused."""
+    """Nine forms of a report: a span, a list, values before the key, a forecast after an actual value, a rating alone, one far from its cue, a span before a list, a rating stated beside the text, a title without a house; three others are refused."""
     k, y = F.col("o_orderkey"), F.year("o_orderdate") + 5
     e = F.round(F.col("o_totalprice") / 100000 * 0.887654321987, 2)
     num = lambda i: F.format_string("%.2f", e + i)
     year = lambda i: (y + i).cast("string")
     say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
-    t = k % 8
+    t = k % 12
     body = (F.when(t == 0, say("公司发布公告。维持前期观点，预计", year(0), "-", year(2), "年EPS分别为", num(0), "/", num(1), "/", num(2), "元（原值9.99元），对应PE为15倍；给予“买入”评级。"))
             .when(t == 1, say("上调盈利预测，预计", year(0), "/", year(1), "/", year(2), "年EPS为", num(0), "、", num(1), "、", num(2), "元；给予“强烈推荐”评级。"))
             .when(t == 2, say("下调预测，预计", year(0), "至", year(2), "年将有", num(0), "/", num(1), "/", num(2), "元EPS；给予“中性”评级。"))
             .when(t == 3, say("上半年实现每股收益0.50元。我们预计", year(0), "年EPS为", num(0), "元；给予“增持”评级。"))
-            .when(t == 4, say("公司基本面稳健。给予“减持”评级。")).when(t == 7, say("公司召开股东大会。"))
+            .when(t == 4, say("公司基本面稳健。给予“减持”评级。")).when(t.isin(7, 10), say("公司召开股东大会。"))
+            .when(t == 8, say("合理价格为三十元每股，买入（首次覆盖，下同）的评级。"))
+            .when(t == 9, say("预计", year(0), "至", year(2), "年增长，其中", year(1), "/", year(2), "年提速，EPS分别为", num(0), "/", num(1), "/", num(2), "元；给予“买入”评级。"))
             .otherwise(say("预计", year(0), "年EPS为", num(0), "元；给予“买入”评级。")))
     own = F.format_string("(%d)", 600000 + k % 1000)
-    title = F.when(t == 5, "【财经日报】点评").when(t == 4, "【某证券】点评").otherwise(say("【某证券】某公司", own, "点评"))
-    d = s.table("orders").select(k.alias("id"), title.alias("title"), F.when(t == 6, "某公司(300001)").alias("detail"), body.alias("body"))
-    d = d.where(RT.broker_title(F.col("title"))).withColumn("code", RT.report_code(F.lit("sz000001"), F.col("title"), F.col("detail"), F.col("body"))).where("code is not null")
-    d = d.withColumns({"f": RT.eps_forecasts(F.col("body")), "rating": RT.rating_level(RT.rating_phrase(F.col("body")))}).where("f is not null or rating is not null")
+    title = F.when(t == 5, "【财经日报】点评").when(t == 4, "【某证券】点评").when(t == 11, say("某公司", own, "点评")).otherwise(say("【某证券】某公司", own, "点评"))
+    d = s.table("orders").select(k.alias("id"), title.alias("title"), F.when(t == 6, "某公司(300001)").alias("detail"), body.alias("body"), F.when(t == 10, "增持").otherwise("未评级").alias("stated"))
+    d = d.where(RT.accepted_title(F.col("title"))).withColumn("code", RT.report_code(F.lit("sz000001"), F.col("title"), F.col("detail"), F.col("body"))).where("code is not null")
+    d = d.withColumns({"f": RT.eps_forecasts(F.col("body")), "rating": RT.rating_level(RT.rating(F.col("body"), F.col("stated")))}).where("f is not null or rating is not null")
     d = d.select("id", "code", F.explode_outer("f.forecasts").alias("x"), "rating", F.col("f.revision").alias("revision"))
     return d.select("id", "code", F.col("x.fiscal_year").cast("string").alias("fiscal_year"), r("x.eps", 4).alias("eps"), "rating", "revision")
 
