@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepanel.functions.columns import corr, div, half_life_decay
 from tidepanel.operators.cross import with_stats
 from tidepanel.operators.joins import asof_join, keep_one
-from tidepanel.operators.ordering import order_stats, position, quantiles, running, with_ranks
+from tidepanel.operators.ordering import order_stats, position, running, with_ranks
+from tidepanel.operators.ranged import numbered
+from tidepanel.operators.staging import materialize
 from tidepanel.plans.metrics import decile
 
 
@@ -19,8 +22,6 @@ def monthly_reference(events: DataFrame, cal: DataFrame, days: int, least: int)
     events of a month are counted along one score order.
     """
     ev_days = events.select("date").distinct()
-    from pyspark.sql import Window as W
-
     ev_days = ev_days.withColumn("_i", F.row_number().over(W.orderBy("date")) - 1).withColumn("month", F.trunc("date", "month"))
     start = ev_days.groupBy("month").agg(F.min("_i").alias("_start"))
     serves = ev_days.select(F.col("date"), "_i").join(F.broadcast(start), (F.col("_i") < F.col("_start")) & (F.col("_i") >= F.col("_start") - days))
@@ -51,19 +52,44 @@ def decay_features(panel: DataFrame, events: DataFrame, lag: int, max_age: int,
     return d.withColumns(out).drop("_t", "s")
 
 
-def trailing_entries(events: DataFrame, lookback: int, q: float, least: int) -> DataFrame:
-    """Events at or above the trailing quantile of the scores of the previous ``lookback`` positions.
+def trailing_quantile(events: DataFrame, lookback: int, q: float, ranges: int = 256) -> DataFrame:
+    """``pos, n, cut`` for each event day: number and exact (interpolated) quantile of the scores of the ``lookback`` positions before it.
 
-    Thresholds are one per event day: each score is copied to the days that look back
-    at it and the exact quantile of each day comes from the order statistics.
+    Two levels: counts by day and score range, one row for each day and range, tell which range holds the ordinals
+    a day asks for; only the scores of those ranges are then laid beside the days, and a place inside its range
+    answers. A score is read by ``lookback / ranges`` days on average where ranges are asked evenly.
     """
     have = events.where(F.col("score").isNotNull())
-    days = have.select("pos").distinct()
-    spread = have.select("event_id", "score", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + lookback)).alias("pos"))
-    spread = spread.join(F.broadcast(days), "pos", "left_semi")
-    n = spread.groupBy("pos").agg(F.count("*").alias("_n"))
-    cut = quantiles(spread, ["pos"], {"_cut": ("score", q)}, keys=("event_id",))
-    d = have.join(F.broadcast(cut.join(n, "pos")), "pos", "left")
+    d = numbered(have.select("event_id", "pos", "score", F.lit(1).alias("_one")), ["_one"], ["score", "event_id"], "_place")
+    total = F.broadcast(d.agg(F.count("*").alias("_all")))
+    d = materialize(d.join(total).select("event_id", F.col("pos").cast("long").alias("pos"), "score", F.floor(F.col("_place") * ranges / F.col("_all")).cast("int").alias("_range")))
+    count = d.groupBy("pos", "_range").agg(F.count("*").alias("_c"))
+    held = F.map_from_entries(F.collect_list(F.struct("_range", "_c")))
+    grid = count.groupBy("pos").agg(held.alias("_m")).select("pos", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("_range"), "_m")
+    grid = grid.select("pos", "_range", F.coalesce(F.try_element_at("_m", F.col("_range")), F.lit(0)).alias("_c"))
+    grid = grid.withColumn("_in", F.coalesce(F.sum("_c").over(W.partitionBy("_range").orderBy("pos").rangeBetween(-lookback, -1)), F.lit(0)))
+    lower = W.partitionBy("pos").orderBy("_range")
+    grid = grid.withColumns({"_upto": F.sum("_in").over(lower), "n": F.sum("_in").over(W.partitionBy("pos"))})
+    place = (F.col("n") - 1) * F.lit(float(q))
+    asked = F.explode(F.array(F.struct(F.lit(0).alias("_k"), F.floor(place).alias("_o")), F.struct(F.lit(1).alias("_k"), F.ceil(place).alias("_o"))))
+    before = F.col("_upto") - F.col("_in")
+    want = grid.where("_in > 0").withColumns({"_before": before, "_part": place - F.floor(place)}).select("pos", "n", "_range", "_before", "_in", "_part", asked.alias("_a"))
+    want = want.select("pos", "n", "_range", "_part", F.col("_a._k").alias("_k"), (F.col("_a._o") - F.col("_before")).alias("_o"), "_in").where("_o >= 0 and _o < _in").drop("_in")
+    # Blocks of positions make the window an equi join: a window touches at most two of them.
+    block = lambda p: F.floor(p / lookback)
+    near = want.withColumn("_block", F.explode(F.array_distinct(F.array(block(F.col("pos") - lookback), block(F.col("pos") - 1)))))
+    near = near.withColumnRenamed("pos", "_day")
+    beside = d.withColumn("_block", block(F.col("pos"))).join(near, ["_range", "_block"]).where(F.col("pos").between(F.col("_day") - lookback, F.col("_day") - 1))
+    at = F.row_number().over(W.partitionBy("_day", "_k").orderBy("score", "event_id")) - 1
+    hit = beside.withColumn("_p", at).where("_p = _o").groupBy(F.col("_day").alias("pos")).agg(
+        F.max("n").alias("n"), F.max("_part").alias("_part"), F.max(F.when(F.col("_k") == 0, F.col("score"))).alias("_lo"), F.max(F.when(F.col("_k") == 1, F.col("score"))).alias("_hi"))
+    return hit.select("pos", "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias("cut"))
+
+
+def trailing_entries(events: DataFrame, lookback: int, q: float, least: int) -> DataFrame:
+    """Events at or above the trailing quantile of the scores of the previous ``lookback`` positions, of at least ``least`` scores."""
+    cut = trailing_quantile(events, lookback, q).select("pos", F.col("n").alias("_n"), F.col("cut").alias("_cut"))
+    d = events.where(F.col("score").isNotNull()).join(F.broadcast(cut), "pos")
     return d.where((F.col("_n") >= least) & (F.col("score") >= F.col("_cut"))).drop("_n", "_cut")
 
 
