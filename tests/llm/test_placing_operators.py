@@ -166,6 +166,16 @@ def test_packed_rows_give_the_documents_back(wide, corpus, none):
     assert packing.pack(none, ranks, pattern).count() == 0
 
 
+@pytest.mark.parametrize("parts, group_rows", [(1, 2048), (64, 2048), (64, 40)])
+def test_fill_does_not_depend_on_splits(spark, parts, group_rows):
+    ranks, pattern = vocabulary()
+    texts = [(i, " ".join(f"word{i % 7} again" for _ in range(1 + i * 37 % 113))) for i in range(1500)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)
+    got = packing.pack(d, ranks, pattern, context=512, group_rows=group_rows).select("row_id", "n_tokens", "doc_ids").collect()
+    assert len({r.row_id for r in got}) == len(got) and {i for r in got for i in r.doc_ids} == set(range(1500))
+    assert sum(r.n_tokens for r in got) / (512 * len(got)) >= 0.98
+
+
 def test_licences(spark, none):
     back = {i: s for s, i in reversed(licences.SENTENCES.items())}
     say = lambda *ids: ". ".join(back[i].upper() for i in ids) + "."

@@ -1,10 +1,15 @@
 """Packed token matrices by best-fit-decreasing.
 
-Each batch of an input split is tokenized and packed on its own, so nothing is shuffled and memory is
-that of a batch.  A document's ids end with ``end_id``; one longer than ``context`` is split into whole
-rows and a rest, losslessly.  The pieces, longest first, go each to the row with the least room that
-still holds it; the rooms stand in a segment tree over capacities 0 to ``context``, so a placement
-takes log2(context) steps.  Rows are padded with ``end_id``.
+A document's ids end with ``end_id``; one longer than ``context`` is split into whole rows and a rest,
+losslessly.  The pieces, longest first, go each to the row with the least room that still holds it; the
+rooms stand in a segment tree over capacities 0 to ``context``, so a placement takes log2(context) steps.
+Rows are padded with ``end_id``.
+
+Packing has two levels.  Each batch of an input split is tokenized and packed on its own; rows filled to
+``full`` of the context stay where they are.  The pieces of all other rows of the whole table are dealt by hash
+into groups of about ``group_rows`` rows and packed again, so the fill does not depend on how the input is
+split, only the rests of batches are shuffled, and memory is that of a batch or a group.  The first level is
+written once, so a lost executor repeats neither the tokenization nor the row numbers.
 
 Output, one row for each packed row: row_id, ids (``context`` little-endian unsigned integers of two or
 four bytes), n_tokens, cu_lengths (cumulative segment lengths from 0), resets (offsets in the row where
@@ -17,6 +22,7 @@ rows are packed as often; other columns are not read; an empty table gives no ro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +31,13 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import _encoding, plain, sent_vocabulary
 from tidepanel.llm.common import binary
+from tidepanel.operators.staging import materialize
+
+PACKED = "row_id long, ids binary, n_tokens int, cu_lengths array<int>, resets array<int>, doc_ids array<long>, doc_offsets array<long>"
+_NAMES = [part.split()[0] for part in PACKED.split(", ")]
+_KINDS = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+#: Row numbers of the second level start here; those of the first have the partition in their upper half.
+_SECOND = 1 << 62
 
 
 class Rooms:
@@ -75,16 +88,27 @@ def best_fit(lengths: list[int], context: int) -> list[list[int]]:
     return rows
 
 
-def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, context: int = 2048, end_id: int = 50256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _packed(pieces: list[np.ndarray], owner: list, start: list[int], context: int, end_id: int, kind: str, first: int) -> list[pa.Array]:
+    """Columns of the rows that hold the pieces, numbered from ``first``."""
+    out: list[list] = [[] for _ in _NAMES]
+    for n, row in enumerate(best_fit([len(p) for p in pieces], context)):
+        ends = np.cumsum([0, *(len(pieces[k]) for k in row)])
+        line = np.full(context, end_id, kind)
+        line[: ends[-1]] = np.concatenate([pieces[k] for k in row])
+        for cell, v in zip(out, (first + n, line.tobytes(), int(ends[-1]), ends.tolist(), ends[:-1].tolist(), [owner[k] for k in row], [start[k] for k in row]), strict=True):
+            cell.append(v)
+    return [pa.array(c, k) for c, k in zip(out, _KINDS, strict=True)]
+
+
+def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, context: int = 2048, end_id: int = 50256, doc_id: str = "doc_id", text: str = "text",
+         full: float = 0.99, group_rows: int = 2048) -> DataFrame:
     sent = sent_vocabulary(docs.sparkSession, ranks, pattern)
     kind = "<u2" if max(end_id, len(ranks)) < 1 << 16 else "<u4"
-    names = ["row_id", "ids", "n_tokens", "cu_lengths", "resets", "doc_ids", "doc_offsets"]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, serial, encoding = TaskContext.get().partitionId(), 0, _encoding(sent.value)
+        serial, encoding = TaskContext.get().partitionId() << 32, _encoding(sent.value)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -93,16 +117,24 @@ def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, context: int =
                 whole = np.array([*ids, end_id], kind)
                 for at in range(0, len(whole), context):
                     owner.append(d), start.append(at), pieces.append(whole[at : at + context])
-            rows = best_fit([len(p) for p in pieces], context)
-            out: list[list] = [[] for _ in names]
-            for row in rows:
-                ends = np.cumsum([0, *(len(pieces[k]) for k in row)])
-                line = np.full(context, end_id, kind)
-                line[: ends[-1]] = np.concatenate([pieces[k] for k in row])
-                for cell, v in zip(out, ((task << 32) + serial, line.tobytes(), int(ends[-1]), ends.tolist(), ends[:-1].tolist(), [owner[k] for k in row], [start[k] for k in row]), strict=True):
-                    cell.append(v)
-                serial += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+            rows = _packed(pieces, owner, start, context, end_id, kind, serial)
+            serial += len(rows[0])
+            yield pa.RecordBatch.from_arrays(rows, _NAMES)
+
+    def again(key: tuple, rows: pa.Table) -> pa.Table:
+        pieces, owner, start = [], [], []
+        for b in rows.sort_by("row_id").to_batches():
+            for ids, cuts, owners, starts in zip(*(b.column(c).to_pylist() for c in ("ids", "cu_lengths", "doc_ids", "doc_offsets")), strict=True):
+                line = np.frombuffer(ids, kind)
+                pieces += [line[a:z] for a, z in pairwise(cuts)]
+                owner += owners
+                start += starts
+        return pa.Table.from_arrays(_packed(pieces, owner, start, context, end_id, kind, _SECOND + (key[0].as_py() << 32)), _NAMES)
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, "row_id long, ids binary, n_tokens int, cu_lengths array<int>, resets array<int>, doc_ids array<long>, doc_offsets array<long>")
+    first = materialize(picked.mapInArrow(run, PACKED))
+    kept = F.col("n_tokens") >= F.lit(full * context)
+    rests = first.where(~kept)
+    groups = max(1, -(-(rests.agg(F.sum("n_tokens")).first()[0] or 0) // (context * group_rows)))
+    second = rests.withColumn("_group", F.pmod(F.xxhash64("row_id"), F.lit(groups))).groupBy("_group").applyInArrow(again, PACKED)
+    return first.where(kept).unionByName(second)
