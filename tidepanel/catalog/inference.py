@@ -140,6 +140,18 @@ def _(s):
     return I.calibration_bins(forecasts(s), "p", "y").select("bin", "n", r("mean_p").alias("mean_p"), r("hit_rate").alias("hit_rate"))
 
 
+@query("trial_pairing", "A51", """WITH rec AS (SELECT l_orderkey AS trial, l_linenumber AS seq, CASE WHEN l_linenumber = 1 OR (l_linenumber = 2 AND l_orderkey % 13 = 0) THEN 'started' WHEN l_returnflag = 'R' THEN 'failed' WHEN l_returnflag = 'A' THEN 'completed' ELSE 'void' END AS kind FROM lineitem),
+gone AS (SELECT DISTINCT trial, seq - 1 AS seq FROM rec WHERE kind = 'void'), g AS (SELECT trial, count(*) FILTER (WHERE kind = 'started') AS starts,
+ count(*) FILTER (WHERE kind IN ('completed', 'failed') AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.trial = rec.trial AND gone.seq = rec.seq)) AS results FROM rec GROUP BY trial HAVING count(*) FILTER (WHERE kind <> 'void') > 0)
+SELECT trial, starts, results, CASE WHEN starts <> 1 THEN 'bad_start' WHEN results > 1 THEN 'many_results' WHEN results = 0 THEN 'open' ELSE 'ok' END AS state FROM g""")
+def _(s):
+    """Lines of an order as records of a trial: the first starts it, returned and accepted ones are results, the others void the line before."""
+    n, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    kind = F.when((n == 1) | ((n == 2) & (F.col("l_orderkey") % 13 == 0)), "started").when(flag == "R", "failed").when(flag == "A", "completed").otherwise("void")
+    d = s.table("lineitem").select(F.col("l_orderkey").alias("trial"), n.alias("seq"), kind.alias("kind"), F.when(kind == "void", n - 1).alias("voids"))
+    return I.record_pairing(d).select("trial", "starts", "results", "state")
+
+
 @query("hash_chain_check", "A51 X19", f"""WITH {TRIALS} SELECT candidate, row_number() OVER (PARTITION BY candidate ORDER BY trial)::INT AS seq, (trial % 97 <> 5)::INT AS link_ok, (trial % 89 <> 7 AND trial % 97 <> 5)::INT AS hash_ok FROM trials""")
 def _(s):
     """Chained with two planted faults: a broken link and a changed payload."""

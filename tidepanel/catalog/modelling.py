@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidepanel.catalog.evaluation import AR, IC, SEEDS, seed_frame
 from tidepanel.catalog.registry import dense, labelled, query
 from tidepanel.functions.columns import day, r
-from tidepanel.operators import cross as X
+from tidepanel.operators import cross as X, rolling as R
 from tidepanel.operators.staging import materialize
 from tidepanel.plans import eventscores as E, factors as FA, models as MO
 
@@ -171,6 +171,29 @@ def _(s):
     return d.select("event_id", (F.col("type") == "1-URGENT").cast("int").alias("is_urgent"), F.col("z").isNull().cast("int").alias("missing"), r(F.coalesce("z", F.lit(0.0))).alias("value"))
 
 
+EVENT_TYPES = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM", "unstated": "4-NOT SPECIFIED", "low": "5-LOW"}
+EVENT_FIELDS = ("amount", "pre_event_ret", "log_circ_mv")
+RANK_Z = "".join(f""", r_{f} AS (SELECT event_id, type, month, {AR(f, "type, month")} / count(*) OVER (PARTITION BY type, month) AS q FROM m WHERE {f} IS NOT NULL),
+z_{f} AS (SELECT event_id, (q - avg(q) OVER g) / nullif(stddev_samp(q) OVER g, 0) AS z FROM r_{f} WINDOW g AS (PARTITION BY type, month))""" for f in EVENT_FIELDS)
+
+
+@query("event_feature_table", "N-F8", dense("""
+, ev AS (SELECT o_orderkey AS event_id, o_orderpriority AS type, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, 1 + o_custkey % (SELECT count(*) FROM supplier) AS code, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice * 0.0876543::DOUBLE END AS amount FROM orders),
+pre AS (SELECT code, date, round(ln(greatest(circ_mv, 1)), 9) AS log_circ_mv, round(CASE WHEN count(ret_1d) OVER w >= 3 THEN sum(ret_1d) OVER w END, 9) AS pre_event_ret FROM dense WINDOW w AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+m AS (SELECT ev.*, log_circ_mv, pre_event_ret FROM ev LEFT JOIN pre ON pre.code = ev.code AND pre.date = ev.month)""" + RANK_Z + """
+SELECT event_id, """ + ", ".join(f"(type = '{v}')::INT AS is_{k}" for k, v in EVENT_TYPES.items()) + ", " + ", ".join(f"round(coalesce(z_{f}.z, 0), 5) AS {f}" for f in EVENT_FIELDS) + "".join(f", (z_{f}.z IS NULL)::INT AS missing_{f}" for f in EVENT_FIELDS[:2])
+    + " FROM m " + " ".join(f"LEFT JOIN z_{f} USING (event_id)" for f in EVENT_FIELDS)))
+def _(s):
+    """Orders as events of supplier codes: a flag for each type; amount, return before the event and capitalisation as ranks.  The first two are missing in more than 1 % of the rows and have a flag."""
+    codes = s.table("supplier").agg(F.count("*").alias("_n"))
+    e = s.table("orders").join(F.broadcast(codes)).select(
+        F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("type"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"),
+        (1 + F.col("o_custkey") % F.col("_n")).alias("code"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice") * 0.0876543).alias("amount"))
+    pre = s.dense.select("code", F.col("date").alias("month"), r(F.log(F.greatest("circ_mv", F.lit(1.0))), 9).alias("log_circ_mv"), r(R.ts_sum("ret_1d", 6, 3), 9).alias("pre_event_ret"))
+    d = E.event_features(e.join(pre, ["code", "month"], "left"), EVENT_TYPES, list(EVENT_FIELDS), "month", ("event_id",))
+    return d.select("event_id", *[f"is_{k}" for k in EVENT_TYPES], *[r(f, 5).alias(f) for f in EVENT_FIELDS], *[f"missing_{f}" for f in EVENT_FIELDS[:2]])
+
+
 DEC = "WITH " + EV[2:] + """
 , c AS (SELECT *, ((event_id * 7919) % 1009) / 1009.0::DOUBLE + score / 100000 AS car, year(date) * 10 + quarter(date) AS blk FROM evs), k AS (SELECT *, row_number() OVER (PARTITION BY blk ORDER BY score, event_id) AS p, count(*) OVER (PARTITION BY blk) AS n FROM c),
 d AS (SELECT *, (greatest(ceil((p - 1) * 10.0 / nullif(n - 1, 0)), 1) - 1)::INT AS decile FROM k), g AS (SELECT decile, count(*) AS n, avg(car) AS m, var_samp(car) AS v FROM d GROUP BY decile)"""

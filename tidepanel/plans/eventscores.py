@@ -103,6 +103,23 @@ def group_rank_z(df: DataFrame, by: list[str], outs: dict[str, str], keys) -> Da
     return d.withColumns({o: div(F.col(f"_r_{o}") - F.col(f"_m_{o}"), F.col(f"_s_{o}")) for o in outs}).drop(*stats, *[f"_r_{o}" for o in outs])
 
 
+def event_features(events: DataFrame, types: dict[str, str], fields: list[str], group: str, keys, most_missing: float = 0.01) -> DataFrame:
+    """Sample rows of events: a flag ``is_<name>`` for each type, every field as the z of its rank inside (type, ``group``), 0 where it has none.
+
+    A field that has no z in more than ``most_missing`` of all rows also gets a flag ``missing_<field>``; the shares
+    are one aggregate over all rows.
+    """
+    z = {f"_z_{f}": f for f in fields}
+    d = materialize(group_rank_z(events, ["type", group], z, keys))
+    share = d.agg(*[F.avg(F.col(k).isNull().cast("int")).alias(f) for k, f in z.items()]).first()
+    out = {f"is_{name}": F.coalesce(F.col("type") == value, F.lit(False)).cast("int") for name, value in types.items()}
+    for k, f in z.items():
+        if (share[f] or 0) > most_missing:
+            out[f"missing_{f}"] = F.col(k).isNull().cast("int")
+        out[f] = F.coalesce(k, F.lit(0.0))
+    return d.withColumns(out).drop(*z)
+
+
 def decile_report(events: DataFrame, score: str, car: str, block: str, key: str) -> tuple[DataFrame, DataFrame]:
     """Mean outcome per within-block decile; spread, Welch t and rank monotonicity."""
     d = events.where(F.col(score).isNotNull() & F.col(car).isNotNull())

@@ -148,6 +148,23 @@ def chain_check(rows: DataFrame, by: list[str], order: str, payload: list[str])
     return d.select(*by, order, link.cast("int").alias("link_ok"), own.cast("int").alias("hash_ok"))
 
 
+def record_pairing(records: DataFrame) -> DataFrame:
+    """Starts and results of each trial's records (trial, seq, kind, voids), with its state.
+
+    A void record takes back the result with the number ``voids`` of its own trial.  A void and the record it names
+    meet in one group of (trial, number), so nothing is joined.  State: ``bad_start`` without exactly one
+    start, ``many_results`` with more than one standing result, ``open`` with none, else ``ok``.
+    """
+    void = F.col("kind") == "void"
+    named = F.when(void, F.col("voids")).otherwise(F.col("seq")).alias("seq")
+    d = records.select("trial", named, void.cast("int").alias("void"), (F.col("kind") == "started").cast("int").alias("start"),
+                       F.col("kind").isin("completed", "failed").cast("int").alias("result"))
+    g = d.groupBy("trial", "seq").agg(F.sum("start").alias("starts"), F.sum("result").alias("results"), F.max("void").alias("void"), F.sum(1 - F.col("void")).alias("own"))
+    g = g.groupBy("trial").agg(F.sum("starts").alias("starts"), F.sum(F.when(F.col("void") == 0, F.col("results")).otherwise(0)).alias("results"), F.sum("own").alias("own"))
+    state = F.when(F.col("starts") != 1, "bad_start").when(F.col("results") > 1, "many_results").when(F.col("results") == 0, "open").otherwise("ok")
+    return g.where("own > 0").select("trial", "starts", "results", state.alias("state"))
+
+
 def verdict(df: DataFrame, p_limit=0.05, coverage_min=0.95, floor=-0.08, te=(0.04, 0.06)) -> DataFrame:
     """Class of a finished forward test from its statistics."""
     c = F.col
