@@ -11,10 +11,10 @@ from tidepanel.catalog import load, registry  # noqa: E402
 
 #: What a query of the operator leaves out.
 PARTIAL = {
-    "A51": "planted chain restarts every 64 rows, no start/result pairing",
+    "A51": "planted chain restarts every 64 rows",
     "A60": "in level 2 the marginal gain is the literal 1 and the net excess is missing; each has a query of its own",
-    "N-F4": "9 of 24 candidates have a twin, the rest run as rows", "N-F5": "7 of 11 have a twin", "P17": "rating only within 12/6 characters of its cue; spans and lists of years in one pass",
-    "N-F8": "one flag and one rank", "N-F12": "2 of 5 alert kinds", "M2": "ridge penalties only, rows only", "W33": "events are copied over the lookback",
+    "N-F4": "9 of 24 candidates have a twin, the rest run as rows", "N-F5": "7 of 11 have a twin",
+    "N-F12": "2 of 5 alert kinds", "M2": "ridge penalties only, rows only",
     "M8": "2 of 6 styles", "M9": "rows only", "UD1": "through the factor list only", "UD2": "windows only", "UD3": "no universe field", "UD4": "rows only", "A33": "area under the curve only",
     "A46": "orders stand in for accounts, so books are small",
 }
