@@ -89,7 +89,7 @@ def test_languages(spark, none):
     words = {"en": ["the", "and", "thing", "wher", "ould"], "fr": ["été", "que", "ment", "eaux", "la"], "de": ["und", "ßen", "keit", "sch", "über"]}
     rows = [(i, " ".join(rng.choice(words[k]) for _ in range(40)), k) for i, k in ((i, rng.choice(list(words))) for i in range(300))]
     rows += [(400, None, "en"), (401, "", "en"), (402, "123 !? 45", "en"), (403, "the and thing", None), (404, "the " * 50_000, "en"), rows[0], (None, rows[1][1], "fr")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("own"), "h": F.lit(0), "kind": F.lit(3)})
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("own"), "h": F.lit(0), "kind": F.lit(3), "notes": F.create_map(F.lit("a"), F.lit(1))})
     got = langid.identify(df).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     known = {d: k for d, _, k in rows if d is not None and d < 300}

@@ -3,7 +3,7 @@
 A text is the vector of its byte trigrams, hashed to ``dimensions`` bins, weighted by 1 + log(count) times
 the bin's inverse document frequency and normalised.  Document frequencies are counted over all documents
 that may be learned from.  Each language has up to ``clusters`` centroids, fitted by spherical k-means on some
-``sample`` of its documents (by hash of the id, so about that many whatever the input); a text takes the
+``sample`` of its documents (by hash of id and text, so about that many whatever the input); a text takes the
 language of the nearest centroid by cosine.
 
 Rejection by distance: each centroid carries the distance within which all but ``outlying`` of its
@@ -87,10 +87,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, setting: Setting = Setting(), text: str = "text", lang: str = "lang") -> dict:
+def fit(docs: DataFrame, setting: Setting = Setting(), text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict:
     """Model of the languages in ``docs``: idf, centroids, their languages and rejection distances."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64("*").alias("h")).where("text is not null and lang is not null")
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h")).where("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {"languages": []}
