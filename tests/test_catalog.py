@@ -14,7 +14,8 @@ from compare import TABLES, compare  # noqa: E402
 DATA = "/root/testdata/sf0.001"
 NAMES = ["scalar_arithmetic", "ts_moving_stats", "cs_rank", "asof_carry_limit", "align_statements", "forward_labels", "batch_ic_summary", "benjamini_hochberg",
          "walk_forward_ridge", "ew_covariance", "capped_weights", "trade_replay", "red_flag_values", "sealed_ingest",
-         "target_weights", "average_cost", "deflated_ratio", "hac_p_values", "candidate_screen", "factor_store", "value_mix", "industry_features", "report_text_forecasts", "holding_correlations"]
+         "target_weights", "average_cost", "deflated_ratio", "hac_p_values", "candidate_screen", "factor_store", "value_mix", "industry_features", "report_text_forecasts", "holding_correlations",
+         "event_entries", "event_feature_table", "trial_pairing"]
 
 
 @pytest.fixture(scope="module")

@@ -152,13 +152,13 @@ def _(s):
 
 @query("event_entries", "W33", "WITH " + EV[2:] + """
 , dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM evs)), ep AS (SELECT e.*, dd.pos FROM evs e JOIN dd USING (date)),
-th AS (SELECT d.pos, count(*) AS n, quantile_cont(e.score, 0.9) AS cut FROM dd d JOIN ep e ON e.pos BETWEEN d.pos - 12 AND d.pos - 1 GROUP BY d.pos) SELECT event_id, pos FROM ep JOIN th USING (pos) WHERE n >= 100 AND score >= cut""")
+th AS (SELECT d.pos, count(*) AS n, quantile_cont(e.score, 0.9) AS cut FROM dd d JOIN ep e ON e.pos BETWEEN d.pos - 52 AND d.pos - 1 GROUP BY d.pos) SELECT event_id, pos FROM ep JOIN th USING (pos) WHERE n >= 100 AND score >= cut""")
 def _(s):
     from tidepanel.operators.grid import calendar, with_pos
 
     e = events(s)
     e = with_pos(e, calendar(e))
-    return E.trailing_entries(e, 12, 0.9, 100).select("event_id", F.col("pos").cast("long").alias("pos"))
+    return E.trailing_entries(e, 52, 0.9, 100).select("event_id", F.col("pos").cast("long").alias("pos"))
 
 
 @query("event_features", "N-F8", "WITH " + EV[2:] + f"""
