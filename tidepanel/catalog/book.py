@@ -25,12 +25,17 @@ def trades(s):
                      (F.col("l_extendedprice") * F.col("l_tax") / 100).alias("fee"))
 
 
+def moves(s):
+    """Trades without their money."""
+    return trades(s).drop("amount", "price", "fee")
+
+
 REPLAY = TR + """, sg AS (SELECT *, sum((type = 'set')::INT) OVER (PARTITION BY account, code ORDER BY date, seq) AS seg FROM trades), rp AS (SELECT *, sum(CASE type WHEN 'sell' THEN -quantity WHEN 'dividend' THEN 0 ELSE quantity END) OVER (PARTITION BY account, code, seg ORDER BY date, seq) AS held FROM sg)"""
 
 
 @query("trade_replay", "A50", f"WITH {REPLAY} SELECT account, code, strftime(date, '%Y-%m-%d') AS date, arg_max(held, seq) AS held FROM rp GROUP BY ALL")
 def _(s):
-    return B.end_of_day(B.replay(trades(s))).select("account", "code", day("date").alias("date"), "held")
+    return B.end_of_day(B.replay(moves(s))).select("account", "code", day("date").alias("date"), "held")
 
 
 @query("trade_cash", "A50", f"WITH {TR}, c AS (SELECT account, date, CAST(sum(CAST(CASE type WHEN 'buy' THEN -(amount + fee) WHEN 'sell' THEN amount - fee WHEN 'dividend' THEN amount ELSE 0 END AS DECIMAL(24,6))) AS DECIMAL(30,6)) AS f FROM trades GROUP BY ALL) SELECT account, strftime(date, '%Y-%m-%d') AS date, round(CAST(sum(f) OVER (PARTITION BY account ORDER BY date) AS DOUBLE), 6) AS cash FROM c")
@@ -40,14 +45,14 @@ def _(s):
 
 @query("oversell_rows", "A50", f"WITH {REPLAY} SELECT account, count(*) AS oversold FROM rp WHERE held < 0 GROUP BY account")
 def _(s):
-    return B.replay(trades(s)).where("held < 0").groupBy("account").agg(F.count("*").alias("oversold"))
+    return B.replay(moves(s)).where("held < 0").groupBy("account").agg(F.count("*").alias("oversold"))
 
 
 @query("anchor_check", "U4 A50", f"WITH {REPLAY}, f AS (SELECT account, code, arg_max(held, (date, seq)) AS held FROM rp GROUP BY ALL), a AS (SELECT account, code, held + CASE WHEN (account + code) % 11 = 0 THEN 5 ELSE 0 END AS quantity FROM f WHERE (account * 3 + code) % 17 <> 0) SELECT account, code, coalesce(held, 0) - coalesce(quantity, 0) AS gap FROM f FULL JOIN a USING (account, code) WHERE abs(coalesce(held, 0) - coalesce(quantity, 0)) > 1e-6")
 def _(s):
     from tidepanel.operators.joins import keep_one
 
-    f = keep_one(B.replay(trades(s)).select("account", "code", "date", "seq", "held"), ["account", "code"], ["date", "seq"]).select("account", "code", "held")
+    f = materialize(keep_one(B.replay(moves(s)).select("account", "code", "date", "seq", "held"), ["account", "code"], ["date", "seq"]).select("account", "code", "held"))
     a = f.where((F.col("account") * 3 + F.col("code")) % 17 != 0).select("account", "code", (F.col("held") + F.when((F.col("account") + F.col("code")) % 11 == 0, 5.0).otherwise(0.0)).alias("quantity"))
     return B.anchor_gaps(f, a)
 
@@ -59,7 +64,7 @@ bs AS (SELECT account, code, k, add AS basis FROM kb WHERE k = 1 UNION ALL SELEC
 @query("average_cost", "A38", COST + " SELECT account, code, strftime(date, '%Y-%m-%d') AS date, type, held, round(basis / held * 0.987654321987::DOUBLE, 4) AS cost FROM kb JOIN bs USING (account, code, k) WHERE held > 0")
 def _(s):
     """Costs in a unit that keeps decimal ties away from the rounding."""
-    d = B.average_cost(B.replay(trades(s)))
+    d = B.replay_with_cost(trades(s).drop("fee"))
     return d.where("held > 0").select("account", "code", day("date").alias("date"), "type", "held", r(F.col("cost") * 0.987654321987, 4).alias("cost"))
 
 
@@ -71,8 +76,8 @@ q AS (SELECT c.*, sale_px IS NOT NULL AS sold, coalesce(sale_px, px) > cost AS g
 g AS (SELECT account, count(*) FILTER (WHERE sold AND gain) AS realized_gain, count(*) FILTER (WHERE sold AND NOT gain) AS realized_loss, count(*) FILTER (WHERE NOT sold AND gain) AS paper_gain, count(*) FILTER (WHERE NOT sold AND NOT gain) AS paper_loss FROM q GROUP BY account)
 SELECT *, round(realized_gain / nullif(realized_gain + paper_gain, 0) - realized_loss / nullif(realized_loss + paper_loss, 0), 6) AS pgr_minus_plr FROM g""")
 def _(s):
-    t = materialize(trades(s))
-    st = B.average_cost(B.replay(t))
+    t = materialize(trades(s).drop("fee"))
+    st = B.replay_with_cost(t)
     from tidepanel.operators.joins import keep_one
 
     eod = materialize(keep_one(st.select("account", "code", "date", "seq", "held", "cost"), ["account", "code", "date"], ["seq"]).drop("seq"))

@@ -181,3 +181,33 @@ def running(df, by, order, outs: dict[str, tuple[str, str]], keys=("code",), wri
         both = {"sum": w + p, "max": F.greatest(w, p), "min": F.least(w, p)}[fn]
         d = d.withColumn(o, F.coalesce(both, w, p))
     return d.drop("_v0", "_part", *[f"_w_{o}" for o in outs], *[f"_p_{o}" for o in outs])
+
+
+def deal_in_order(df, by, order) -> DataFrame:
+    """Rows written once by ranges of (group, order), with their partition; the order must be unique in the group."""
+    return materialize(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def split_groups(dealt: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The groups of dealt rows that lie in several partitions; each partition border cuts one group at most."""
+    ends = dealt.groupBy(*by).agg(F.min("_part").alias("_a"), F.max("_part").alias("_z")).where("_a < _z")
+    return materialize(ends.select(*by))
+
+
+def cell_starts(split: DataFrame, by, order, value: str, scale: str) -> DataFrame:
+    """(group, partition, _start): what a recurrence x = a * x + b has reached before each cell of groups in several partitions.
+
+    ``value`` is a row's x when its cell starts from zero, ``scale`` the product of a from the start of the cell.
+    A group has one row for each partition here.
+    """
+    last = F.max_by(F.struct(F.col(value).alias("x"), F.col(scale).alias("a")), F.struct(*order))
+    cells = split.groupBy(*by, "_part").agg(last.alias("_l")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_part", "_l"))).alias("_cells"))
+    first = lambda n: F.slice("_cells", F.lit(1), n)
+    before = F.transform("_cells", lambda c, i: F.struct(c["_part"].alias("_part"), F.aggregate(first(i), F.lit(0.0), lambda x, e: e["_l"]["x"] + e["_l"]["a"] * x).alias("_start")))
+    return materialize(cells.select(*by, F.explode(before).alias("_c")).select(*by, "_c._part", "_c._start"))
+
+
+def with_start(d: DataFrame, starts: DataFrame, by, value: str, scale: str) -> DataFrame:
+    """Add to ``value`` what its cell starts from; ``starts`` has few rows, two for each partition at most."""
+    d = d.join(F.broadcast(starts), [*by, "_part"], "left")
+    return d.withColumn(value, F.col(value) + F.col(scale) * F.coalesce("_start", F.lit(0.0))).drop("_start")

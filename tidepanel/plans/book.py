@@ -13,21 +13,69 @@ from pyspark.sql import functions as F
 from tidepanel.functions.columns import corr, div
 from tidepanel.operators.cross import with_stats
 from tidepanel.operators.joins import asof_join, keep_one
-from tidepanel.operators.ordering import running
+from tidepanel.operators.ordering import cell_starts, deal_in_order, split_groups, with_start
 from tidepanel.plans.metrics import compounded
 
 
+STRETCH = 300.0  # in logs: products inside a stretch stay far from underflow
+PAIR, IN_ORDER = ["account", "code"], ["date", "seq"]
+
+
+def _cell(*more: str):
+    return W.partitionBy(*PAIR, "_part", *more).orderBy(*IN_ORDER).rowsBetween(W.unboundedPreceding, 0)
+
+
+def _held(d: DataFrame) -> DataFrame:
+    """Quantity after each trade since the last ``set`` of its cell, and whether what the cell starts from still counts."""
+    sign = F.when(F.col("type") == "sell", -F.col("quantity")).when(F.col("type").isin("buy", "set"), F.col("quantity")).otherwise(0.0)
+    d = d.withColumn("_seg", F.sum((F.col("type") == "set").cast("int")).over(_cell()))
+    return d.withColumns({"held": F.sum(sign).over(_cell("_seg")), "_open": (F.col("_seg") == 0).cast("double")}).drop("_seg")
+
+
+def _basis(d: DataFrame) -> DataFrame:
+    """Cost basis after each trade from zero at the start of its cell, and the share that is left of what the cell starts from.
+
+    Basis B follows B_t = a_t B_(t-1) + b_t (a buy adds its amount, a sale keeps the
+    unsold share, a reset or a sell-out starts again), so with P the running product
+    of a, B_t = P_t * sum(b_i / P_i): running sums again.  P falls without end, so it is
+    taken from the start of its stretch of ``STRETCH`` logs; what the stretch before left counts
+    with its factor, and anything older is below double precision.
+    """
+    before = F.when(F.col("type") == "sell", F.col("held") + F.col("quantity")).when(F.col("type") == "buy", F.col("held") - F.col("quantity")).otherwise(F.col("held"))
+    keep = F.when(F.col("type") == "sell", F.when(before > 0, F.col("held") / F.nullif(before, F.lit(0.0))).otherwise(0.0)).when(F.col("type") == "set", 0.0).otherwise(1.0)
+    d = d.withColumn("_keep", F.when(keep > 1e-9, keep).otherwise(0.0))
+    d = d.withColumn("_run", F.sum((F.col("_keep") == 0).cast("int")).over(_cell()))
+    d = d.withColumn("_lp", F.sum(F.when(F.col("_keep") > 0, F.ln("_keep")).otherwise(0.0)).over(_cell("_run")))
+    add = F.when(F.col("type") == "buy", F.col("amount")).when(F.col("type") == "set", F.col("quantity") * F.coalesce("price", F.lit(0.0))).otherwise(0.0)
+    d = d.withColumn("_stretch", F.floor(-F.col("_lp") / STRETCH)).withColumn("_rel", F.exp(F.col("_lp") + STRETCH * F.col("_stretch")))
+    d = d.withColumn("_b", add / F.col("_rel"))
+    earlier = W.partitionBy(*PAIR, "_part", "_run").orderBy("_stretch").rangeBetween(-1, -1)
+    d = d.withColumns({"_s": F.sum("_b").over(_cell("_run", "_stretch")), "_left": F.sum("_b").over(earlier) * F.exp(F.lit(-STRETCH))})
+    d = d.withColumns({"_basis": F.col("_rel") * (F.col("_s") + F.coalesce("_left", F.lit(0.0))), "_rest": F.when(F.col("_run") == 0, F.exp("_lp")).otherwise(0.0)})
+    return d.drop("_keep", "_run", "_lp", "_stretch", "_rel", "_b", "_s", "_left")
+
+
+def _with_held(dealt: DataFrame, split: DataFrame):
+    """A function that adds ``held`` to dealt rows."""
+    starts = cell_starts(_held(dealt.join(F.broadcast(split), PAIR, "left_semi")), PAIR, IN_ORDER, "held", "_open")
+    return lambda d: with_start(_held(d), starts, PAIR, "held", "_open").drop("_open")
+
+
+def _with_cost(dealt: DataFrame, split: DataFrame, with_held=lambda d: d) -> DataFrame:
+    starts = cell_starts(_basis(with_held(dealt.join(F.broadcast(split), PAIR, "left_semi"))), PAIR, IN_ORDER, "_basis", "_rest")
+    d = with_start(_basis(with_held(dealt)), starts, PAIR, "_basis", "_rest")
+    return d.withColumn("cost", div("_basis", "held")).drop("_basis", "_rest", "_part")
+
+
 def replay(trades: DataFrame) -> DataFrame:
     """Quantity after every trade: running sum since the last ``set`` of the (account, code).
 
-    ``trades``: account, code, date, seq (unique), type, quantity.  Long trade lists are
-    cut into ordered buckets, so a busy pair never sits in one task.
+    ``trades``: account, code, date, seq (unique), type, quantity.  Trades are dealt once by ranges of
+    (account, code, date, seq), so a busy pair never sits in one task; a pair that a border cuts gets
+    what its earlier cells have reached.
     """
-    d = trades.withColumn("_set", (F.col("type") == "set").cast("int"))
-    d = running(d, ["account", "code"], ["date", "seq"], {"_seg": ("sum", "_set")}, keys=("seq",))
-    sign = F.when(F.col("type") == "sell", -F.col("quantity")).when(F.col("type").isin("buy", "set"), F.col("quantity")).otherwise(0.0)
-    d = d.withColumn("_q", sign)
-    return running(d, ["account", "code", "_seg"], ["date", "seq"], {"held": ("sum", "_q")}, keys=("seq",)).drop("_set", "_q")
+    dealt = deal_in_order(trades, PAIR, IN_ORDER)
+    return _with_held(dealt, split_groups(dealt, PAIR))(dealt).drop("_part")
 
 
 def end_of_day(replayed: DataFrame) -> DataFrame:
@@ -50,32 +98,17 @@ def anchor_gaps(final: DataFrame, anchor: DataFrame, tol: float = 1e-6) -> DataF
     return j.withColumn("gap", gap).where(F.abs("gap") > tol).select("account", "code", "gap")
 
 
-STRETCH = 300.0  # in logs: products inside a stretch stay far from underflow
-
-
 def average_cost(replayed: DataFrame) -> DataFrame:
-    """Average cost after every trade.
+    """Average cost after every trade of replayed rows."""
+    dealt = deal_in_order(replayed, PAIR, IN_ORDER)
+    return _with_cost(dealt, split_groups(dealt, PAIR))
 
-    Basis B follows B_t = a_t B_(t-1) + b_t (a buy adds its amount, a sale keeps the
-    unsold share, a reset or a sell-out starts again), so with P the running product
-    of a, B_t = P_t * sum(b_i / P_i): running sums again.  P falls without end, so it is
-    taken from the start of its stretch of ``STRETCH`` logs; what the stretch before left counts
-    with its factor, and anything older is below double precision.
-    """
-    before = F.when(F.col("type") == "sell", F.col("held") + F.col("quantity")).when(F.col("type") == "buy", F.col("held") - F.col("quantity")).otherwise(F.col("held"))
-    keep = F.when(F.col("type") == "sell", F.when(before > 0, F.col("held") / F.nullif(before, F.lit(0.0))).otherwise(0.0)).when(F.col("type") == "set", 0.0).otherwise(1.0)
-    d = replayed.withColumn("_keep", F.when(keep > 1e-9, keep).otherwise(0.0))
-    d = d.withColumns({"_stop": (F.col("_keep") == 0).cast("int"), "_log": F.when(F.col("_keep") > 0, F.ln("_keep")).otherwise(0.0)})
-    d = running(d, ["account", "code"], ["date", "seq"], {"_run": ("sum", "_stop")}, keys=("seq",))
-    d = running(d, ["account", "code", "_run"], ["date", "seq"], {"_lp": ("sum", "_log")}, keys=("seq",))
-    add = F.when(F.col("type") == "buy", F.col("amount")).when(F.col("type") == "set", F.col("quantity") * F.coalesce("price", F.lit(0.0))).otherwise(0.0)
-    d = d.withColumn("_part_no", F.floor(-F.col("_lp") / STRETCH)).withColumn("_rel", F.exp(F.col("_lp") + STRETCH * F.col("_part_no")))
-    cell = ["account", "code", "_run", "_part_no"]
-    d = running(d.withColumn("_b", add / F.col("_rel")), cell, ["date", "seq"], {"_s": ("sum", "_b")}, keys=("seq",))
-    left = d.groupBy(*cell).agg((F.sum("_b") * F.exp(F.lit(-STRETCH))).alias("_left")).withColumn("_part_no", F.col("_part_no") + 1)
-    d = d.join(left, cell, "left")
-    basis = F.col("_rel") * (F.col("_s") + F.coalesce("_left", F.lit(0.0)))
-    return d.withColumn("cost", div(basis, "held")).drop("_keep", "_stop", "_log", "_run", "_lp", "_part_no", "_rel", "_b", "_s", "_left")
+
+def replay_with_cost(trades: DataFrame) -> DataFrame:
+    """``average_cost(replay(trades))``, from trades that are dealt once for both."""
+    dealt = deal_in_order(trades, PAIR, IN_ORDER)
+    split = split_groups(dealt, PAIR)
+    return _with_cost(dealt, split, _with_held(dealt, split))
 
 
 def held_spans(states: DataFrame) -> DataFrame:
@@ -84,30 +117,57 @@ def held_spans(states: DataFrame) -> DataFrame:
     return states.select("account", "code", "held", "cost", F.date_add("date", 1).alias("first"), F.coalesce(following, F.lit("9999-12-31").cast("date")).alias("last"))
 
 
+def _half_years(first: str, last: str):
+    """Numbers of the half-years from ``first`` to ``last``."""
+    n = lambda c: F.year(c) * 2 + F.floor((F.month(c) - 1) / 6).cast("int")
+    return F.explode(F.sequence(n(first), n(last)))
+
+
+def paper_days(spans: DataFrame, prices: DataFrame, days: DataFrame) -> DataFrame:
+    """(account, gains, losses): held positions above and not above their cost, summed over the account's sale days.
+
+    A position keeps its side while its cost and its price stand, so each overlap of a held span with a price's days
+    is one step up on its first day and one down after its last; steps are summed for each (account, day) before they are
+    shuffled and counted up over the days.  No row is made for a position on a day.
+    """
+    ends = days.agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
+    following = F.lead("date").over(W.partitionBy("code").orderBy("date"))
+    steps = prices.select("code", "px", F.col("date").alias("_a"), F.coalesce(F.date_sub(following, 1), F.lit("9999-12-31").cast("date")).alias("_z"))
+    clip = lambda d, a, z: d.join(F.broadcast(ends)).withColumns({a: F.greatest(a, "_from"), z: F.least(z, "_to")}).where(F.col(a) <= F.col(z)).drop("_from", "_to")
+    steps = clip(steps.where("px is not null"), "_a", "_z").withColumn("_half", _half_years("_a", "_z"))
+    held = clip(spans, "first", "last").select("account", "code", "cost", "first", "last", _half_years("first", "last").alias("_half"))
+    # Both ends of an overlap may lie in other half-years; it counts in the one where it begins.
+    begins = F.greatest("first", "_a")
+    d = held.join(steps, ["code", "_half"]).where((begins <= F.least("last", "_z")) & (F.year(begins) * 2 + F.floor((F.month(begins) - 1) / 6) == F.col("_half")))
+    up = F.struct(begins.alias("date"), F.lit(1).alias("_n"))
+    down = F.struct(F.date_add(F.least("last", "_z"), 1).alias("date"), F.lit(-1).alias("_n"))
+    d = d.select("account", (F.col("px") > F.col("cost")).alias("_gain"), F.explode(F.array(up, down)).alias("_e")).select("account", "_gain", "_e.*")
+    one = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0))
+    d = d.groupBy("account", "date").agg(one(F.col("_gain")).alias("_g"), one(~F.col("_gain")).alias("_l"))
+    d = d.join(days.withColumn("_sale", F.lit(1)), ["account", "date"], "full")
+    w = W.partitionBy("account").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    d = d.select("account", "_sale", F.sum("_g").over(w).alias("_g"), F.sum("_l").over(w).alias("_l")).where("_sale = 1")
+    return d.groupBy("account").agg(F.coalesce(F.sum("_g"), F.lit(0)).alias("gains"), F.coalesce(F.sum("_l"), F.lit(0)).alias("losses"))
+
+
 def disposition(states: DataFrame, sales: DataFrame, prices: DataFrame) -> DataFrame:
     """Realised and paper gains and losses on sale days, and PGR - PLR, per account.
 
     ``states``: account, code, date, held, cost (end of day); ``sales``: account, code,
-    date, px; ``prices``: code, date, px.  What was held before a sale day comes from an interval join of held
-    spans with the account's sale days on (account, month): a row for each position held on the day, none
-    for names that are not, and a large account is dealt over its months.
+    date, px; ``prices``: code, date, px.  Positions held on sale days are counted by ``paper_days``; the ones sold on the
+    day are taken out there and judged by their sale price.
     """
     spans = held_spans(states).where("held > 0 and cost > 0")
-    month = F.explode(F.sequence(F.trunc("first", "month"), F.trunc("last", "month"), F.expr("interval 1 month")))
-    days = sales.groupBy("account", "date").agg(F.trunc("date", "month").alias("_m"))
-    last = days.groupBy("account").agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
-    spans = spans.join(last, "account").withColumns({"first": F.greatest("first", "_from"), "last": F.least("last", "_to")}).where("first <= last")
-    d = spans.select("account", "code", "held", "cost", "first", "last", month.alias("_m")).join(days, ["account", "_m"]).where(F.col("date").between(F.col("first"), F.col("last")))
-    d = d.select("account", "code", "date", "held", "cost")
-    d = asof_join(d, prices, fields=["px"], unique_left=False)
-    s = sales.groupBy("account", "code", "date").agg(F.max("px").alias("sale_px"))
-    d = d.join(s, ["account", "code", "date"], "left")
-    px = F.coalesce("sale_px", "px")
-    d = d.where(px.isNotNull()).withColumns({"_gain": px > F.col("cost"), "_sold": F.col("sale_px").isNotNull()})
+    paper = paper_days(spans, prices, sales.select("account", "date").distinct())
+    s = sales.groupBy("account", "code", "date").agg(F.max("px").alias("sale_px")).where("sale_px is not null")
+    s = asof_join(s, states, by=PAIR, fields=["held", "cost"], allow_equal=False).where("held > 0 and cost > 0")
+    s = asof_join(s, prices, fields=["px"], unique_left=False)
     n = lambda c: F.count(F.when(c, 1))
-    g = d.groupBy("account").agg(
-        n(F.col("_sold") & F.col("_gain")).alias("realized_gain"), n(F.col("_sold") & ~F.col("_gain")).alias("realized_loss"),
-        n(~F.col("_sold") & F.col("_gain")).alias("paper_gain"), n(~F.col("_sold") & ~F.col("_gain")).alias("paper_loss"))
+    gain, was_gain = F.col("sale_px") > F.col("cost"), F.col("px") > F.col("cost")
+    s = s.groupBy("account").agg(n(gain).alias("realized_gain"), n(~gain).alias("realized_loss"), n(was_gain).alias("_wg"), n(~was_gain).alias("_wl"))
+    g = paper.join(s, "account", "left").na.fill(0, ["realized_gain", "realized_loss", "_wg", "_wl"])
+    g = g.select("account", "realized_gain", "realized_loss", (F.col("gains") - F.col("_wg")).alias("paper_gain"), (F.col("losses") - F.col("_wl")).alias("paper_loss"))
+    g = g.where("realized_gain + realized_loss + paper_gain + paper_loss > 0")
     pgr = div(F.col("realized_gain").cast("double"), F.col("realized_gain") + F.col("paper_gain"))
     plr = div(F.col("realized_loss").cast("double"), F.col("realized_loss") + F.col("paper_loss"))
     return g.withColumns({"pgr": pgr, "plr": plr}).withColumn("pgr_minus_plr", F.col("pgr") - F.col("plr"))
