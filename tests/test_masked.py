@@ -78,3 +78,20 @@ def test_no_rows(spark):
     d = spark.createDataFrame([], "g int, a double, b double")
     ranks = masked.masked_ranks(d, ["a", "b"], "g", carry=["b"])
     assert masked.pair_correlations(ranks, [("a", "b")], 1).count() == 0 and masked.buckets(ranks, ["a"], "b", 3).count() == 0
+
+
+def test_rows_are_not_shuffled_to_meet_their_summaries(spark):
+    """Only summaries are small by contract, whatever the optimiser knows; a factor carries the ranks of its target's class alone."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        ranks = masked.masked_ranks(frame(spark, table(4)), COLUMNS, "g")
+        ic = masked.pair_correlations(ranks, [(c, "b") for c in ("a", "c", "same")], 20)
+        plan = ic._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        d, got = table(4), {}
+        for r in ic.collect():
+            got.setdefault(r.a, {})[r.g] = (None if r.ic is None else round(r.ic, 9), r.names)
+        assert got == {c: brute(d, c, "b", 20) for c in ("a", "c", "same")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)

@@ -154,7 +154,7 @@ def masked_ranks(df: DataFrame, columns: Sequence[str], by: str = "date", carry:
     summaries = counted.where("_row is null").select(by, "i", "part", "first", "last", "total", "head", "tail")
     dealt = summaries.withColumn("_deal", F.pmod(F.xxhash64(by, "i"), F.lit(parts)))  # a group's summaries, at most one for each partition, meet in one task
     lacking = dealt.groupBy("_deal").applyInArrow(lambda t: _placed(t, by, m), lacks)
-    d = counted.where("_row is not null").join(lacking, [by, "i", "part"])
+    d = counted.where("_row is not null").join(F.broadcast(lacking), [by, "i", "part"])  # a row for each (column, group) and partition border
     edges = lambda c: F.when(F.col("edge").isin(1, 3), F.col(f"head{c}")).when(F.col("edge") == 2, F.col(f"tail{c}")).otherwise(0)
     ranks = [((F.col(f"t{c}") + F.col(f"base{c}") + edges(c)) / F.lit(2.0)).alias(f"v{c}") for c in range(m)]
     rows = d.select(by, "_row", "i", "_here", *[F.col(n).alias(c) for c, n in zip(carry, carried, strict=True)], *ranks, *[f"n{c}" for c in range(m)])
@@ -166,27 +166,31 @@ def pair_correlations(ranks: MaskedRanks, pairs: Sequence[tuple[str, str]], min_
     by, names, m = ranks.by, list(ranks.columns), max(ranks.classes) + 1
     left, right = (np.array([names.index(p[k]) for p in pairs]) for k in (0, 1))
     cls = np.array(ranks.classes)
+    # A rank is read for the classes of its column's partners only; the others cross the network as NULLs.
+    readers = [sorted({*left[cls[right] == c].tolist(), *right[cls[left] == c].tolist()}) for c in range(m)]
+    used = [c for c in range(m) if readers[c]]
+    place = np.array([used.index(c) if c in used else 0 for c in range(m)])
     kind = ranks.rows.schema[by].dataType.simpleString()
 
     def products(t: pa.Table) -> pa.Table:
         keys, at = np.unique(t.column("_row").to_numpy(), return_inverse=True)
         order = np.argsort(at, kind="stable")
         at, i = at[order], t.column("i").to_numpy()[order]
-        v = np.stack([t.column(f"v{c}").to_numpy()[order] for c in range(m)], 1)
+        v = np.stack([t.column(f"v{c}").to_numpy()[order] for c in used], 1)
         sums = np.zeros((4, len(left)))
         for lo in range(0, len(keys), 1000):
             a, z = np.searchsorted(at, [lo, lo + 1000])
-            cube = np.zeros((min(1000, len(keys) - lo), len(names), m))
+            cube = np.zeros((min(1000, len(keys) - lo), len(names), len(used)))
             seen = np.zeros(cube.shape[:2], bool)
             cube[at[a:z] - lo, i[a:z]], seen[at[a:z] - lo, i[a:z]] = v[a:z], True
             both = seen[:, left] & seen[:, right]
-            x, y = np.where(both, cube[:, left, cls[right]], 0.0), np.where(both, cube[:, right, cls[left]], 0.0)
+            x, y = np.where(both, cube[:, left, place[cls[right]]], 0.0), np.where(both, cube[:, right, place[cls[left]]], 0.0)
             sums += [(x * y).sum(0), (x * x).sum(0), (y * y).sum(0), both.sum(0)]
         group = pa.array([t.column(by)[0].as_py()] * len(left), t.schema.field(by).type)
         return pa.table({by: group, "_p": pa.array(np.arange(len(left), dtype=np.int32)), "xy": sums[0], "xx": sums[1], "yy": sums[2], "names": pa.array(sums[3].astype(np.int64))})
 
     slice_ = F.pmod(F.xxhash64("_row"), F.lit(ranks.slices)).alias("_slice")
-    rows = ranks.rows.select(by, slice_, "_row", "i", *[f"v{c}" for c in range(m)])
+    rows = ranks.rows.select(by, slice_, "_row", "i", *[F.when(F.col("i").isin(readers[c]), F.col(f"v{c}")).alias(f"v{c}") for c in used])
     got = rows.groupBy(by, "_slice").applyInArrow(products, f"`{by}` {kind}, _p int, xy double, xx double, yy double, names long")
     got = got.groupBy(by, "_p").agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy", "names")])
     varies = (F.col("xx") > 0) & (F.col("yy") > 0) & (F.col("names") >= min_names)

@@ -117,10 +117,8 @@ def held_spans(states: DataFrame) -> DataFrame:
     return states.select("account", "code", "held", "cost", F.date_add("date", 1).alias("first"), F.coalesce(following, F.lit("9999-12-31").cast("date")).alias("last"))
 
 
-def _half_years(first: str, last: str):
-    """Numbers of the half-years from ``first`` to ``last``."""
-    n = lambda c: F.year(c) * 2 + F.floor((F.month(c) - 1) / 6).cast("int")
-    return F.explode(F.sequence(n(first), n(last)))
+def _half_year(day: str) -> Column:
+    return F.year(day) * 2 + F.when(F.month(day) > 6, 1).otherwise(0)
 
 
 def paper_days(spans: DataFrame, prices: DataFrame, days: DataFrame) -> DataFrame:
@@ -134,11 +132,12 @@ def paper_days(spans: DataFrame, prices: DataFrame, days: DataFrame) -> DataFram
     following = F.lead("date").over(W.partitionBy("code").orderBy("date"))
     steps = prices.select("code", "px", F.col("date").alias("_a"), F.coalesce(F.date_sub(following, 1), F.lit("9999-12-31").cast("date")).alias("_z"))
     clip = lambda d, a, z: d.join(F.broadcast(ends)).withColumns({a: F.greatest(a, "_from"), z: F.least(z, "_to")}).where(F.col(a) <= F.col(z)).drop("_from", "_to")
-    steps = clip(steps.where("px is not null"), "_a", "_z").withColumn("_half", _half_years("_a", "_z"))
-    held = clip(spans, "first", "last").select("account", "code", "cost", "first", "last", _half_years("first", "last").alias("_half"))
-    # Both ends of an overlap may lie in other half-years; it counts in the one where it begins.
+    halves = lambda d, a, z, h: d.withColumn(h, _half_year(a)).withColumn("_half", F.explode(F.sequence(h, _half_year(z))))
+    steps = halves(clip(steps.where("px is not null"), "_a", "_z"), "_a", "_z", "_ha")
+    held = halves(clip(spans.select("account", "code", "cost", "first", "last"), "first", "last"), "first", "last", "_hf")
+    # An overlap of several half-years counts in the one where it begins.
     begins = F.greatest("first", "_a")
-    d = held.join(steps, ["code", "_half"]).where((begins <= F.least("last", "_z")) & (F.year(begins) * 2 + F.floor((F.month(begins) - 1) / 6) == F.col("_half")))
+    d = held.join(steps, ["code", "_half"]).where((begins <= F.least("last", "_z")) & (F.greatest("_hf", "_ha") == F.col("_half")))
     up = F.struct(begins.alias("date"), F.lit(1).alias("_n"))
     down = F.struct(F.date_add(F.least("last", "_z"), 1).alias("date"), F.lit(-1).alias("_n"))
     d = d.select("account", (F.col("px") > F.col("cost")).alias("_gain"), F.explode(F.array(up, down)).alias("_e")).select("account", "_gain", "_e.*")
