@@ -60,3 +60,20 @@ def test_stated_rating_and_titles(spark):
     d = spark.createDataFrame([r[:3] for r in rows], "b string, s string, t string")
     got = d.select(RT.rating(F.col("b"), F.col("s")).alias("w"), RT.accepted_title(F.col("t")).alias("ok")).collect()
     assert [(g.w, g.ok) for g in got] == [r[3:] for r in rows]
+
+
+def test_a_sentence_is_read_once(spark):
+    """Years and values of a sentence are named in several places of the result and computed in one."""
+    plan = spark.createDataFrame([("",)], "b string").select(RT.eps_forecasts(F.col("b")).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(RT.YEAR_LIST) == 1 and plan.count(RT.VALUES_BEFORE_KEY) == 1
+
+
+def test_broker_export_of_high_part_numbers(spark, tmp_path):
+    """Part numbers past 99,999 give security numbers of seven hundred thousand and more; their market stays the export's."""
+    from tidepanel.catalog import load, registry
+
+    load()
+    rows = [(50, 2.0, 8.0), (99_999, 1.0, 3.0), (120_001, 3.0, 6.0), (399_999, 1.0, 7.0)]
+    spark.createDataFrame(rows, "l_partkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.code: r.quantity for r in registry.run("broker_export", spark, str(tmp_path)).collect()}
+    assert got == {"CASH": 2.0, "sh.699999": 1.0, "sh.720001": 3.0, "sh.999999": 1.0}
