@@ -250,9 +250,8 @@ def _(s):
 c AS (SELECT a, b, CASE WHEN count(*) >= 20 THEN corr(x.ret_1d, y.ret_1d) END AS c FROM (SELECT DISTINCT a, b FROM pr) JOIN dense x ON x.code = a JOIN dense y ON y.code = b AND y.pos = x.pos WHERE x.ret_1d IS NOT NULL AND y.ret_1d IS NOT NULL GROUP BY a, b)
 SELECT account, round(avg(c), 6) AS mean_corr, round(max(c), 6) AS max_corr, count(c) AS pairs FROM pr JOIN c USING (a, b) GROUP BY account"""))
 def _(s):
-    mb = s.table("lineitem").select(F.col("l_orderkey").alias("account"), F.col("l_suppkey").alias("code")).distinct()
-    d = materialize(s.dense.select("code", "pos", F.col("ret_1d").alias("ret")))
-    return B.pair_correlation(mb, d, 20).select("account", r("mean_corr").alias("mean_corr"), r("max_corr").alias("max_corr"), "pairs")
+    mb = s.table("lineitem").select(F.col("l_orderkey").alias("account"), F.col("l_suppkey").alias("code"))
+    return B.pair_correlation(mb, s.dense.select("code", "pos", F.col("ret_1d").alias("ret")), 20).select("account", r("mean_corr").alias("mean_corr"), r("max_corr").alias("max_corr"), "pairs")
 
 
 @query("linear_stress", "A47", f"WITH {HP}, w AS (SELECT *, value / sum(value) OVER (PARTITION BY account) AS w FROM hq), i AS (SELECT account, max(iw) AS m FROM (SELECT account, industry, sum(w) AS iw FROM w GROUP BY ALL) GROUP BY account) SELECT account, round(-0.1::DOUBLE * sum(w * beta), 6) AS market_down_10, round(-0.3::DOUBLE * max(w), 6) AS largest_down_30, round(-0.2::DOUBLE * max(m), 6) AS industry_down_20 FROM w JOIN i USING (account) GROUP BY account")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import corr, div
+from tidepanel.functions.columns import div
 from tidepanel.operators.cross import with_stats
 from tidepanel.operators.joins import asof_join, keep_one
 from tidepanel.operators.ordering import cell_starts, deal_in_order, split_groups, with_start
+from tidepanel.operators.staging import materialize
 from tidepanel.plans.metrics import compounded
 
 
@@ -348,21 +350,75 @@ def betas(returns: DataFrame, market: DataFrame, least: int) -> DataFrame:
     return j.groupBy("code").agg(F.when(F.count("*") >= least, div(F.covar_samp("ret", "mret"), F.var_samp("mret"))).alias("beta"))
 
 
+PAIRS = 1_000_000  # pairs that meet in one group
+BLOCK = 20_000  # codes of one block at most
+
+
+def _correlate(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of two tables of returns (NaN is missing): common days, and the correlation over them, NaN with too few days or a side that does not vary."""
+    both = ~(np.isnan(x) | np.isnan(y))
+    n = both.sum(1)
+    x, y = (np.where(both, v, 0.0) for v in (x, y))
+    some = np.maximum(n, 1)[:, None]
+    dx, dy = (np.where(both, v - v.sum(1, keepdims=True) / some, 0.0) for v in (x, y))
+    sxx, syy, sxy = (np.einsum("ij,ij->i", u, v) for u, v in ((dx, dx), (dy, dy), (dx, dy)))
+    varies = np.ones(len(n), bool)
+    for v, ss in ((x, sxx), (y, syy)):
+        flat = np.flatnonzero(ss <= 1e-20 * np.einsum("ij,ij->i", v, v))  # constant up to the rounding of the mean
+        w, m = v[flat], both[flat]
+        varies[flat] = np.where(m, w, -np.inf).max(1, initial=-np.inf) > np.where(m, w, np.inf).min(1, initial=np.inf)
+    norm = np.sqrt(sxx * syy)
+    good = varies & (n >= least) & (norm > 0)
+    return n, np.where(good, sxy / np.where(norm > 0, norm, 1.0), np.nan)
+
+
 def pair_correlation(members: DataFrame, returns: DataFrame, least: int) -> DataFrame:
-    """Mean and largest pairwise return correlation of each account's names.
+    """Mean and largest pairwise return correlation of each account's names; ``returns`` has a row for each (code, pos) at most.
 
-    Correlations are computed once per distinct pair of codes that some account holds,
-    not per account.
+    A pair travels as (account, a, b) to the group of its two blocks of codes, and a code's returns, one array, to the groups of its
+    block; no row is made for a pair on a day.  Blocks are as many as codes and pairs ask for, so a group stays of one size.
+    In a group equal pairs are computed once.
     """
-    a = members.select("account", F.col("code").alias("a"))
-    b = members.select("account", F.col("code").alias("b"))
-    pairs = a.join(b, "account").where("a < b")
-    need = pairs.select("a", "b").distinct()
-    ra = returns.select(F.col("code").alias("a"), "pos", F.col("ret").alias("x"))
-    rb = returns.select(F.col("code").alias("b"), "pos", F.col("ret").alias("y"))
-    j = need.join(ra, "a").join(rb, ["b", "pos"]).where("x is not null and y is not null")
-    c = j.groupBy("a", "b").agg(F.when((F.count("*") >= least) & (F.stddev_samp("x") > 0) & (F.stddev_samp("y") > 0), corr("x", "y")).alias("corr"))
-    return pairs.join(c, ["a", "b"]).groupBy("account").agg(F.avg("corr").alias("mean_corr"), F.max("corr").alias("max_corr"), F.count("corr").alias("pairs"))
+    names = members.select("account", "code").dropna().repartition("account").groupBy("account").agg(F.sort_array(F.collect_set("code")).alias("codes"))
+    names = materialize(names.where("size(codes) > 1"))
+    total = int(names.agg(F.sum(F.size("codes") * (F.size("codes") - 1.0) / 2)).first()[0] or 0)
+    held = returns.where("ret is not null").groupBy("code").agg(F.collect_list(F.struct("pos", "ret")).alias("r"))
+    held = materialize(held.select("code", F.col("r.pos").alias("at"), F.col("r.ret").alias("ret")))
+    codes = held.count()
+    blocks = max(1, -(-codes // BLOCK), ceil(sqrt(2 * total / PAIRS)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    low, high = F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))
+    later = F.slice("codes", F.col("i") + 2, F.size("codes"))
+    pairs = names.select("account", "codes", F.posexplode("codes").alias("i", "a")).select("account", "a", F.explode(later).alias("b"))
+    pairs = pairs.select((low * blocks + high).alias("g"), "account", "a", "b")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    sent = held.select("code", "at", "ret", block("code").alias("q"), other)
+    sent = sent.select((F.least("q", "o") * blocks + F.greatest("q", "o")).alias("g"), "code", "at", "ret")
+
+    def meet(pair: pa.Table, known: pa.Table) -> pa.Table:
+        account, a, b = (pair.column(c).to_numpy() for c in ("account", "a", "b"))
+        code = known.column("code").to_numpy()
+        at, ret = (known.column(c).combine_chunks() for c in ("at", "ret"))
+        order = np.argsort(code)
+        code = code[order]
+        table = np.full((len(code), int(np.max(at.flatten().to_numpy(), initial=-1)) + 1), np.nan)
+        table[np.repeat(np.argsort(order), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = ret.flatten().to_numpy()
+        i, j = np.searchsorted(code, a), np.searchsorted(code, b)
+        last = max(len(code) - 1, 0)
+        there = (code[np.minimum(i, last)] == a) & (code[np.minimum(j, last)] == b) if len(code) else np.zeros(len(a), bool)
+        account, pairs_ = account[there], i[there] * max(len(code), 1) + j[there]
+        once, back = np.unique(pairs_, return_inverse=True)
+        days, value = np.zeros(len(once), np.int64), np.full(len(once), np.nan)
+        for lo in range(0, len(once), 4096):
+            u, v = np.divmod(once[lo : lo + 4096], len(code))
+            days[lo : lo + 4096], value[lo : lo + 4096] = _correlate(table[u], table[v], least)
+        met = days[back] > 0
+        value = value[back][met]
+        return pa.table({"account": account[met], "corr": pa.array(value, mask=np.isnan(value))})
+
+    kind = members.schema["account"].dataType.simpleString()
+    found = pairs.groupBy("g").cogroup(sent.groupBy("g")).applyInArrow(meet, f"account {kind}, corr double")
+    return found.repartition("account").groupBy("account").agg(F.avg("corr").alias("mean_corr"), F.max("corr").alias("max_corr"), F.count("corr").alias("pairs"))
 
 
 def stress(pos: DataFrame) -> DataFrame:
