@@ -87,3 +87,13 @@ def test_a_tie_over_many_partitions(spark):
     r = p["x"].rank(method="min") - 1
     np.testing.assert_array_equal(got["less"], r)
     np.testing.assert_array_equal(got["ties"], p.groupby("x")["x"].transform("size"))
+
+
+def test_tasks_follow_the_rows(frame, monkeypatch):
+    """A session's fixed number of partitions would let one task's share grow with the input."""
+    p, d = frame
+    monkeypatch.setattr(O, "TASK_ROWS", 500)
+    got = O.with_ranks(d.withColumn("y", -F.col("x")), ["date"], {"a": "x", "b": "y"})
+    assert got.rdd.getNumPartitions() >= 2 * 3000 / 500
+    got = got.toPandas().sort_values("code")
+    np.testing.assert_allclose(got["a"].to_numpy(float), p.groupby("date")["x"].rank(pct=True).to_numpy(), rtol=1e-12)

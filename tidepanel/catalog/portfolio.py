@@ -149,7 +149,7 @@ mb AS (SELECT date, fund, """ + ", ".join(f"CASE WHEN sum(CASE WHEN {f} IS NOT N
 
 def mapped(s):
     ft = materialize(features(s))
-    im = P.industry_means(ft, FEATS, "grp", 2)
+    im = P.industry_means(ft, ["mom_20", "ep"], "grp", 2)
     iz = P.rank_z_rows(im.select("date", "grp", "mom_20", "ep"), {"z_mom": "mom_20", "z_ep": "ep"}).select("date", "grp", F.col("z_mom").alias("mom_20"), F.col("z_ep").alias("ep"))
     a = P.map_by_weights(iz, industry_weights(s), "grp", ["mom_20", "ep"])
     from tidepanel.operators.ordering import with_ranks

@@ -23,10 +23,19 @@ from pyspark.sql import functions as F
 from tidepanel.operators.staging import materialize
 
 
-def _dealt(df: DataFrame, by: list[str], value: str, keys: Sequence[str]) -> DataFrame:
+TASK_ROWS = 400_000  # rows that are sorted or gathered in one task
+
+
+def _tasks(spark, rows: int) -> int:
+    """Partitions for so many rows: they follow the rows, as a task's memory would otherwise; few rows take fewer than the session's number."""
+    return max(1, -(-rows // TASK_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 20_000))
+
+
+def _dealt(df: DataFrame, by: list[str], value: str, keys: Sequence[str], tasks: int | None = None) -> DataFrame:
     """Rows written by ranges of (group, value), missing values last, with their partition."""
     ranges = [*[F.col(c) for c in by], F.col(value).asc_nulls_last(), F.xxhash64(*keys)]
-    return materialize(df.repartitionByRange(*ranges).withColumn("_part", F.spark_partition_id()))
+    dealt = df.repartitionByRange(tasks, *ranges) if tasks else df.repartitionByRange(*ranges)
+    return materialize(dealt.withColumn("_part", F.spark_partition_id()))
 
 
 def _with_before(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -35,10 +44,11 @@ def _with_before(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.withColumns({"_before": F.sum("_c").over(w.orderBy("_part")) - F.col("_c"), "_n": F.sum("_c").over(w)})
 
 
-def _ranked(df: DataFrame, by: list[str], value: str, keys: Sequence[str], unique: bool) -> DataFrame:
+def _ranked(df: DataFrame, by: list[str], value: str, keys: Sequence[str], unique: bool, tasks: int | None = None) -> DataFrame:
     """Add ``_less``, ``_ties`` and ``_n`` of ``value``; an order key without ties needs no count of them."""
     cell = [*by, "_part"]
-    d = _dealt(df, by, value, keys)
+    d = _dealt(df, by, value, keys, tasks)
+    d = d.repartition(tasks or _tasks(d.sparkSession, d.count()), *cell)
     present = F.col(value).isNotNull()
     d = d.withColumn("_lt", F.rank().over(W.partitionBy(*cell).orderBy(F.col(value).asc_nulls_last())) - 1)
     if unique:
@@ -88,9 +98,12 @@ def order_stats(df: DataFrame, by: Sequence[str], values: dict[str, str | Column
     row = list(dict.fromkeys([*by, *keys]))
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(n).alias("_x")) for i, n in enumerate(names)]))
     s = df.select(*row, cells.alias("_e")).where("_e._x is not null").select(*row, "_e._i", "_e._x")
-    s = _ranked(s, [*by, "_i"], "_x", keys, unique)
+    # A row's values meet before they are gathered: partial rows of all columns for each value would be the larger shuffle.
+    tasks = _tasks(df.sparkSession, df.count() * len(names))
+    s = _ranked(s, [*by, "_i"], "_x", keys, unique, tasks)
+    s = s.select(*row, "_i", "_less", "_ties", "_n").repartition(tasks, *row)
     s = s.groupBy(*row).agg(*[F.max(F.when(F.col("_i") == i, F.col(f"_{c}"))).alias(f"{p}{c}") for i, p in enumerate(values) for c in ("less", "ties", "n")])
-    return df.join(s, row, "left").drop(*names)
+    return df.repartition(tasks, *row).join(s, row, "left").drop(*names)
 
 
 def avg_rank(prefix: str = "") -> Column:
