@@ -9,7 +9,8 @@ reads again as the next stage's documents.  All but the last keep the columns of
 * repeats: words under passages that start in a document with a smaller id go, a document left empty with them;
 * mixture: all documents in the order of the mixture of sources: with the target weights until a source runs out, then
   with those of the sources that are left;
-* token_ids: byte-level BPE ids of each text and the bytes they decode to.
+* token_ids: byte-level BPE ids of each text and the bytes they decode to, with the text's ``position`` in the files of the
+  stage before, the place in the mixture.
 
 ``ORACLE_SQL`` is None: divergence, the schedule and the merges have no SQL form; tests compare the stages
 with brute force.
@@ -18,9 +19,10 @@ with brute force.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import digests, encode
-from tidepanel.llm.mixing import whole_mixture
+from tidepanel.llm.mixing import in_file_order, whole_mixture
 from tidepanel.llm.ngram_join import Setting, drop_near_copies
 from tidepanel.llm.quality import keep
 from tidepanel.llm.queries import vocabulary
@@ -48,7 +50,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return digests(encode(docs, *vocabulary()))
+    placed = in_file_order(docs, "position").withColumn("doc_id", F.struct("doc_id", "position"))
+    return digests(encode(placed, *vocabulary())).select("doc_id.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "doc_id.position")
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("repeats", repeats), ("mixture", mixture), ("token_ids", token_ids)]

@@ -18,6 +18,14 @@ def test_mixture_stage_loses_no_document(spark):
     assert [place[d] for d in got] == list(range(1000))
 
 
+def test_token_ids_carry_the_place_in_the_mixture(spark, tmp_path):
+    rows = [(i, f"text {i}", "hot" if i < 150 else "few") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    corpus_pipeline.mixture(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    got = corpus_pipeline.token_ids(spark, spark.read.parquet(f"{tmp_path}/mixed"), "")
+    assert {r.doc_id: r.position for r in got.collect()} == {r.doc_id: r.position for r in mixing.mix(docs).collect()}
+
+
 def test_near_copies_stage_takes_similarity_of_80_percent(spark):
     base = [f"w{i}" for i in range(100)]
     texts = [base, base + [f"x{i}" for i in range(20)], base + [f"y{i}" for i in range(30)], [f"z{i}" for i in range(100)]]

@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepanel.operators.ranged import numbered
@@ -94,3 +95,11 @@ def mixed_documents(docs: DataFrame, weights: dict | None = None, power: float =
 def whole_mixture(docs: DataFrame, weights: dict | None = None, power: float = 0.7, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """All scheduled documents, of every phase, with their columns, in files and rows by position."""
     return _in_place(docs, mix(docs, weights, power, doc_id=doc_id, source=source).where("position is not null"), doc_id)
+
+
+def in_file_order(docs: DataFrame, out: str) -> DataFrame:
+    """Documents read from Parquet files, with the number of each row in the order of file names and rows; one row for each file is broadcast."""
+    d = docs.select(*docs.columns, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = d.groupBy("_file").agg(F.count("*").alias("_rows"))
+    files = files.select("_file", (F.sum("_rows").over(W.orderBy("_file")) - F.col("_rows")).alias("_before"))
+    return d.join(F.broadcast(files), "_file").withColumn(out, F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
