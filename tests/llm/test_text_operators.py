@@ -158,6 +158,41 @@ def test_jaccard_near_the_threshold(spark, seed):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def words_of(prefix, n, passage=()):
+    return " ".join([*passage, *(f"{prefix}_{i}" for i in range(n))])
+
+
+def test_keys_done_when_met_leave_no_open_row(spark):
+    """A passage in two texts of one size is compared at once; in texts of sizes far apart nothing is; of three of one size two are left, at any number of batches."""
+    pair, far, three = ([f"{p}{i}" for i in range(8)] for p in "pft")
+    rows = [(1, words_of("a", 40, pair)), (2, words_of("b", 40, pair)), (3, words_of("c", 30, far)), (4, words_of("d", 90, far)), (5, words_of("e", 300, far))]
+    rows += [(i, words_of(f"g{i}", 50, three)) for i in (6, 7, 8)] + [(9, words_of("h", 200, three))]
+    setting = ngram_join.Setting(sketch_bits=18)
+    levels = np.full(1 << 18, 5, np.uint8)
+    for s in ngram_join.token_sets([" ".join(w).encode() for w in (pair, far, three)], 3):
+        levels[(s & np.uint64((1 << 18) - 1)).astype(np.int64)] = 1  # the passages' shingles come first
+    for parts in (1, 4):
+        got = ngram_join._stars(spark.createDataFrame(rows, "doc long, text string").repartition(parts), (levels, 9), setting).collect()
+        assert {(r.doc, r.up, r.near, r.open) for r in got} == {(2, 1, True, False), (7, 6, True, True), (8, 6, True, True)}
+
+
+@pytest.mark.parametrize("held,parts", [(1, 5), (2, 1), (4, 5)])
+def test_jaccard_of_texts_with_a_common_passage(spark, monkeypatch, held, parts):
+    """Texts of sizes near and far, a passage in all and links among the larger ids only; batches send some keys whole and some not."""
+    monkeypatch.setattr(ngram_join, "HELD", held)
+    rng, passage, rows = np.random.default_rng(held), [f"p{i}" for i in range(12)], []
+    for family in range(12):
+        words = [*passage, *(f"f{family}_{i}" for i in range(int(rng.choice([30, 32, 34, 60, 110]))))]
+        for copy in range(int(rng.integers(1, 8))):
+            rows.append((len(rows), " ".join(words)))
+            if copy % 3:
+                words = [*words, f"m{family}_{copy}"] if rng.random() < 0.7 else words[1:]
+    rows = [(int(k), t) for k, (_, t) in zip(rng.permutation(len(rows)), rows, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = ngram_join.jaccard_components(docs, ngram_join.Setting(frequent_share=0.5, frequent_least=8, sketch_bits=18)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
 def test_keys_of_linked_sets_meet():
     rng = np.random.default_rng(8)
     setting = ngram_join.Setting(sketch_bits=10)

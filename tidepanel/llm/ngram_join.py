@@ -20,9 +20,11 @@ and the length of the key list is linear in the set.  That needs (d - R + 1) * k
 merged order; sets so small that it may have fewer (``too_short``) index their first d + 1 tokens singly
 as well, so two of them meet by the common token among these.
 
-Candidates.  Equal sets are one class.  In each key group every set is compared with the smallest
-document only, and links are joined to components.  Keys whose members are not yet one component stay
-open; of open keys with the same members one is kept.  There a few further heads of each group, spread by a hash
+Candidates.  Equal sets are one class.  In each key group every set whose size allows a link is compared
+with the smallest document only, and links are joined to components.  A member stays open if another one besides the smallest
+document has a size near its own, so a key of two documents, or of sizes far apart, is done with when it is met; of a key
+of which a batch holds more than HELD members all stay open.  Keys whose open members are not yet one component with the smallest stay
+open; of open keys with the same open members one is kept.  There a few further heads of each group, spread by a hash
 of the document, and one member of each component of several are compared with all members of other components,
 and the links joined again: a group whose smallest document is an outlier then falls together, and a document that
 links with anything in a component mostly joins it by one comparison.  A last pass compares what is still
@@ -67,6 +69,7 @@ class Setting:
 
 
 BITMAP = 8  # longs, in two maps of 256 bits
+HELD = 4  # members of a key that a batch sends as they are; of more it sends the smallest
 HEADS = 4  # of an open key, besides its smallest document
 FIRST = 16  # open keys of a document that are looked through for an earlier meeting
 WANTED = 1 << 20  # documents whose ids are broadcast to pick texts; more are picked from packed chunks
@@ -199,63 +202,113 @@ def _levels(profiles: DataFrame, documents: int, setting: Setting) -> tuple[np.n
     return out, int(_level(least))
 
 
-_STARS = "bucket long, key array<long>, doc array<long>, up array<long>"
+_SENT = "bucket long, key array<long>, doc array<long>, n array<int>, mark array<boolean>, up array<long>"
+_STARS = "key long, doc long, up long, near boolean, open boolean"
+_RUN = 50_000  # rows of a batch's own trees that go to one bucket
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a sorted row differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
+
+def _near(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def open_members(group: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether another member of the group has a size that allows a link: one next to it by size then has."""
+    order = np.lexsort((n, group))
+    g, m, out = group[order], n[order], np.zeros(len(n), bool)
+    both = np.flatnonzero((g[1:] == g[:-1]) & _near(m[1:], m[:-1], percent))
+    out[order[both]] = out[order[both + 1]] = True
+    return out
 
 
 def _stars(docs: DataFrame, levels: tuple[np.ndarray, int], setting: Setting) -> DataFrame:
-    """Rows (key, doc, up) that join the documents of each key into a tree: a document to the smallest of its batch, and
-    those of the batches to the smallest of all.  A key reaches its bucket once for each batch, however many hold it."""
+    """Rows (key, doc, up, near, open) that join the documents of each key into a tree: a document to the smallest of all, where a
+    batch holds more than HELD of them to the smallest of its batch.  A key reaches its bucket at most HELD times for each batch, however many hold it.
+
+    near: the sizes of doc and up allow a link.  open: doc may link with a member of the key other than up; the open rows of a key hold
+    each such member, the smallest (with itself as up) only if a batch sent fewer members than it has.  Rows that are neither are left out.
+    """
     spark = docs.sparkSession
     sent, buckets = spark.sparkContext.broadcast(levels), 4 * partitions(spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, frequent = sent.value
         for b in batches:
-            keys, times = [], []
+            keys, times, sizes = [], [], []
             for lo in range(0, b.num_rows, _ROWS):
-                found = [keys_of(s, level, frequent, setting) for s in token_sets(binary(b.column(1).slice(lo, _ROWS)).to_pylist(), setting.width)]
+                sets = token_sets(binary(b.column(1).slice(lo, _ROWS)).to_pylist(), setting.width)
+                found = [keys_of(s, level, frequent, setting) for s in sets]
                 keys += found
                 times += [len(k) for k in found]
+                sizes += [len(s) for s in sets]
             if not sum(times):
                 continue
-            key, doc = np.concatenate(keys), np.repeat(b.column(0).to_numpy(), times)
+            key, doc, n = np.concatenate(keys), np.repeat(b.column(0).to_numpy(), times), np.repeat(np.array(sizes, np.int64), times)
             order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            low = np.repeat(doc[first], np.diff(np.append(first, len(key))))
-            more = np.flatnonzero(doc > low)
-            order, present, starts = by_bucket(mix(key[first]), buckets)
-            lead = first[order]
-            signed = key.view(np.int64)
-            ends, places = np.append(starts, starts[-1] + len(more)), np.append(lead, more)
-            ups = np.append(np.zeros(len(starts), np.int64), len(more))
-            cols = [pa.array(np.append(present, -1)), lists(signed[places], ends, pa.int64()), lists(doc[places], ends, pa.int64()), lists(low[more], ups, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["bucket", "key", "doc", "up"])
+            order = order[_firsts(key[order], doc[order])]
+            key, doc, n = key[order], doc[order], n[order]
+            lead = np.flatnonzero(_firsts(key))
+            members = np.diff(np.append(lead, len(key)))
+            low, many = np.repeat(lead, members), np.repeat(members > HELD, members)
+            signed, is_low = key.view(np.int64), low == np.arange(len(key))
+            out = np.flatnonzero(is_low | ~many)
+            order, present, starts = by_bucket(mix(key[out]), buckets)
+            out = out[order]
+            cols = [pa.array(present), lists(signed[out], starts, pa.int64()), lists(doc[out], starts, pa.int64()), lists(n[out], starts, pa.int32()), lists(many[out], starts, pa.bool_()), pa.nulls(len(present), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names)
+            rest = np.flatnonzero(many & ~is_low)
+            if len(rest):
+                ends = np.append(np.arange(0, len(rest), _RUN), len(rest))
+                near = _near(n[rest], n[low[rest]], setting.percent)
+                to = (int(mix(key[rest[:1]])[0] % np.uint64(buckets)) + np.arange(len(ends) - 1)) % buckets
+                cols = [pa.array(to, pa.int64()), lists(signed[rest], ends, pa.int64()), lists(doc[rest], ends, pa.int64()), lists(n[rest], ends, pa.int32()), lists(near, ends, pa.bool_()), lists(doc[low[rest]], ends, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names)
         give_back()
 
     def meet(t: pa.Table) -> pa.Table:
-        key, doc = flat(t.column("key")), flat(t.column("doc"))
+        inside, t = t.filter(pc.is_valid(t.column("up"))), t.filter(pc.is_null(t.column("up")))
+        key, doc, n, many = (flat(t.column(c)) for c in ("key", "doc", "n", "mark"))
         order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        low = np.repeat(doc[first], np.diff(np.append(first, len(key))))
-        more = doc > low
-        return pa.table({"key": key[more], "doc": doc[more], "up": low[more]})
+        key, doc, n, many = key[order], doc[order], n[order].astype(np.int64), many[order].astype(bool)
+        group = np.cumsum(_firsts(key)) - 1
+        cut = np.zeros(len(key), bool)
+        cut[group[many]] = True  # by group: a batch holds more of its members
+        once = _firsts(key, doc)
+        key, doc, n, group = key[once], doc[once], n[once], group[once]
+        lead = np.flatnonzero(_firsts(key))
+        low = np.repeat(lead, np.diff(np.append(lead, len(key))))
+        other, cut = low != np.arange(len(key)), cut[group]
+        near, open_ = other & _near(n, n[low], setting.percent), cut.copy()
+        open_[other] |= open_members(group[other], n[other], setting.percent)
+        kept = near | open_
+        cols = [np.append(a[kept], flat(inside.column(c))) for a, c in ((key, "key"), (doc, "doc"), (doc[low], "up"))]
+        own = np.ones(len(cols[0]) - int(kept.sum()), bool)
+        return pa.table([*cols, np.append(near[kept], flat(inside.column("mark")).astype(bool)), np.append(open_[kept], own)], names=["key", "doc", "up", "near", "open"])
+
+    names = ["bucket", "key", "doc", "n", "mark", "up"]
+    return docs.mapInArrow(scan, _SENT).groupBy("bucket").applyInArrow(meet, _STARS)
+
+
+def _only(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """The rows of the documents in ``need``, a written table, where its ids may be broadcast; all rows if they are more."""
+    return rows.join(F.broadcast(need), "doc", "left_semi") if need.count() <= WANTED else rows
+
 
-    sent_rows = materialize(docs.mapInArrow(scan, _STARS))
-    inside = sent_rows.where("bucket < 0").select(F.explode(F.arrays_zip("key", "doc", "up")).alias("r")).select("r.key", "r.doc", "r.up")
-    across = sent_rows.where("bucket >= 0").select("bucket", "key", "doc").groupBy("bucket").applyInArrow(meet, "key long, doc long, up long")
-    return inside.unionByName(across)
+def _either(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b"))).distinct())
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, setting: Setting) -> DataFrame:
     """The pairs (a, b) that link, by their texts, which are picked from packed chunks."""
     chunks = 4 * partitions(docs.sparkSession)
-    need = materialize(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b"))).distinct())
-    docs = docs.where("doc is not null")
-    if need.count() <= WANTED:
-        docs = docs.join(F.broadcast(need), "doc", "left_semi")
-    base = chunked_by_id(docs, "doc", chunks)
+    need = _either(pairs)
+    base = chunked_by_id(_only(docs.where("doc is not null"), need), "doc", chunks)
     need = need.withColumn("chunk", chunk_of("doc", chunks))
 
     def pick(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -305,6 +358,8 @@ def _candidates(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
             good = [(100 + percent) * least_difference(p, q) <= (100 - percent) * k for k, p, q in zip(n, x, y, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    pairs = materialize(pairs)
+    own = _only(own, _either(pairs)).select("doc", "n", "wide").dropDuplicates(["doc"])
     side = lambda k, p: own.select(F.col("doc").alias(k), F.col("n").alias(f"{p}n"), F.col("wide").alias(f"{p}wide"))
     both = pairs.join(side("a", "x_"), "a").join(side("b", "y_"), "b").where(100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
     return both.select("a", "b", (F.col("x_n") + F.col("y_n")).alias("n"), "x_wide", "y_wide").mapInArrow(sift, "a long, b long")
@@ -312,7 +367,7 @@ def _candidates(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 
 def _placed(own: DataFrame, found: DataFrame) -> DataFrame:
     """Each class with its component so far."""
-    return own.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    return own.dropDuplicates(["doc"]).join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
 def _one_of_equal_keys(rows: DataFrame) -> DataFrame:
@@ -359,26 +414,26 @@ def jaccard_components(docs: DataFrame, setting: Setting = Setting(), doc_id: st
         alike = sets.where("n > 0 and doc is not null").groupBy("n", "s1", "s2").agg(F.min("doc").alias("cls"))
         bits = [f"b{i}" for i in range(BITMAP)]
         member = materialize(sets.join(alike, ["n", "s1", "s2"], "left").select("doc", "n", F.coalesce("cls", "doc").alias("cls"), *bits, "wide"))
-        own = member.where("doc = cls").dropDuplicates(["doc"])
+        own = member.where("doc = cls")
         named = member.where("doc is not null").select("doc", "cls").distinct()
         stars = materialize(_stars(docs.where("doc is not null"), _levels(profiles, documents, setting), setting))
-        edges = stars.select("doc", "up").distinct().join(named.withColumnRenamed("cls", "x"), "doc")
+        edges = stars.where("doc != up").groupBy("doc", "up").agg(F.bool_or("near").alias("near"), F.bool_or("open").alias("open")).join(named.withColumnRenamed("cls", "x"), "doc")
         edges = materialize(edges.join(named.select(F.col("doc").alias("up"), F.col("cls").alias("y")), "up").where("x != y"))
-        pairs = edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = edges.where("near").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         tried = materialize(_candidates(pairs, own, setting.percent))
         links = materialize(_verified(tried, docs, setting))
         found = connected_components(links)
 
-        # Keys with a document that is not yet joined to the one above it: compare across the components that meet there.
+        # Keys with an open document that is not yet joined to the one above it: compare across the components that meet there.
         at = _placed(own, found).select("doc", "component")
-        apart = edges.join(at.select(F.col("doc").alias("x"), F.col("component").alias("cx")), "x").join(at.select(F.col("doc").alias("y"), F.col("component").alias("cy")), "y").where("cx != cy").select("doc", "up")
-        keys = stars.join(apart, ["doc", "up"], "left_semi").select("key").distinct()
-        open_ = stars.join(keys, "key", "left_semi")
-        rows = open_.select("key", "doc").union(open_.select("key", "up")).distinct().join(named, "doc").select("key", F.col("cls").alias("doc")).distinct()
+        apart = edges.where("open").join(at.select(F.col("doc").alias("x"), F.col("component").alias("cx")), "x").join(at.select(F.col("doc").alias("y"), F.col("component").alias("cy")), "y").where("cx != cy").select("doc", "up")
+        open_ = stars.where("open")
+        keys = open_.join(apart, ["doc", "up"], "left_semi").select("key").distinct()
+        rows = open_.join(keys, "key", "left_semi").select("key", "doc").join(named, "doc").select("key", F.col("cls").alias("doc")).distinct()
         rows = materialize(_with_earlier(materialize(_one_of_equal_keys(materialize(rows)))))
         passes = (_with_heads, _across)
         for pairs_of in passes:
-            members = materialize(rows.join(_placed(own, found).select("doc", "component", "n", *bits), "doc"))
+            members = materialize((rows if pairs_of == passes[-1] else rows.drop("earlier")).join(_placed(own, found).select("doc", "component", "n", *bits), "doc"))
             rest = pairs_of(members).where(_alike(setting.percent, "x_", "y_"))
             if pairs_of == passes[-1]:
                 rest = rest.where(~F.arrays_overlap("x_earlier", "y_earlier"))
