@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.columns import div
 from tidepanel.operators.cross import with_stats
 from tidepanel.operators.joins import asof_join, keep_one
-from tidepanel.operators.ordering import cell_starts, deal_in_order, split_groups, with_start
+from tidepanel.operators.ordering import cell_starts, deal_in_order, running, split_groups, with_start
 from tidepanel.operators.staging import materialize
 from tidepanel.plans.metrics import compounded
 
