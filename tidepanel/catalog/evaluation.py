@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.catalog.registry import labelled, query
 from tidepanel.functions.columns import day, r
-from tidepanel.operators import rolling as R
+from tidepanel.operators import gathered as G, rolling as R
 from tidepanel.operators.cross import cs_neutralize, with_stats
 from tidepanel.operators.masked import buckets, masked_ranks, pair_correlations
 from tidepanel.operators.staging import materialize
@@ -46,6 +46,16 @@ def seed_frame(s):
     return FA.evaluate(d, FA.seed_factors(3, 6, 12, 24))
 
 
+def library_frame(s):
+    """``seed_frame`` for one pass: from the bars to the factors with one exchange by code, and no table written between them."""
+    return FA.evaluate(FA.own_terminals(s.labelled, 6), FA.seed_factors(3, 6, 12, 24))
+
+
+def most_names(s):
+    """A date has a row for each supplier at most."""
+    return s.suppliers.count()
+
+
 def universe(s, *more):
     """The whole library on the universe's rows, wide."""
     return seed_frame(s).where("in_universe").select("date", "code", *PICK, *more)
@@ -131,9 +141,8 @@ def _(s):
 
 @query("turnover_proxy", "A5", labelled(LONG + f", lg AS (SELECT *, lag(value) OVER (PARTITION BY factor, code ORDER BY pos) AS prev FROM long), lv AS (SELECT * FROM lg WHERE in_universe)" + IC("value", "prev", "factor, date", "lv", n=8) + " SELECT factor, round(1 - avg(ic), 6) AS turnover FROM ic GROUP BY factor"))
 def _(s):
-    d = seed_frame(s).withColumns({f"prev_{f}": R.ts_delay(f, 1) for f in PICK}).where("in_universe")
-    ranks = masked_ranks(d, [*PICK, *(f"prev_{f}" for f in PICK)])
-    ic = pair_correlations(ranks, [(f, f"prev_{f}") for f in PICK], 8)
+    d = library_frame(s).withColumns({f"prev_{f}": R.ts_delay(f, 1) for f in PICK}).where("in_universe")
+    ic = G.correlations(d, [(f, f"prev_{f}") for f in PICK], 8, most_names(s))
     return ic.groupBy(F.col("a").alias("factor")).agg(r(1 - F.avg("ic")).alias("turnover"))
 
 

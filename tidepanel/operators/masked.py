@@ -193,10 +193,15 @@ def pair_correlations(ranks: MaskedRanks, pairs: Sequence[tuple[str, str]], min_
     rows = ranks.rows.select(by, slice_, "_row", "i", *[F.when(F.col("i").isin(readers[c]), F.col(f"v{c}")).alias(f"v{c}") for c in used])
     got = rows.groupBy(by, "_slice").applyInArrow(products, f"`{by}` {kind}, _p int, xy double, xx double, yy double, names long")
     got = got.groupBy(by, "_p").agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy", "names")])
+    return named(got, pairs, by, min_names)
+
+
+def named(sums: DataFrame, pairs: Sequence[tuple[str, str]], by: str, min_names: int) -> DataFrame:
+    """(a, b, group, ic, names) from sums of products of centred ranks by (group, pair number)."""
     varies = (F.col("xx") > 0) & (F.col("yy") > 0) & (F.col("names") >= min_names)
     ic = F.when(varies, F.round(F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0)), 12))
     name = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("_p") + 1)
-    return got.where("names > 0").select(name(0).alias("a"), name(1).alias("b"), by, ic.alias("ic"), "names")
+    return sums.where("names > 0").select(name(0).alias("a"), name(1).alias("b"), by, ic.alias("ic"), "names")
 
 
 def buckets(ranks: MaskedRanks, values: Sequence[str], target: str, q: int) -> DataFrame:

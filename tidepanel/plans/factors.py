@@ -32,10 +32,15 @@ class Factor:
 def derived_terminals(df: DataFrame, n: int = 20) -> DataFrame:
     """excess_ret_1d, amihud, vwap_dev, overnight_ret, intraday_ret on the dense grid."""
     d = with_stats(df, "date", {"_b": F.avg(F.when(F.col("in_universe"), F.col("ret_1d")))})
-    d = d.withColumns({"excess_ret_1d": F.col("ret_1d") - F.col("_b"), "_ill": div(F.abs("ret_1d"), F.when(F.col("amount") > 0, F.col("amount") / 1e8)),
-                       "vwap_dev": div("close", "vwap") - 1, "overnight_ret": div("open", R.ts_delay("close", 1)) - 1,
-                       "intraday_ret": div("close", "open") - 1})
-    return d.withColumn("amihud", R.ts_mean("_ill", n)).drop("_b", "_ill")
+    return own_terminals(d.withColumn("excess_ret_1d", F.col("ret_1d") - F.col("_b")).drop("_b"), n)
+
+
+def own_terminals(df: DataFrame, n: int = 20) -> DataFrame:
+    """The terminals that a code's own rows give: all but excess_ret_1d, which no seed factor reads and which takes a second pass over the grid."""
+    d = df.withColumns({"_ill": div(F.abs("ret_1d"), F.when(F.col("amount") > 0, F.col("amount") / 1e8)),
+                        "vwap_dev": div("close", "vwap") - 1, "overnight_ret": div("open", R.ts_delay("close", 1)) - 1,
+                        "intraday_ret": div("close", "open") - 1})
+    return d.withColumn("amihud", R.ts_mean("_ill", n)).drop("_ill")
 
 
 def seed_factors(short=5, medium=20, quarter=60, long=120) -> list[Factor]:
