@@ -13,6 +13,7 @@ import __spark_entry__ as E  # noqa: E402
 from compare import TABLES, compare  # noqa: E402
 from test_masked import COLUMNS, brute, frame, table  # noqa: E402
 from tidepanel.operators import gathered, masked  # noqa: E402
+from tidepanel.operators.cross import neutralized  # noqa: E402
 from tidepanel.sources import adapters  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -77,8 +78,8 @@ def test_no_groups(spark):
     assert gathered.correlations(d, [("a", "b")], 1, 0, "g").count() == 0
 
 
-def checked(spark, monkeypatch, name):
-    """Run a query on the smallest tables, compare it with its SQL, and return the row counts of the tables it wrote on its way."""
+def checked(spark, monkeypatch, name, data=DATA):
+    """Run a query, compare it with its SQL, and return the row counts of the tables it wrote on its way."""
     written = []
 
     def counted(write):
@@ -95,8 +96,8 @@ def checked(spark, monkeypatch, name):
         monkeypatch.setattr(m, "materialize", counted(m.materialize))
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    res = compare(E.queries()[name](spark, DATA).toPandas(), con.execute(E.oracle_sql()[name]).df())
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    res = compare(E.queries()[name](spark, data).toPandas(), con.execute(E.oracle_sql()[name]).df())
     assert res.startswith("ok"), res
     return written
 
@@ -104,3 +105,26 @@ def checked(spark, monkeypatch, name):
 def test_turnover_writes_no_table(spark, monkeypatch):
     """The grid, the wide rows and their ranks were written before: eleven times the input."""
     assert checked(spark, monkeypatch, "turnover_proxy") == []
+
+
+def test_neutralized_is_a_regression_on_groups_and_size():
+    rng = np.random.default_rng(3)
+    n = 200
+    g, z = rng.integers(0, 4, n).astype(float), rng.normal(size=n)
+    x = 2 * z + g + rng.normal(size=n)
+    x[rng.random(n) < 0.2], z[rng.random(n) < 0.1] = np.nan, np.nan
+    ok = ~(np.isnan(x) | np.isnan(z))
+    a = np.column_stack([g[ok] == k for k in range(4)] + [z[ok]]).astype(float)
+    want = x[ok] - a @ np.linalg.lstsq(a, x[ok], rcond=None)[0]
+    got = neutralized(x, z, g, 9)
+    np.testing.assert_allclose(got[ok], want, atol=1e-12)
+    assert np.isnan(got[~ok]).all() and np.isnan(neutralized(x, z, g, int(ok.sum()) + 1)).all() and np.isnan(neutralized(x * np.nan, z, g, 0)).all()
+    np.testing.assert_allclose(neutralized(x, g, g, 9)[~np.isnan(x)], neutralized(x, np.zeros(n), g, 9)[~np.isnan(x)], atol=1e-12)  # a size that does not vary in a group
+
+
+@pytest.mark.parametrize("values", [16_000_000, 500, 300])
+def test_second_gate_writes_sums_only(spark, monkeypatch, values):
+    """With all columns of a date in one task, five of them, or too few for a residual; the grid, the wide rows (twice) and all ranks (twice) were written before."""
+    monkeypatch.setattr(gathered, "TASK_VALUES", values)
+    written = checked(spark, monkeypatch, "gate_second_level", "/root/testdata/sf0.01")
+    assert (len(written) == 1 and written[0] <= 84 * 35) == (values > 300)

@@ -2,13 +2,14 @@
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.registry import labelled, query
 from tidepanel.functions.columns import day, r
 from tidepanel.operators import gathered as G, rolling as R
-from tidepanel.operators.cross import cs_neutralize, with_stats
-from tidepanel.operators.masked import buckets, masked_ranks, pair_correlations
+from tidepanel.operators.cross import cs_neutralize, neutralized, with_stats
+from tidepanel.operators.masked import buckets, masked_ranks, named, pair_correlations
 from tidepanel.operators.staging import materialize
 from tidepanel.plans import factors as FA, metrics as M
 
@@ -157,14 +158,31 @@ def _(s):
     return u.groupBy(F.col("a").alias("factor")).agg(r(F.max(F.abs("corr"))).alias("max_abs_corr"), F.max_by("b", F.abs("corr")).alias("max_with"))
 
 
+REST = [f for f in PICK if f != "size"]
+
+
 def library_neutral_ic(d):
     """(factor, date, ic) of the residuals on groups and size, all factors in one aggregate for each level."""
-    rest = [f for f in PICK if f != "size"]
     d = materialize(d.withColumn("lmv", F.when(F.col("circ_mv") > 0, F.ln("circ_mv"))))
-    d = cs_neutralize(d, {f"r_{f}": f for f in rest}, "lmv", "region")
+    d = cs_neutralize(d, {f"r_{f}": f for f in REST}, "lmv", "region")
     # Residuals of exact fits differ by float noise only; ties stay ties.
-    d = d.select("date", "label_1", *[F.round(f"r_{f}", 9).alias(f) for f in rest])
-    return pair_correlations(masked_ranks(d, [*rest, "label_1"]), [(f, "label_1") for f in rest], 8).withColumnRenamed("a", "factor")
+    d = d.select("date", "label_1", *[F.round(f"r_{f}", 9).alias(f) for f in REST])
+    return pair_correlations(masked_ranks(d, [*REST, "label_1"]), [(f, "label_1") for f in REST], 8).withColumnRenamed("a", "factor")
+
+
+def own_and_neutral_ic(s):
+    """``library_ic`` and ``library_neutral_ic`` of the universe; where a date fits one task both come from one exchange of the columns, and residuals never leave it."""
+    most = most_names(s)
+    if not G.fits(most, 4):  # a residual's pair reads the factor, size, region and the label
+        d = universe(s, "label_1", "circ_mv", "region")
+        return materialize(library_ic(d)), library_neutral_ic(d)
+    need = s.suppliers.select("region").distinct().count() + 5
+    pairs = [(f, "label_1") for f in PICK] + [(f"r_{f}", "label_1") for f in REST]
+    reads = {f"r_{f}": (f, "size", "region") for f in REST}  # size is the logarithm of circ_mv
+    derive = lambda v, wanted: {w: np.round(neutralized(v[w[2:]], v["size"], v["region"], need), 9) for w in wanted}
+    sums = materialize(G.pair_sums(library_frame(s).where("in_universe"), pairs, most, "date", reads, derive))
+    ic, neutral = (named(sums.where(own), pairs, "date", 8) for own in (F.col("_p") < len(PICK), F.col("_p") >= len(PICK)))
+    return ic.withColumnRenamed("a", "factor"), neutral.withColumn("factor", F.substring("a", 3, 100)).drop("a")
 
 
 @query("neutralized_ic", "A7 A9", labelled(LONG + """
@@ -312,10 +330,9 @@ md AS (SELECT factor, avg(ic) AS ic_mean FROM ic GROUP BY factor), ne AS (SELECT
 SELECT factor, same_sign, round(neutral_ic, 5) AS neutral_ic, (same_sign >= 3 AND coalesce(neutral_ic / nullif(ic_mean, 0) >= 0.5, FALSE))::INT AS passed FROM sg JOIN md USING (factor) JOIN ne USING (factor)"""))
 def _(s):
     """Sub-window signs and the neutral share of the factors' own series; the marginal test has its own query."""
-    d = universe(s, "label_1", "circ_mv", "region")
-    ic = materialize(library_ic(d))
+    ic, neutral = own_and_neutral_ic(s)
     sg = M.subwindow_means(ic, 4).groupBy("factor").agg(F.count(F.when(F.col("ic") > 0, 1)).alias("same_sign"))
-    neutral = library_neutral_ic(d).groupBy("factor").agg(F.avg("ic").alias("neutral_ic"))
+    neutral = neutral.groupBy("factor").agg(F.avg("ic").alias("neutral_ic"))
     m = sg.join(ic.groupBy("factor").agg(F.avg("ic").alias("ic_mean")), "factor").join(neutral, "factor").withColumns({"net_excess": F.lit(None).cast("double"), "marginal_ic": F.lit(1.0)})
     g = M.gate_second(m, {"same_sign": 3, "neutral": 0.5, "net_excess": 0.0, "marginal": 0.0})
     return g.select("factor", "same_sign", r("neutral_ic", 5).alias("neutral_ic"), F.col("passed").cast("int").alias("passed"))

@@ -6,6 +6,7 @@ Moments come from a partial aggregate joined back; order statistics from
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +103,20 @@ def cs_neutralize(df, outs: dict[str, str], size, group="grp", margin=5, valid:
     return d.drop(*cells, *sums, "_groups", *[f"_{k}_{o}" for o in outs for k in "xz"])
 
 
+def neutralized(x: np.ndarray, size: np.ndarray, group: np.ndarray, need: int) -> np.ndarray:
+    """``cs_neutralize`` of one date whose rows have met in one task; NaN is missing, ``need`` the least number of names."""
+    ok = ~(np.isnan(x) | np.isnan(size))
+    out = np.full(len(x), np.nan)
+    if ok.sum() < max(need, 1):
+        return out
+    _, at = np.unique(group[ok], return_inverse=True)
+    rows = np.bincount(at)
+    xt, zt = (v - (np.bincount(at, v) / rows)[at] for v in (x[ok], size[ok]))
+    szz = np.einsum("i,i->", zt, zt)
+    out[ok] = xt - (np.einsum("i,i->", xt, zt) / szz if szz else 0.0) * zt
+    return out
+
+
 def winsor_z(df, outs: dict[str, str], lo=0.01, hi=0.99, valid: Column | None = None, write=True) -> DataFrame:
     """Clip to quantiles, then population z; at least three names and a positive spread."""
     d = df.withColumns({f"_wx_{o}": col(x) if valid is None else F.when(valid, col(x)) for o, x in outs.items()})
