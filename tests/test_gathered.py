@@ -128,3 +128,11 @@ def test_second_gate_writes_sums_only(spark, monkeypatch, values):
     monkeypatch.setattr(gathered, "TASK_VALUES", values)
     written = checked(spark, monkeypatch, "gate_second_level", "/root/testdata/sf0.01")
     assert (len(written) == 1 and written[0] <= 84 * 35) == (values > 300)
+
+
+@pytest.mark.parametrize("values", [16_000_000, 500, 150])
+def test_first_gate_writes_sums_only(spark, monkeypatch, values):
+    """All columns of a date in one task, sets of five, or too few for a pair; besides the sums the factors' summary is written."""
+    monkeypatch.setattr(gathered, "TASK_VALUES", values)
+    written = checked(spark, monkeypatch, "gate_checks", "/root/testdata/sf0.01")
+    assert (len(written) == 2 and written[0] <= 84 * 189 and written[1] == 18) == (values > 150)

@@ -68,10 +68,15 @@ def library_ic(d, target="label_1"):
     return pair_correlations(ranks, [(f, target) for f in PICK], 8).withColumnRenamed("a", "factor")
 
 
+BOTH = [(a, b) for a in PICK for b in PICK if a < b]
+
+
 def library_corr(d):
     """(a, b, corr) of all pairs of the library: mean daily rank correlation on the names that have both."""
-    ranks = masked_ranks(d, PICK)
-    ic = pair_correlations(ranks, [(a, b) for a in PICK for b in PICK if a < b], 8)
+    return mean_corr(pair_correlations(masked_ranks(d, PICK), BOTH, 8))
+
+
+def mean_corr(ic):
     return ic.groupBy("a", "b").agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("corr"))
 
 
@@ -300,20 +305,35 @@ g1 AS (SELECT m.*, coverage, max_abs_corr, o.icir AS matched FROM m JOIN cv USIN
 g2 AS (SELECT *, coverage >= 0.8 AS c1, days >= 30 AS c2, ic_mean >= 0.0 AS c3, coalesce(icir >= 0.02, FALSE) AS c4, coalesce(icir >= 1.3 * abs(matched), FALSE) AS better FROM g1)"""
 
 
-def library_match(d):
-    """Per factor the largest absolute mean correlation with another one, and that factor's ratio."""
-    c = library_corr(d)
+def library_match(c):
+    """Per factor the largest absolute mean correlation with another one, and that factor."""
     u = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
     return u.groupBy(F.col("a").alias("factor")).agg(F.max(F.abs("corr")).alias("max_abs_corr"), F.max_by("b", F.abs("corr")).alias("other"))
 
 
+def first_gate_series(s):
+    """(factor, date, ic), (factor, coverage) and (a, b, corr) of the library; where a date fits one task all come from one exchange of the columns."""
+    most = most_names(s)
+    if not G.fits(most):
+        seeds = materialize(seed_frame(s).select("date", "code", "in_universe", "label_1", *PICK))
+        inside = seeds.where("in_universe")
+        return library_ic(inside), M.wide_coverage(seeds, PICK), library_corr(inside)
+    own, alone = [(f, "label_1") for f in PICK], [(f, f) for f in PICK]  # a factor with itself counts its values
+    pairs = [*own, *BOTH, *alone]
+    sums = materialize(G.pair_sums(library_frame(s).where("in_universe"), pairs, most))
+    p, last = F.col("_p"), len(own) + len(BOTH)
+    ic, corr = (named(sums.where(part), pairs, "date", 8) for part in (p < len(own), (p >= len(own)) & (p < last)))
+    factor = F.element_at(F.array(*[F.lit(f) for f in PICK]), p - last + 1)
+    coverage = sums.where(p >= last).groupBy(factor.alias("factor")).agg(F.avg(F.col("names") / F.col("rows")).alias("coverage"))
+    return ic.withColumnRenamed("a", "factor"), coverage, mean_corr(corr)
+
+
 @query("gate_checks", "A60", labelled(GATE_ONE + """
 SELECT factor, round(max_abs_corr, 6) AS max_abs_corr, (c1 AND c2 AND c3 AND c4 AND (max_abs_corr <= 0.6 OR better))::INT AS passed, (NOT c1)::INT + (NOT c2)::INT + (NOT c3)::INT + (NOT c4)::INT + (NOT (max_abs_corr <= 0.6 OR better))::INT AS failed FROM g2"""))
 def _(s):
-    seeds = materialize(seed_frame(s).select("date", "code", "in_universe", "label_1", *PICK))
-    inside = seeds.where("in_universe")
-    m = materialize(M.summarize_ic(library_ic(inside)))
-    m = m.join(M.wide_coverage(seeds, PICK), "factor").join(library_match(inside), "factor").join(m.select(F.col("factor").alias("other"), F.col("icir").alias("matched_icir")), "other")
+    ic, coverage, corr = first_gate_series(s)
+    m = materialize(M.summarize_ic(ic))
+    m = m.join(coverage, "factor").join(library_match(corr), "factor").join(m.select(F.col("factor").alias("other"), F.col("icir").alias("matched_icir")), "other")
     g = M.gate_first(m, {"coverage": 0.8, "days": 30, "ic_mean": 0.0, "icir": 0.02, "corr": 0.6, "replacement": 1.3})
     return g.select("factor", r("max_abs_corr").alias("max_abs_corr"), F.col("passed").cast("int").alias("passed"), F.size(F.filter("checks", lambda c: ~c["passed"])).cast("int").alias("failed"))
 
