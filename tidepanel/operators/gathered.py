@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import masked
 
-TASK_VALUES = 16_000_000  # values that meet in one task
+TASK_VALUES = 8_000_000  # values that meet in one task
 SHARE = 20_000  # values of a group for each partition: a large group seldom meets another one
 
 Pairs = Sequence[tuple[str, str]]
